@@ -118,13 +118,18 @@ def wilson(successes: Column, trials: Column, confidence: float = 0.95) -> tuple
     return clip(centre - half, 0.0, 1.0), clip(centre + half, 0.0, 1.0)
 
 
-def hash31(*parts: Column | str) -> Column:
-    """Non-negative 32-bit draw from the md5 of the parts joined by ``|``.
+def draw(*parts: Column | str) -> Column:
+    """Non-negative 60-bit draw from the md5 of the parts joined by ``|``.
 
     The text form is the same in every engine, so a draw can be repeated outside Spark.
     """
-    text = F.concat_ws("|", *[col(p).cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
+def exact_mean(value: Column | str, decimals: int = 2) -> Column:
+    """Mean of an amount added up as a decimal, then rounded half up: independent of row order."""
+    return F.round(F.avg(col(value).cast("decimal(20,4)")), decimals).cast("double")
 
 
 def transform_feature(raw: Column | str, spec: dict) -> Column:

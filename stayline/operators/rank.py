@@ -337,8 +337,7 @@ def best_prefix(
 
     Gives ``prefix_rows``, ``prefix_total`` and the ``keep`` columns of its last row.
     """
-    numbered = ranked(df, order, by, out="prefix_rows")
-    totals = running_totals(numbered, order, {"prefix_total": value}, by)
+    totals = running_totals(df, order, {"prefix_rows": F.lit(1).cast("bigint"), "prefix_total": value}, by)
     best = totals.groupBy(*by).agg(
         F.max_by(F.struct("prefix_rows", "prefix_total", *keep), F.struct("prefix_total", -F.col("prefix_rows"))).alias(
             "_best"

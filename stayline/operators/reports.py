@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stayline.functions.expr import active_on, count_if, latest, missing_label, safe_div
+from stayline.functions.expr import active_on, count_if, exact_mean, latest, missing_label, safe_div
 from stayline.operators.rank import Key, attach, exact_quantiles, top_per_group
 
 
@@ -137,11 +137,11 @@ def current_compensation_by_department(
         .groupBy("department_name")
         .agg(
             F.count(F.lit(1)).alias("active_employee_count"),
-            F.round(F.avg("base_salary"), 2).alias("average_base_salary"),
+            exact_mean("base_salary").alias("average_base_salary"),
             F.round(F.min("base_salary"), 2).alias("minimum_base_salary"),
             F.round(F.max("base_salary"), 2).alias("maximum_base_salary"),
-            F.round(F.avg("bonus_target"), 2).alias("average_bonus_target"),
-            F.round(F.avg("equity_value"), 2).alias("average_equity_value"),
+            exact_mean("bonus_target").alias("average_bonus_target"),
+            exact_mean("equity_value").alias("average_equity_value"),
         )
     )
 
@@ -156,8 +156,8 @@ def latest_performance_by_department(
         .groupBy("department_name")
         .agg(
             F.count(F.lit(1)).alias("reviewed_employee_count"),
-            F.round(F.avg("performance_rating"), 2).alias("average_performance_rating"),
-            F.round(F.avg("goal_completion"), 2).alias("average_goal_completion"),
+            exact_mean("performance_rating").alias("average_performance_rating"),
+            exact_mean("goal_completion").alias("average_goal_completion"),
             F.round(
                 100.0 * safe_div(count_if(F.col("promotion_recommended")), F.count("employee_id")), 2
             ).alias("promotion_recommendation_rate_percent"),
@@ -185,8 +185,8 @@ def training_by_department(employees: DataFrame, departments: DataFrame, trainin
         .groupBy("department_name")
         .agg(
             F.count(F.lit(1)).alias("active_employee_count"),
-            F.round(F.avg("completed_training_programs"), 2).alias("average_completed_programs"),
-            F.round(F.avg("completed_training_hours"), 2).alias("average_completed_training_hours"),
+            exact_mean("completed_training_programs").alias("average_completed_programs"),
+            exact_mean("completed_training_hours").alias("average_completed_training_hours"),
         )
     )
 

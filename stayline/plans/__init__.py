@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("foundations", "features")
+MODULES = ("foundations", "features", "reporting", "ranking")
 
 
 def load_all() -> None:

@@ -11,6 +11,7 @@ from stayline.operators import asof, hazard, panel
 from stayline.plans.binding import AS_OF, SNAPSHOTS, snapshot_values
 from stayline.plans.foundations import HIRED_SQL
 from stayline.plans.registry import Tables, query, round_all
+from stayline.session import settle
 
 TIE = ("review_id", "review_line")
 HR = "employees departments locations job_roles compensation_history performance_reviews training_records employee_events"
@@ -373,8 +374,8 @@ def _(t: Tables):
 ASOF_ORDER = "review_date, review_id, review_line, performance_rating"
 LAGGED_SQL = f"""{RISK_SQL},
   rv AS (SELECT *, LAG(performance_rating) OVER (PARTITION BY employee_id ORDER BY {ASOF_ORDER}) AS before_rating,
-    ROW_NUMBER() OVER (PARTITION BY employee_id, review_date ORDER BY review_id DESC, review_line DESC, performance_rating DESC) AS rn FROM performance_reviews),
-  rv1 AS (SELECT * FROM rv WHERE rn = 1),
+    ROW_NUMBER() OVER (PARTITION BY employee_id ORDER BY {ASOF_ORDER}) AS seq FROM performance_reviews),
+  rv1 AS (SELECT * FROM rv QUALIFY ROW_NUMBER() OVER (PARTITION BY employee_id, review_date ORDER BY seq DESC) = 1),
   cp AS (SELECT employee_id, effective_date, arg_max(base_salary, compensation_id) AS base_salary FROM compensation_history GROUP BY ALL),
   pr AS (SELECT DISTINCT employee_id, effective_date FROM compensation_history WHERE change_reason = 'Promotion'),
   tr AS (SELECT r.employee_id, r.cutoff, SUM(CASE WHEN completion_status = 'Completed' THEN training_hours ELSE 0 END) AS hours,
@@ -432,7 +433,7 @@ POSITION_SQL = """rolled AS (SELECT l.*, r.job_family, r.job_level FROM lagged l
 def positioned(t: Tables):
     roles = t["job_roles"].select("job_role_id", "job_family", "job_level")
     return hazard.robust_peer_z(
-        lagged(t).join(roles, "job_role_id"), "current_salary", ["month_start", "job_family", "job_level"], "salary_position"
+        settle(lagged(t)).join(roles, "job_role_id"), "current_salary", ["month_start", "job_family", "job_level"], "salary_position"
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,11 +35,24 @@ def build_session(app_name: str = "stayline", master: str | None = None, **setti
     return builder.getOrCreate()
 
 
-def shared_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Folder named by the cluster for checkpoints; ``fallback`` only if none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    target = configured or current or fallback
-    if target and not current:
-        spark.sparkContext.setCheckpointDir(target)
-    return target
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """Checkpoint folder: the one the cluster names, else one of our own in local mode only."""
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
+    if current:
+        return current
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and context.master.startswith("local"):
+        named = tempfile.mkdtemp(prefix="stayline-checkpoint-")
+    if named:
+        context.setCheckpointDir(named)
+    return named
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several jobs read, and go on from the files.
+
+    Lost executors then cost a re-read, not a recompute of everything upstream.
+    Without a shared folder on a cluster the plan is returned unchanged.
+    """
+    return df.checkpoint() if checkpoint_dir(df.sparkSession) else df
