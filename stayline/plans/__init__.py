@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("foundations", "features", "reporting", "ranking")
+MODULES = ("foundations", "features", "reporting", "ranking", "decisions", "outcomes")
 
 
 def load_all() -> None:

@@ -171,8 +171,8 @@ relation(
     """SELECT event_id AS employee_id, user_id, CAST(ts AS DATE) AS event_date,
               CASE WHEN ts < TIMESTAMP '2024-01-11 00:00:00' THEN 'train'
                    WHEN ts < TIMESTAMP '2024-01-21 00:00:00' THEN 'validation' ELSE 'test' END AS period,
-              ROUND(2E-2 + ((event_id * 37 + user_id * 11) % 400) / 8E2
-                    + CASE WHEN event_type IN ('error', 'click') THEN 5E-2 ELSE 0E0 END, 6) AS attrition_probability,
+              2E-2 + ((event_id * 37 + user_id * 11) % 400) / 7.97E2
+                + CASE WHEN event_type IN ('error', 'click') THEN 5E-2 ELSE 0E0 END AS attrition_probability,
               CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS actual_attrition,
               ROUND(value * 1E3 + 2E4, 2) AS base_salary,
               'D' || CAST(user_id % 7 AS STRING) AS department_name,
@@ -185,8 +185,8 @@ relation(
 relation(
     "labeled",
     """SELECT l.doc_id, l.quality, l.toxic, d.lang, d.source, d.n_chars,
-              ROUND(1E-1 + ((l.doc_id * 13 + d.n_chars) % 100) / 2E2 + 2E-1 * l.quality, 6) AS quality_score,
-              ROUND(5E-2 + ((l.doc_id * 29 + d.n_chars) % 80) / 2E2 + 1E-1 * l.toxic, 6) AS toxic_score
+              1E-1 + ((l.doc_id * 13 + d.n_chars) % 100) / 1.97E2 + 2E-1 * l.quality AS quality_score,
+              5E-2 + ((l.doc_id * 29 + d.n_chars) % 80) / 1.93E2 + 1E-1 * l.toxic AS toxic_score
        FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
 )
 
