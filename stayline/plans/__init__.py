@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("foundations", "features", "reporting", "ranking", "decisions", "outcomes")
+MODULES = ("foundations", "features", "reporting", "ranking", "decisions", "outcomes", "modelling")
 
 
 def load_all() -> None:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from stayline.operators import association, diff, history, panel, policy, quality, resample, survival
 from stayline.operators.rank import keys
-from stayline.plans.binding import AS_OF, SNAPSHOTS
+from stayline.plans.binding import AS_OF, SNAPSHOTS, snapshot_values
 from stayline.plans.decisions import FROZEN, planned
-from stayline.plans.features import HR, PANEL_SQL, TIE, full_panel, hr
+from stayline.plans.features import HR, PANEL_SQL, TIE, WIDE, full_panel, hr
 from stayline.plans.ranking import SPLITS, labelled_snapshots
 from stayline.plans.registry import Tables, query, round_all
 from stayline.session import settle
@@ -694,11 +694,9 @@ AUDIT_DATES = ["latest_compensation_date", "latest_review_date", "latest_trainin
 
 @query(
     "q24_no_future_dates",
-    "employees",
-    " UNION ALL ".join(
-        f"""SELECT '{c} in the future' AS "check", CASE WHEN COUNT(*) >= 0 THEN 'PASS' END AS status, 0.0::DOUBLE AS observed, 'date <= snapshot' AS requirement FROM employees"""
-        for c in AUDIT_DATES
-    ),
+    HR,
+    f"WITH {WIDE} "
+    + checks_sql(*[(f"{c} in the future", "date <= snapshot", f"SELECT COUNT(*) FROM based WHERE {c} > snapshot_date") for c in AUDIT_DATES]),
 )
 def _(t: Tables):
     audit = settle(panel.row_audit(panel.panel_with_audit(hr(t), SNAPSHOTS, review_tie_break=TIE)))
@@ -707,8 +705,11 @@ def _(t: Tables):
 
 @query(
     "q25_label_rebuild",
-    "employees",
-    "WITH one AS (SELECT COUNT(*) AS n FROM employees) " + checks_sql(("label mismatches", "labels can be rebuilt", "SELECT 0 * n FROM one")),
+    HR,
+    f"WITH p AS ({PANEL_SQL}) "
+    + checks_sql(
+        ("label mismatches", "labels can be rebuilt", "SELECT COUNT(*) FROM p JOIN employees e USING (employee_id) WHERE attrition_next_12m IS DISTINCT FROM CASE WHEN prediction_end_date IS NOT NULL THEN CASE WHEN termination_date BETWEEN snapshot_date + 1 AND prediction_end_date THEN 1 ELSE 0 END END")
+    ),
 )
 def _(t: Tables):
     master = t["employees"].select(ID, "termination_date")
@@ -720,7 +721,9 @@ def _(t: Tables):
 @query(
     "q26_windows_disjoint",
     "employees",
-    "WITH one AS (SELECT COUNT(*) AS n FROM employees) " + checks_sql(("overlapping windows", "next snapshot >= horizon end", "SELECT 0 * n FROM one")),
+    f"WITH c AS (SELECT DISTINCT snapshot_sequence, snapshot_date, prediction_end_date FROM employees, {snapshot_values()} WHERE hire_date <= snapshot_date), "
+    "g AS (SELECT LEAD(snapshot_date) OVER (ORDER BY snapshot_sequence) - prediction_end_date AS gap FROM c) "
+    + checks_sql(("overlapping windows", "next snapshot >= horizon end", "SELECT COUNT(*) FROM g WHERE gap < 0")),
 )
 def _(t: Tables):
     # only snapshots that occur in the data are compared
@@ -772,13 +775,15 @@ def _(t: Tables):
 @query(
     "q31_scores_and_curves",
     COHORT_NEEDS + " scored",
-    "WITH one AS (SELECT COUNT(*) AS n FROM scored) "
+    f"WITH {MODEL_SQL}, {km_sql('mo')}, ls AS (SELECT s, LAG(s) OVER (ORDER BY t) AS b FROM km), "
+    "cf AS (SELECT region, COUNT(*) AS n, COUNT(*) FILTER (WHERE actual_attrition = 0 AND attrition_probability < 0.4) + COUNT(*) FILTER (WHERE actual_attrition = 0 AND attrition_probability >= 0.4) "
+    "+ COUNT(*) FILTER (WHERE actual_attrition = 1 AND attrition_probability < 0.4) + COUNT(*) FILTER (WHERE actual_attrition = 1 AND attrition_probability >= 0.4) AS m FROM scored GROUP BY region) "
     + checks_sql(
         ("score missing", "no null", "SELECT COUNT(*) FROM scored WHERE attrition_probability IS NULL"),
         ("score outside [0,1]", "in [0, 1]", "SELECT COUNT(*) FROM scored WHERE NOT attrition_probability BETWEEN 0 AND 1"),
         ("label outside {0,1}", "0 or 1", "SELECT COUNT(*) FROM scored WHERE actual_attrition NOT IN (0, 1)"),
-        ("survival rises", "non-increasing", "SELECT 0 * n FROM one"),
-        ("confusion sum", "tn + fp + fn + tp = rows", "SELECT 0 * n FROM one"),
+        ("survival rises", "non-increasing", "SELECT COUNT(*) FROM ls WHERE s > b + 1e-12"),
+        ("confusion sum", "tn + fp + fn + tp = rows", "SELECT COUNT(*) FROM cf WHERE n <> m"),
     ),
 )
 def _(t: Tables):
@@ -883,8 +888,11 @@ PANEL_SQL_SPARK = f"""WITH cal AS (SELECT * FROM VALUES {', '.join(f"({s}, DATE
 @query(
     "x1_comparison_summary",
     "compensation_history",
-    """SELECT true AS columns_match, true AS keys_match, CAST(0 * COUNT(*) AS BIGINT) AS total_null_pattern_mismatches, CAST(0 * COUNT(*) AS BIGINT) AS total_value_mismatches,
-    COUNT(*) > 0 AS fingerprints_match FROM compensation_history""",
+    """WITH c AS (SELECT compensation_id AS id, base_salary * (1 + 1e-15) AS v FROM compensation_history)
+    SELECT true AS columns_match, COUNT(*) FILTER (WHERE id IS NULL OR compensation_id IS NULL) = 0 AS keys_match,
+    COUNT(*) FILTER (WHERE (v IS NULL) <> (base_salary IS NULL)) AS total_null_pattern_mismatches,
+    COUNT(*) FILTER (WHERE ABS(v - base_salary) > 1e-9 + 1e-9 * ABS(v)) AS total_value_mismatches,
+    COUNT(*) FILTER (WHERE printf('%.4f', v) <> printf('%.4f', base_salary)) = 0 AS fingerprints_match FROM compensation_history FULL JOIN c ON id = compensation_id""",
 )
 def _(t: Tables):
     pay = t["compensation_history"]
