@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from collections.abc import Sequence
 from functools import reduce
 
@@ -99,6 +100,32 @@ def facts_at_snapshots(facts: DataFrame, date: str, calendar: Calendar, trailing
     return calendar_frame(facts, calendar, seen).withColumn("snapshot_date", F.col("_s.snapshot_date")).drop("_s")
 
 
+def months_before(day: str, months: int) -> str:
+    """Same day ``months`` earlier, clamped to the end of a shorter month."""
+    year, month, dom = (int(part) for part in day.split("-"))
+    index = year * 12 + month - 1 - months
+    year, month = divmod(index, 12)
+    return f"{year:04d}-{month + 1:02d}-{min(dom, monthrange(year, month + 1)[1]):02d}"
+
+
+def collapse_between(
+    facts: DataFrame, entity: str, date: str, calendar: Calendar, aggregates: Sequence[Column], lags: Sequence[int] = (12,)
+) -> DataFrame:
+    """Aggregate the records between neighbouring cutoffs, one row per entity and interval.
+
+    The cutoffs are the snapshots and the dates ``lags`` months before them. ``_bound``
+    is the first cutoff on or after a record, so for any cutoff ``c`` the record is
+    dated on or before ``c`` exactly if ``_bound <= c``. Lifetime figures of all
+    snapshots then merge from these rows, and no raw record is repeated per snapshot.
+    """
+    cutoffs = sorted({c for _, _, day, _ in calendar for c in (day, *[months_before(day, m) for m in lags])})
+    bound = F.lit(None).cast("date")
+    for cutoff in reversed(cutoffs):
+        bound = F.when(F.col(date) <= _day(cutoff), _day(cutoff)).otherwise(bound)
+    within = facts.where(F.col(date) <= _day(cutoffs[-1]))
+    return within.groupBy(entity, bound.alias("_bound")).agg(*aggregates)
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,

@@ -47,108 +47,51 @@ def person_months(
     )
 
 
-def _monthly_last_two(facts: DataFrame, month: Column, order: Sequence[Key], value: str) -> DataFrame:
-    """Latest and second latest value per entity and month; keeps two rows of a group before the shuffle."""
-    two = top_per_group(facts.withColumn("_m", month), [ENTITY, "_m"], order, 2)
-    return two.groupBy(ENTITY, F.col("_m").alias("month")).agg(
-        F.max(F.when(F.col("position") == 1, F.col(value))).alias("_v1"),
-        F.max(F.when(F.col("position") == 2, F.col(value))).alias("_v2"),
-    )
-
-
-def _at_cutoffs(grid: DataFrame, monthly: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Latest non-null ``values`` of the months before each cutoff, on an (entity, cutoff) grid."""
-    line = monthly.select(ENTITY, F.col("month").alias("_m"), F.lit(1).alias("_side"), *values).unionByName(
-        grid.select(ENTITY, F.col("cutoff").alias("_m"), F.lit(0).alias("_side")), allowMissingColumns=True
-    )
-    # a cutoff row sorts before the records of its own month, which it must not see
-    window = Window.partitionBy(ENTITY).orderBy("_m", "_side").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        line.select(ENTITY, "_m", "_side", *[F.last(v, ignorenulls=True).over(window).alias(v) for v in values])
-        .where(F.col("_side") == 0)
-        .select(ENTITY, F.col("_m").alias("cutoff"), *values)
-    )
-
-
-def _trailing_sums(grid: DataFrame, monthly: DataFrame, values: Sequence[str], months: int = 12) -> DataFrame:
-    """Sums of monthly ``values`` over the ``months`` before each cutoff."""
-    number = F.year("_m") * 12 + F.month("_m")
-    line = monthly.select(ENTITY, F.col("month").alias("_m"), F.lit(1).alias("_side"), *values).unionByName(
-        grid.select(ENTITY, F.col("cutoff").alias("_m"), F.lit(0).alias("_side")), allowMissingColumns=True
-    )
-    window = Window.partitionBy(ENTITY).orderBy(number).rangeBetween(-months, -1)
-    return (
-        line.select(ENTITY, "_m", "_side", *[F.coalesce(F.sum(v).over(window), F.lit(0)).alias(v) for v in values])
-        .where(F.col("_side") == 0)
-        .select(ENTITY, F.col("_m").alias("cutoff"), *values)
-    )
+def _monthly(facts: DataFrame, month: Column, *aggregates: Column) -> DataFrame:
+    return facts.groupBy(ENTITY, month.alias("_m")).agg(*aggregates)
 
 
-def performance_features(grid: DataFrame, reviews: DataFrame, tie_break: Sequence[str]) -> DataFrame:
-    """Latest rating, its change from the one before, and a flag for none (level 3.5, trend 0)."""
+def monthly_reviews(reviews: DataFrame, tie_break: Sequence[str]) -> DataFrame:
+    """The latest two ratings per month; at most two rows of a group pass the shuffle."""
     order = [Key("review_date", True), *[Key(c, True) for c in tie_break]]
-    monthly = _monthly_last_two(reviews, month_of("review_date"), order, "performance_rating")
-    earlier = Window.partitionBy(ENTITY).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    previous = F.coalesce("_v2", F.last("_v1", ignorenulls=True).over(earlier))
-    paired = monthly.withColumn("_pair", F.struct(F.col("_v1").alias("now"), previous.alias("before")))
-    at = _at_cutoffs(grid, paired, ["_pair"])
-    return at.select(
-        ENTITY,
-        "cutoff",
-        F.coalesce("_pair.now", F.lit(3.5)).alias("performance_level"),
-        F.coalesce(F.col("_pair.now") - F.col("_pair.before"), F.lit(0.0)).alias("performance_trend"),
-        F.when(F.col("_pair").isNull(), 1.0).otherwise(0.0).alias("no_prior_review"),
+    two = top_per_group(reviews.withColumn("_m", month_of("review_date")), [ENTITY, "_m"], order, 2)
+    rating = F.col("performance_rating")
+    return two.groupBy(ENTITY, "_m").agg(
+        F.max(F.when(F.col("position") == 1, rating)).alias("_rating"),
+        F.max(F.when(F.col("position") == 2, rating)).alias("_rating_before"),
     )
 
 
-def compensation_features(grid: DataFrame, compensation: DataFrame, default_growth: float = 0.03) -> DataFrame:
-    """Salary, growth over a year (inclusive year-ago date), months since promotion, no-promotion flag."""
+def monthly_pay(compensation: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Last salary and last promotion per month, and the salary shifted a year ahead.
+
+    A year-ago record dated on the first of the month still counts, so the second
+    table cuts its months one day later. The shift turns the year-ago lookup into the
+    same "before the cutoff" form as the others.
+    """
     order = F.struct("effective_date", "compensation_id")
-    monthly = compensation.groupBy(ENTITY, month_of("effective_date").alias("month")).agg(
-        F.max_by("base_salary", order).alias("current_salary"),
-        F.max(F.when(F.col("change_reason") == "Promotion", month_of("effective_date"))).alias("promoted"),
-    )
-    now = _at_cutoffs(grid, monthly, ["current_salary", "promoted"])
-    # A year-ago record dated on the first of the month still counts, so months are cut one day later.
-    # Shifting them a year ahead turns the lookup into the same "before the cutoff" form.
-    shifted = compensation.groupBy(
-        ENTITY, F.add_months(month_of(F.date_sub("effective_date", 1)), 12).alias("month")
-    ).agg(F.max_by("base_salary", order).alias("year_ago"))
-    before = _at_cutoffs(grid, shifted, ["year_ago"])
-    growth = safe_div(F.col("current_salary"), F.col("year_ago")) - 1.0
-    return now.join(before, [ENTITY, "cutoff"]).select(
-        ENTITY,
-        "cutoff",
-        "current_salary",
-        F.coalesce(growth, F.lit(default_growth)).alias("trailing_compensation_growth"),
-        F.coalesce(calendar_months(F.col("cutoff"), F.col("promoted"), True), F.lit(0))
-        .cast("double")
-        .alias("months_since_promotion"),
-        F.col("promoted").isNull().cast("double").alias("no_prior_promotion"),
+    now = _monthly(
+        compensation,
+        month_of("effective_date"),
+        F.max_by("base_salary", order).alias("_salary"),
+        F.max(F.when(F.col("change_reason") == "Promotion", month_of("effective_date"))).alias("_promoted"),
     )
+    shifted = F.add_months(month_of(F.date_sub("effective_date", 1)), 12)
+    return now, _monthly(compensation, shifted, F.max_by("base_salary", order).alias("_year_ago"))
 
 
-def training_features(grid: DataFrame, training: DataFrame) -> DataFrame:
-    """Completed hours and failures in the year before the cutoff."""
+def monthly_training(training: DataFrame) -> DataFrame:
     done = F.col("completion_status") == "Completed"
-    monthly = (
-        training.where(F.col("completion_date").isNotNull())
-        .groupBy(ENTITY, month_of("completion_date").alias("month"))
-        .agg(
-            F.sum(F.when(done, F.col("training_hours")).otherwise(0.0)).alias("completed_training_hours"),
-            count_if(F.col("completion_status") == "Failed").alias("failed_training_count"),
-        )
+    return _monthly(
+        training.where(F.col("completion_date").isNotNull()),
+        month_of("completion_date"),
+        F.sum(F.when(done, F.col("training_hours")).otherwise(0.0)).alias("_hours"),
+        count_if(F.col("completion_status") == "Failed").alias("_failed"),
     )
-    return _trailing_sums(grid, monthly, ["completed_training_hours", "failed_training_count"])
 
 
-def manager_changes(grid: DataFrame, events: DataFrame) -> DataFrame:
-    monthly = (
-        events.where(F.col("event_type") == "Manager Change")
-        .groupBy(ENTITY, month_of("event_date").alias("month"))
-        .agg(F.count(F.lit(1)).alias("manager_changes"))
-    )
-    return _trailing_sums(grid, monthly, ["manager_changes"])
+def monthly_manager_changes(events: DataFrame) -> DataFrame:
+    return _monthly(events.where(F.col("event_type") == "Manager Change"), month_of("event_date"), F.count(F.lit(1)).alias("_moves"))
 
 
 def lagged_features(
@@ -158,18 +101,55 @@ def lagged_features(
     training: DataFrame,
     events: DataFrame,
     review_tie_break: Sequence[str] = ("review_id",),
+    default_growth: float = 0.03,
 ) -> DataFrame:
-    """Risk set with all lagged feature blocks; every block is partitioned by entity."""
-    grid = risk.select(ENTITY, "cutoff").distinct()
-    out = risk
-    for block in (
-        performance_features(grid, reviews, review_tie_break),
-        compensation_features(grid, compensation),
-        training_features(grid, training),
-        manager_changes(grid, events),
-    ):
-        out = out.join(block, [ENTITY, "cutoff"])
-    return out
+    """Risk set with what was known strictly before each cutoff.
+
+    Rating level and change (3.5, 0 and a flag where there is no review), salary,
+    growth over a year, months since promotion, and training and manager changes of
+    the year before. The risk rows and all monthly rows of an entity form one time
+    line, so one exchange and one sort serve every feature and nothing is joined back.
+    """
+    now, year_ago = monthly_pay(compensation)
+    line = risk.select(ENTITY, F.col("cutoff").alias("_m"), F.lit(0).alias("_side"), F.struct(*risk.columns).alias("_row"))
+    for part in (monthly_reviews(reviews, review_tie_break), now, year_ago, monthly_training(training), monthly_manager_changes(events)):
+        line = line.unionByName(part.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    # a risk row sorts before the monthly rows of its cutoff month, which it must not see
+    seen = Window.partitionBy(ENTITY).orderBy("_m", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    trailing = Window.partitionBy(ENTITY).orderBy(F.year("_m") * 12 + F.month("_m")).rangeBetween(-12, -1)
+
+    def known(c: str) -> Column:
+        return F.last(c, ignorenulls=True).over(seen)
+
+    def year_sum(c: str) -> Column:
+        return F.coalesce(F.sum(c).over(trailing), F.lit(0))
+
+    earlier = F.coalesce("_rating_before", known("_rating"))
+    line = line.withColumn("_pair", F.when(F.col("_rating").isNotNull(), F.struct(F.col("_rating").alias("now"), earlier.alias("before"))))
+    line = line.select(
+        "_row",
+        known("_pair").alias("_pair"),
+        known("_salary").alias("current_salary"),
+        known("_promoted").alias("_promoted"),
+        known("_year_ago").alias("_year_ago"),
+        year_sum("_hours").alias("completed_training_hours"),
+        year_sum("_failed").alias("failed_training_count"),
+        year_sum("_moves").alias("manager_changes"),
+    ).where(F.col("_row").isNotNull())
+    growth = safe_div(F.col("current_salary"), F.col("_year_ago")) - 1.0
+    return line.select(
+        "_row.*",
+        F.coalesce("_pair.now", F.lit(3.5)).alias("performance_level"),
+        F.coalesce(F.col("_pair.now") - F.col("_pair.before"), F.lit(0.0)).alias("performance_trend"),
+        F.col("_pair").isNull().cast("double").alias("no_prior_review"),
+        "current_salary",
+        F.coalesce(growth, F.lit(default_growth)).alias("trailing_compensation_growth"),
+        F.coalesce(calendar_months(F.col("_row.cutoff"), F.col("_promoted"), True), F.lit(0)).cast("double").alias("months_since_promotion"),
+        F.col("_promoted").isNull().cast("double").alias("no_prior_promotion"),
+        "completed_training_hours",
+        "failed_training_count",
+        "manager_changes",
+    )
 
 
 def robust_peer_z(df: DataFrame, value: str, peers: Sequence[str], out: str) -> DataFrame:

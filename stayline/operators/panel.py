@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.expr import active_on, calendar_months, count_if, safe_div
-from stayline.operators.asof import Calendar, assemble, expand_snapshots, facts_at_snapshots
+from stayline.operators.asof import Calendar, assemble, collapse_between, expand_snapshots, facts_at_snapshots
 from stayline.operators.rank import exact_quantiles
 
 KEY = ["employee_id", "snapshot_date"]
@@ -45,31 +45,36 @@ def future_label(end: Column, snapshot: Column, horizon: Column) -> Column:
 
 
 def compensation_block(compensation: DataFrame, calendar: Calendar) -> DataFrame:
-    visible = facts_at_snapshots(
-        compensation.select(
-            "employee_id", "effective_date", "compensation_id", "base_salary", "bonus_target", "equity_value", "change_reason"
-        ),
+    record = F.struct("effective_date", "compensation_id", "base_salary", "bonus_target", "equity_value")
+    collapsed = collapse_between(
+        compensation,
+        "employee_id",
         "effective_date",
         calendar,
+        [
+            F.max(record).alias("last"),
+            F.min(record).alias("first"),
+            F.count(F.lit(1)).alias("n"),
+            count_if(F.col("change_reason") == "Promotion").alias("promotions"),
+        ],
     )
-    order = F.struct("effective_date", "compensation_id")
-    year_ago = F.col("effective_date") <= F.add_months("snapshot_date", -12)
-    grouped = visible.groupBy(*KEY).agg(
-        F.max_by(F.struct("effective_date", "base_salary", "bonus_target", "equity_value"), order).alias("now"),
-        F.min_by("base_salary", order).alias("initial_base_salary"),
-        F.max_by(F.col("base_salary"), F.when(year_ago, order)).alias("year_ago"),
-        F.count(F.lit(1)).alias("compensation_record_count"),
-        count_if(F.col("change_reason") == "Promotion").alias("promotion_compensation_count"),
+    year_ago = F.col("_bound") <= F.add_months("snapshot_date", -12)
+    grouped = facts_at_snapshots(collapsed, "_bound", calendar).groupBy(*KEY).agg(
+        F.max("last").alias("now"),
+        F.min("first").alias("first"),
+        F.max(F.when(year_ago, F.col("last"))).alias("year_ago"),
+        F.sum("n").alias("compensation_record_count"),
+        F.sum("promotions").alias("promotion_compensation_count"),
     )
-    initial, now = F.col("initial_base_salary"), F.col("now.base_salary")
+    initial, now = F.col("first.base_salary"), F.col("now.base_salary")
     return grouped.select(
         *KEY,
-        "initial_base_salary",
+        initial.alias("initial_base_salary"),
         "now.base_salary",
         "now.bonus_target",
         "now.equity_value",
         growth_percent(now, initial).alias("salary_growth_percent"),
-        growth_percent(now, F.coalesce("year_ago", initial)).alias("salary_growth_12m_percent"),
+        growth_percent(now, F.coalesce("year_ago.base_salary", initial)).alias("salary_growth_12m_percent"),
         days(F.col("snapshot_date"), F.col("now.effective_date")).alias("days_since_compensation_change"),
         "compensation_record_count",
         "promotion_compensation_count",
@@ -78,32 +83,40 @@ def compensation_block(compensation: DataFrame, calendar: Calendar) -> DataFrame
 
 
 def performance_block(reviews: DataFrame, calendar: Calendar, tie_break: Sequence[str] = ("review_id",)) -> DataFrame:
-    visible = facts_at_snapshots(
-        reviews.select(
-            "employee_id", "review_date", *tie_break, "performance_rating", "goal_completion", "promotion_recommended"
-        ),
+    # The values close the ordering, so that full ties give one answer.
+    record = F.struct("review_date", *tie_break, "performance_rating", "goal_completion", "promotion_recommended")
+    collapsed = collapse_between(
+        reviews,
+        "employee_id",
         "review_date",
         calendar,
+        [
+            F.max(record).alias("last"),
+            F.min(record).alias("first"),
+            F.count(F.lit(1)).alias("n"),
+            F.sum("performance_rating").alias("total"),
+        ],
+        lags=(),
     )
-    # The values close the ordering, so that full ties give one answer.
-    order = F.struct("review_date", *tie_break, "performance_rating", "goal_completion", "promotion_recommended")
-    grouped = visible.groupBy(*KEY).agg(
-        F.max_by(F.struct("performance_rating", "goal_completion", "promotion_recommended"), order).alias("now"),
-        F.min_by("performance_rating", order).alias("first_rating"),
-        F.max("review_date").alias("latest_review_date"),
-        F.count(F.lit(1)).alias("review_count"),
-        F.avg("performance_rating").alias("average_performance_rating"),
+    grouped = facts_at_snapshots(collapsed, "_bound", calendar).groupBy(*KEY).agg(
+        F.max("last").alias("now"),
+        F.min("first").alias("first"),
+        F.sum("n").alias("review_count"),
+        (F.sum("total") / F.sum("n")).alias("average_performance_rating"),
     )
+    first = F.col("first.performance_rating")
     return grouped.select(
         *KEY,
-        "now.*",
-        days(F.col("snapshot_date"), F.col("latest_review_date")).alias("days_since_review"),
+        "now.performance_rating",
+        "now.goal_completion",
+        "now.promotion_recommended",
+        days(F.col("snapshot_date"), F.col("now.review_date")).alias("days_since_review"),
         "review_count",
         "average_performance_rating",
-        "first_rating",
-        F.coalesce(F.col("now.performance_rating") - F.col("first_rating"), F.lit(0.0)).alias("performance_trend"),
+        first.alias("first_rating"),
+        F.coalesce(F.col("now.performance_rating") - first, F.lit(0.0)).alias("performance_trend"),
         F.lit(0).alias("no_prior_review"),
-        "latest_review_date",
+        F.col("now.review_date").alias("latest_review_date"),
     )
 
 
@@ -125,31 +138,40 @@ def training_block(training: DataFrame, calendar: Calendar, trailing_months: int
 
 
 def event_block(events: DataFrame, calendar: Calendar) -> DataFrame:
-    visible = facts_at_snapshots(
-        events.select("employee_id", "event_date", "event_id", "event_type", "new_value"), "event_date", calendar
-    )
     kind = F.col("event_type")
     changes = kind.isin(*CHANGE_TYPES)
-    recent = F.col("event_date") > F.add_months("snapshot_date", -12)
-
-    def happened(name: str) -> Column:
-        return kind == name
-
-    grouped = visible.groupBy(*KEY).agg(
-        count_if(happened("Promotion")).alias("prior_promotion_events"),
-        count_if(happened("Transfer")).alias("prior_transfer_events"),
-        count_if(happened("Manager Change")).alias("prior_manager_change_events"),
-        count_if(happened("Leave")).alias("prior_leave_events"),
-        count_if(changes).alias("prior_change_events"),
-        count_if(happened("Promotion") & recent).alias("promotions_12m"),
-        count_if(happened("Manager Change") & recent).alias("manager_changes_12m"),
-        count_if(happened("Leave") & recent).alias("leaves_12m"),
-        F.max(F.when(changes, F.col("event_date"))).alias("latest_change_date"),
-        F.max(F.when(happened("Promotion"), F.col("event_date"))).alias("latest_promotion_date"),
-        F.max_by("new_value", F.when(happened("Transfer"), F.struct("event_date", "event_id"))).alias("moved_to"),
-        F.max("event_date").alias("latest_event_date"),
+    moved = F.when(kind == "Transfer", F.struct("event_date", "event_id", "new_value"))
+    names = {"promotion": "Promotion", "transfer": "Transfer", "manager_change": "Manager Change", "leave": "Leave"}
+    collapsed = collapse_between(
+        events,
+        "employee_id",
+        "event_date",
+        calendar,
+        [
+            *[count_if(kind == text).alias(name) for name, text in names.items()],
+            count_if(changes).alias("change"),
+            F.max(F.when(changes, F.col("event_date"))).alias("latest_change_date"),
+            F.max(F.when(kind == "Promotion", F.col("event_date"))).alias("latest_promotion_date"),
+            F.max(moved).alias("moved"),
+            F.max("event_date").alias("latest_event_date"),
+        ],
+    )
+    recent = F.col("_bound") > F.add_months("snapshot_date", -12)
+
+    def lately(name: str) -> Column:
+        return F.sum(F.when(recent, F.col(name)).otherwise(F.lit(0)))
+
+    grouped = facts_at_snapshots(collapsed, "_bound", calendar).groupBy(*KEY).agg(
+        *[F.sum(name).alias(f"prior_{name}_events") for name in [*names, "change"]],
+        lately("promotion").alias("promotions_12m"),
+        lately("manager_change").alias("manager_changes_12m"),
+        lately("leave").alias("leaves_12m"),
+        F.max("latest_change_date").alias("latest_change_date"),
+        F.max("latest_promotion_date").alias("latest_promotion_date"),
+        F.max("moved").alias("moved"),
+        F.max("latest_event_date").alias("latest_event_date"),
     )
-    return grouped.withColumn(
+    return grouped.withColumn("moved_to", F.col("moved.new_value")).drop("moved").withColumn(
         "days_since_last_change_event", days(F.col("snapshot_date"), F.col("latest_change_date"))
     )
 

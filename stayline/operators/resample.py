@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 
 from stayline.functions.expr import count_if, draw, safe_div
 from stayline.operators.rank import Key, attach, group_size, plan_ranges, ranked, top_count
+from stayline.session import settle
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores before rows are multiplied; a small input may sit in one partition."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def temporal_split(
@@ -61,7 +67,7 @@ def grouped_folds(df: DataFrame, entity: str, target: str, folds: int, seed: int
 
 def row_folds(df: DataFrame, row_id: str, target: str, folds: int, seed: int, repeats: int = 1) -> DataFrame:
     """(row, repeat, fold) stratified by class; each repeat is dealt out anew."""
-    rows = df.select(row_id, target)
+    rows = spread(df.select(row_id, target), row_id) if repeats > 1 else df.select(row_id, target)
     rows = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     hashed = rows.withColumn("_h", draw(str(seed), F.col("repeat"), F.col(row_id)))
     numbered = ranked(hashed, [Key("_h"), Key(row_id)], ["repeat", target], out="_r")
@@ -100,7 +106,7 @@ def repeated_out_of_fold(
     The score of a row is the positive rate of its category among the rows of the
     other folds, found by subtracting the fold from the total: no loop over folds.
     """
-    placed = df.join(row_folds(df, row_id, target, folds, seed, repeats), row_id)
+    placed = settle(df.select(row_id, target, category).join(row_folds(df, row_id, target, folds, seed, repeats), row_id))
     per_fold = placed.groupBy("repeat", category, "fold").agg(F.sum(target).alias("p"), F.count(F.lit(1)).alias("n"))
     totals = per_fold.groupBy("repeat", category).agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
     base = df.agg(F.avg(target).alias("_base"))
@@ -138,7 +144,7 @@ def bootstrap_weights(
     base = df.select(*dict.fromkeys([row_id, *by, *values]))
     indexed = ranked(base, order, by, out="_slot", plan=plan_ranges(base, order))
     sized = attach(indexed.select(*by, "_slot"), group_size(base, by, "_n"), by)
-    slots = sized.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    slots = spread(sized, "_slot").withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     parts: list[Column | str] = [str(seed), F.col("iteration"), *[F.col(c) for c in by], F.col("_slot")]
     drawn = slots.select("iteration", *by, (draw(*parts) % F.col("_n") + 1).alias("_slot"))
     counted = drawn.groupBy("iteration", *by, "_slot").agg(F.count(F.lit(1)).alias("weight"))

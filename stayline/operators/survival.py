@@ -357,6 +357,38 @@ def _risk_sets(df: DataFrame, features: Sequence[str], duration: str, event: str
     return running_totals(per_time, [Key(duration, True)], {n: f"own_{n}" for n in sums}, plan=plan)
 
 
+TIES_PER_ROW = 10_000
+
+
+def _tied_sums(risk: DataFrame, duration: str) -> DataFrame:
+    """Sums of f^p/φ^q and log φ over the tied exits l = 0..d-1, with f = l/d and φ = s0 − f·d0.
+
+    Ties are worked off in chunks, so that one duration with very many exits is
+    neither one huge array nor one task.
+    """
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("d") - 1) / F.lit(TIES_PER_ROW)))
+    rows = risk.select(duration, "d", "s0", "d0", F.explode(chunks).alias("_c"))
+    first = F.col("_c") * TIES_PER_ROW
+    members = F.sequence(first, F.least(first + TIES_PER_ROW - 1, F.col("d") - 1))
+
+    def fold(value) -> Column:
+        return F.aggregate(members, F.lit(0.0), lambda acc, l: acc + value(l / F.col("d")))
+
+    def phi(f: Column) -> Column:
+        return F.col("s0") - f * F.col("d0")
+
+    parts = rows.select(
+        duration,
+        fold(lambda f: 1.0 / phi(f)).alias("a1"),
+        fold(lambda f: f / phi(f)).alias("a2"),
+        fold(lambda f: 1.0 / (phi(f) * phi(f))).alias("b1"),
+        fold(lambda f: f / (phi(f) * phi(f))).alias("b2"),
+        fold(lambda f: f * f / (phi(f) * phi(f))).alias("b3"),
+        fold(lambda f: F.log(phi(f))).alias("lg"),
+    )
+    return parts.groupBy(duration).agg(*[F.sum(c).alias(c) for c in ("a1", "a2", "b1", "b2", "b3", "lg")])
+
+
 def fit_cox(
     df: DataFrame, features: Sequence[str], duration: str, event: str, penalizer: float = 0.05, tolerance: float = 1e-7, maximum: int = 25
 ) -> CoxFit:
@@ -374,24 +406,7 @@ def fit_cox(
     beta, previous, done = np.zeros(d), -math.inf, 0
     for done in range(1, maximum + 1):
         risk = _risk_sets(df, features, duration, event, beta, plan).where(F.col("d") > 0)
-        # sums over the tied exits l = 0..d-1 of f^p/φ^q with f = l/d and φ = s0 − f·d0
-        step = F.sequence(F.lit(0), (F.col("d") - 1).cast("int"))
-
-        def tied(power: int, q: int) -> Column:
-            def add(acc: Column, l: Column) -> Column:
-                f = l / F.col("d")
-                return acc + F.pow(f, F.lit(float(power))) / F.pow(F.col("s0") - f * F.col("d0"), F.lit(float(q)))
-
-            return F.aggregate(step, F.lit(0.0), add)
-
-        def logs(acc: Column, l: Column) -> Column:
-            return acc + F.log(F.col("s0") - l / F.col("d") * F.col("d0"))
-
-        risk = risk.select(
-            "*",
-            tied(0, 1).alias("a1"), tied(1, 1).alias("a2"), tied(0, 2).alias("b1"), tied(1, 2).alias("b2"), tied(2, 2).alias("b3"),
-            F.aggregate(step, F.lit(0.0), logs).alias("lg"),
-        )
+        risk = risk.join(_tied_sums(risk, duration), duration)
 
         def curvature(i: int, j: int) -> Column:
             s = [F.col(f"s1_{i}"), F.col(f"s1_{j}")]

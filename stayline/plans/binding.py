@@ -6,6 +6,8 @@ so an operator and the statement it is checked against start from equal rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from stayline.session import tune
@@ -24,6 +26,7 @@ SNAPSHOTS = [
     (4, "current_scoring", "2001-06-30", None),
 ]
 
+SCANS = re.compile(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b")
 RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -213,10 +216,9 @@ def rel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Spark frame of a relation of the data model."""
     tune(spark)
     sql = with_relations(name, body=f"SELECT * FROM {name}")
-    used = {t: base(spark, sf_dir, t) for t in TABLES if f" {t} " in f" {sql} " or f" {t})" in sql}
-    for table, frame in used.items():
-        frame.createOrReplaceTempView(table)
-    return spark.sql(sql)
+    # the tables are passed in by name, so no temporary view of the caller is touched
+    used = sorted({table for _, table in SCANS.findall(sql)})
+    return spark.sql(SCANS.sub(r"\1 {\2}", sql), **{table: base(spark, sf_dir, table) for table in used})
 
 
 def snapshot_values() -> str:
