@@ -158,7 +158,7 @@ def asof_join(
         F.struct(*left_cols).alias("_l"),
     )
     line = events.unionByName(probes, allowMissingColumns=True)
-    plan = plan_ranges(line.select("_t"), [Key("_t")], rows_per_bucket)
+    plan = plan_ranges(line.select("_e", "_t"), [Key("_t")], rows_per_bucket, ["_e"])
     line = plan.assign(line)
     inner = (
         Window.partitionBy("_e", "_b1", "_b2").orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)

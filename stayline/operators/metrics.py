@@ -16,10 +16,8 @@ from pyspark.sql.window import Window
 from stayline.functions.expr import clip, count_if, safe_div, zero_div
 from stayline.operators.rank import (
     Key,
-    RangePlan,
     attach,
     equal_frequency_bins,
-    plan_ranges,
     ranked,
     running_totals,
     top_count,
@@ -329,7 +327,7 @@ def weighted_top_fraction(
     totals = weights.groupBy(*by).agg(
         F.sum("weight").alias("_n"), F.sum(F.col("weight") * y).alias("_pos")
     )
-    running = running_totals(weights, [Key(score, True), Key(row_id)], {"_cum": "weight"}, by, plan=_iteration_plan(weights, score, row_id, by))
+    running = running_totals(weights, [Key(score, True), Key(row_id)], {"_cum": "weight"}, by)
     sized = attach(running, totals, by)
     k = top_count(F.col("_n"), fraction)
     taken = F.greatest(F.lit(0), F.least(F.col("weight"), k - (F.col("_cum") - F.col("weight"))))
@@ -345,11 +343,6 @@ def weighted_top_fraction(
     )
 
 
-def _iteration_plan(weights: DataFrame, score: str, row_id: str, by: Sequence[str]) -> RangePlan | None:
-    """Ranges for all iterations at once; they share one score distribution."""
-    return plan_ranges(weights.select(score, row_id), [Key(score, True), Key(row_id)])
-
-
 def bootstrap_metrics(
     weights: DataFrame, score: str, label: str, row_id: str, by: Sequence[str], fraction: float = 0.10
 ) -> DataFrame:

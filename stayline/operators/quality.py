@@ -32,7 +32,7 @@ def with_previous(
     the first record of a range takes the last value of the entity's earlier ranges.
     """
     by = [entity] if isinstance(entity, str) else list(entity)
-    plan = plan_ranges(df, order, rows_per_bucket)
+    plan = plan_ranges(df, order, rows_per_bucket, by)
     columns = [k.order() for k in order]
     if plan.single:
         return df.withColumn(out, F.lag(value).over(Window.partitionBy(*by).orderBy(*columns)))

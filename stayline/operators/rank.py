@@ -98,12 +98,25 @@ def _bucketize(df: DataFrame, source: str, target: str, splits: list[float]) ->
     return out.withColumn(target, F.col(target).cast("int"))
 
 
-def plan_ranges(df: DataFrame, order: Sequence[Key], rows_per_bucket: int | None = None) -> RangePlan:
-    """Choose range edges with a count and, for large inputs, one sketch job."""
+def plan_ranges(
+    df: DataFrame, order: Sequence[Key], rows_per_bucket: int | None = None, by: Sequence[str] = ()
+) -> RangePlan:
+    """Choose range edges with a count and, where a group is large, one sketch job.
+
+    Groups that all fit a range need no edges. If one does not, the edges are those of
+    all rows together, so that no (group, range) can hold more than a range of rows,
+    whatever the scores inside the group look like.
+    """
     order = tuple(order)
     size = rows_per_bucket or ROWS_PER_BUCKET
     first = df.select(_as_double(df, order[0]).alias("k"))
-    rows = first.count()
+    if by:
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("n")).first()
+        if (sizes["largest"] or 0) <= size:
+            return RangePlan(order)
+        rows = sizes["n"]
+    else:
+        rows = first.count()
     buckets = min(MAX_BUCKETS, math.ceil(rows / size))
     if buckets <= 1:
         return RangePlan(order)
@@ -162,7 +175,7 @@ def ranked(
 
     ``order`` must end in a unique key for the result to be deterministic.
     """
-    plan = plan or plan_ranges(df, order, rows_per_bucket)
+    plan = plan or plan_ranges(df, order, rows_per_bucket, by)
     window_order = [k.order() for k in order]
     if plan.single:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*window_order)).cast("bigint"))
@@ -182,7 +195,7 @@ def running_totals(
     rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``measures`` in row order, per group of ``by``."""
-    plan = plan or plan_ranges(df, order, rows_per_bucket)
+    plan = plan or plan_ranges(df, order, rows_per_bucket, by)
     sources = {n: (F.col(m) if isinstance(m, str) else m) for n, m in measures.items()}
     window_order = [k.order() for k in order]
     if plan.single:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.expr import count_if, draw, safe_div
-from stayline.operators.rank import Key, attach, group_size, plan_ranges, ranked, top_count
+from stayline.operators.rank import Key, attach, group_size, ranked, top_count
 from stayline.session import settle
 
 
@@ -142,7 +142,7 @@ def bootstrap_weights(
     by = [strata] if strata else []
     order = [Key(row_id)]
     base = df.select(*dict.fromkeys([row_id, *by, *values]))
-    indexed = ranked(base, order, by, out="_slot", plan=plan_ranges(base, order))
+    indexed = ranked(base, order, by, out="_slot")
     sized = attach(indexed.select(*by, "_slot"), group_size(base, by, "_n"), by)
     slots = spread(sized, "_slot").withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     parts: list[Column | str] = [str(seed), F.col("iteration"), *[F.col(c) for c in by], F.col("_slot")]

@@ -108,7 +108,7 @@ def kaplan_meier(
     collapsed = df.groupBy(*by, duration).agg(
         F.count(F.lit(1)).alias("leaving"), count_if(F.col(event) == 1).alias("events")
     )
-    plan = plan_ranges(collapsed, [Key(duration)], rows_per_bucket)
+    plan = plan_ranges(collapsed, [Key(duration)], rows_per_bucket, by)
     counted = running_totals(collapsed, [Key(duration)], {"_cum": "leaving"}, by, plan=plan)
     totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     at_risk = (F.col("_n") - F.col("_cum") + F.col("leaving")).alias("at_risk")

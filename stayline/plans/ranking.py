@@ -51,7 +51,7 @@ NET_SQL = "attrition_probability * 0.25 * base_salary - 8000"
     "scored",
     f"""WITH r AS (SELECT employee_id, attrition_probability, SUM({NET_SQL}) OVER (ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING) AS total,
     ROW_NUMBER() OVER (ORDER BY {ORDER_SQL}) AS n FROM scored)
-    SELECT n AS prefix_rows, ROUND(total, 2) AS prefix_total, attrition_probability FROM r WHERE total > 0 ORDER BY total DESC, n LIMIT 1""",
+    SELECT n AS prefix_rows, ROUND(total, 2) AS prefix_total, ROUND(attrition_probability, 6) AS attrition_probability FROM r WHERE total > 0 ORDER BY total DESC, n LIMIT 1""",
 )
 def _(t: Tables):
     net = t["scored"].withColumn("net", F.col(P) * 0.25 * F.col("base_salary") - 8000)
@@ -516,7 +516,7 @@ GRID_SQL = """WITH r AS (SELECT period, attrition_probability AS p, actual_attri
     SELECT period, requested_fraction, k AS selected_count, ROUND(k / n::DOUBLE, 8) AS actual_selected_fraction, CAST(hit AS BIGINT) AS captured_positive_cases,
     CAST(k - hit AS BIGINT) AS false_positive_cases, ROUND(hit / k::DOUBLE, 8) AS precision_at_k, ROUND(hit / pos::DOUBLE, 8) AS capture_rate_at_k,
     ROUND((hit / k::DOUBLE) / (pos / n::DOUBLE), 8) AS lift_at_k, ROUND(k * (pos / n::DOUBLE), 8) AS expected_random_positive_cases,
-    lo AS minimum_selected_probability, hi AS maximum_unselected_probability, ROUND(k / NULLIF(hit, 0)::DOUBLE, 8) AS reviews_per_captured_case FROM g"""
+    ROUND(lo, 8) AS minimum_selected_probability, ROUND(hi, 8) AS maximum_unselected_probability, ROUND(k / NULLIF(hit, 0)::DOUBLE, 8) AS reviews_per_captured_case FROM g"""
 
 
 @query("m7_ranking_grid", "scored", GRID_SQL.format(values=FRACTION_VALUES))
@@ -531,11 +531,11 @@ def _(t: Tables):
     r AS (SELECT attrition_probability AS p, actual_attrition AS y, ROW_NUMBER() OVER (ORDER BY {ORDER_SQL}) AS r FROM scored),
     kk AS (SELECT i, CAST(CEIL(n * i / 100.0::DOUBLE) AS BIGINT) AS k, pp, n FROM tt, (SELECT unnest(range(1, 101)) AS i)),
     gg AS (SELECT i, MAX(k) AS k, MAX(pp) AS pp, MAX(n) AS n, SUM(y) AS hit, MIN(p) AS lo FROM kk JOIN r ON r.r <= kk.k GROUP BY i)
-    SELECT 'precision_recall' AS curve_type, ROUND(cp / pp::DOUBLE, 8) AS x, ROUND(cp / (cp + cn)::DOUBLE, 8) AS y, s AS threshold FROM cm, tt
-    UNION ALL SELECT 'roc', ROUND(cn / nn::DOUBLE, 8), ROUND(cp / pp::DOUBLE, 8), s FROM cm, tt
+    SELECT 'precision_recall' AS curve_type, ROUND(cp / pp::DOUBLE, 8) AS x, ROUND(cp / (cp + cn)::DOUBLE, 8) AS y, ROUND(s, 8) AS threshold FROM cm, tt
+    UNION ALL SELECT 'roc', ROUND(cn / nn::DOUBLE, 8), ROUND(cp / pp::DOUBLE, 8), ROUND(s, 8) FROM cm, tt
     UNION ALL SELECT 'precision_recall', 0, 1, NULL UNION ALL SELECT 'roc', 0, 0, NULL
-    UNION ALL SELECT 'cumulative_gains', ROUND(k / n::DOUBLE, 8), ROUND(hit / pp::DOUBLE, 8), lo FROM gg
-    UNION ALL SELECT 'lift', ROUND(k / n::DOUBLE, 8), ROUND((hit / k::DOUBLE) / (pp / n::DOUBLE), 8), lo FROM gg""",
+    UNION ALL SELECT 'cumulative_gains', ROUND(k / n::DOUBLE, 8), ROUND(hit / pp::DOUBLE, 8), ROUND(lo, 8) FROM gg
+    UNION ALL SELECT 'lift', ROUND(k / n::DOUBLE, 8), ROUND((hit / k::DOUBLE) / (pp / n::DOUBLE), 8), ROUND(lo, 8) FROM gg""",
 )
 def _(t: Tables):
     return round_all(metrics.curve_points(t["scored"], P, Y, ID), 8)
@@ -549,7 +549,7 @@ BINS_SQL = """bn AS (SELECT period, actual_attrition AS y, attrition_probability
 @query(
     "m9_calibration_table",
     "scored",
-    f"""WITH {BINS_SQL} SELECT period, bin, records, positive_cases, minimum_probability, maximum_probability,
+    f"""WITH {BINS_SQL} SELECT period, bin, records, positive_cases, ROUND(minimum_probability, 8) AS minimum_probability, ROUND(maximum_probability, 8) AS maximum_probability,
     ROUND(mean_predicted_probability, 8) AS mean_predicted_probability, ROUND(observed_attrition_rate, 8) AS observed_attrition_rate,
     ROUND(mean_predicted_probability - observed_attrition_rate, 8) AS calibration_gap,
     ROUND(ABS(mean_predicted_probability - observed_attrition_rate), 8) AS absolute_calibration_gap FROM ct""",
@@ -601,7 +601,7 @@ def _(t: Tables):
     SELECT n AS validation_rows, CAST(pos AS BIGINT) AS positive_cases, ROUND(pos / n::DOUBLE, 8) AS positive_rate, ROUND(pr_auc, 8) AS pr_auc,
     ROUND(pr_auc / (pos / n::DOUBLE), 8) AS pr_auc_lift_over_no_skill, ROUND(roc_auc, 8) AS roc_auc, 0.1::DOUBLE AS reporting_fraction, k AS reporting_selected_count,
     ROUND(tp / k::DOUBLE, 8) AS reporting_precision, ROUND(tp / pos::DOUBLE, 8) AS reporting_capture_rate, ROUND((tp / k::DOUBLE) / (pos / n::DOUBLE), 8) AS reporting_lift,
-    lo AS reporting_probability_cutoff, CAST(n - pos - (k - tp) AS BIGINT) AS true_negative, CAST(k - tp AS BIGINT) AS false_positive,
+    ROUND(lo, 8) AS reporting_probability_cutoff, CAST(n - pos - (k - tp) AS BIGINT) AS true_negative, CAST(k - tp AS BIGINT) AS false_positive,
     CAST(pos - tp AS BIGINT) AS false_negative, CAST(tp AS BIGINT) AS true_positive FROM q, rm""",
 )
 def _(t: Tables):

@@ -302,7 +302,7 @@ NUMERIC = ["base_salary", "attrition_probability", "birth_year"]
     "scored",
     " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name, COUNT({c}) AS count, ROUND(AVG({c}), 6) AS mean, ROUND(STDDEV_SAMP({c}), 6) AS std,
-        MIN({c})::DOUBLE AS minimum, MAX({c})::DOUBLE AS maximum, """
+        ROUND(MIN({c})::DOUBLE, 6) AS minimum, ROUND(MAX({c})::DOUBLE, 6) AS maximum, """
         + ", ".join(f"ROUND(quantile_cont({c}::DOUBLE, {p}), 6) AS {n}" for n, p in reports.SUMMARY_QUANTILES.items())
         + " FROM scored"
         for c in NUMERIC
