@@ -129,7 +129,7 @@ def draw(*parts: Column | str) -> Column:
 
 def exact_mean(value: Column | str, decimals: int = 2) -> Column:
     """Mean of an amount added up as a decimal, then rounded half up: independent of row order."""
-    return F.round(F.avg(col(value).cast("decimal(20,4)")), decimals).cast("double")
+    return F.round(F.avg(col(value).cast("decimal(28,10)")), decimals).cast("double")
 
 
 def transform_feature(raw: Column | str, spec: dict) -> Column:

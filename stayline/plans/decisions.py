@@ -21,7 +21,7 @@ NET = "(attrition_probability * 0.25 * base_salary - 2500)"
 @query(
     "c1_expected_value",
     "scored",
-    f"""SELECT employee_id, base_salary AS replacement_cost_usd, ROUND(attrition_probability * 0.25 * base_salary, 4) AS predicted_avoidable_cost_usd,
+    f"""SELECT employee_id, ROUND(base_salary, 4) AS replacement_cost_usd, ROUND(attrition_probability * 0.25 * base_salary, 4) AS predicted_avoidable_cost_usd,
     ROUND({NET}, 4) AS predicted_net_value_usd FROM scored""",
 )
 def _(t: Tables):

@@ -28,7 +28,7 @@ PAY = """pay AS (SELECT employee_id, snapshot_date,
   arg_max(base_salary, (effective_date, compensation_id)) FILTER (WHERE effective_date <= snapshot_date - INTERVAL 1 YEAR) AS year_ago,
   COUNT(*) AS compensation_record_count, COUNT(*) FILTER (WHERE change_reason = 'Promotion') AS promotion_compensation_count
   FROM compensation_history JOIN cal ON effective_date <= snapshot_date GROUP BY ALL)"""
-PAY_OUT = """initial_base_salary, base_salary, ROUND(bonus_target, 4) AS bonus_target, ROUND(equity_value, 4) AS equity_value,
+PAY_OUT = """ROUND(initial_base_salary, 6) AS initial_base_salary, ROUND(base_salary, 6) AS base_salary, ROUND(bonus_target, 4) AS bonus_target, ROUND(equity_value, 4) AS equity_value,
   ROUND(100.0::DOUBLE * (base_salary / NULLIF(initial_base_salary, 0) - 1), 6) AS salary_growth_percent,
   ROUND(100.0::DOUBLE * (base_salary / NULLIF(COALESCE(year_ago, initial_base_salary), 0) - 1), 6) AS salary_growth_12m_percent,
   snapshot_date - latest_compensation_date AS days_since_compensation_change, compensation_record_count, promotion_compensation_count"""

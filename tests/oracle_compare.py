@@ -95,7 +95,10 @@ if __name__ == "__main__":
     session.sparkContext.setLogLevel("ERROR")
     all_queries, all_oracles = entry.queries(), entry.oracle_sql()
     patterns = sys.argv[2:]
+    only = "--checked" in patterns
+    patterns = [p for p in patterns if p != "--checked"]
     chosen = [n for n in all_queries if not patterns or any(n.startswith(p) for p in patterns)]
+    chosen = [n for n in chosen if n in all_oracles or not only]
     results = run(session, sys.argv[1], chosen, all_queries, all_oracles)
     failed = [n for n, p in results.items() if p]
     print(f"{len(results) - len(failed)}/{len(results)} ok; failed: {failed}")
