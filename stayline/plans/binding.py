@@ -1,6 +1,6 @@
 """The people-analytics data model expressed over the test tables.
 
-Amounts and scores get a part in sevenths or the like, so that averages do not end
+Amounts get a square root and scores an uneven divisor, so that averages do not end
 in a 5 at the rounding place, where the two engines round differently.
 
 Every relation is one statement in the SQL that Spark and ANSI engines share,
@@ -90,7 +90,7 @@ relation(
 relation(
     "compensation_history",
     """SELECT o_orderkey AS compensation_id, o_custkey AS employee_id, CAST(o_orderdate AS DATE) AS effective_date,
-              o_totalprice + (o_orderkey % 11) / 7E0 AS base_salary, o_totalprice * 1.0E-1 AS bonus_target,
+              o_totalprice + SQRT(1E0 + o_orderkey % 97) AS base_salary, o_totalprice * 1.0E-1 AS bonus_target,
               o_totalprice * 5.0E-2 AS equity_value,
               CASE o_orderpriority WHEN '1-URGENT' THEN 'Promotion' WHEN '5-LOW' THEN 'Market Adjustment'
                    ELSE 'Annual Review' END AS change_reason
@@ -180,7 +180,7 @@ relation(
               2E-2 + ((event_id * 37 + user_id * 11) % 400) / 7.97E2
                 + CASE WHEN event_type IN ('error', 'click') THEN 5E-2 ELSE 0E0 END AS attrition_probability,
               CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS actual_attrition,
-              value * 1E3 + 2E4 + (event_id % 13) / 7E0 AS base_salary,
+              value * 1E3 + 2E4 + SQRT(1E0 + event_id % 89) AS base_salary,
               'D' || CAST(user_id % 7 AS STRING) AS department_name,
               CASE WHEN event_id % 3 = 0 THEN 'Hot' ELSE 'R' || CAST(user_id % 6 AS STRING) END AS region,
               CASE WHEN user_id % 5 = 0 THEN 'Hourly' ELSE 'Salaried' END AS employment_type,
