@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,24 +35,33 @@ def build_session(app_name: str = "stayline", master: str | None = None, **setti
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """Checkpoint folder: the one the cluster names, else one of our own in local mode only."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``, else one in the warehouse.
+
+    Both are shared by the driver and all executors.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and context.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="stayline-checkpoint-")
-    if named:
-        context.setCheckpointDir(named)
-    return named
+    if named is None:
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
+    context.setCheckpointDir(named)
+    return context.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate that several jobs read, and go on from the files.
 
     Lost executors then cost a re-read, not a recompute of everything upstream.
-    Without a shared folder on a cluster the plan is returned unchanged.
     """
-    return df.checkpoint() if checkpoint_dir(df.sparkSession) else df
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``settle`` for wide intermediates: compressed Parquet in the checkpoint folder, read by column."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

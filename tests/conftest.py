@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from stayline.session import build_session
 
     session = build_session(
@@ -17,6 +17,7 @@ def spark():
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="8g",
         spark__ui__enabled="false",
+        spark__checkpoint__dir=f"file://{tmp_path_factory.mktemp('checkpoints')}",
         spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")
