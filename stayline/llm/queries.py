@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import chat, html, packing, rules, substrings
+import corpus_pipeline
+from stayline.llm import bagminhash, chat, decontaminate, html, lm, packing, pii, rules, substrings, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -144,3 +145,45 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op8_near_duplicates")
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """class_id of every document: the smallest doc_id that it is linked to, over any number of links."""
+    found = bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "class_id", "class_size")
+
+
+@query("op2_cross_entropy_difference")
+def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as good; background: all documents."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm.score_difference(table(spark, sf_dir, "documents"), good)
+
+
+@query("op4_edit_matches")
+def op4_edit_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item in every document, with its distance and place."""
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.find_items(documents, benchmark, ["doc_id"])
+
+
+@query("op6_personal_data")
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = toxicity.learn(documents, table(spark, sf_dir, "labels").filter(~held_out))
+    scored = toxicity.score_documents(documents, model, ["doc_id"])
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
