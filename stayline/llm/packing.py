@@ -23,10 +23,12 @@ END_ID = 1
 GROUP_TOKENS = 8_000_000
 #: Weights of the three capacities in the residual norm.
 WEIGHTS = (1.0, 0.01, 0.01)
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 #: Words whose ids a worker keeps, and a character that parts words where many are encoded at once.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 600_000
 MARK = "\x01"
+#: Words given to the tokenizer at once; what it returns for a word takes far more memory than the ids.
+ENCODED_WORDS = 20_000
 
 
 @lru_cache(maxsize=2)
@@ -57,9 +59,12 @@ class WordIds:
         if len(mark) != 1 or pc.any(odd).as_py():
             found = [e.ids for e in t.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
             return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
-        texts = [f" {MARK} ".join([*words[i : i + 500].to_pylist(), ""]) for i in range(0, len(words), 500)]
-        ids = [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        found = [np.zeros(0, np.uint32)]
+        for low in range(0, len(words), ENCODED_WORDS):
+            part = words[low : low + ENCODED_WORDS].to_pylist()
+            texts = [f" {MARK} ".join([*part[i : i + 500], ""]) for i in range(0, len(part), 500)]
+            found += [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(found)
         ends = np.flatnonzero(ids == mark[0])
         return ids[ids != mark[0]], np.diff(ends, prepend=-1) - 1
 
