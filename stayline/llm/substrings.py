@@ -149,9 +149,9 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW) -> tuple[DataFr
     rows = base.filter(F.col("n_words") >= window)
     first = rows.groupBy("sha256").agg(F.min("id").alias("first_id"))
     unique = rows.join(first, "sha256").filter(F.col("id") == F.col("first_id"))
-    halves = store(unique.select("id", "mark", F.explode("halves").alias("half")))
+    halves = store(unique.select("id", "mark", F.explode(F.array_distinct("halves")).alias("half")))
     spread = halves.groupBy("half").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("half")
-    repeated = halves.join(spread, "half", "left_semi")
+    repeated = halves.join(store(spread), "half", "left_semi")  # stored: a hot half's rows can then be split
     candidates = repeated.groupBy("id", "mark").agg(F.collect_set("half").alias("halves"))
     texts = documents.dropDuplicates(["id", "mark"]).join(candidates, ["id", "mark"]).select("id", "mark", "text", "halves")
     windows = store(
@@ -160,7 +160,7 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW) -> tuple[DataFr
         )
     )
     earliest = windows.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").drop("b")
-    later = windows.join(earliest, ["h1", "h2"]).filter("id > a").select("id", "mark", "place")
+    later = windows.join(store(earliest), ["h1", "h2"]).filter("id > a").select("id", "mark", "place")
     return base, later
 
 
