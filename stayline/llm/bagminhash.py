@@ -19,8 +19,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bands and registers per band: a pair at similarity 0.8 shares a band with probability 0.9994, one at 0.4 with 0.03.
 BANDS, ROWS = 40, 8
-#: New centres per bucket grow by this factor from round to round.
-SPREAD = 4
+#: Rounds with one centre in each bucket, members of a lot, and how far below the similarity registers may agree.
+STARS, LOT, MARGIN = 2, 128, 0.075
+#: Texts whose bags a task keeps while it verifies pairs.
+HELD_BAGS = 4_000
 
 
 def shingles(words: np.ndarray, first: np.ndarray, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,13 +112,15 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, per_band: int) -> Itera
             keys = np.zeros((high - low, bands), np.uint64) + np.arange(bands, dtype=np.uint64)
             for k in range(per_band):
                 keys = mix(keys * np.uint64(BASES[0]) + bits[:, :, k])
+            short = (bits.reshape(high - low, -1) & np.uint64(255)).astype(np.uint8)
             raw = data.tobytes()
             node = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest()[:32] for a, b in zip(offsets[:-1], offsets[1:])]
             out = [
                 batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(np.diff(first)),
                 pa.array(node), pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64())),
+                pa.array([r.tobytes() for r in short], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(out, names=["id", "mark", "n_words", "node", "bands"])
+            yield pa.RecordBatch.from_arrays(out, names=["id", "mark", "n_words", "node", "bands", "registers"])
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -136,16 +140,21 @@ def similarity(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.nda
 
 
 def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    held_key, held = None, None
+    bags: dict[str, tuple] = {}
+
+    def held(node: pa.Scalar, text: pa.Scalar) -> tuple:
+        name = node.as_py()
+        if name not in bags:
+            if len(bags) >= HELD_BAGS:
+                bags.clear()
+            bags[name] = bag(text.as_py())
+        return bags[name]
+
     for batch in batches:
-        kept = []
-        for r in range(batch.num_rows):
-            a = batch.column(0)[r].as_py()
-            if a != held_key:
-                held_key, held = a, bag(batch.column(2)[r].as_py())
-            kept.append(similarity(held, bag(batch.column(3)[r].as_py())) >= least)
+        a, b, one, two = batch.columns
+        kept = [similarity(held(a[r], one[r]), held(b[r], two[r])) >= least for r in range(batch.num_rows)]
         mask = pa.array(kept, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,54 +181,84 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _across(batches: Iterator[pa.RecordBatch], bands: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of different classes from two lots of one bucket whose registers agree often enough.
+
+    A pair that shares several bands is given by the first of them alone.
+    """
+    for batch in batches:
+        found: tuple[list, list] = ([], [])
+        for r in range(batch.num_rows):
+            band, left, right = (batch.column(i)[r].as_py() for i in range(3))
+            sides = [np.frombuffer(b"".join(x["registers"] for x in lot), np.uint8).reshape(len(lot), -1) for lot in (left, right)]
+            classes = [np.array([x["label"] for x in lot]) for lot in (left, right)]
+            packed = [x.reshape(len(x), bands, -1) for x in sides]
+            for i in range(len(left)):
+                agree = (sides[0][i] == sides[1]).mean(axis=1)
+                other = np.flatnonzero((agree >= least) & (classes[1] != classes[0][i]))
+                if len(other):
+                    first = (packed[0][i] == packed[1][other]).all(axis=2).argmax(axis=1)
+                    for j in other[first == band].tolist():
+                        pair = sorted((left[i]["node"], right[j]["node"]))
+                        found[0].append(pair[0])
+                        found[1].append(pair[1])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in found], names=["a", "b"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The (a, b) pairs whose texts are similar enough."""
+    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.select("a", "b", "text_a", "text_b")
+    return store(both.mapInArrow(lambda batches: _verify(batches, least), "a string, b string"))
+
+
+def linked(members: DataFrame, texts: DataFrame, least: float, bands: int) -> DataFrame:
     """(node, label) for the nodes that link to another: classes of the graph of all similar pairs that share a bucket.
 
-    ``members`` has (bucket, node), ``texts`` (node, text). In each round a few members of every bucket are its
-    centres: one at first, SPREAD times as many each round. They are compared with the members that are not in their
-    class yet; buckets that lie within one class are done. Near copies of one text are thus joined by their links to a
-    few centres instead of by all pairs, and in the last round every member of a bucket that is still split is a
-    centre, so that no link is missed.
+    ``members`` has (band, bucket, node), ``texts`` (node, text, registers). First each bucket has one centre, in
+    STARS rounds another one each, which is compared with the members of other classes; near copies of one text are
+    joined by a few such links instead of by all pairs. Buckets within one class are then done. In the others every
+    member outside the largest class is held against all members of other classes, lot by lot: first by their
+    registers, then, where these agree to within MARGIN of ``least``, by their texts. So no link in a bucket is missed,
+    but for registers off by over three standard deviations, as rare as a pair without a common band.
     """
-    spark = members.sparkSession
-    labels = spark.createDataFrame([], "node string, label string")
-    tested = edges = None
-    wanted = 1
-    while True:
-        named = members.join(labels, "node", "left").select(
-            "bucket", "node", F.coalesce("label", "node").alias("label"), F.xxhash64("bucket", "node").alias("draw")
-        )
-        state = named.groupBy("bucket").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"),
-            F.min("draw").alias("first"),
-        ).filter("low <> high")
-        open_ = store(named.join(state.drop("low", "high"), "bucket"))
-        largest = open_.agg(F.max("size")).first()[0]
-        if largest is None:
-            return labels
-        share = (F.col("draw").cast("double") / F.lit(2.0**64) + 0.5) * F.col("size")
-        centres = open_.filter((F.col("draw") == F.col("first")) | (share < wanted) | (F.col("size") <= wanted))
-        centres = centres.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
-        pairs = (
-            open_.join(centres, "bucket")
-            .filter("node <> a AND label <> label_a")
-            .select(F.greatest("node", "a").alias("b"), F.least("node", "a").alias("a"))
-            .distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = store(pairs)
-        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        found = store(
-            with_b.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _verify(batches, least), "a string, b string")
-        )
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    labels = members.sparkSession.createDataFrame([], "node string, label string")
+    edges = None
+    for turn in range(STARS + 1):
+        named = store(
+            members.join(labels, "node", "left").select(
+                "band", "bucket", "node", F.coalesce("label", "node").alias("label"),
+                F.xxhash64("bucket", "node", F.lit(turn)).alias("draw"),
+            )
+        )
+        parts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("draw", "node")).alias("first"))
+        state = parts.groupBy("bucket").agg(
+            F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("size"),
+            F.min(F.struct(F.col("first.draw").alias("draw"), F.col("first.node").alias("node"), "label")).alias("first"),
+            F.count(F.lit(1)).alias("classes"),
+        )
+        state = store(state.filter("classes > 1").select("bucket", "main", "size", "first"))
+        if not state.limit(1).count():
+            break
+        if turn < STARS:
+            centres = state.select("bucket", F.col("first.node").alias("a"), F.col("first.label").alias("label_a"))
+            pairs = named.join(centres, "bucket").filter("label <> label_a")
+            pairs = pairs.select(F.greatest("node", "a").alias("b"), F.least("node", "a").alias("a"))
+        else:
+            lots = F.ceil(F.col("size") / LOT).alias("lots")
+            open_ = named.join(state.select("bucket", F.col("main.label").alias("main"), lots), "bucket")
+            open_ = open_.join(texts.select("node", "registers"), "node")
+            item = F.struct("node", "label", "registers").alias("item")
+            placed = open_.select("band", "bucket", F.pmod("draw", "lots").alias("lot"), (F.col("label") != F.col("main")).alias("out"), item)
+            every = placed.groupBy("band", "bucket", "lot").agg(F.collect_list("item").alias("members"))
+            outside = placed.filter("out").groupBy("bucket", "lot").agg(F.collect_list("item").alias("centres")).drop("lot")
+            met = store(every.drop("lot")).join(store(outside), "bucket").select("band", "centres", "members")
+            pairs = met.mapInArrow(lambda batches: _across(batches, bands, least - MARGIN), "a string, b string")
+        found = verified(store(pairs.select("a", "b").distinct()), texts, least)
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
-        if wanted >= largest:
-            return labels
-        wanted *= SPREAD
+    return labels
 
 
 def near_duplicates(
@@ -238,22 +277,22 @@ def near_duplicates(
     signed = store(
         named.mapInArrow(
             lambda batches: _sign(batches, bands, per_band),
-            "id long, mark long, n_words long, node string, bands array<long>",
+            "id long, mark long, n_words long, node string, bands array<long>, registers binary",
         )
     )
     worded = signed.filter("n_words > 0")
-    nodes = store(worded.groupBy("node").agg(F.min(F.struct("id", "mark", "bands")).alias("first"), F.count(F.lit(1)).alias("rows")))
-    buckets = nodes.select("node", F.explode("first.bands").alias("bucket"))
+    nodes = store(worded.groupBy("node").agg(F.min(F.struct("id", "mark", "bands", "registers")).alias("first"), F.count(F.lit(1)).alias("rows")))
+    buckets = nodes.select("node", F.posexplode("first.bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("one"), F.max("node").alias("other")).filter("one <> other")
-    members = store(buckets.join(shared.select("bucket"), "bucket", "left_semi"))
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first.id", "first.mark")
-    texts = store(named.dropDuplicates(["id", "mark"]).join(wanted, ["id", "mark"]).select("node", "text"))
-    labels = linked(members, texts, least)
+    members = store(buckets.join(store(shared.select("bucket")), "bucket", "left_semi"))
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first.id", "first.mark", "first.registers")
+    texts = store(named.dropDuplicates(["id", "mark"]).join(wanted, ["id", "mark"]).select("node", "text", "registers"))
+    labels = linked(members, texts, least, bands)
     placed = nodes.select("node", "rows", F.struct("first.id", "first.mark").alias("first")).join(labels, "node", "left")
     placed = store(placed.select("node", "rows", "first", F.coalesce("label", "node").alias("label")))
     classes = placed.groupBy("label").agg(F.min("first").alias("class"), F.sum("rows").alias("class_size"))
     where = placed.select("node", "label").join(classes, "label").select("node", "class", "class_size")
-    out = signed.drop("bands").join(where, "node", "left")
+    out = signed.drop("bands", "registers").join(where, "node", "left")
     alone = F.struct("id", "mark")
     return out.select(
         F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"),
