@@ -15,7 +15,7 @@ from stayline.llm.substrings import keyed
 #: Pseudo-count of every word after every word.
 SMOOTHING = 0.01
 #: Bytes of text in a block on average, and keys of the model in a slice.
-BLOCK_TEXT, SLICE_KEYS = 24_000_000, 1_000_000
+BLOCK_TEXT, SLICE_KEYS = 12_000_000, 1_000_000
 START = np.uint64(0x243F6A8885A308D3)
 
 
@@ -36,27 +36,49 @@ def _documents(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield low, high, first, pairs, contexts
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers compressed byte plane by byte plane: small ones and ascending keys' differences take little room."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def widen(packed: bytes, n: int, kind: str) -> np.ndarray:
+    """The ``n`` numbers that ``squeeze`` was given."""
+    width = np.dtype(kind).itemsize
+    raw = pa.Codec("zstd").decompress(packed, n * width, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
+def _keys(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words per row; then for all words: the row, and the keys of its pair (even) and of its context (odd)."""
+    sizes, rows, pairs, contexts = ([np.zeros(0, t)] for t in (np.int64, np.int32, np.uint64, np.uint64))
+    for low, high, first, two, one in _documents(docs):
+        sizes.append(np.diff(first))
+        rows.append(np.repeat(np.arange(low, high, dtype=np.int32), np.diff(first)))
+        pairs.append(two & ~np.uint64(1))
+        contexts.append(one | np.uint64(1))
+    pairs = np.concatenate(pairs)
+    keys, at = np.unique(np.concatenate([pairs, *contexts]), return_inverse=True)
+    return np.concatenate(sizes), np.concatenate(rows), keys, at[: len(pairs)].astype(np.int32), at[len(pairs) :].astype(np.int32)
+
+
 def _counts(block: int, docs: pa.Table, target: pa.Table, slices: int) -> pa.Table:
     """A block's distinct keys with their counts in the target and in all texts, packed by slice of the key space."""
+    _, row, keys, pair, context = _keys(docs)
     wanted = np.isin(docs.column("id").to_numpy(), target.column("held").to_numpy()) if docs.num_rows else np.zeros(0, bool)
-    parts = []
-    for low, high, first, pairs, contexts in _documents(docs):
-        inside = np.repeat(wanted[low:high], np.diff(first))
-        for kind, keys in ((0, pairs), (1, contexts)):
-            found, at = np.unique(keys, return_inverse=True)
-            total = np.bincount(at, minlength=len(found))
-            part = np.bincount(at, inside, len(found)).astype(np.int64)
-            parts.append((found & ~np.uint64(1) | np.uint64(kind), part, total))
-    keys, at = np.unique(np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64), return_inverse=True)
-    part, total = (np.bincount(at, np.concatenate([p[i] for p in parts]) if parts else None, len(keys)) if len(keys) else np.zeros(0) for i in (1, 2))
-    cuts = np.searchsorted(keys, slice_starts(slices))
-    rows = []
-    for s, (a, b) in enumerate(zip(cuts, np.append(cuts[1:], len(keys)))):
-        if b > a:
-            rows.append((block, s, keys[a:b].tobytes(), part[a:b].astype("<u4").tobytes(), total[a:b].astype("<u4").tobytes()))
-    columns = zip(*rows) if rows else [[]] * 5
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["block", "slice", "keys", "part", "total"])
+    inside = wanted[row]
+    total = np.bincount(pair, minlength=len(keys)) + np.bincount(context, minlength=len(keys))
+    part = np.bincount(pair[inside], minlength=len(keys)) + np.bincount(context[inside], minlength=len(keys))
+    cuts = np.append(np.searchsorted(keys, slice_starts(slices)), len(keys))
+    rows = [
+        (block, s, int(b - a), squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), squeeze(part[a:b].astype("<u4")), squeeze(total[a:b].astype("<u4")))
+        for s, (a, b) in enumerate(zip(cuts, cuts[1:]))
+        if b > a
+    ]
+    columns = zip(*rows) if rows else [[]] * 6
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    names = ["block", "slice", "n", "keys", "part", "total"]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
 def slice_starts(slices: int) -> np.ndarray:
@@ -64,23 +86,20 @@ def slice_starts(slices: int) -> np.ndarray:
     return np.array([(i << 64) // slices for i in range(slices)], np.uint64)
 
 
-def _answer(table: pa.Table, smoothing: float, vocabulary: int) -> pa.Table:
-    """For every block's keys of one slice: the logarithm of its smoothed count in the target and in the background.
-
-    Pairs: log(count + smoothing). Contexts: log(count + smoothing * vocabulary).
-    """
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
-    sums = []
+def _answer(table: pa.Table) -> pa.Table:
+    """For every block's keys of one slice, in their order: the counts in the target and in all texts of all blocks."""
+    sizes = table.column("n").to_pylist()
+    keys = [np.cumsum(widen(x.as_py(), n, "<u8"), dtype=np.uint64) for x, n in zip(table.column("keys"), sizes)]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    added = np.where(every & np.uint64(1), smoothing * vocabulary, smoothing)
+    out = []
+    ends = np.cumsum(sizes)
     for name in ("part", "total"):
-        counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column(name)])
-        sums.append(np.log(np.bincount(at, counts, len(every)) + added).astype("<f4"))
-    ends = np.cumsum([len(k) for k in keys])
-    out = [[s[at[e - len(k) : e]].tobytes() for k, e in zip(keys, ends)] for s in sums]
+        counts = np.concatenate([widen(x.as_py(), n, "<u4") for x, n in zip(table.column(name), sizes)])
+        summed = np.bincount(at, counts, len(every)).astype("<u8")
+        out.append([squeeze(summed[at[e - n : e]]) for e, n in zip(ends, sizes)])
     return pa.Table.from_arrays(
-        [table.column("block"), table.column("keys"), *(pa.array(x, pa.binary()) for x in out)],
-        names=["block", "keys", "part", "total"],
+        [table.column("block"), table.column("slice"), table.column("n"), *(pa.array(x, pa.binary()) for x in out)],
+        names=["block", "slice", "n", "part", "total"],
     )
 
 
@@ -92,26 +111,19 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64))], names=["word"])
 
 
-def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _score(docs: pa.Table, answers: pa.Table, smoothing: float, vocabulary: int) -> pa.Table:
     """Per row: number of words and mean loss under both models, from the block's answers."""
-    keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in answers.column("keys")] or [np.zeros(0, np.uint64)])
-    logs = [
-        np.concatenate([np.frombuffer(x.as_py(), "<f4") for x in answers.column(n)] or [np.zeros(0, "<f4")]).astype(float)
-        for n in ("part", "total")
-    ]
-    order = np.argsort(keys)
-    keys, logs = keys[order], [x[order] for x in logs]
-    counts, losses = np.zeros(docs.num_rows, np.int64), np.zeros((2, docs.num_rows))
-    for low, high, first, pairs, contexts in _documents(docs):
-        pair = np.searchsorted(keys, pairs & ~np.uint64(1))
-        context = np.searchsorted(keys, contexts | np.uint64(1))
-        row = np.repeat(np.arange(high - low), np.diff(first))
-        counts[low:high] = np.diff(first)
-        for k, x in enumerate(logs):
-            losses[k, low:high] = np.bincount(row, x[context] - x[pair], high - low)
-    mean = losses / np.maximum(counts, 1)
+    size, row, keys, pair, context = _keys(docs)
+    answers = answers.sort_by("slice")
+    n = answers.column("n").to_pylist()
+    mean = []
+    for name in ("part", "total"):
+        counts = np.concatenate([widen(x.as_py(), k, "<u8") for x, k in zip(answers.column(name), n)] or [np.zeros(0)])
+        logs = np.log(counts + np.where(keys & np.uint64(1), smoothing * vocabulary, smoothing))
+        loss = np.bincount(row, logs[context] - logs[pair], docs.num_rows)
+        mean.append(loss / np.maximum(size, 1))
     return pa.Table.from_arrays(
-        [docs.column("id"), docs.column("mark"), pa.array(counts), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])],
+        [docs.column("id"), docs.column("mark"), pa.array(size), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])],
         names=["id", "mark", "n_words", "target_loss", "background_loss", "score"],
     )
 
@@ -149,14 +161,17 @@ def score_difference(
         dealt.groupBy("block").cogroup(held.repartition(blocks, "at").groupBy("at"))
         .applyInArrow(
             lambda key, left, right: _counts(key[0].as_py(), left, right, slices),
-            "block long, slice long, keys binary, part binary, total binary",
+            "block long, slice long, n long, keys binary, part binary, total binary",
         )
     )
     answers = counts.groupBy("slice").applyInArrow(
-        lambda x: _answer(x, smoothing, vocabulary), "block long, keys binary, part binary, total binary"
+        _answer, "block long, slice long, n long, part binary, total binary"
     )
     scored = (
         dealt.groupBy("block").cogroup(answers.repartition(blocks, "block").groupBy("block"))
-        .applyInArrow(_score, "id long, mark long, n_words long, target_loss double, background_loss double, score double")
+        .applyInArrow(
+            lambda left, right: _score(left, right, smoothing, vocabulary),
+            "id long, mark long, n_words long, target_loss double, background_loss double, score double",
+        )
     )
     return scored.select(F.nullif("id", F.lit((1 << 63) - 1)).alias("doc_id"), "n_words", "target_loss", "background_loss", "score")
