@@ -282,9 +282,11 @@ def near_duplicates(
     )
     worded = signed.filter("n_words > 0")
     nodes = store(worded.groupBy("node").agg(F.min(F.struct("id", "mark", "bands", "registers")).alias("first"), F.count(F.lit(1)).alias("rows")))
-    buckets = nodes.select("node", F.posexplode("first.bands").alias("band", "bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("one"), F.max("node").alias("other")).filter("one <> other")
-    members = store(buckets.join(store(shared.select("bucket")), "bucket", "left_semi"))
+    # a short name in the two wide shuffles; two texts of one short name would only be compared in vain
+    buckets = nodes.select(F.xxhash64("node").alias("short"), F.posexplode("first.bands").alias("band", "bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("short").alias("one"), F.max("short").alias("other")).filter("one <> other")
+    found = buckets.join(store(shared.select("bucket")), "bucket", "left_semi")
+    members = store(found.join(nodes.select(F.xxhash64("node").alias("short"), "node"), "short").drop("short"))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first.id", "first.mark", "first.registers")
     texts = store(named.dropDuplicates(["id", "mark"]).join(wanted, ["id", "mark"]).select("node", "text", "registers"))
     labels = linked(members, texts, least, bands)
