@@ -193,7 +193,7 @@ def choose(root: Node) -> Node:
     articles = [n for n in path if n.tag == "article"]
     if articles:
         return articles[-1]
-    threshold = min(n.density for n in path if n.tag not in ("#root", "html"))
+    threshold = min((n.density for n in path if n.tag not in ("#root", "html")), default=0.0)
     top = best
     for child, parent in zip(path, path[1:]):
         for p in parent.parts:

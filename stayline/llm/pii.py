@@ -280,10 +280,11 @@ def find_personal(documents: DataFrame, keys: list[str], text: str = "text") ->
     labelled = label(documents, keys, text)
     yes = F.array(*[F.lit(c) for c in accepted(labelled)]).cast("array<int>")
     every = F.sort_array(F.concat("base", F.filter("more", lambda s: F.array_contains(yes, s["code"]))))
-    counts = {f"n_{k}": F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long") for i, k in enumerate(KINDS[:4])}
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = {f"n_{k}": F.size(F.array_remove(kinds, -1)) - F.size(F.array_remove(kinds, i)) for i, k in enumerate(KINDS[:4])}
     return labelled.select(
         *[F.col(f"key_{i}").alias(k) for i, k in enumerate(keys)],
-        *[c.alias(n) for n, c in counts.items()],
+        *[c.cast("long").alias(n) for n, c in counts.items()],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(every).alias("spans"),
         (F.size(every) - F.size("base")).cast("long").alias("n_added"),
