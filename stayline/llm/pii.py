@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stayline.session import store
 
@@ -317,4 +318,4 @@ def mask_personal(documents: DataFrame, text: str = "text", n_chars: str = "n_ch
             columns[size] = pa.array([None if x is None else len(x) for x in texts], batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return documents.mapInArrow(rewrite, documents.schema)
+    return documents.mapInArrow(rewrite, T.StructType([T.StructField(f.name, f.dataType) for f in documents.schema]))
