@@ -17,7 +17,7 @@ def write(path, text):
     return str(path)
 
 
-def test_every_contract_has_a_schema_and_its_key():
+def test_every_contract_has_a_schema_and_its_key(spark):
     assert len(CONTRACTS) == 12
     for contract in CONTRACTS.values():
         assert set(contract.key) <= set(contract.columns)
