@@ -173,13 +173,21 @@ def asof_join(
     )
     touched = found.select("_e", "_b1", "_b2").distinct()
     across = Window.partitionBy("_e").orderBy("_b1", "_b2").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per (entity, range), null entities included, without a join
     before = (
-        touched.join(carried, ["_e", "_b1", "_b2"], "full")
-        .withColumn("_before", F.last("_c", ignorenulls=True).over(across))
-        .select("_e", "_b1", "_b2", "_before")
+        carried.unionByName(touched, allowMissingColumns=True)
+        .groupBy("_e", "_b1", "_b2")
+        .agg(F.first("_c", ignorenulls=True).alias("_c"))
+        .select(
+            F.col("_e").alias("_be"),
+            F.col("_b1").alias("_bb1"),
+            F.col("_b2").alias("_bb2"),
+            F.last("_c", ignorenulls=True).over(across).alias("_before"),
+        )
     )
+    same = F.col("_e").eqNullSafe(F.col("_be")) & (F.col("_b1") == F.col("_bb1")) & (F.col("_b2") == F.col("_bb2"))
     return (
-        found.join(before, ["_e", "_b1", "_b2"], "left")
+        found.join(before, same, "left")
         .withColumn("_in", F.coalesce("_in", "_before"))
         .select("_l.*", *[F.col(f"_in.{v}").alias(v) for v in values])
     )

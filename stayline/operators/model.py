@@ -81,7 +81,7 @@ class Encoder:
 
     @staticmethod
     def from_table(table: DataFrame) -> Encoder:
-        rows = table.limit(10 * MAX_CATEGORIES).collect()
+        rows = table.collect()  # one row per feature, written by to_table
         return Encoder(
             {r["feature"]: (r["median"], r["mean"], r["deviation"]) for r in rows if r["kind"] == "numeric"},
             {r["feature"]: (list(r["categories"]), r["mode"]) for r in rows if r["kind"] == "categorical"},

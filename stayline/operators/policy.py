@@ -485,8 +485,9 @@ def policy_digest(policies: DataFrame) -> DataFrame:
 
 def join_reserved_target(frozen: DataFrame, digest: str, features: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """Join the reserved target, only for a policy table that carries the expected digest."""
-    stored = {r["policy_digest"] for r in frozen.select("policy_digest").limit(100).collect()}
-    if stored != {digest}:
+    same = F.col("policy_digest").eqNullSafe(F.lit(digest))
+    seen = frozen.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(same, 1)).alias("same")).first()
+    if not seen["rows"] or seen["rows"] != seen["same"]:
         raise ValueError("the policy table differs from the one that was frozen")
     return features.join(target, key)
 

@@ -24,8 +24,7 @@ from pyspark.sql.window import Window
 
 ROWS_PER_BUCKET = 100_000
 MAX_BUCKETS = 10_000
-TOP = 1.7e308  # stands for null and NaN, which sort last
-EXACT_INT = float(2**53)
+TOP = 1.7e308  # stands for null, and for NaN as the largest number
 
 
 @dataclass(frozen=True)
@@ -45,7 +44,14 @@ def keys(*specs: str) -> list[Key]:
     return [Key(s[1:], True) if s.startswith("-") else Key(s) for s in specs]
 
 
-def _as_double(df: DataFrame, key: Key) -> Column:
+PREFIX_BYTES = 6  # as a number below 2**53
+
+
+def _as_double(df: DataFrame, key: Key, skip: int = 0) -> Column:
+    """A number that never falls along the key's order, for cutting ranges; different values may share one.
+
+    Of a string it is the first bytes after the ``skip`` bytes that all strings of the column have in common.
+    """
     kind = df.schema[key.name].dataType.typeName()
     c = F.col(key.name)
     if kind == "date":
@@ -57,10 +63,22 @@ def _as_double(df: DataFrame, key: Key) -> Column:
     elif kind == "boolean":
         c = c.cast("int")
     elif kind == "string":
-        raise TypeError(f"order on a number, date or timestamp first, not on the string {key.name}")
+        head = F.hex(F.substring(F.encode(c, "UTF-8"), skip + 1, PREFIX_BYTES))
+        c = F.conv(F.rpad(head, 2 * PREFIX_BYTES, "0"), 16, 10)
     c = c.cast("double")
-    c = F.when(F.isnan(c), None).otherwise(-c if key.desc else c)
-    return F.least(F.coalesce(c, F.lit(TOP)), F.lit(TOP))
+    bounded = F.when(F.isnan(c), F.lit(TOP)).otherwise(F.greatest(F.least(c, F.lit(TOP)), F.lit(-TOP)))
+    return F.when(c.isNull(), F.lit(TOP)).otherwise(-bounded if key.desc else bounded)  # nulls are last either way
+
+
+def _common_bytes(df: DataFrame, key: Key) -> int:
+    """Bytes with which all strings of the column begin."""
+    if df.schema[key.name].dataType.typeName() != "string":
+        return 0
+    ends = df.agg(F.min(key.name).alias("low"), F.max(key.name).alias("high")).first()
+    if ends["low"] is None:
+        return 0
+    low, high = ends["low"].encode(), ends["high"].encode()
+    return next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
 
 
 @dataclass(frozen=True)
@@ -71,6 +89,8 @@ class RangePlan:
     edges: tuple[float, ...] = ()
     hot: tuple[float, ...] = ()
     tie_edges: tuple[float, ...] = ()
+    tie_key: int = 1
+    skips: tuple[int, int] = (0, 0)
 
     @property
     def single(self) -> bool:
@@ -81,11 +101,11 @@ class RangePlan:
         if self.single:
             return df.withColumn("_b1", F.lit(0)).withColumn("_b2", F.lit(0))
         infinity = float("inf")
-        out = df.withColumn("_k1", _as_double(df, self.order[0]))
+        out = df.withColumn("_k1", _as_double(df, self.order[0], self.skips[0]))
         out = _bucketize(out, "_k1", "_b1", [-infinity, *self.edges, infinity])
         after_ties = len(self.tie_edges) + 1
         if self.tie_edges:
-            out = out.withColumn("_k2", _as_double(df, self.order[1]))
+            out = out.withColumn("_k2", _as_double(df, self.order[self.tie_key], self.skips[1]))
             out = _bucketize(out, "_k2", "_b2", [-infinity, *self.tie_edges, infinity])
             # a hot value is the lowest value of its range, so the other rows follow it
             out = out.withColumn("_b2", F.when(F.col("_k1").isin(*self.hot), F.col("_b2")).otherwise(after_ties))
@@ -105,41 +125,52 @@ def plan_ranges(
 
     Groups that all fit a range need no edges. If one does not, the edges are those of
     all rows together, so that no (group, range) can hold more than a range of rows,
-    whatever the scores inside the group look like.
+    whatever the scores inside the group look like. A value that fills ranges is cut
+    on the first further key that varies under it, if the keys before are constant there.
     """
     order = tuple(order)
     size = rows_per_bucket or ROWS_PER_BUCKET
-    first = df.select(_as_double(df, order[0]).alias("k"))
     if by:
         sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("n")).first()
         if (sizes["largest"] or 0) <= size:
             return RangePlan(order)
         rows = sizes["n"]
     else:
-        rows = first.count()
+        rows = df.count()
     buckets = min(MAX_BUCKETS, math.ceil(rows / size))
     if buckets <= 1:
         return RangePlan(order)
     accuracy = max(10_000, 20 * buckets)
     points = [i / buckets for i in range(1, buckets)]
-    edges = first.agg(F.percentile_approx("k", points, accuracy).alias("e")).first()["e"]
-    unique = tuple(sorted({float(e) for e in edges}))
-    # One quantile on a value already means it may fill a whole range.
-    hot = tuple(sorted(v for v, n in Counter(float(e) for e in edges).items() if n >= 2))
-    exact = df.schema[order[0].name].dataType.typeName() != "long" or all(abs(v) < EXACT_INT for v in unique if v < TOP)
-    if not hot or len(order) < 2 or not exact:
-        return RangePlan(order, unique)
-    ties = df.select(_as_double(df, order[0]).alias("k"), _as_double(df, order[1]).alias("t")).where(
-        F.col("k").isin(*hot)
-    )
-    rows_per_value = ties.groupBy("k").agg(F.percentile_approx("t", points, accuracy).alias("e")).collect()
+    skip = _common_bytes(df, order[0])
+    number = _as_double(df, order[0], skip).alias("_k")
+    edges = df.select(number).agg(F.percentile_approx("_k", points, accuracy).alias("e")).first()["e"]
     share = Counter(float(e) for e in edges)
+    unique = tuple(sorted(share))
+    # One quantile on a value already means it may fill a whole range.
+    repeated = sorted(v for v, n in share.items() if n >= 2)
+    if not repeated or len(order) < 2:
+        return RangePlan(order, unique, skips=(skip, 0))
+    heavy = df.select("*", number).where(F.col("_k").isin(*repeated))
+
+    def constant(key: Key) -> Column:
+        c = F.col(key.name)
+        return (F.count(c) == 0) | ((F.count(c) == F.count(F.lit(1))) & F.min(c).eqNullSafe(F.max(c)))
+
+    kinds = heavy.groupBy("_k").agg(*[constant(k).alias(f"c{i}") for i, k in enumerate(order)]).collect()
+    # Several values may share a number (long decimals, say): the further keys do not order these.
+    hot = sorted(float(r["_k"]) for r in kinds if r["c0"])
+    varying = [i for i in range(1, len(order)) if any(r["c0"] and not r[f"c{i}"] for r in kinds)]
+    if not hot or not varying:
+        return RangePlan(order, unique, skips=(skip, 0))
+    tie = varying[0]
+    tie_skip = _common_bytes(df, order[tie])
+    ties = heavy.where(F.col("_k").isin(*hot)).select("_k", _as_double(df, order[tie], tie_skip).alias("_t"))
     tie_edges: set[float] = set()
-    for row in rows_per_value:
-        wanted = share[float(row["k"])] + 1
-        step = max(1, len(row["e"]) // wanted)
+    for row in ties.groupBy("_k").agg(F.percentile_approx("_t", points, accuracy).alias("e")).collect():
+        step = max(1, len(row["e"]) // (share[float(row["_k"])] + 1))
         tie_edges.update(float(e) for e in row["e"][step - 1 :: step])
-    return RangePlan(order, unique, hot, tuple(sorted(tie_edges)))
+    return RangePlan(order, unique, tuple(hot), tuple(sorted(tie_edges)), tie, (skip, tie_skip))
 
 
 def _preceding(bucketed: DataFrame, by: Sequence[str], totals: dict[str, Column]) -> DataFrame:

@@ -58,10 +58,10 @@ def split_summary(df: DataFrame, entity: str, target: str, reserved: Sequence[st
 
 
 def grouped_folds(df: DataFrame, entity: str, target: str, folds: int, seed: int) -> DataFrame:
-    """(entity, fold): all rows of an entity in one fold, entities dealt out by number of positives."""
+    """(entity, fold): all rows of an entity in one fold; entities are dealt out in turn, most positives first."""
     per_entity = df.groupBy(entity).agg(F.coalesce(F.sum(target), F.lit(0)).alias("_pos"))
     hashed = per_entity.withColumn("_h", draw(str(seed), F.col(entity)))
-    numbered = ranked(hashed, [Key("_h"), Key(entity)], ["_pos"], out="_r")
+    numbered = ranked(hashed, [Key("_pos", True), Key("_h"), Key(entity)], out="_r")
     return numbered.select(entity, ((F.col("_r") - 1) % folds + 1).cast("int").alias("fold"))
 
 

@@ -249,7 +249,7 @@ def draw_sql(*parts: str) -> str:
 
 
 FOLDS_SQL = f"""WITH e AS (SELECT user_id, SUM(actual_attrition) AS pos FROM scored GROUP BY user_id)
-    SELECT user_id, CAST((ROW_NUMBER() OVER (PARTITION BY pos ORDER BY {draw_sql("'42'", 'user_id')}, user_id) - 1) % 5 + 1 AS INT) AS fold FROM e"""
+    SELECT user_id, CAST((ROW_NUMBER() OVER (ORDER BY pos DESC, {draw_sql("'42'", 'user_id')}, user_id) - 1) % 5 + 1 AS INT) AS fold FROM e"""
 
 
 @query("r3_grouped_folds", "scored", FOLDS_SQL)
@@ -261,7 +261,9 @@ def _(t: Tables):
     "r3_fold_summary",
     "scored",
     f"""WITH f AS ({FOLDS_SQL}) SELECT fold, COUNT(*) AS rows, COUNT(DISTINCT user_id) AS entities, CAST(SUM(actual_attrition) AS BIGINT) AS positives,
-    ROUND(AVG(actual_attrition), 6) AS positive_rate, 0::BIGINT AS entities_in_several_folds FROM scored JOIN f USING (user_id) GROUP BY fold""",
+    ROUND(AVG(actual_attrition), 6) AS positive_rate,
+    (SELECT COUNT(*) FROM (SELECT user_id FROM f GROUP BY user_id HAVING COUNT(DISTINCT fold) > 1)) AS entities_in_several_folds
+    FROM scored JOIN f USING (user_id) GROUP BY fold""",
 )
 def _(t: Tables):
     folds = resample.grouped_folds(t["scored"], "user_id", Y, 5, 42)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stayline.operators import quality, rank
+from stayline.operators import asof, quality, rank, resample
 from stayline.operators.rank import Key, keys
 
 
@@ -105,3 +105,61 @@ def test_no_window_over_raw_rows_without_partition(skewed):
 def test_top_per_group_limits_before_the_shuffle(skewed):
     plan = rank.top_per_group(skewed, ["g"], keys("-score", "id"), 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_long_decimals_that_share_a_double(spark):
+    base = 2**53
+    df = spark.range(400).select("id", (F.lit(base).cast("decimal(38,0)") + (F.col("id") * 7 % 400).cast("decimal(38,0)")).alias("d"))
+    out = rank.ranked(df, keys("-d", "id"), rows_per_bucket=20).orderBy("rank").collect()
+    assert [r.d for r in out] == sorted((r.d for r in out), reverse=True)
+
+
+@pytest.mark.parametrize("order", [("g", "name"), ("name",), ("-name",), ("g", "same", "name")])
+def test_string_keys_with_a_common_prefix(spark, order):
+    df = spark.range(600).select(
+        F.lit(1).alias("g"), F.lit("x").alias("same"), F.concat(F.lit("customer-é-"), F.lpad((F.col("id") * 7 % 600).cast("string"), 6, "0")).alias("name")
+    )
+    plan = rank.plan_ranges(df, keys(*order), 50)
+    assert plan.assign(df).groupBy("_b1", "_b2").count().agg(F.max("count")).first()[0] <= 150
+    out = [r.name for r in rank.ranked(df, keys(*order), rows_per_bucket=50).orderBy("rank").collect()]
+    assert out == sorted(out, reverse=order[0] == "-name")
+
+
+@pytest.mark.parametrize("desc", [False, True])
+def test_nan_infinities_and_nulls_rank_alike_at_every_size(spark, desc):
+    special = [float("nan"), float("inf"), float("-inf"), None]
+    rows = [(i, special[i % 8] if i % 8 < 4 else float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    order = [Key("v", desc), Key("id")]
+    small, large = (rank.ranked(df, order, rows_per_bucket=n).select("id", "rank") for n in (1000, 20))
+    assert small.exceptAll(large).count() == 0
+
+
+@pytest.mark.parametrize("size", [1000, 20])
+def test_previous_value_of_null_entities_on_descending_dates(spark, size):
+    df = spark.range(300).select(
+        "id", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 2).alias("e"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 7 % 300).cast("int")).alias("day"),
+    )
+    groups = {}
+    for r in quality.with_previous(df, "e", keys("-day", "id"), "id", "before", rows_per_bucket=size).collect():
+        groups.setdefault(r.e, []).append(r)
+    for rows in groups.values():
+        rows.sort(key=lambda r: (-r.day.toordinal(), r.id))
+        assert [r.before for r in rows] == [None, *[r.id for r in rows[:-1]]]
+
+
+@pytest.mark.parametrize("size", [1000, 20])
+def test_asof_join_matches_null_entities_at_every_size(spark, size):
+    right = spark.range(200).select(F.when(F.col("id") % 2 == 0, 1).alias("e"), F.timestamp_seconds("id").alias("t"), F.col("id").alias("v"))
+    left = spark.range(200).select(F.when(F.col("id") % 2 == 1, 1).alias("e"), F.timestamp_seconds("id").alias("at"), "id")
+    out = asof.asof_join(left, right, "e", "at", "t", ["v"], ["v"], rows_per_bucket=size).collect()
+    assert {r.id: r.v for r in out} == {i: i - 1 if i else None for i in range(200)}
+
+
+def test_grouped_folds_balance_distinct_positive_counts(spark):
+    rows = [(e, int(i < e)) for e in range(60) for i in range(60)]
+    df = spark.createDataFrame(rows, "e int, y int")
+    found = resample.fold_summary(df, resample.grouped_folds(df, "e", "y", 5, 3), "e", "y").collect()
+    assert len(found) == 5 and {r.entities for r in found} == {12} and {r.rows for r in found} == {720}
+    assert max(r.positives for r in found) - min(r.positives for r in found) <= 60
