@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stayline.functions.expr import count_if
 from stayline.sources.tables import fingerprint
 
-TYPE_CLASSES = ("exact_numeric", "tolerant_numeric", "date", "boolean", "exact_text")
+TYPE_CLASSES = ("exact_numeric", "tolerant_numeric", "date", "timestamp", "boolean", "exact_text")
 
 # Accepted spellings of booleans.
 TRUE_TEXT = ("true", "1", "1.0", "t")
@@ -30,10 +30,16 @@ def as_number(value: Column) -> Column:
     return value.try_cast("double")
 
 
+def as_exact(value: Column) -> Column:
+    """Without the detour through a double, in which integers beyond 2**53 fall together."""
+    return value.try_cast("decimal(38,10)")
+
+
 NORMALISERS = {
-    "exact_numeric": as_number,
+    "exact_numeric": as_exact,
     "tolerant_numeric": as_number,
     "date": as_date,
+    "timestamp": lambda v: v.try_cast("timestamp"),
     "boolean": as_boolean,
     "exact_text": lambda v: v.cast("string"),
 }
@@ -68,8 +74,10 @@ def infer_classes(df: DataFrame, tolerant: Sequence[str] = ()) -> dict[str, str]
             out[field.name] = "tolerant_numeric"
         elif kind in ("integer", "long", "short", "byte") or kind.startswith("decimal"):
             out[field.name] = "exact_numeric"
-        elif kind in ("date", "timestamp", "timestamp_ntz"):
+        elif kind == "date":
             out[field.name] = "date"
+        elif kind in ("timestamp", "timestamp_ntz"):
+            out[field.name] = "timestamp"
         elif kind == "boolean":
             out[field.name] = "boolean"
         else:
@@ -107,7 +115,7 @@ def compare_tables(
         else:
             different = null_gap | (both & (x != y))
         if kind.endswith("numeric"):
-            largest = F.max(F.abs(x - y))
+            largest = F.max(F.abs(x - y)).cast("double")
         entries.append(
             F.struct(
                 F.lit(c).alias("feature"),

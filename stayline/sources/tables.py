@@ -127,19 +127,29 @@ def reconcile_counts(source: dict[str, DataFrame], target: dict[str, DataFrame])
 
 
 def canonical(df: DataFrame, column: str, decimals: int | None = None) -> Column:
-    """Text form of a value that does not depend on its storage type."""
+    """Text form of a value that does not depend on its storage type; different values have different texts.
+
+    A timestamp at midnight reads like the date. Doubles are told apart up to 12 digits, decimals by all of theirs.
+    """
     kind = df.schema[column].dataType.typeName()
     c = F.col(column)
-    if kind in ("date", "timestamp", "timestamp_ntz"):
+    if kind == "date":
         text = F.date_format(c, "yyyy-MM-dd")
+    elif kind in ("timestamp", "timestamp_ntz"):
+        midnight = c == F.date_trunc("day", c)
+        text = F.when(midnight, F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     elif kind == "boolean":
         text = F.initcap(c.cast("string"))
     elif decimals is not None and kind in ("double", "float", "decimal"):
         text = F.format_string(f"%.{decimals}f", c.cast("double"))
-    elif kind in ("double", "float") or kind.startswith("decimal"):
+    elif kind == "decimal" and df.schema[column].dataType.precision > 12:
+        text = F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    elif kind in ("double", "float", "decimal"):
         text = F.format_string("%.12g", c.cast("double"))
     else:
-        text = c.cast("string")
+        # the separator and the mark of null stay apart from the same characters in a text
+        text = F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("\x1f"), F.lit("\\u"))
+        text = F.when(text == "<NULL>", F.lit("\\<NULL>")).otherwise(text)
     return F.coalesce(F.when(c.isNotNull(), text), F.lit("<NULL>"))
 
 

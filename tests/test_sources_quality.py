@@ -128,3 +128,23 @@ def test_leave_pairs_survive_only_whole(spark):
     ).selectExpr("*", "'' as old_value", "'' as new_value", "'' as notes")
     out = history.rebuild_events(events, people, "2025-01-01").collect()
     assert sorted((r.employee_id, r.event_type) for r in out) == [(1, "Termination"), (2, "Leave"), (2, "Leave")]
+
+
+def test_comparison_and_digest_tell_close_values_apart(spark):
+    a = spark.sql("SELECT 1 AS k, 9007199254740993L AS n, TIMESTAMP '2024-01-01 01:00:00' AS t, 'a' AS x, 'b' AS y")
+    b = spark.sql("SELECT 1 AS k, 9007199254740992L AS n, TIMESTAMP '2024-01-01 23:00:00' AS t, 'a' AS x, 'b' AS y")
+    classes = diff.infer_classes(a.drop("k"))
+    assert classes["t"] == "timestamp"
+    found = {r.feature: (r.value_mismatches, r.maximum_absolute_difference) for r in diff.compare_tables(a, b, ["k"], classes).collect()}
+    assert found["n"] == (1, 1.0) and found["t"][0] == 1 and found["x"][0] == 0
+
+    def digest(df, *columns):
+        return tables.fingerprint(df, list(columns)).first()
+
+    assert digest(a, "t") != digest(b, "t")
+    pairs = spark.sql("SELECT 'a\x1fb' AS x, 'c' AS y"), spark.sql("SELECT 'a' AS x, 'b\x1fc' AS y")
+    assert digest(pairs[0], "x", "y") != digest(pairs[1], "x", "y")
+    assert digest(spark.sql("SELECT '<NULL>' AS x"), "x") != digest(spark.sql("SELECT CAST(NULL AS STRING) AS x"), "x")
+    long = "SELECT CAST('12345678901234567{}.50' AS DECIMAL(38,2)) AS x"
+    assert digest(spark.sql(long.format(1)), "x") != digest(spark.sql(long.format(2)), "x")
+    assert digest(spark.sql("SELECT DATE '2024-01-01' AS x"), "x") == digest(spark.sql("SELECT TIMESTAMP '2024-01-01' AS x"), "x")
