@@ -8,6 +8,7 @@ aggregate per step gives every group's gradient and curvature, d + d² sums each
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -142,14 +143,15 @@ class LogisticFits:
     features: list[str]
     groups: dict[int, np.ndarray]
     iterations: int
+    unfinished: frozenset[int] = frozenset()  # groups that ran out of steps
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [
-            (int(g), name, float(v))
+            (int(g), name, float(v), g not in self.unfinished)
             for g, beta in self.groups.items()
             for name, v in zip(["intercept", *self.features], beta, strict=True)
         ]
-        return spark.createDataFrame(rows, "fit int, encoded_feature string, coefficient double")
+        return spark.createDataFrame(rows, "fit int, encoded_feature string, coefficient double, converged boolean")
 
     def score(self, df: DataFrame, group: Column | None = None, out: str = "score") -> DataFrame:
         """Probability under the fit named by ``group`` (the only fit by default)."""
@@ -176,7 +178,8 @@ def fit_logistic(
     """Ridge-penalised logistic regression for every group at once; the intercept is free.
 
     Minimises Σ weight·loss + ‖β‖²/(2c) per group. ``group`` holds small integers, one
-    per fit, whose number is set by the caller (folds or resamples).
+    per fit, whose number is set by the caller (folds or resamples). Fits that run out
+    of steps cause a warning and are named in ``unfinished``.
     """
     features = list(features)
     d = len(features) + 1
@@ -233,7 +236,9 @@ def fit_logistic(
         active -= settled
         if not active:
             break
-    return LogisticFits(features, betas, step)
+    if active:
+        warnings.warn(f"{len(active)} of {len(betas)} logistic fits did not converge in {maximum} steps", RuntimeWarning, stacklevel=2)
+    return LogisticFits(features, betas, step, frozenset(active))
 
 
 def fit_copies(df: DataFrame, folds: int, fold: str = "fold", out: str = "fit") -> DataFrame:

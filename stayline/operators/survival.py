@@ -8,6 +8,7 @@ of distinct durations only.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -322,13 +323,17 @@ def cox_design(
 
 @dataclass
 class CoxFit:
-    """Coefficients in feature order, their covariance and the fit's log partial likelihood."""
+    """Coefficients in feature order, their covariance and the fit's log partial likelihood.
+
+    ``converged`` is false where the steps ran out before the coefficients stood still.
+    """
 
     features: list[str]
     beta: np.ndarray
     covariance: np.ndarray
     log_likelihood: float
     iterations: int
+    converged: bool
 
 
 def _upper(d: int) -> list[tuple[int, int]]:
@@ -394,16 +399,21 @@ def fit_cox(
 ) -> CoxFit:
     """Ridge-penalised Cox model with Efron ties, by Newton steps.
 
-    Maximises the mean log partial likelihood minus ½·penalizer·‖β‖² on the given
-    feature scale. Each step is one distributed aggregate over the rows; the driver
-    sees one row of d + d² sums.
+    Maximises the mean log partial likelihood minus ½·penalizer·Σ(σ·β)², where σ is the
+    feature's sample deviation: the penalty does not depend on a feature's unit. A step
+    that lowers the objective is halved. Each step is one distributed aggregate over the
+    rows; the driver sees one row of d + d² sums. A fit that runs out of steps warns and
+    says so in ``converged``.
     """
     features = list(features)
     d = len(features)
     pairs = _upper(d)
-    n = df.count()
+    df = settle(df.select(duration, event, *features))
+    scale = df.agg(F.count(F.lit(1)).alias("n"), *[F.stddev_samp(f).alias(f"s_{i}") for i, f in enumerate(features)]).first()
+    n = scale["n"]
+    ridge = penalizer * np.array([(scale[f"s_{i}"] or 1.0) ** 2 for i in range(d)])
     plan = plan_ranges(df.select(duration).distinct(), [Key(duration, True)])
-    beta, previous, done = np.zeros(d), -math.inf, 0
+    beta, move, best, done, converged = np.zeros(d), np.zeros(d), -math.inf, 0, False
     for done in range(1, maximum + 1):
         risk = _risk_sets(df, features, duration, event, beta, plan).where(F.col("d") > 0)
         risk = risk.join(_tied_sums(risk, duration), duration)
@@ -422,17 +432,24 @@ def fit_cox(
             *[F.sum(F.col(f"x_{i}") - (F.col("a1") * F.col(f"s1_{i}") - F.col("a2") * F.col(f"d1_{i}"))).alias(f"g_{i}") for i in range(d)],
             *[F.sum(curvature(i, j)).alias(f"h_{i}_{j}") for i, j in pairs],
         ).first()
-        gradient = np.array([row[f"g_{i}"] for i in range(d)]) / n - penalizer * beta
+        gradient = np.array([row[f"g_{i}"] for i in range(d)]) / n - ridge * beta
         information = np.zeros((d, d))
         for i, j in pairs:
             information[i, j] = information[j, i] = row[f"h_{i}_{j}"] / n
-        information += penalizer * np.eye(d)
-        objective = row["ll"] / n - 0.5 * penalizer * float(beta @ beta)
+        information += np.diag(ridge)
+        objective = row["ll"] / n - 0.5 * float(ridge @ beta**2)
+        if objective < best - 1e-9 * abs(best):
+            move = move / 2.0  # the step was too long: go half way back
+            beta = beta - move
+            continue
         move = np.linalg.solve(information, gradient)
-        if np.max(np.abs(move)) < tolerance or abs(objective - previous) < tolerance * 1e-3:
+        converged = np.max(np.abs(move) * np.sqrt(ridge / penalizer if penalizer else 1.0)) < tolerance or abs(objective - best) < tolerance * 1e-3
+        if converged:
             break
-        beta, previous = beta + move, objective
-    return CoxFit(features, beta, np.linalg.inv(information) / n, float(row["ll"]), done)
+        beta, best = beta + move, objective
+    if not converged:
+        warnings.warn(f"the proportional-hazards fit did not converge in {maximum} steps", RuntimeWarning, stacklevel=2)
+    return CoxFit(features, beta, np.linalg.inv(information) / n, float(row["ll"]), done, bool(converged))
 
 
 def hazard_ratios(fit: CoxFit, df: DataFrame, confidence: float = 0.95) -> DataFrame:
@@ -444,12 +461,12 @@ def hazard_ratios(fit: CoxFit, df: DataFrame, confidence: float = 0.95) -> DataF
         z = b / se
         direction = "Higher modeled exit hazard" if b > 0 else "Lower modeled exit hazard"
         rows.append(
-            (name, float(b), math.exp(b), math.exp(b - z0 * se), math.exp(b + z0 * se), se, float(z), math.erfc(abs(z) / math.sqrt(2.0)), direction)
+            (name, float(b), math.exp(b), math.exp(b - z0 * se), math.exp(b + z0 * se), se, float(z), math.erfc(abs(z) / math.sqrt(2.0)), direction, fit.converged)
         )
     return df.sparkSession.createDataFrame(
         rows,
         "encoded_feature string, log_hazard_coefficient double, hazard_ratio double, hazard_ratio_lower_95 double, "
-        "hazard_ratio_upper_95 double, standard_error double, z double, p_value double, association_direction string",
+        "hazard_ratio_upper_95 double, standard_error double, z double, p_value double, association_direction string, converged boolean",
     )
 
 
@@ -532,14 +549,16 @@ def proportionality_check(
     """Scaled Schoenfeld residuals against the rank of the event time, per feature.
 
     All exits of one duration share their rank, so sums of residuals per distinct
-    duration are enough.
+    duration are enough. Tied exits have the Efron means of the fit.
     """
+    df = settle(df.select(duration, event, *fit.features))
     plan = plan_ranges(df.select(duration).distinct(), [Key(duration, True)])
     risk = _risk_sets(df, fit.features, duration, event, fit.beta, plan).where(F.col("d") > 0)
+    risk = risk.join(_tied_sums(risk, duration), duration)
     ranks = average_ranks(df.where(F.col(event) == 1).select(duration), duration, out="_g").distinct()
     joined = risk.join(ranks, duration)
     d = len(fit.features)
-    residual = [F.col(f"x_{i}") - F.col("d") * F.col(f"s1_{i}") / F.col("s0") for i in range(d)]
+    residual = [F.col(f"x_{i}") - (F.col("a1") * F.col(f"s1_{i}") - F.col("a2") * F.col(f"d1_{i}")) for i in range(d)]
     g, w = F.col("_g"), F.col("d").cast("double")
     row = joined.agg(
         F.sum(w).alias("events"), F.sum(w * g).alias("g1"), F.sum(w * g * g).alias("g2"),

@@ -51,7 +51,7 @@ def efron(data, beta, penalizer):
         risk, dead = (data.t >= t).to_numpy(), ((data.t == t) & (data.e == 1)).to_numpy()
         d = dead.sum()
         ll += eta[dead].sum() - sum(math.log(r[risk].sum() - l / d * r[dead].sum()) for l in range(d))
-    return ll / len(data) - 0.5 * penalizer * beta @ beta
+    return ll / len(data) - 0.5 * penalizer * (beta**2 @ x.var(axis=0, ddof=1))
 
 
 def test_cox_maximises_the_penalised_efron_likelihood(lives, monkeypatch):
@@ -61,13 +61,48 @@ def test_cox_maximises_the_penalised_efron_likelihood(lives, monkeypatch):
     best = efron(data, fit.beta, 0.05)
     for step in ([1e-3, 0], [-1e-3, 0], [0, 1e-3], [0, -1e-3]):
         assert efron(data, fit.beta + np.array(step), 0.05) < best
-    assert fit.beta[0] > 0.3 and fit.beta[1] < 0.0
+    assert fit.converged and fit.beta[0] > 0.3 and fit.beta[1] < 0.0
     table = survival.hazard_ratios(fit, lives).collect()
     assert all(r.hazard_ratio_lower_95 < r.hazard_ratio < r.hazard_ratio_upper_95 for r in table)
     check = survival.proportionality_check(lives, fit, "t", "e").collect()
     assert all(0 <= r.p <= 1 for r in check)
 
 
+def test_cox_does_not_depend_on_the_unit_of_a_feature(lives):
+    fit = survival.fit_cox(lives, ["a", "b"], "t", "e", 0.5)
+    other = survival.fit_cox(lives.withColumn("a", F.col("a") * 1000), ["a", "b"], "t", "e", 0.5)
+    assert np.allclose(fit.beta * [1e-3, 1], other.beta, rtol=1e-4)
+    with pytest.warns(RuntimeWarning):
+        assert not survival.fit_cox(lives, ["a", "b"], "t", "e", 0.05, maximum=1).converged
+
+
+def schoenfeld(data, beta):
+    """Per exit time: the exits' features minus the Efron means of the risk set."""
+    x, out = data[["a", "b"]].to_numpy(), []
+    r = np.exp(x @ beta)
+    for t in sorted(set(data.t[data.e == 1])):
+        risk, dead = (data.t >= t).to_numpy(), ((data.t == t) & (data.e == 1)).to_numpy()
+        d, total = dead.sum(), x[dead].sum(axis=0)
+        for l in range(d):
+            w = np.where(risk, r, 0) - l / d * np.where(dead, r, 0)
+            total = total - w @ x / w.sum()
+        out.append((t, d, total))
+    return out
+
+
+def test_proportionality_uses_the_tied_means_of_the_fit(lives):
+    fit = survival.fit_cox(lives, ["a", "b"], "t", "e", 0.05)
+    times = schoenfeld(lives.toPandas(), fit.beta)
+    sizes = np.array([d for _, d, _ in times], float)
+    ranks = np.cumsum(sizes) - (sizes - 1) / 2
+    centred = ranks - (sizes @ ranks) / sizes.sum()
+    u = centred @ np.array([r for _, _, r in times])
+    spread, events = sizes @ centred**2, sizes.sum()
+    want = (events * fit.covariance @ u) ** 2 / (events * np.diag(fit.covariance) * spread)
+    got = [r.test_statistic for r in survival.proportionality_check(lives, fit, "t", "e").collect()]
+    assert np.allclose(got, want, rtol=1e-6)
+
+
 def test_concordance_counts_pairs_exactly(lives):
     scored = lives.withColumn("s", F.round("a", 1))
     row = survival.concordance(scored, "s", "t", "e").first()
@@ -142,6 +177,13 @@ def test_logistic_matches_numpy(encoded):
     assert np.allclose(fit, penalised_logit(d[enc.columns].to_numpy(), d.y.to_numpy(), w, 1.0), atol=1e-6)
 
 
+def test_separable_rows_are_reported(spark):
+    frame = spark.createDataFrame([(float(i), int(i > 100)) for i in range(200)], "v double, y int")
+    with pytest.warns(RuntimeWarning):
+        fit = model.fit_logistic(frame, ["v"], "y", c=1e12)
+    assert fit.unfinished == {0} and not fit.table(spark).first().converged
+
+
 def test_single_and_grouped_fits_agree(encoded):
     enc, frame = encoded
     mllib = model.fit_candidate("Logistic Regression", frame, enc.columns, "y")
