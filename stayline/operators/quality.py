@@ -372,13 +372,11 @@ def label_rebuild(panel: DataFrame, master: DataFrame, key: str, label: str, exp
     )
 
 
-def windows_disjoint(spark: SparkSession, calendar: Sequence[tuple[int, str, str, str | None]]) -> DataFrame:
-    """A snapshot never precedes the horizon end of the one before."""
-    table = spark.createDataFrame(
-        [(s, d, h) for s, _, d, h in calendar], "sequence int, snapshot string, horizon string"
-    ).select("sequence", F.to_date("snapshot").alias("d"), F.to_date("horizon").alias("h"))
-    following = F.lead("d").over(Window.partitionBy(F.lit(0)).orderBy("sequence"))  # a handful of dates
-    gaps = table.withColumn("_gap", F.datediff(following, "h"))
+def windows_disjoint(panel: DataFrame, sequence: str, snapshot: str, horizon: str) -> DataFrame:
+    """A snapshot of the panel never precedes the horizon end of the one before."""
+    table = panel.select(sequence, snapshot, horizon).distinct()
+    following = F.lead(snapshot).over(Window.partitionBy(F.lit(0)).orderBy(sequence))  # one row per snapshot
+    gaps = table.withColumn("_gap", F.datediff(following, horizon))
     return no_violations(gaps.agg(count_if(F.col("_gap") < 0).alias("overlapping windows")), {"overlapping windows": "next snapshot >= horizon end"})
 
 

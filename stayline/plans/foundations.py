@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stayline.functions import expr as x
 from stayline.operators import asof, panel, rank, reports
 from stayline.plans.binding import AS_OF, SNAPSHOTS, snapshot_values
 from stayline.plans.registry import Tables, query
+from stayline.session import checkpoint_dir, store
 from stayline.sources import tables as src
 
 def today():
@@ -111,28 +114,43 @@ def _(t: Tables):
        FROM employees GROUP BY 1""",
 )
 def _(t: Tables):
-    # the layout a partitioned sink writes: rows per partition value
-    return (
-        t["employees"]
-        .groupBy(F.concat(F.lit("S"), F.year("hire_date").cast("string")).alias("partition_value"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.min("employee_id").alias("first_id"))
-    )
+    # written by year of hire and read back: the partition value comes from the folder names
+    path = f"{checkpoint_dir(t.spark)}/layout-{uuid.uuid4().hex}"
+    value = F.concat(F.lit("S"), F.year("hire_date").cast("string"))
+    src.write_partitioned(t["employees"].withColumn("partition_value", value), path, "partition_value")
+    written = t.spark.read.parquet(path)
+    return written.groupBy("partition_value").agg(F.count(F.lit(1)).alias("rows"), F.min("employee_id").alias("first_id"))
 
 
 @query(
     "s8_two_source_parity",
     "compensation_history",
-    """SELECT 'compensation_history' AS table_name, COUNT(*) AS first_rows, COUNT(*) AS second_rows,
-       COUNT(*) - COUNT(DISTINCT compensation_id) AS first_duplicate_keys,
-       COUNT(*) - COUNT(DISTINCT compensation_id) AS second_duplicate_keys,
-       true AS same_columns, true AS same_rows, true AS same_content FROM compensation_history""",
+    """WITH changed AS (
+         SELECT compensation_id, CASE WHEN compensation_id % 7 = 3 THEN base_salary + 1 ELSE base_salary END AS base_salary FROM compensation_history
+         UNION ALL SELECT compensation_id, base_salary FROM compensation_history WHERE compensation_id % 11 = 5
+       ), versions AS (
+         SELECT 'changed' AS table_name, compensation_id, base_salary FROM changed
+         UNION ALL SELECT 'written', compensation_id, base_salary FROM compensation_history
+       ), sizes AS (
+         SELECT table_name, COUNT(*) AS n, COUNT(*) - COUNT(DISTINCT compensation_id) AS k FROM versions GROUP BY table_name
+       ), gaps AS (
+         SELECT table_name, COUNT(*) AS g FROM (
+           SELECT table_name, compensation_id, base_salary, COUNT(*) AS n FROM versions GROUP BY ALL
+           EXCEPT SELECT v.name, compensation_id, base_salary, COUNT(*) FROM compensation_history, (VALUES ('changed'), ('written')) v(name) GROUP BY ALL
+         ) GROUP BY table_name
+       )
+       SELECT table_name, f.n AS first_rows, s.n AS second_rows, f.k AS first_duplicate_keys, s.k AS second_duplicate_keys,
+         true AS same_columns, f.n = s.n AS same_rows, COALESCE(g, 0) = 0 AND f.n = s.n AS same_content
+       FROM sizes s CROSS JOIN (SELECT n, k FROM sizes WHERE table_name = 'written') f LEFT JOIN gaps USING (table_name)""",
 )
 def _(t: Tables):
-    name = "compensation_history"
-    second = t[name].select(*t[name].columns)
-    return src.parity_report({name: t[name]}, {name: second}, {name: ["compensation_id"]}).drop(
-        "first_digest", "second_digest"
-    )
+    # against a copy that was written and read back, and one with changed and repeated rows
+    first = t["compensation_history"]
+    salary = F.when(F.col("compensation_id") % 7 == 3, F.col("base_salary") + 1).otherwise(F.col("base_salary"))
+    changed = first.withColumn("base_salary", salary).unionByName(first.where("compensation_id % 11 = 5"))
+    second = {"written": store(first), "changed": changed}
+    report = src.parity_report({n: first for n in second}, second, {n: ["compensation_id"] for n in second})
+    return report.drop("first_digest", "second_digest")
 
 
 # ---- projections and predicates ---------------------------------------------------------------

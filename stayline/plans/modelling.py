@@ -123,7 +123,7 @@ def _(t: Tables):
     _, _, scored = calibrated(t)
     long = settle(model.calibrated_long(scored, "raw_score", [ID, Y]))
     table = settle(metrics.calibration_metrics(long, "probability", Y, ID, ["method"]))
-    weights = resample.bootstrap_weights(scored.select(ID, Y), ID, 50, 42, Y).join(long.drop(Y), ID)
+    weights = resample.bootstrap_weights(scored.select(ID, Y), ID, 500, 42, Y).join(long.drop(Y), ID)
     drawn = metrics.probability_metrics(weights, "probability", Y, ["iteration", "method"], weight="weight").select(
         "iteration", F.col("method").alias("model"), "brier_score"
     )
@@ -132,12 +132,12 @@ def _(t: Tables):
     return round_all(model.choose_calibration(table, pairs), 4)
 
 
-@query("l6_out_of_fold_coverage", "scored", """SELECT COUNT(*) AS rows, CAST(0 * COUNT(*) AS BIGINT) AS unscored, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS entity_folds FROM scored WHERE period = 'train'""")
+@query("l6_out_of_fold_coverage", "scored", """SELECT COUNT(*) AS rows, COUNT(actual_attrition) AS scored, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS entity_folds FROM scored WHERE period = 'train'""")
 def _(t: Tables):
     oof = model.out_of_fold_scores(split(t, "train"), encoder(t), USER, ID, Y)
     return oof.agg(
         F.count(F.lit(1)).alias("rows"),
-        x.count_if(F.col("raw_score").isNull()).alias("unscored"),
+        F.count("raw_score").alias("scored"),
         F.count_distinct(USER, "fold").alias("entity_folds"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -726,9 +728,9 @@ def _(t: Tables):
     + checks_sql(("overlapping windows", "next snapshot >= horizon end", "SELECT COUNT(*) FROM g WHERE gap < 0")),
 )
 def _(t: Tables):
-    # only snapshots that occur in the data are compared
-    present = {str(r[0]) for r in t["employees"].select(F.explode(F.array(*[F.lit(s[2]) for s in SNAPSHOTS])).alias("d"), "hire_date").where("hire_date <= d").select("d").distinct().collect()}
-    return quality.windows_disjoint(t.spark, [s for s in SNAPSHOTS if s[2] in present])
+    windows = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(d).cast("date").alias("d"), F.lit(h).cast("date").alias("h")) for s, _, d, h in SNAPSHOTS])
+    hired = t["employees"].select("hire_date", F.explode(windows).alias("w")).where("hire_date <= w.d").select("w.*")
+    return quality.windows_disjoint(hired, "s", "d", "h")
 
 
 @query(
@@ -864,9 +866,9 @@ def _(t: Tables):
 def _(t: Tables):
     frame = full_panel(t)
     tables = hr(t)
-    for name, df in tables.items():
-        df.createOrReplaceTempView(f"hr_{name}")
-    second = t.spark.sql(PANEL_SQL_SPARK)
+    # passed in by name, so no temporary view of the caller is touched
+    used = re.findall(r"{(hr_\w+)}", PANEL_SQL_SPARK)
+    second = t.spark.sql(PANEL_SQL_SPARK, **{name: tables[name[3:]] for name in used})
     columns = ["employee_id", "snapshot_date", *[c for c in second.columns if c not in ("employee_id", "snapshot_date")]]
     first = frame.select(*columns)
     classes = diff.infer_classes(first.drop("employee_id", "snapshot_date"))
@@ -875,11 +877,11 @@ def _(t: Tables):
 
 # The compensation and event figures of the panel, written as correlated SQL.
 PANEL_SQL_SPARK = f"""WITH cal AS (SELECT * FROM VALUES {', '.join(f"({s}, DATE '{d}')" for s, _, d, _ in SNAPSHOTS)} AS c(sequence, snapshot_date)),
-  people AS (SELECT employee_id, snapshot_date FROM hr_employees JOIN cal ON hire_date <= snapshot_date AND (termination_date IS NULL OR termination_date > snapshot_date)),
+  people AS (SELECT employee_id, snapshot_date FROM {{hr_employees}} JOIN cal ON hire_date <= snapshot_date AND (termination_date IS NULL OR termination_date > snapshot_date)),
   pay AS (SELECT p.employee_id, p.snapshot_date, h.base_salary, h.effective_date, ROW_NUMBER() OVER (PARTITION BY p.employee_id, p.snapshot_date ORDER BY effective_date DESC, compensation_id DESC) AS r,
-    COUNT(*) OVER (PARTITION BY p.employee_id, p.snapshot_date) AS n FROM people p JOIN hr_compensation_history h ON h.employee_id = p.employee_id AND h.effective_date <= p.snapshot_date),
+    COUNT(*) OVER (PARTITION BY p.employee_id, p.snapshot_date) AS n FROM people p JOIN {{hr_compensation_history}} h ON h.employee_id = p.employee_id AND h.effective_date <= p.snapshot_date),
   ev AS (SELECT p.employee_id, p.snapshot_date, COUNT_IF(event_type = 'Promotion') AS promotions, COUNT_IF(event_type = 'Leave' AND event_date > ADD_MONTHS(p.snapshot_date, -12)) AS leaves
-    FROM people p JOIN hr_employee_events e ON e.employee_id = p.employee_id AND e.event_date <= p.snapshot_date GROUP BY ALL)
+    FROM people p JOIN {{hr_employee_events}} e ON e.employee_id = p.employee_id AND e.event_date <= p.snapshot_date GROUP BY ALL)
   SELECT p.employee_id, p.snapshot_date, base_salary, CAST(DATEDIFF(p.snapshot_date, effective_date) AS BIGINT) AS days_since_compensation_change, n AS compensation_record_count,
     promotions AS prior_promotion_events, leaves AS leaves_12m FROM people p LEFT JOIN pay ON pay.employee_id = p.employee_id AND pay.snapshot_date = p.snapshot_date AND r = 1
     LEFT JOIN ev ON ev.employee_id = p.employee_id AND ev.snapshot_date = p.snapshot_date"""

@@ -274,10 +274,10 @@ def _(t: Tables):
     "r4_stratified_row_folds",
     "labeled",
     f"""SELECT doc_id, repeat, CAST((ROW_NUMBER() OVER (PARTITION BY repeat, toxic ORDER BY {draw_sql("'7'", 'repeat', 'doc_id')}, doc_id) - 1) % 5 + 1 AS INT) AS fold
-    FROM labeled, (SELECT CAST(unnest(range(1, 3)) AS INT) AS repeat)""",
+    FROM labeled, (SELECT CAST(unnest(range(1, 11)) AS INT) AS repeat)""",
 )
 def _(t: Tables):
-    return resample.row_folds(t["labeled"], "doc_id", "toxic", 5, 7, repeats=2)
+    return resample.row_folds(t["labeled"], "doc_id", "toxic", 5, 7, repeats=10)
 
 
 @query(

@@ -77,6 +77,13 @@ def test_failed_checks_raise(spark):
 def test_leaky_columns_and_policy_coverage(spark):
     df = spark.createDataFrame([("a", 1)], "termination_date string, x int")
     assert quality.forbidden_columns(df, ["termination_date"]).first().status == "FAIL"
+
+
+def test_overlapping_windows_are_found(spark):
+    rows = [(1, "2023-06-30", "2024-06-30"), (1, "2023-06-30", "2024-06-30"), (2, "2024-06-30", "2025-06-30"), (3, "2025-01-31", None)]
+    panel = spark.createDataFrame(rows, "s int, d string, h string").select("s", F.to_date("d").alias("d"), F.to_date("h").alias("h"))
+    assert quality.windows_disjoint(panel, "s", "d", "h").first().observed == 1
+    assert quality.windows_disjoint(panel.where("s < 3"), "s", "d", "h").first().status == "PASS"
     rows = {r.check: r.status for r in quality.policy_coverage(df, {"n": ["x"]}, {"x": "1"}).collect()}
     assert rows["columns without role"] == "FAIL" and rows["reference x"] == "PASS"
 
