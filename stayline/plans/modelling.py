@@ -70,7 +70,7 @@ def _(t: Tables):
 def _(t: Tables):
     enc = encoder(t)
     scores, table = model.compare_candidates(
-        split(t, "train"), split(t, "validation"), enc, Y, ID, ("Random Forest", "Gradient Boosting"), trees=20, rounds=10
+        split(t, "train"), split(t, "validation"), enc, Y, ID, ("Random Forest", "Gradient Boosting")
     )
     return round_all(table.select("model", "rows", "pr_auc", "roc_auc", "brier_score"), 4)
 
@@ -84,20 +84,21 @@ def _(t: Tables):
     return round_all(model.prior_score(split(t, "train"), split(t, "validation"), Y).select(ID, "score"), 8)
 
 
+SIMPLEST_FIRST = ["Logistic Regression", "Gradient Boosting", "Random Forest"]
+
+
 def candidates(t: Tables):
-    return model.compare_candidates(
-        split(t, "train"), split(t, "validation"), encoder(t), Y, ID, ("Logistic Regression", "Gradient Boosting"), rounds=10
-    )
+    return model.compare_candidates(split(t, "train"), split(t, "validation"), encoder(t), Y, ID, SIMPLEST_FIRST)
 
 
 @query("l5_candidate_choice", "scored")
 def _(t: Tables):
     scores, table = candidates(t)
     rows = scores.select(ID, Y).distinct()
-    weights = resample.bootstrap_weights(rows, ID, 50, 42, Y).join(scores.drop(Y), ID)
+    weights = resample.bootstrap_weights(rows, ID, 500, 42, Y).join(scores.drop(Y), ID)
     drawn = settle(metrics.rank_metrics(settle(weights), "score", Y, ["iteration", "model"], "weight"))
     pairs = resample.paired_differences(drawn, table, "model", "pr_auc")
-    return round_all(model.choose_model(table, pairs, ["Logistic Regression", "Gradient Boosting"]), 4)
+    return round_all(model.choose_model(table, pairs, SIMPLEST_FIRST), 4)
 
 
 def calibrated(t: Tables):
