@@ -181,27 +181,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(batches: Iterator[pa.RecordBatch], bands: int, least: float) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Pairs of different classes from two lots of one bucket whose registers agree often enough.
 
-    A pair that shares several bands is given by the first of them alone.
+    A pair that shares several buckets is given by each of them: registers are too short to tell which bands it shares.
     """
     for batch in batches:
         found: tuple[list, list] = ([], [])
         for r in range(batch.num_rows):
-            band, left, right = (batch.column(i)[r].as_py() for i in range(3))
+            left, right = (batch.column(i)[r].as_py() for i in range(2))
             sides = [np.frombuffer(b"".join(x["registers"] for x in lot), np.uint8).reshape(len(lot), -1) for lot in (left, right)]
             classes = [np.array([x["label"] for x in lot]) for lot in (left, right)]
-            packed = [x.reshape(len(x), bands, -1) for x in sides]
             for i in range(len(left)):
                 agree = (sides[0][i] == sides[1]).mean(axis=1)
-                other = np.flatnonzero((agree >= least) & (classes[1] != classes[0][i]))
-                if len(other):
-                    first = (packed[0][i] == packed[1][other]).all(axis=2).argmax(axis=1)
-                    for j in other[first == band].tolist():
-                        pair = sorted((left[i]["node"], right[j]["node"]))
-                        found[0].append(pair[0])
-                        found[1].append(pair[1])
+                for j in np.flatnonzero((agree >= least) & (classes[1] != classes[0][i])).tolist():
+                    pair = sorted((left[i]["node"], right[j]["node"]))
+                    found[0].append(pair[0])
+                    found[1].append(pair[1])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in found], names=["a", "b"])
 
 
@@ -213,10 +209,10 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return store(both.mapInArrow(lambda batches: _verify(batches, least), "a string, b string"))
 
 
-def linked(members: DataFrame, texts: DataFrame, least: float, bands: int) -> DataFrame:
+def linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(node, label) for the nodes that link to another: classes of the graph of all similar pairs that share a bucket.
 
-    ``members`` has (band, bucket, node), ``texts`` (node, text, registers). First each bucket has one centre, in
+    ``members`` has (bucket, node), ``texts`` (node, text, registers). First each bucket has one centre, in
     STARS rounds another one each, which is compared with the members of other classes; near copies of one text are
     joined by a few such links instead of by all pairs. Buckets within one class are then done. In the others every
     member outside the largest class is held against all members of other classes, lot by lot: first by their
@@ -228,7 +224,7 @@ def linked(members: DataFrame, texts: DataFrame, least: float, bands: int) -> Da
     for turn in range(STARS + 1):
         named = store(
             members.join(labels, "node", "left").select(
-                "band", "bucket", "node", F.coalesce("label", "node").alias("label"),
+                "bucket", "node", F.coalesce("label", "node").alias("label"),
                 F.xxhash64("bucket", "node", F.lit(turn)).alias("draw"),
             )
         )
@@ -250,11 +246,11 @@ def linked(members: DataFrame, texts: DataFrame, least: float, bands: int) -> Da
             open_ = named.join(state.select("bucket", F.col("main.label").alias("main"), lots), "bucket")
             open_ = open_.join(texts.select("node", "registers"), "node")
             item = F.struct("node", "label", "registers").alias("item")
-            placed = open_.select("band", "bucket", F.pmod("draw", "lots").alias("lot"), (F.col("label") != F.col("main")).alias("out"), item)
-            every = placed.groupBy("band", "bucket", "lot").agg(F.collect_list("item").alias("members"))
+            placed = open_.select("bucket", F.pmod("draw", "lots").alias("lot"), (F.col("label") != F.col("main")).alias("out"), item)
+            every = placed.groupBy("bucket", "lot").agg(F.collect_list("item").alias("members"))
             outside = placed.filter("out").groupBy("bucket", "lot").agg(F.collect_list("item").alias("centres")).drop("lot")
-            met = store(every.drop("lot")).join(store(outside), "bucket").select("band", "centres", "members")
-            pairs = met.mapInArrow(lambda batches: _across(batches, bands, least - MARGIN), "a string, b string")
+            met = store(every.drop("lot")).join(store(outside), "bucket").select("centres", "members")
+            pairs = met.mapInArrow(lambda batches: _across(batches, least - MARGIN), "a string, b string")
         found = verified(store(pairs.select("a", "b").distinct()), texts, least)
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
@@ -283,13 +279,13 @@ def near_duplicates(
     worded = signed.filter("n_words > 0")
     nodes = store(worded.groupBy("node").agg(F.min(F.struct("id", "mark", "bands", "registers")).alias("first"), F.count(F.lit(1)).alias("rows")))
     # a short name in the two wide shuffles; two texts of one short name would only be compared in vain
-    buckets = nodes.select(F.xxhash64("node").alias("short"), F.posexplode("first.bands").alias("band", "bucket"))
+    buckets = nodes.select(F.xxhash64("node").alias("short"), F.explode("first.bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("short").alias("one"), F.max("short").alias("other")).filter("one <> other")
     found = buckets.join(store(shared.select("bucket")), "bucket", "left_semi")
     members = store(found.join(nodes.select(F.xxhash64("node").alias("short"), "node"), "short").drop("short"))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first.id", "first.mark", "first.registers")
     texts = store(named.dropDuplicates(["id", "mark"]).join(wanted, ["id", "mark"]).select("node", "text", "registers"))
-    labels = linked(members, texts, least, bands)
+    labels = linked(members, texts, least)
     placed = nodes.select("node", "rows", F.struct("first.id", "first.mark").alias("first")).join(labels, "node", "left")
     placed = store(placed.select("node", "rows", "first", F.coalesce("label", "node").alias("label")))
     classes = placed.groupBy("label").agg(F.min("first").alias("class"), F.sum("rows").alias("class_size"))

@@ -179,6 +179,17 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(frame).collect()} == want
 
 
+def test_links_whose_registers_agree_by_chance(spark):
+    """Two near copies meet in one bucket among strangers; an earlier band agrees in its registers' bytes alone."""
+    alike = {"a": WORDS, "b": WORDS + " more"}
+    texts = alike | {f"n{i}": " ".join(f"other{i}x{k}" for k in range(20)) for i in range(40)}
+    rng = np.random.default_rng(1)
+    registers = {n: bytes(320) if n in alike else rng.integers(1, 256, 320).astype(np.uint8).tobytes() for n in texts}
+    members = spark.createDataFrame([(3, 77, n) for n in texts], "band int, bucket long, node string")
+    frame = spark.createDataFrame([(n, t, registers[n]) for n, t in texts.items()], "node string, text string, registers binary")
+    assert {r.node: r.label for r in bagminhash.linked(members, frame, 0.8).collect()} == {"a": "a", "b": "a"}
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(3)
     values = rng.integers(1, 2**63, 300).astype(np.uint64)
