@@ -24,7 +24,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 KINDS = ("email", "ip", "card", "phone", "secret", "account", "local_phone", "spoken_email")
 
 # Fixed values of the labelers.
-TOKEN = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+(?: [0-9][0-9 -]*+)?")
+TOKEN = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+")
 SPOKEN = re.compile(r"(?<![\w.])[\w.+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[\w-]{1,64} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,12}\b", re.I)
 STRIP = "\"'`()[]{}<>,;:!?.=*#$%&|"
 HEX = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")
@@ -130,29 +130,28 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     """(kind, start, end, votes) of the spans outside ``taken`` that a labeler may call personal."""
     found = []
     for m in TOKEN.finditer(text):
-        for part in re.finditer(r"\S+", m.group()):
-            raw = part.group()
-            token = raw.strip(STRIP)
-            start = m.start() + part.start() + (raw.index(token) if token else 0)
-            if "=" in token.rstrip("=")[:-1]:
-                start += token.index("=") + 1
-                token = token[token.index("=") + 1 :].strip(STRIP)
-                start = text.index(token, start) if token else start
-            if not token or PLAIN.fullmatch(token) and not ACCOUNT.fullmatch(token) and not NATIONAL.fullmatch(token):
-                continue
-            if ACCOUNT.fullmatch(token):
-                kind = "account"
-            elif NATIONAL.fullmatch(token):
-                kind = "local_phone"
-            elif HEX.fullmatch(token) or RANDOM.fullmatch(token):
-                kind = "secret"
-            else:
-                continue
-            found.append((kind, start, start + len(token)))
+        raw = m.group()
+        token = raw.strip(STRIP)
+        start = m.start() + (raw.index(token) if token else 0)
+        if "=" in token.rstrip("=")[:-1]:
+            start += token.index("=") + 1
+            token = token[token.index("=") + 1 :].strip(STRIP)
+            start = text.index(token, start) if token else start
+        if not token or PLAIN.fullmatch(token) and not ACCOUNT.fullmatch(token) and not NATIONAL.fullmatch(token):
+            continue
+        if ACCOUNT.fullmatch(token):
+            kind = "account"
+        elif NATIONAL.fullmatch(token):
+            kind = "local_phone"
+        elif HEX.fullmatch(token) or RANDOM.fullmatch(token):
+            kind = "secret"
+        else:
+            continue
+        found.append((kind, start, start + len(token)))
     for m in re.finditer(r"(?<![\w+.(-])\(?[0-9]{3}\)? ?[.-]?[0-9]{3}[ .-][0-9]{4}(?![\w-])", text):
         found.append(("local_phone", m.start(), m.end()))
-    lowered = " at " in text or "(at)" in text or "[at]" in text
-    if lowered and (" dot " in text or "(dot)" in text or "[dot]" in text):
+    lowered = text.lower()
+    if any(w in lowered for w in (" at ", "(at)", "[at]")) and any(w in lowered for w in (" dot ", "(dot)", "[dot]")):
         found += [("spoken_email", m.start(), m.end()) for m in SPOKEN.finditer(text)]
     out, free = [], sorted((s, e) for _, s, e in taken)
     for kind, start, end in sorted(set(found), key=lambda x: (x[1], -x[2])):

@@ -142,6 +142,17 @@ def test_personal_data(spark, docs):
     assert pii.find_personal(docs.limit(0), ["doc_id"]).count() == 0
 
 
+def test_candidates_after_words_with_digits():
+    """Each word is judged by itself, whatever stands before it; spoken e-mails are found in any case."""
+    hex_ = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"
+    for text in (f"key1 {hex_}", f"2024-05-01 {hex_[:24]}", f"id 7 {hex_} 8 9 {hex_}", f"a1 4{hex_}"):
+        words = [w for w in text.split() if len(w) > 20]
+        assert [text[s:e] for _, s, e, _ in pii.candidates(text, [])] == words
+    for text in ("write to john AT example DOT com now", "john (At) example (Dot) com"):
+        assert [pii.KINDS[k] for k, *_ in pii.candidates(text, [])] == ["spoken_email"]
+    assert [text for text in ("call 1 555 234 5678 9", "212 555 1234") if not pii.candidates(text, [])] == []
+
+
 def test_toxicity(spark, docs):
     rows = [(i, f"calm words number {i} here, stupid question {i % 3}" if i % 3 else f"you st0pid1sh 1dіоt {i} go") for i in range(90)]
     frame = spark.createDataFrame([*rows, (100, None), (101, "")], "doc_id long, text string").withColumn("toxic", F.lit("clash"))
