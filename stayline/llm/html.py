@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 DROPPED = frozenset(
-    "script style head noscript iframe object svg canvas template nav aside footer form button select textarea input "
+    "script style head noscript iframe object svg canvas template nav aside footer button select textarea input "
     "menu dialog audio video map noembed noframes title".split()
 )
 BLOCKS = frozenset(
@@ -42,6 +42,8 @@ MARKS = frozenset(
     "notices popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended comments comment commentlist disqus respond reply replies pagination pager widget toolbar skip".split()
 )
+#: Share of a page's unlinked text that a marked element or form may hold and still be no article.
+SMALL = 0.2
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
@@ -53,38 +55,38 @@ BLANK = re.compile(r"\s+")
 class Node:
     """An element: its own texts and children in page order."""
 
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = (
+        "tag", "parent", "parts", "dropped", "marked", "plain", "clean", "covered", "chars", "tags", "link_chars", "link_tags", "density", "total",
+    )
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, marked: bool = False) -> None:
+        self.tag, self.parent, self.dropped, self.marked = tag, parent, dropped or marked, marked and not dropped
         self.parts: list[str | Node] = []
 
 
-def _marked(tag: str, attributes: str, parent: Node) -> bool:
-    """True for an element that is no part of an article, by its name, role or class."""
-    if tag in DROPPED:
-        return True
-    if tag == "header" and parent.tag != "article":
-        return True
+def _judged(tag: str, attributes: str, parent: Node) -> tuple[bool, bool]:
+    """Whether an element is never article text, by its name or for being hidden, and whether its role or class says so."""
+    if tag in DROPPED or tag == "header" and parent.tag != "article":
+        return True, False
+    marked = tag == "form"
     if not attributes.strip():
-        return False
+        return False, marked
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if name in ("hidden",) or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, False
         if name == "role" and value.lower() in ROLES:
-            return True
+            marked = True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if any(w.lower() in MARKS for w in WORDS.findall(value)):
-                return True
-    return False
+            marked = marked or any(w.lower() in MARKS for w in WORDS.findall(value))
+    return False, marked
 
 
 def parse(page: str) -> Node:
     """The page's tree; unclosed and wrongly nested elements are closed as browsers mostly do."""
-    root = Node("#root", None, False)
+    root = Node("#root", None)
     node, at = root, 0
     size = len(page)
     while at < size:
@@ -123,7 +125,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if last is not None:
                 node = last.parent
-        child = Node(tag, node, _marked(tag, m.group(3) or "", node))
+        child = Node(tag, node, *_judged(tag, m.group(3) or "", node))
         node.parts.append(child)
         if tag in VOID:
             continue
@@ -137,16 +139,61 @@ def parse(page: str) -> Node:
     return root
 
 
-def _walk(root: Node) -> list[Node]:
-    """All elements that are not dropped, parents first, without recursion."""
+def _walk(root: Node, marked: bool = False) -> list[Node]:
+    """All elements that are not dropped, or only for their marks where wanted; parents first, without recursion."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
         out.append(node)
-        stack.extend(p for p in reversed(node.parts) if isinstance(p, Node) and not p.dropped)
+        stack.extend(p for p in reversed(node.parts) if isinstance(p, Node) and (not p.dropped or marked and p.marked))
     return out
 
 
+def _outer_marks(root: Node) -> list[Node]:
+    """The marked elements below this one that no other marked one holds."""
+    return [p for n in _walk(root) for p in n.parts if isinstance(p, Node) and p.marked]
+
+
+def keep_wrappers(root: Node) -> None:
+    """Take back the marks (form, role, class) of elements that hold the article.
+
+    Marks count where the page has its text elsewhere. If article or main elements lie in marked ones only, the one with
+    the most text is kept, should it hold half of the page's unlinked text or the text outside marks be a SMALL share.
+    While that share is small, every marked element with more than such a share is kept, from the outermost inwards.
+    """
+    nodes = _walk(root, marked=True)
+    if not any(n.marked for n in nodes):
+        return
+    for node in nodes:
+        node.covered = node.marked or node.parent is not None and node.parent.covered
+    for node in reversed(nodes):
+        node.plain = node.clean = sum(len(BLANK.sub("", p)) for p in node.parts if isinstance(p, str))
+        for p in node.parts:
+            if isinstance(p, Node) and p.tag != "a" and (not p.dropped or p.marked):
+                node.plain += p.plain
+                node.clean += 0 if p.marked else p.clean
+    least, clean = SMALL * root.plain, root.clean
+
+    def keep(node: Node) -> int:
+        node.dropped = node.marked = False
+        return node.clean
+
+    articles = [n for n in nodes if n.tag in ("article", "main")]
+    best = max(articles, key=lambda n: n.clean, default=None)
+    apart = any(not n.covered and n.clean >= max(least, 1) for n in articles)
+    if best is not None and best.covered and not apart and (clean < least or 2 * best.clean > root.plain):
+        up: Node | None = best
+        while up is not None:
+            clean += keep(up) if up.marked else 0
+            up = up.parent
+    waiting = _outer_marks(root)
+    while clean < least and (large := [n for n in waiting if n.plain > least]):
+        waiting = []
+        for node in large:
+            clean += keep(node)
+            waiting += _outer_marks(node)
+
+
 def measure(root: Node) -> list[Node]:
     """Characters, tags and their linked share for every element, its composite density and its children's sum."""
     nodes = _walk(root)
@@ -182,6 +229,7 @@ def choose(root: Node) -> Node:
     the parent holds more of the text: text of its own, a heading or paragraph that is not mostly links, or another
     child whose density reaches the smallest one on the path up to the body.
     """
+    keep_wrappers(root)
     nodes = measure(root)
     best = max(nodes, key=lambda n: n.total)
     if not best.total:

@@ -87,6 +87,26 @@ def test_html():
     assert html.main_text(plain) == "H\na b\nc"
 
 
+WRAPPERS = [
+    "<div class='content has-sidebar'>", "<div class='layout-with-sidebar'>", "<div class='post no-comments'>", "<div id='notice-board'>",
+    "<section class='social-science'>", "<div class='related-work'>", "<form action=/ method=post>", "<section role=dialog>",
+    "<form><div class='content has-sidebar'><div id=notice-board>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_html_wrappers(wrapper):
+    """A class, role or form around the article does not remove it; beside or in the article they still mark what is none."""
+    body = "<h1>Head</h1><p>" + "long text " * 30 + "</p><p>Last one</p>"
+    want = "Head\n" + ("long text " * 30).strip() + "\nLast one"
+    inner = "<div class=sidebar><p>Other pages of interest</p></div><form>Mail me</form>"
+    ends = "".join(f"</{t}>" for t in reversed(html.re.findall(r"<(\w+)", wrapper)))
+    assert html.main_text(f"<body><div>Name of the site</div>{wrapper}{body}{inner}{ends}<footer>f</footer></body>") == want
+    comments = "<div id=comments><p>" + "nice post " * 60 + "</p></div>"
+    for page in (f"{wrapper}<article>{body}{inner}</article>{comments}{ends}", f"{wrapper}<article>{body}</article>{ends}{comments}"):
+        assert html.main_text(f"<body>{page}</body>") == want
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "<p>x</p>"), (None, "u", "<p>x</p>")], "page_id long, url string, html string")
     assert sorted(r.text for r in html.extract_articles(pages, ["page_id", "url"]).collect()) == ["", "x", "x"]
