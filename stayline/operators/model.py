@@ -25,7 +25,7 @@ from stayline.functions.expr import count_if, logit, safe_div
 from stayline.operators.fairness import by_attribute
 from stayline.operators.metrics import calibration_metrics
 from stayline.operators.rank import Key, exact_quantiles, quantile_groups, spearman
-from stayline.operators.resample import bootstrap_weights, grouped_folds
+from stayline.operators.resample import average_out_of_fold, bootstrap_weights, grouped_folds, row_folds
 from stayline.session import settle
 
 MAX_CATEGORIES = 1000
@@ -379,6 +379,66 @@ def out_of_fold_scores(
     return fits.score(encoded, F.col("fold"), "raw_score").select(row_id, entity, label, "fold", "raw_score")
 
 
+def encode_per_fit(
+    train: DataFrame, df: DataFrame, numeric: Sequence[str], categorical: dict[str, Sequence[str]], keep: Sequence[str], fit: str = "fit"
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``train`` and ``df`` encoded by what the training rows of each row's own fit say, and the encoded names.
+
+    The same values as one ``fit_encoder`` per fit with given categories; all fits share their jobs.
+    """
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(numeric)])
+    long = train.select(fit, F.explode(pairs).alias("_p")).select(fit, "_p.*")
+    medians = exact_quantiles(long, "v", {"m": 0.5}, [fit, "i"]).groupBy(fit).pivot("i", list(range(len(numeric)))).agg(F.first("m"))
+    medians = settle(medians.select(fit, *[F.col(str(i)).alias(f"_m_{i}") for i in range(len(numeric))]))
+    filled = train.join(F.broadcast(medians), fit)  # one row per fit
+    values = [F.coalesce(F.col(c).cast("double"), F.col(f"_m_{i}")) for i, c in enumerate(numeric)]
+    moments = filled.groupBy(fit).agg(
+        *[F.avg(v).alias(f"_a_{i}") for i, v in enumerate(values)], *[F.stddev_pop(v).alias(f"_s_{i}") for i, v in enumerate(values)]
+    )
+    counts = by_attribute(train, list(categorical), [fit]).where(F.col("group") != "Missing").groupBy(fit, "attribute", "group").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    modes = counts.groupBy(fit).pivot("attribute", list(categorical)).agg(F.min_by("group", F.struct(-F.col("n"), "group")))
+    modes = modes.select(fit, *[F.col(f"`{c}`").alias(f"_o_{j}") for j, c in enumerate(categorical)])
+    fitted = settle(medians.join(moments, fit).join(modes, fit))
+    shape = Encoder({c: (0.0, 0.0, 1.0) for c in numeric}, {c: (list(v), v[0]) for c, v in categorical.items()})
+
+    def encode(rows: DataFrame) -> DataFrame:
+        deviation = [F.when(F.col(f"_s_{i}") > 0, F.col(f"_s_{i}")).otherwise(1.0) for i in range(len(numeric))]
+        out = [((v - F.col(f"_a_{i}")) / deviation[i]) for i, v in enumerate(values)]
+        for j, (c, levels) in enumerate(categorical.items()):
+            value = F.coalesce(F.col(c).cast("string"), F.col(f"_o_{j}"), F.lit(levels[0]))
+            out += [(value == v).cast("double") for v in levels[1:]]
+        joined = rows.join(F.broadcast(fitted), fit)  # one row per fit
+        return joined.select(*keep, fit, *[o.alias(n) for o, n in zip(out, shape.columns, strict=True)])
+
+    return encode(train), encode(df), shape.columns
+
+
+def repeated_out_of_fold_models(
+    df: DataFrame, numeric: Sequence[str], categorical: dict[str, Sequence[str]], row_id: str, label: str,
+    folds: int = 5, repeats: int = 10, seed: int = 42, c: float = 1.0,
+) -> DataFrame:
+    """Mean held-out score per row over repeated stratified folds, with its coverage.
+
+    Every repeat and fold has a logistic model and an encoder of its own, fitted without the fold's rows; the Newton
+    steps of all folds times repeats are shared.
+    """
+    chosen = df.select(row_id, label, *numeric, *categorical)
+    placed = settle(chosen.join(row_folds(df, row_id, label, folds, seed, repeats), row_id))
+    number = (F.col("repeat") - 1) * folds
+    copies = fit_copies(placed, folds, out="_k").withColumn("fit", number + F.col("_k")).drop("_k")
+    held = placed.withColumn("fit", number + F.col("fold"))
+    train, held, names = encode_per_fit(copies, held, numeric, categorical, [row_id, "repeat", label])
+    fits = fit_logistic(train, names, label, "fit", c=c)
+    betas = df.sparkSession.createDataFrame([(int(g), [float(v) for v in b]) for g, b in fits.groups.items()], "fit int, _b array<double>")
+    linear = F.col("_b")[0]
+    for i, name in enumerate(names):
+        linear = linear + F.col("_b")[i + 1] * F.col(name)
+    scored = held.join(F.broadcast(betas), "fit").withColumn("score", 1.0 / (1.0 + F.exp(-linear)))  # one row per fit
+    return average_out_of_fold(scored, row_id, "score", repeats)
+
+
 def fit_calibration(oof: DataFrame, label: str, score: str = "raw_score", epsilon: float = 1e-6) -> Calibration:
     """Sigmoid on the log odds and isotonic regression, both fitted on out-of-fold scores."""
     frame = settle(oof.select(F.col(label).cast("double").alias("y"), F.col(score), logit(score, epsilon).alias("z")))

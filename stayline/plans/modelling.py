@@ -143,6 +143,12 @@ def _(t: Tables):
     )
 
 
+@query("r5_repeated_model_out_of_fold", "scored")
+def _(t: Tables):
+    people = t["scored"].drop("attrition_probability")
+    return round_all(model.repeated_out_of_fold_models(people, NUMERIC, CATEGORICAL, ID, Y, 5, 10, 9), 6)
+
+
 @query(
     "l7_logit",
     "scored",

@@ -214,6 +214,22 @@ def test_out_of_fold_scores_and_calibration(cases, encoded):
     assert abs(np.mean([r.sigmoid for r in rows]) - np.mean([r.y for r in rows])) < 1e-4
 
 
+def test_repeated_models_match_one_encoder_and_fit_per_fold(cases):
+    levels = {"g": ["g0", "g1", "g2"]}
+    got = {r.id: r for r in model.repeated_out_of_fold_models(cases, ["z"], levels, "id", "y", folds=3, repeats=2, seed=5).collect()}
+    data = cases.toPandas().merge(resample.row_folds(cases, "id", "y", 3, 5, 2).toPandas(), on="id")
+    data["score"] = 0.0
+    for (_, k), held in data.groupby(["repeat", "fold"]):
+        train = data[(data["repeat"] == held["repeat"].iloc[0]) & (data.fold != k)]
+        filled = train.z.fillna(train.z.median())
+        x = [np.c_[(d.z.fillna(train.z.median()) - filled.mean()) / filled.std(ddof=0), d.g == "g1", d.g == "g2"] for d in (train, held)]
+        w = np.where(train.y == 1, len(train) / (2 * train.y.sum()), len(train) / (2 * (1 - train.y).sum()))
+        beta = penalised_logit(x[0].astype(float), train.y.to_numpy(), w, 1.0)
+        data.loc[held.index, "score"] = 1 / (1 + np.exp(-(beta[0] + x[1].astype(float) @ beta[1:])))
+    want = data.groupby("id").score.mean()
+    assert len(got) == 600 and all(r.covered and r.scores == 2 and abs(r.mean_score - want[i]) < 1e-6 for i, r in got.items())
+
+
 def test_encoder_round_trip(spark, cases, encoded):
     enc, frame = encoded
     again = model.Encoder.from_table(enc.table(spark))
