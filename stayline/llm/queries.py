@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stayline.llm import bagminhash, chat, decontaminate, html, lm, packing, pii, rules, substrings, toxicity
+from stayline.llm import bagminhash, chat, decontaminate, html, lm, packing, pii, repair, rules, runs, substrings, suffixes, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -184,6 +184,180 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crc32_sql(text: str) -> str:
+    """The crc32 of an ASCII string bit by bit, for DuckDB has no function for it."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    return f"xor(list_reduce({steps}, {step}, 4294967295::BIGINT), 4294967295)"
+
+
+@query(
+    "op11_periodic_runs",
+    f"""
+    WITH words AS (
+      SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {crc32_sql("doc_id::VARCHAR")} AS h FROM documents
+    ), draws AS (
+      SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM words
+    ), changed AS (
+      SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i:
+        w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM draws
+    ), places AS (
+      SELECT doc_id, n, UNNEST(w) AS word, UNNEST(range(n)) AS i FROM changed
+    ), alike AS (
+      SELECT x.doc_id, x.i, y.i - x.i AS q FROM places x JOIN places y
+      ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+    ), islands AS (
+      SELECT doc_id, q, i, i - ROW_NUMBER() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM alike
+    ), stretches AS (
+      SELECT doc_id, MIN(i) AS start, COUNT(*) + q AS length, q FROM islands GROUP BY doc_id, q, island
+    ), runs AS (
+      SELECT doc_id, start, length, MIN(q) AS period FROM stretches WHERE length >= 6 AND length >= 4 * q GROUP BY doc_id, start, length
+    ), longest AS (
+      SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) AS place FROM runs
+    ), listed AS (
+      SELECT doc_id, COUNT(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+        MAX(start) FILTER (place = 1) AS start, MAX(length) FILTER (place = 1) AS length, MAX(period) FILTER (place = 1) AS period
+      FROM longest GROUP BY doc_id
+    ), gone AS (
+      SELECT DISTINCT doc_id, UNNEST(range(start + period, start + length)) AS i FROM runs
+    ), kept AS (
+      SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM places ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+    )
+    SELECT doc_id, COALESCE(n_runs, 0) AS n_runs, start, length, period, (1000 * length) // period AS exponent_milli,
+      sha256(COALESCE(lines, '')) AS runs_sha256, sha256(COALESCE(kept.text, '')) AS collapsed_sha256
+    FROM words LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.find_runs(documents, ["doc_id"], runs.repeat_tails(F.col("text"), F.col("doc_id")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    # exact order of length / period: cross products
+    best = F.aggregate(
+        F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0))), F.get("runs", 0),
+        lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a),
+    )
+    exponent = F.floor(1000 * best["length"] / best["period"])
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), exponent.alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _cheapest_sql(*candidates: tuple[str, int, str, str]) -> str:
+    """The least of (state, added cost, edits, lines), as a struct."""
+    parts = (f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{edits}', 'r': {s}.r || {lines}}}" for s, cost, edits, lines in candidates)
+    return f"list_min([{', '.join(parts)}])"
+
+
+def _repair_sql() -> str:
+    far = "{'c': 1000000000::BIGINT, 'a': '', 'r': ''}"
+    user, assistant, nothing = "chr(10) || 'user:'", "chr(10) || 'assistant:'", "''"
+    kept = "chr(10) || role || ':' || text"
+    both = f"{user} || {assistant}"
+    to_user, to_assistant = f"{user} || text", f"{assistant} || text"
+    allowed = "CASE WHEN doomed THEN 1000000000 ELSE 0 END + CASE WHEN cut THEN 5 ELSE 0 END"
+
+    def keep(initial: str) -> str:
+        return f"{allowed} + CASE WHEN initial = '{initial}' THEN 0 ELSE 1000000000 END"
+
+    return f"""
+    WITH RECURSIVE given AS (
+      SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+        {crc32_sql("COALESCE(conv_id::VARCHAR, ' ') || ':' || COALESCE(turn::VARCHAR, ' ')")} % 20 AS draw FROM conversations
+    ), damaged AS (
+      SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN draw = 1 THEN '' WHEN draw = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        UNNEST(CASE WHEN draw = 3 THEN [1, 2] ELSE [1] END) AS copy
+      FROM given WHERE draw <> 0
+    ), ordered AS (
+      SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS inner_text, substr(role, 1, 1) AS initial,
+        ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+        ROW_NUMBER() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM damaged
+    ), judged AS (
+      SELECT *, inner_text = '' AS blank, inner_text <> '' AND seen > 1 AS duplicate,
+        inner_text <> '' AND seen = 1 AND right(inner_text, 1) NOT IN ('.', '!', '?') AS cut,
+        inner_text = '' OR seen > 1 AS doomed, LAG(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial AS pair
+      FROM ordered
+    ), steps AS (
+      SELECT conv_id, 0::BIGINT AS k, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS s0, {far} AS ss, {far} AS su, {far} AS sa
+      FROM (SELECT DISTINCT conv_id FROM judged)
+      UNION ALL
+      SELECT conv_id, k, {_cheapest_sql(("e0", 2, "D", nothing))}, {_cheapest_sql(("es", 2, "D", nothing), ("e0", keep("s"), "K", kept))},
+        {_cheapest_sql(("eu", 2, "D", nothing), *((e, keep("u"), "K", kept) for e in ("e0", "es", "ea")), *((e, f"1 + {allowed}", "R", to_user) for e in ("e0", "es", "ea")))},
+        {_cheapest_sql(("ea", 2, "D", nothing), ("eu", keep("a"), "K", kept), ("eu", f"1 + {allowed}", "R", to_assistant))}
+      FROM (
+        SELECT judged.conv_id, judged.k, role, text, initial, cut, doomed, s0 AS e0, ss AS es,
+          {_cheapest_sql(("su", 0, "", nothing), *((s, 5, "I", user) for s in ("s0", "ss", "sa")))} AS eu,
+          {_cheapest_sql(("sa", 0, "", nothing), ("su", 5, "I", assistant), *((s, 10, "II", both) for s in ("s0", "ss")))} AS ea
+        FROM steps JOIN judged ON judged.conv_id IS NOT DISTINCT FROM steps.conv_id AND judged.k = steps.k + 1
+      )
+    ), report AS (
+      SELECT conv_id, COUNT(*) AS k, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (blank) AS blank,
+        COUNT(*) FILTER (duplicate) AS duplicate, COUNT(*) FILTER (cut) AS truncated,
+        COUNT(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id
+    ), ended AS (
+      SELECT conv_id, k, {_cheapest_sql(("s0", 0, "", nothing), ("sa", 0, "", nothing), ("su", 5, "I", assistant), ("ss", 10, "II", both))} AS best
+      FROM steps
+    ), done AS (
+      SELECT report.*, best FROM report JOIN ended ON report.conv_id IS NOT DISTINCT FROM ended.conv_id AND report.k = ended.k
+    )
+    SELECT o.conv_id, COALESCE(gaps, 0)::BIGINT AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate,
+      COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal, COALESCE(best.c, 0) AS cost, COALESCE(best.a, '') AS audit,
+      sha256(substr(COALESCE(best.r, ''), 2)) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN done ON o.conv_id IS NOT DISTINCT FROM done.conv_id
+    """
+
+
+@query("op12_repaired_conversations", _repair_sql())
+def op12_repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, turns = repair.repair_conversations(repair.damage(rows))
+    digests = repair.repaired_digests(turns)
+    asked = rows.select("conv_id").distinct()
+    out = asked.join(report, asked.conv_id.eqNullSafe(report.conv_id), "left").drop(report.conv_id)
+    out = out.join(digests, out.conv_id.eqNullSafe(digests.conv_id), "left").drop(digests.conv_id)
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+@query(
+    "op13_repeated_bytes",
+    """
+    WITH given AS (
+      SELECT doc_id, lower(hex(encode(COALESCE(text, '')))) AS x, strlen(COALESCE(text, '')) AS n FROM documents
+    ), windows AS (
+      SELECT doc_id, i, md5(array_to_string(b[i:i + 49], '')) AS h
+      FROM (SELECT doc_id, regexp_extract_all(x, '..') AS b, UNNEST(range(1, GREATEST(n - 48, 1))) AS i FROM given)
+    ), later AS (
+      SELECT doc_id, i FROM windows
+      JOIN (SELECT h, MIN(doc_id) AS a FROM windows GROUP BY h HAVING MIN(doc_id) < MAX(doc_id)) USING (h) WHERE doc_id > a
+    ), stretches AS (
+      SELECT doc_id, MIN(i) AS a, MAX(i) + 50 AS b FROM (
+        SELECT doc_id, i, SUM(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM (
+          SELECT doc_id, i, COALESCE(i - LAG(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true)::INT AS fresh FROM later))
+      GROUP BY doc_id, part
+    ), gaps AS (
+      SELECT doc_id, a, b, COALESCE(LAG(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS since FROM stretches
+    ), cut AS (
+      SELECT doc_id, COUNT(*) AS n_spans, SUM(b - a)::BIGINT AS n_removed,
+        string_agg(substr(x, 2 * since - 1, 2 * (a - since)), '' ORDER BY a) || substr(ANY_VALUE(x), 2 * MAX(b) - 1) AS kept
+      FROM gaps JOIN given USING (doc_id) GROUP BY doc_id
+    )
+    SELECT doc_id, n AS n_bytes, COALESCE(n_removed, 0) AS n_removed, COALESCE(n_spans, 0) AS n_spans,
+      sha256(unhex(COALESCE(kept, x))) AS kept_sha256
+    FROM given LEFT JOIN cut USING (doc_id)
+    """,
+)
+def op13_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
