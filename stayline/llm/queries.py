@@ -274,13 +274,14 @@ def _repair_sql() -> str:
       FROM given WHERE draw <> 0
     ), ordered AS (
       SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS inner_text, substr(role, 1, 1) AS initial,
-        ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
-        ROW_NUMBER() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM damaged
+        ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM damaged
+    ), numbered AS (
+      SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS seen FROM ordered
     ), judged AS (
       SELECT *, inner_text = '' AS blank, inner_text <> '' AND seen > 1 AS duplicate,
         inner_text <> '' AND seen = 1 AND right(inner_text, 1) NOT IN ('.', '!', '?') AS cut,
         inner_text = '' OR seen > 1 AS doomed, LAG(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial AS pair
-      FROM ordered
+      FROM numbered
     ), steps AS (
       SELECT conv_id, 0::BIGINT AS k, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS s0, {far} AS ss, {far} AS su, {far} AS sa
       FROM (SELECT DISTINCT conv_id FROM judged)
@@ -331,9 +332,10 @@ def op12_repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH given AS (
       SELECT doc_id, lower(hex(encode(COALESCE(text, '')))) AS x, strlen(COALESCE(text, '')) AS n FROM documents
+    ), pieces AS (
+      SELECT doc_id, n, c, substr(x, 200 * c + 1, 298) AS x FROM (SELECT doc_id, x, n, UNNEST(range((n + 99) // 100)) AS c FROM given)
     ), windows AS (
-      SELECT doc_id, i, md5(array_to_string(b[i:i + 49], '')) AS h
-      FROM (SELECT doc_id, regexp_extract_all(x, '..') AS b, UNNEST(range(1, GREATEST(n - 48, 1))) AS i FROM given)
+      SELECT doc_id, 100 * c + j + 1 AS i, md5(substr(x, 2 * j + 1, 100)) AS h FROM pieces, range(100) t(j) WHERE 100 * c + j + 50 <= n
     ), later AS (
       SELECT doc_id, i FROM windows
       JOIN (SELECT h, MIN(doc_id) AS a FROM windows GROUP BY h HAVING MIN(doc_id) < MAX(doc_id)) USING (h) WHERE doc_id > a

@@ -223,7 +223,7 @@ def judged_turns(rows: DataFrame) -> DataFrame:
         F.when(inner == "", "blank").when(F.col("_seen") > 1, "duplicate")
         .when(~F.substr(inner, F.char_length(inner), F.lit(1)).isin(".", "!", "?"), "truncated")
     )
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text", "_seen")
     initial = F.substring("role", 1, 1)
     out = held.withColumn("_seen", seen).withColumn("fault", fault).withColumn("_initial", initial)
     out = out.withColumns(
