@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stayline.functions.expr import count_if, safe_div
+from stayline.operators.gram import triangular_factor
 from stayline.operators.reports import rate_by_category
 
 MISSING = "<MISSING>"
@@ -172,38 +173,45 @@ def feature_inventory(
 def matrix_diagnostics(df: DataFrame, features: Sequence[str], acceptable: float = 5.0, elevated: float = 10.0) -> tuple[DataFrame, DataFrame]:
     """Variance inflation per feature, and rank and condition number of the standardised matrix.
 
-    The correlation matrix is one distributed aggregate; only its d×d values, with d
-    columns, come to the driver for the inverse and the eigenvalues.
+    The matrix is centred and scaled by one aggregate and reduced to its triangular factor R, d x d numbers, whose
+    singular values are the matrix's own; so a condition number of 10^10 is told apart from a lower rank. Rows with a
+    null are left out; a constant column has no scale and stays zero.
     """
-    pairs = list(combinations(range(len(features)), 2))
-    cast = [F.col(f).cast("double") for f in features]
-    complete = df.dropna(subset=list(features))
+    d = len(features)
+    cast = [F.col(f).cast("double").alias(f) for f in features]
+    complete = df.select(*cast).dropna()
     row = complete.agg(
-        F.count(F.lit(1)).alias("n"), *[F.corr(cast[i], cast[j]).alias(f"c_{i}_{j}") for i, j in pairs]
-    ).first()
-    matrix = np.eye(len(features))
-    for i, j in pairs:
-        matrix[i, j] = matrix[j, i] = row[f"c_{i}_{j}"]
-    values = np.sort(np.linalg.eigvalsh(matrix))[::-1]
-    full = values[-1] > values[0] * len(features) * np.finfo(float).eps
-    inverse = np.linalg.inv(matrix) if full else np.linalg.pinv(matrix)
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(f).alias(f"a_{i}") for i, f in enumerate(features)], *[F.stddev_pop(f).alias(f"s_{i}") for i, f in enumerate(features)],
+    ).first()
+    n = int(row["n"])
+    scaled = complete.select(
+        *[((F.col(f) - F.lit(row[f"a_{i}"])) / F.lit(row[f"s_{i}"] or 1.0)).alias(f) for i, f in enumerate(features)]
+    )
+    factor = triangular_factor(scaled, list(features)) if n else np.zeros((0, d))
+    left, values, right = np.linalg.svd(factor, full_matrices=False)
+    least = (values[0] if len(values) else 0.0) * max(n, d) * np.finfo(float).eps
+    rank = int((values > least).sum())
+    full = rank == d
+    kept = values > least
+    # the diagonal of n (X'X)^-1 in the singular basis; directions without spread are left out, as in a pseudo-inverse
+    inflation = n * ((right[kept] / values[kept, None]) ** 2).sum(axis=0)
+    condition = float(values[0] / values[-1]) if full else float("inf")
     spark = df.sparkSession
     vif = spark.createDataFrame(
         [
             (f, float(v), "Acceptable" if v <= acceptable else "Elevated" if v <= elevated else "High")
-            for f, v in zip(features, np.diag(inverse), strict=True)
+            for f, v in zip(features, inflation, strict=True)
         ],
         "encoded_feature string, vif double, assessment string",
     )
-    rank = int((values > values[0] * len(features) * np.finfo(float).eps).sum())
-    condition = float(np.sqrt(values[0] / values[-1])) if full else float("inf")
     summary = spark.createDataFrame(
         [
-            ("Development rows", float(row["n"])),
-            ("Encoded features", float(len(features))),
+            ("Development rows", float(n)),
+            ("Encoded features", float(d)),
             ("Matrix rank", float(rank)),
             ("Condition number", condition),
-            ("Maximum VIF", float(np.diag(inverse).max())),
+            ("Maximum VIF", float(inflation.max()) if d else 0.0),
         ],
         "metric string, value double",
     )

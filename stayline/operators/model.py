@@ -1,8 +1,8 @@
 """Encoding, fitting, comparison, calibration and explanation of attrition models.
 
 Single models come from MLlib. Where many logistic fits are wanted at once (folds,
-resamples) they are Newton steps over all groups together: one distributed
-aggregate per step gives every group's gradient and curvature, d + d² sums each.
+resamples) they are Newton steps over all groups together: one exchange per step of
+a buffer per partition and group gives every group's gradient and curvature.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stayline.functions.expr import count_if, logit, safe_div
+from stayline.functions.expr import count_if, draw, logit, safe_div
 from stayline.operators.fairness import by_attribute
+from stayline.operators.gram import logistic_sums
+from stayline.operators.isotonic import apply_isotonic, isotonic_pools
 from stayline.operators.metrics import calibration_metrics
-from stayline.operators.rank import Key, exact_quantiles, quantile_groups, spearman
+from stayline.operators.rank import Key, exact_quantiles, quantile_groups, ranked, spearman
 from stayline.operators.resample import average_out_of_fold, bootstrap_weights, grouped_folds, row_folds
 from stayline.session import settle
 
@@ -62,6 +64,10 @@ class Encoder:
     def raw_features(self) -> list[str]:
         return [*self.numeric, *self.categorical]
 
+    @property
+    def levels(self) -> dict[str, list[str]]:
+        return {c: levels for c, (levels, _) in self.categorical.items()}
+
     def transform(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         out: list[Column] = []
         for c, (median, mean, deviation) in self.numeric.items():
@@ -187,48 +193,24 @@ def fit_logistic(
     frame = frame.withColumn("_w", F.col(weight).cast("double") if weight else F.lit(1.0))
     if balanced:
         frame = class_weights(frame, label, ["_g"], "_w", "_cw").withColumn("_w", F.col("_w") * F.col("_cw"))
-    frame = settle(frame.select("_g", "_w", F.col(label).cast("double").alias("_y"), *features))
-    spark = df.sparkSession
+    frame = settle(frame.select("_g", "_w", F.col(label).cast("double").alias("_y"), *features).dropna())
     betas = {r["_g"]: np.zeros(d) for r in frame.select("_g").distinct().collect()}
-    x = [F.lit(1.0), *[F.col(f) for f in features]]
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
     ridge = np.full(d, 1.0 / c)
     ridge[0] = 0.0
     best = {g: math.inf for g in betas}
     moves: dict[int, np.ndarray] = {}
     active, step = set(betas), 0
     for step in range(1, maximum + 1):
-        table = spark.createDataFrame(
-            [(int(g), [float(v) for v in betas[g]]) for g in active], "_g int, _b array<double>"
-        )
-        joined = frame.join(F.broadcast(table), "_g")  # one row per fit
-        linear = F.col("_b")[0]
-        for i, name in enumerate(features):
-            linear = linear + F.col("_b")[i + 1] * F.col(name)
-        joined = joined.withColumn("_z", linear).withColumn("_p", 1.0 / (1.0 + F.exp(-F.col("_z"))))
-        residual = F.col("_w") * (F.col("_y") - F.col("_p"))
-        curve = F.col("_w") * F.col("_p") * (1.0 - F.col("_p"))
-        # log(1 + e^z) − y·z, written so that a large |z| does not overflow
-        loss = F.greatest(F.col("_z"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_z"))) - F.col("_y") * F.col("_z")
-        joined = joined.withColumn("_r", residual).withColumn("_h", curve)
-        sums = joined.groupBy("_g").agg(
-            F.sum(F.col("_w") * loss).alias("loss"),
-            *[F.sum(F.col("_r") * x[i]).alias(f"g_{i}") for i in range(d)],
-            *[F.sum(F.col("_h") * x[i] * x[j]).alias(f"h_{i}_{j}") for i, j in pairs],
-        ).collect()
+        sums = logistic_sums(frame, features, {g: betas[g] for g in active})
         settled = set()
-        for row in sums:
-            g = row["_g"]
-            value = row["loss"] + 0.5 * float(ridge @ betas[g] ** 2)
+        for g, (loss, slope, information) in sums.items():
+            value = loss + 0.5 * float(ridge @ betas[g] ** 2)
             if value > best[g] + 1e-9 * abs(value):
                 moves[g] = moves[g] / 2.0  # the step was too long: go half way back
                 betas[g] = betas[g] - moves[g]
                 continue
             best[g] = value
-            information = np.zeros((d, d))
-            for i, j in pairs:
-                information[i, j] = information[j, i] = row[f"h_{i}_{j}"]
-            gradient = np.array([row[f"g_{i}"] for i in range(d)]) - ridge * betas[g]
+            gradient = slope - ridge * betas[g]
             moves[g] = np.linalg.solve(information + np.diag(ridge) + 1e-10 * np.eye(d), gradient)
             betas[g] = betas[g] + moves[g]
             if np.max(np.abs(moves[g])) < tolerance:
@@ -372,16 +354,24 @@ class Calibration:
 def out_of_fold_scores(
     df: DataFrame, encoder: Encoder, entity: str, row_id: str, label: str, folds: int = 5, seed: int = 42, c: float = 1.0
 ) -> DataFrame:
-    """Score of each row by the fit that saw none of its entity's rows; all fits run together."""
-    placed = df.join(grouped_folds(df, entity, label, folds, seed), entity)
-    encoded = settle(encoder.transform(placed, [row_id, entity, label, "fold"]))
-    fits = fit_logistic(fit_copies(encoded, folds), encoder.columns, label, "fit", c=c)
-    return fits.score(encoded, F.col("fold"), "raw_score").select(row_id, entity, label, "fold", "raw_score")
+    """Score of each row by the fit that saw none of its entity's rows; all fits run together.
+
+    ``encoder`` names the features and their categories. Medians, modes and deviations come from each fit's own
+    training rows, so held-out rows take no part in what scores them.
+    """
+    placed = settle(df.join(grouped_folds(df, entity, label, folds, seed), entity))
+    train, held, names = encode_per_fit(
+        fit_copies(placed, folds), placed.withColumn("fit", F.col("fold")), list(encoder.numeric), encoder.levels, [row_id, entity, label]
+    )
+    fits = fit_logistic(train, names, label, "fit", c=c)
+    scored = fits.score(held, F.col("fit"), "raw_score")
+    return scored.select(row_id, entity, label, F.col("fit").alias("fold"), "raw_score")
 
 
 def encode_per_fit(
-    train: DataFrame, df: DataFrame, numeric: Sequence[str], categorical: dict[str, Sequence[str]], keep: Sequence[str], fit: str = "fit"
-) -> tuple[DataFrame, DataFrame, list[str]]:
+    train: DataFrame, df: DataFrame, numeric: Sequence[str], categorical: dict[str, Sequence[str]], keep: Sequence[str],
+    fit: str = "fit", held_keep: Sequence[str] | None = None,
+) -> tuple[DataFrame, DataFrame, list[str]]:
     """``train`` and ``df`` encoded by what the training rows of each row's own fit say, and the encoded names.
 
     The same values as one ``fit_encoder`` per fit with given categories; all fits share their jobs.
@@ -403,7 +393,7 @@ def encode_per_fit(
     fitted = settle(medians.join(moments, fit).join(modes, fit))
     shape = Encoder({c: (0.0, 0.0, 1.0) for c in numeric}, {c: (list(v), v[0]) for c, v in categorical.items()})
 
-    def encode(rows: DataFrame) -> DataFrame:
+    def encode(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
         deviation = [F.when(F.col(f"_s_{i}") > 0, F.col(f"_s_{i}")).otherwise(1.0) for i in range(len(numeric))]
         out = [((v - F.col(f"_a_{i}")) / deviation[i]) for i, v in enumerate(values)]
         for j, (c, levels) in enumerate(categorical.items()):
@@ -412,7 +402,8 @@ def encode_per_fit(
         joined = rows.join(F.broadcast(fitted), fit)  # one row per fit
         return joined.select(*keep, fit, *[o.alias(n) for o, n in zip(out, shape.columns, strict=True)])
 
-    return encode(train), encode(df), shape.columns
+    mine = [c for c in keep if c in train.columns]
+    return encode(train, mine), encode(df, keep if held_keep is None else held_keep), shape.columns
 
 
 def repeated_out_of_fold_models(
@@ -431,12 +422,51 @@ def repeated_out_of_fold_models(
     held = placed.withColumn("fit", number + F.col("fold"))
     train, held, names = encode_per_fit(copies, held, numeric, categorical, [row_id, "repeat", label])
     fits = fit_logistic(train, names, label, "fit", c=c)
+    return average_out_of_fold(score_by_fit(held, fits, "score"), row_id, "score", repeats)
+
+
+def repeated_calibrated_models(
+    df: DataFrame, numeric: Sequence[str], categorical: dict[str, Sequence[str]], row_id: str, label: str,
+    folds: int = 5, repeats: int = 10, inner: int = 3, seed: int = 42, c: float = 1.0, method: str = "isotonic", epsilon: float = 1e-6,
+) -> DataFrame:
+    """Mean held-out score per row of a calibrated model fitted anew in every fold of every repeat, with its coverage.
+
+    The training rows of a fold are dealt to ``inner`` stratified parts. For each part a model is fitted to the others
+    and its scores of the part are calibrated; the held-out rows' score is the mean over the parts. Models, encoders
+    and calibrations of all folds, repeats and parts are groups of the same jobs.
+    """
+    chosen = df.select(row_id, label, *numeric, *categorical)
+    placed = settle(chosen.join(row_folds(df, row_id, label, folds, seed, repeats), row_id))
+    number = (F.col("repeat") - 1) * folds
+    outer = fit_copies(placed, folds, out="_k").withColumn("outer", number + F.col("_k")).drop("_k")
+    hashed = outer.withColumn("_h", draw(str(seed), F.lit("inner"), F.col("outer"), F.col(row_id)))
+    dealt = settle(ranked(hashed, [Key("_h"), Key(row_id)], ["outer", label], out="_r").withColumn("part", (F.col("_r") - 1) % inner + 1))
+    fit = ((F.col("outer") - 1) * inner + F.col("part")).cast("int")
+    train = fit_copies(dealt, inner, "part", "_j").withColumn("fit", ((F.col("outer") - 1) * inner + F.col("_j")).cast("int"))
+    parts = F.explode(F.sequence(F.lit(1), F.lit(inner)))
+    held = placed.withColumn("outer", number + F.col("fold")).withColumn("part", parts)
+    both = dealt.withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True)), allowMissingColumns=True).withColumn("fit", fit)
+    keep = [row_id, "repeat", label, "held"]
+    train, both, names = encode_per_fit(train, both, numeric, categorical, [*keep[:3]], held_keep=keep)
+    fits = fit_logistic(train, names, label, "fit", c=c)
+    scored = settle(score_by_fit(both, fits, "raw").select(*keep, "fit", "raw"))
+    known, asked = scored.where(~F.col("held")), scored.where("held")
+    if method == "isotonic":
+        calibrated = apply_isotonic(asked, isotonic_pools(known, "raw", label, ["fit"]), "raw", ["fit"], "score")
+    else:
+        lines = fit_logistic(known.withColumn("_z", logit("raw", epsilon)), ["_z"], label, "fit", c=1e12, balanced=False)
+        calibrated = score_by_fit(asked.withColumn("_z", logit("raw", epsilon)), lines, "score")
+    mean = calibrated.groupBy(row_id, "repeat").agg(F.avg("score").alias("score"))
+    return average_out_of_fold(mean, row_id, "score", repeats)
+
+
+def score_by_fit(df: DataFrame, fits: LogisticFits, out: str) -> DataFrame:
+    """Probability of each row under the fit that its column ``fit`` names."""
     betas = df.sparkSession.createDataFrame([(int(g), [float(v) for v in b]) for g, b in fits.groups.items()], "fit int, _b array<double>")
     linear = F.col("_b")[0]
-    for i, name in enumerate(names):
+    for i, name in enumerate(fits.features):
         linear = linear + F.col("_b")[i + 1] * F.col(name)
-    scored = held.join(F.broadcast(betas), "fit").withColumn("score", 1.0 / (1.0 + F.exp(-linear)))  # one row per fit
-    return average_out_of_fold(scored, row_id, "score", repeats)
+    return df.join(F.broadcast(betas), "fit").withColumn(out, 1.0 / (1.0 + F.exp(-linear))).drop("_b")  # one row per fit
 
 
 def fit_calibration(oof: DataFrame, label: str, score: str = "raw_score", epsilon: float = 1e-6) -> Calibration:
@@ -668,25 +698,24 @@ def explanation_stability(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Refit without each fold's entities and explain the same current rows.
 
-    Gives (per fold and feature, per fold pair, per feature). The fold fits share
-    their jobs, and the current rows are explained once for all folds.
+    Gives (per fold and feature, per fold pair, per feature). The fold fits share their jobs. Each fold's encoder and
+    background come from its own training rows; ``encoder`` names the features and their categories.
     """
-    placed = history.join(grouped_folds(history, entity, label, folds, seed), entity)
-    encoded = settle(encoder.transform(placed, [label, "fold"]))
-    fits = fit_logistic(fit_copies(encoded, folds), encoder.columns, label, "fit")
-    sums = encoded.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in encoder.columns]).collect()
-    total_n, totals = sum(r["n"] for r in sums), {c: sum(r[c] for r in sums) for c in encoder.columns}
-    means = {r["fold"]: [(totals[c] - r[c]) / (total_n - r["n"]) for c in encoder.columns] for r in sums}
-    quarters = quantile_groups(current, [Key(score), Key(row_id)], 4, out="_q")
-    rows = encoder.transform(quarters, [row_id, "_q"])
-    per_fold = []
-    for fold, beta in sorted(fits.groups.items()):
-        terms: dict[str, Column] = {}
-        for (name, raw), b, m in zip(encoder.encoded, beta[1:], means[fold], strict=True):
-            term = (F.col(name) - float(m)) * float(b)
-            terms[raw] = terms[raw] + term if raw in terms else term
-        per_fold += [F.struct(F.lit(int(fold)).alias("fold"), F.lit(r).alias("raw_feature"), c.alias("phi")) for r, c in terms.items()]
-    long = rows.select("_q", F.explode(F.array(*per_fold)).alias("_p")).select("_q", "_p.*")
+    placed = settle(history.join(grouped_folds(history, entity, label, folds, seed), entity))
+    quarters = settle(quantile_groups(current, [Key(score), Key(row_id)], 4, out="_q"))
+    everywhere = quarters.withColumn("fit", F.explode(F.sequence(F.lit(1), F.lit(folds))))
+    train, rows, names = encode_per_fit(fit_copies(placed, folds), everywhere, list(encoder.numeric), encoder.levels, [label, row_id, "_q"], held_keep=[row_id, "_q"])
+    train = settle(train)
+    fits = fit_logistic(train, names, label, "fit")
+    means = train.groupBy("fit").agg(F.array(*[F.avg(c) for c in names]).alias("_m"))
+    betas = history.sparkSession.createDataFrame([(int(g), [float(v) for v in b]) for g, b in fits.groups.items()], "fit int, _b array<double>")
+    shifted = rows.join(F.broadcast(means.join(betas, "fit")), "fit")  # one row per fit
+    terms: dict[str, Column] = {}
+    for i, (name, raw) in enumerate(encoder.encoded):
+        term = (F.col(name) - F.col("_m")[i]) * F.col("_b")[i + 1]
+        terms[raw] = terms[raw] + term if raw in terms else term
+    pairs = F.array(*[F.struct(F.lit(r).alias("raw_feature"), c.alias("phi")) for r, c in terms.items()])
+    long = shifted.select(F.col("fit").alias("fold"), "_q", F.explode(pairs).alias("_p")).select("fold", "_q", "_p.*")
     grouped = long.groupBy("fold", "raw_feature").agg(
         F.avg(F.abs("phi")).alias("mean_absolute_shap_log_odds"),
         F.avg(F.when(F.col("_q") == 4, F.col("phi"))).alias("mean_signed_shap_highest_quartile"),

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("foundations", "features", "reporting", "ranking", "decisions", "outcomes", "modelling")
+MODULES = ("foundations", "features", "reporting", "ranking", "decisions", "outcomes", "modelling", "inference")
 
 
 def load_all() -> None:

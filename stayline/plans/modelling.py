@@ -190,9 +190,10 @@ def _(t: Tables):
 def _(t: Tables):
     enc = encoder(t)
     train = split(t, "train")
-    placed = train.join(resample.grouped_folds(train, USER, Y, 5, 42), USER)
-    encoded = enc.transform(placed, [Y, "fold"])
-    fits = model.fit_logistic(model.fit_copies(encoded, 5), enc.columns, Y, "fit")
+    placed = settle(train.join(resample.grouped_folds(train, USER, Y, 5, 42), USER))
+    copies = model.fit_copies(placed, 5)
+    encoded, _, names = model.encode_per_fit(copies, copies, NUMERIC, enc.levels, [Y])
+    fits = model.fit_logistic(encoded, names, Y, "fit")
     return round_all(model.coefficient_stability(fits.table(t.spark)), 4)
 
 

@@ -118,7 +118,8 @@ def _(t: Tables):
     "scored",
     # variance inflation of two columns is 1 / (1 - r²)
     """WITH r AS (SELECT CORR(base_salary, attrition_probability) AS r FROM scored)
-    SELECT unnest(['base_salary', 'attrition_probability']) AS encoded_feature, ROUND(1 / (1 - r * r), 6) AS vif, 'Acceptable' AS assessment FROM r""",
+    SELECT unnest(['base_salary', 'attrition_probability']) AS encoded_feature, ROUND(1 / (1 - r * r), 6) AS vif,
+    CASE WHEN 1 / (1 - r * r) <= 5 THEN 'Acceptable' WHEN 1 / (1 - r * r) <= 10 THEN 'Elevated' ELSE 'High' END AS assessment FROM r""",
 )
 def _(t: Tables):
     return round_all(association.matrix_diagnostics(t["scored"], ["base_salary", "attrition_probability"])[0])
