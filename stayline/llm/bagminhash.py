@@ -19,8 +19,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bands and registers per band: a pair at similarity 0.8 shares a band with probability 0.9994, one at 0.4 with 0.03.
 BANDS, ROWS = 40, 8
-#: Rounds with one centre in each bucket, members of a lot, and how far below the similarity registers may agree.
-STARS, LOT, MARGIN = 2, 128, 0.075
+#: Rounds with one centre in each bucket, then with the likeliest partner of each member, members of a lot, and how far
+#: below the similarity registers may agree.
+STARS, CHOICES, LOT, MARGIN = 2, 3, 128, 0.075
 #: Texts whose bags a task keeps while it verifies pairs.
 HELD_BAGS = 4_000
 
@@ -181,24 +182,98 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes from two lots of one bucket whose registers agree often enough.
+def _sides(batch: pa.RecordBatch, r: int) -> tuple[list, list, np.ndarray, np.ndarray, np.ndarray]:
+    """Outside and other members of a pair of lots, the registers of both, and which pairs are of two classes."""
+    left, right = (batch.column(i)[r].as_py() for i in range(2))
+    one, two = (np.frombuffer(b"".join(x["registers"] for x in lot), np.uint8).reshape(len(lot), -1) for lot in (left, right))
+    classes = [np.array([x["label"] for x in lot]) for lot in (left, right)]
+    return left, right, one, two, classes[0][:, None] != classes[1]
 
-    A pair that shares several buckets is given by each of them: registers are too short to tell which bands it shares.
+
+def _likeliest(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """For each outside member and class of a pair of lots, the member that most registers agree with, not tried yet."""
+    for batch in batches:
+        rows = []
+        for r in range(batch.num_rows):
+            left, right, one, two, apart = _sides(batch, r)
+            names = np.array([x["node"] for x in right])
+            for i, x in enumerate(left):
+                agree = (one[i] == two).mean(axis=1)
+                best: dict[str, int] = {}
+                for j in np.flatnonzero((agree >= least) & apart[i] & ~np.isin(names, x["tried"] or [])).tolist():
+                    held = best.setdefault(right[j]["label"], j)
+                    if (agree[j], names[held]) > (agree[held], names[j]):
+                        best[right[j]["label"]] = j
+                rows += [(x["node"], label, float(agree[j]), right[j]["node"]) for label, j in best.items()]
+        columns = list(zip(*rows)) or [[]] * 4
+        kinds = (pa.string(), pa.string(), pa.float64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["a", "class", "agree", "b"])
+
+
+def _open_members(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The members of a pair of lots whose registers agree with one of another class, each once."""
+    for batch in batches:
+        found: set[str] = set()
+        for r in range(batch.num_rows):
+            left, right, one, two, apart = _sides(batch, r)
+            for i, x in enumerate(left):
+                near = np.flatnonzero(((one[i] == two).mean(axis=1) >= least) & apart[i]).tolist()
+                if near:
+                    found.add(x["node"])
+                    found.update(right[j]["node"] for j in near)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["node"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], least: float, margin: float) -> Iterator[pa.RecordBatch]:
+    """Links between the outside members of one lot and the members of another, at most one for each member and class.
+
+    A pair that shares several buckets is compared in the first of them by its whole band keys. Bags are compared here,
+    so that no pair leaves the task but a link; classes that a link joins count as one from then on.
     """
+
+    def held(x: dict) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(x["values"], np.int64).view(np.uint64), np.array(x["weights"], np.int64)
+
     for batch in batches:
-        found: tuple[list, list] = ([], [])
+        links: list[tuple[str, str]] = []
         for r in range(batch.num_rows):
-            left, right = (batch.column(i)[r].as_py() for i in range(2))
-            sides = [np.frombuffer(b"".join(x["registers"] for x in lot), np.uint8).reshape(len(lot), -1) for lot in (left, right)]
-            classes = [np.array([x["label"] for x in lot]) for lot in (left, right)]
-            for i in range(len(left)):
-                agree = (sides[0][i] == sides[1]).mean(axis=1)
-                for j in np.flatnonzero((agree >= least) & (classes[1] != classes[0][i])).tolist():
-                    pair = sorted((left[i]["node"], right[j]["node"]))
-                    found[0].append(pair[0])
-                    found[1].append(pair[1])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in found], names=["a", "b"])
+            left, right, one, two, apart = _sides(batch, r)
+            bucket = batch.column(2)[r].as_py()
+            keys = [np.array([x["bands"] for x in lot], np.int64) for lot in (left, right)]
+            bags: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            joined: dict[str, str] = {}
+
+            def root(label: str) -> str:
+                while label in joined:
+                    label = joined[label]
+                return label
+
+            for i, x in enumerate(left):
+                shared = keys[0][i] == keys[1]
+                near = ((one[i] == two).mean(axis=1) >= least - margin) & apart[i]
+                first = shared.argmax(axis=1)
+                near &= shared.any(axis=1) & (keys[1][np.arange(len(right)), first] == bucket)
+                for j in np.flatnonzero(near).tolist():
+                    y = right[j]
+                    ours, theirs = root(x["label"]), root(y["label"])
+                    if ours == theirs:
+                        continue
+                    for z in (x, y):
+                        if z["node"] not in bags:
+                            bags[z["node"]] = held(z)
+                    if similarity(bags[x["node"]], bags[y["node"]]) >= least:
+                        links.append((min(x["node"], y["node"]), max(x["node"], y["node"])))
+                        joined[ours] = theirs
+        columns = list(zip(*links)) or [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["a", "b"])
+
+
+def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bags = [bag(t) for t in batch.column(1).to_pylist()]
+        values = pa.array([v.view(np.int64) for v, _ in bags], pa.list_(pa.int64()))
+        weights = pa.array([w for _, w in bags], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), values, weights], names=["node", "values", "weights"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -209,52 +284,83 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return store(both.mapInArrow(lambda batches: _verify(batches, least), "a string, b string"))
 
 
+def classified(members: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(bucket, node, label, draw) of all members and (bucket, main, size, first) of the buckets with several classes."""
+    named = store(
+        members.join(labels, "node", "left").select(
+            "bucket", "node", F.coalesce("label", "node").alias("label"), F.xxhash64("bucket", "node", F.lit(turn)).alias("draw")
+        )
+    )
+    parts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("draw", "node")).alias("first"))
+    state = parts.groupBy("bucket").agg(
+        F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("size"),
+        F.min(F.struct(F.col("first.draw").alias("draw"), F.col("first.node").alias("node"), "label")).alias("first"),
+        F.count(F.lit(1)).alias("classes"),
+    )
+    return named, store(state.filter("classes > 1").select("bucket", "main", "size", "first"))
+
+
+def lots(named: DataFrame, state: DataFrame, extra: DataFrame, fields: list[str]) -> DataFrame:
+    """(centres, members, bucket): each lot of a bucket's members outside its largest class beside each of its lots."""
+    sizes = state.select("bucket", F.col("main.label").alias("main"), F.ceil(F.col("size") / LOT).alias("lots"))
+    placed = named.join(sizes, "bucket").join(extra, "node").select(
+        "bucket", F.pmod("draw", "lots").alias("lot"), (F.col("label") != F.col("main")).alias("out"), F.struct("node", "label", *fields).alias("item")
+    )
+    placed = store(placed)
+    every = placed.groupBy("bucket", "lot").agg(F.collect_list("item").alias("members")).drop("lot")
+    outside = placed.filter("out").groupBy("bucket", "lot").agg(F.collect_list("item").alias("centres")).drop("lot")
+    return store(every).join(store(outside), "bucket").select("centres", "members", "bucket")
+
+
 def linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(node, label) for the nodes that link to another: classes of the graph of all similar pairs that share a bucket.
 
-    ``members`` has (bucket, node), ``texts`` (node, text, registers). First each bucket has one centre, in
-    STARS rounds another one each, which is compared with the members of other classes; near copies of one text are
-    joined by a few such links instead of by all pairs. Buckets within one class are then done. In the others every
-    member outside the largest class is held against all members of other classes, lot by lot: first by their
-    registers, then, where these agree to within MARGIN of ``least``, by their texts. So no link in a bucket is missed,
+    ``members`` has (bucket, node), ``texts`` (node, text, registers, bands). Each round adds some verified links and
+    contracts the classes that they join to stars, so edges never outnumber nodes. In STARS rounds each bucket has one
+    centre, which is compared with its members of other classes. In CHOICES rounds each member outside its bucket's
+    largest class is compared with the one member of each other class whose registers agree most, among those that it
+    was not compared with. Rows of both are linear in the members. What is left then is compared whole, lot by lot and
+    inside the task: bags go to their buckets' lots, and only links come out. Members without an open candidate, one of
+    another class whose registers agree to within MARGIN of ``least``, take no part. So no link in a bucket is missed,
     but for registers off by over three standard deviations, as rare as a pair without a common band.
     """
-    labels = members.sparkSession.createDataFrame([], "node string, label string")
-    edges = None
-    for turn in range(STARS + 1):
-        named = store(
-            members.join(labels, "node", "left").select(
-                "bucket", "node", F.coalesce("label", "node").alias("label"),
-                F.xxhash64("bucket", "node", F.lit(turn)).alias("draw"),
-            )
-        )
-        parts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("draw", "node")).alias("first"))
-        state = parts.groupBy("bucket").agg(
-            F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("size"),
-            F.min(F.struct(F.col("first.draw").alias("draw"), F.col("first.node").alias("node"), "label")).alias("first"),
-            F.count(F.lit(1)).alias("classes"),
-        )
-        state = store(state.filter("classes > 1").select("bucket", "main", "size", "first"))
+    spark = members.sparkSession
+    labels = spark.createDataFrame([], "node string, label string")
+    tried = spark.createDataFrame([], "node string, tried array<string>")
+
+    def contracted(found: DataFrame) -> DataFrame:
+        stars = labels.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
+        return components(found.unionByName(stars))
+
+    for turn in range(STARS + CHOICES):
+        named, state = classified(members, labels, turn)
         if not state.limit(1).count():
-            break
+            return labels
         if turn < STARS:
             centres = state.select("bucket", F.col("first.node").alias("a"), F.col("first.label").alias("label_a"))
             pairs = named.join(centres, "bucket").filter("label <> label_a")
-            pairs = pairs.select(F.greatest("node", "a").alias("b"), F.least("node", "a").alias("a"))
+            pairs = store(pairs.select(F.greatest("node", "a").alias("b"), F.least("node", "a").alias("a")).distinct())
         else:
-            lots = F.ceil(F.col("size") / LOT).alias("lots")
-            open_ = named.join(state.select("bucket", F.col("main.label").alias("main"), lots), "bucket")
-            open_ = open_.join(texts.select("node", "registers"), "node")
-            item = F.struct("node", "label", "registers").alias("item")
-            placed = open_.select("bucket", F.pmod("draw", "lots").alias("lot"), (F.col("label") != F.col("main")).alias("out"), item)
-            every = placed.groupBy("bucket", "lot").agg(F.collect_list("item").alias("members"))
-            outside = placed.filter("out").groupBy("bucket", "lot").agg(F.collect_list("item").alias("centres")).drop("lot")
-            met = store(every.drop("lot")).join(store(outside), "bucket").select("centres", "members")
-            pairs = met.mapInArrow(lambda batches: _across(batches, least - MARGIN), "a string, b string")
-        found = verified(store(pairs.select("a", "b").distinct()), texts, least)
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-    return labels
+            known = texts.select("node", "registers").join(tried, "node", "left")
+            met = lots(named, state, known, ["registers", "tried"]).select("centres", "members")
+            best = met.mapInArrow(lambda batches: _likeliest(batches, least - MARGIN), "a string, class string, agree double, b string")
+            chosen = store(best.groupBy("a", "class").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
+            if not chosen.limit(1).count():
+                return labels
+            both = tried.select("node", F.explode("tried").alias("b")).unionByName(chosen.select(F.col("a").alias("node"), "b"))
+            tried = store(both.groupBy("node").agg(F.collect_set("b").alias("tried")))
+            pairs = store(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        labels = contracted(verified(pairs, texts, least))
+    named, state = classified(members, labels, STARS + CHOICES)
+    met = lots(named, state, texts.select("node", "registers"), ["registers"]).select("centres", "members")
+    open_ = store(met.mapInArrow(lambda batches: _open_members(batches, least - MARGIN), "node string").distinct())
+    if not open_.limit(1).count():
+        return labels
+    asked = texts.join(open_, "node", "left_semi").select("node", "text")
+    bags = asked.mapInArrow(_bagged, "node string, values array<long>, weights array<long>")
+    whole = store(texts.select("node", "registers", "bands").join(bags, "node"))
+    met = lots(named, state, whole, ["registers", "bands", "values", "weights"])
+    return contracted(store(met.mapInArrow(lambda batches: _compare(batches, least, MARGIN), "a string, b string").distinct()))
 
 
 def near_duplicates(
@@ -283,8 +389,8 @@ def near_duplicates(
     shared = buckets.groupBy("bucket").agg(F.min("short").alias("one"), F.max("short").alias("other")).filter("one <> other")
     found = buckets.join(store(shared.select("bucket")), "bucket", "left_semi")
     members = store(found.join(nodes.select(F.xxhash64("node").alias("short"), "node"), "short").drop("short"))
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first.id", "first.mark", "first.registers")
-    texts = store(named.dropDuplicates(["id", "mark"]).join(wanted, ["id", "mark"]).select("node", "text", "registers"))
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first.id", "first.mark", "first.registers", "first.bands")
+    texts = store(named.dropDuplicates(["id", "mark"]).join(wanted, ["id", "mark"]).select("node", "text", "registers", "bands"))
     labels = linked(members, texts, least)
     placed = nodes.select("node", "rows", F.struct("first.id", "first.mark").alias("first")).join(labels, "node", "left")
     placed = store(placed.select("node", "rows", "first", F.coalesce("label", "node").alias("label")))
