@@ -35,9 +35,7 @@ ENCODED_WORDS = 20_000
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 class WordIds:
@@ -48,7 +46,7 @@ class WordIds:
 
     def __init__(self, path: str) -> None:
         self.path = path
-        self.words = pa.array([], pa.large_string())
+        self.index: dict[str, int] = {}
         self.flat, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,22 +66,23 @@ class WordIds:
         ends = np.flatnonzero(ids == mark[0])
         return ids[ids != mark[0]], np.diff(ends, prepend=-1) - 1
 
-    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begins, lengths): the ids of the i-th word stand at begins[i]."""
-        at = pc.index_in(words, value_set=self.words)
-        new = words.filter(pc.is_null(at))
-        if len(new):
-            flat, lengths = self.encode(new)
-            if len(self.words) + len(new) > KNOWN_WORDS:
-                used = np.unique(np.asarray(at.drop_null()))
+        at = np.array([self.index.get(w, -1) for w in words], np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            flat, lengths = self.encode(pa.array(new, pa.large_string()))
+            if len(self.index) + len(new) > KNOWN_WORDS:
+                used = np.unique(at[at >= 0])
                 begins = np.cumsum(self.lengths) - self.lengths
                 sizes = self.lengths[used]
-                self.flat = self.flat[np.repeat(begins[used], sizes) + _ramp(sizes)]
-                self.words, self.lengths = self.words.take(pa.array(used)), sizes
-            self.words = pa.concat_arrays([self.words, new])
+                self.flat, self.lengths = self.flat[np.repeat(begins[used], sizes) + _ramp(sizes)], sizes
+                self.index = {words[i]: k for k, i in enumerate(np.flatnonzero(at >= 0)[np.argsort(at[at >= 0])].tolist())}
+                at[at >= 0] = np.searchsorted(used, at[at >= 0])
+            at[missing] = len(self.index) + np.arange(len(new))
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
             self.flat, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths])
-            at = pc.index_in(words, value_set=self.words)
-        at = np.asarray(at)
         begins = np.cumsum(self.lengths) - self.lengths
         return self.flat, begins[at], self.lengths[at]
 
@@ -97,7 +96,7 @@ def encode_block(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     """Token ids of all rows, and each row's first id (one more at the end), with END_ID after every row.
 
     The vocabulary's pre-tokenisation never reaches over ASCII white space, so a word's ids do not depend on the words
-    around it.
+    around it. Strings of special tokens inside a text get those tokens' ids, as the tokenizer gives them by itself.
     """
     texts = pa.LargeStringArray.from_buffers(
         len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data))
@@ -106,7 +105,7 @@ def encode_block(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     first = np.asarray(words.offsets) - words.offsets[0].as_py()
     coded = words.flatten().dictionary_encode()
     codes = np.asarray(coded.indices)
-    flat, begins, lengths = word_ids(path).find(coded.dictionary.cast(pa.large_string()))
+    flat, begins, lengths = word_ids(path).find(coded.dictionary.to_pylist())
     n_rows = len(offsets) - 1
     sizes = lengths[codes]
     total = np.concatenate([[0], np.cumsum(sizes)])
