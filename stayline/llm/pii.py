@@ -71,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             free = m.end()
         at = text.find("@", m.end() if m else at + 1)
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) < 4 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m.group().split("."))):
             out.append((1, m.start(), m.end()))
     for m in CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m.group()) if m.end() - m.start() >= 13 else ""
