@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from oracle_compare import differences, duck
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from stayline.llm import bagminhash, chat, decontaminate, html, lm, packing, pii, queries, rules, substrings, toxicity
@@ -217,10 +218,43 @@ def test_links_whose_registers_agree_by_chance(spark):
     rng = np.random.default_rng(1)
     registers = {n: bytes(320) if n in alike else rng.integers(1, 256, 320).astype(np.uint8).tobytes() for n in texts}
     members = spark.createDataFrame([(3, 77, n) for n in texts], "band int, bucket long, node string")
-    frame = spark.createDataFrame([(n, t, registers[n]) for n, t in texts.items()], "node string, text string, registers binary")
+    rows = [(n, t, registers[n], [i, 77]) for i, (n, t) in enumerate(texts.items())]
+    frame = spark.createDataFrame(rows, "node string, text string, registers binary, bands array<long>")
     assert {r.node: r.label for r in bagminhash.linked(members, frame, 0.8).collect()} == {"a": "a", "b": "a"}
 
 
+def near_family(size: int) -> dict:
+    """Texts of one bucket around the threshold: each differs from one base text in its own places."""
+    rng = np.random.default_rng(11)
+    base = [f"base{i}" for i in range(300)]
+    texts = {}
+    for n in range(size):
+        words = list(base)
+        for k in rng.choice(300, int(rng.integers(2, 11)), replace=False).tolist():
+            words[k] = f"own{n}x{k}"
+        texts[f"n{n:03}"] = " ".join(words)
+    return texts
+
+
+@pytest.mark.parametrize(("stars", "choices"), [(2, 3), (1, 1), (1, 0)])
+def test_one_bucket_of_texts_around_the_threshold(spark, monkeypatch, stars, choices):
+    """All links of a hot bucket are found in each mix of rounds, and classes equal those of all pairs."""
+    for name, value in (("STARS", stars), ("CHOICES", choices), ("LOT", 16), ("MARGIN", 0.8)):
+        monkeypatch.setattr(bagminhash, name, value)
+    texts = near_family(70)
+    bags = {n: bagminhash.bag(t) for n, t in texts.items()}
+    label = {n: n for n in texts}
+    links = [(a, b) for a in texts for b in texts if a < b and bagminhash.similarity(bags[a], bags[b]) >= 0.8]
+    for _ in texts:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    members = spark.createDataFrame([(77, n) for n in texts], "bucket long, node string")
+    rows = [(n, t, bytes(320), [i, 77]) for i, (n, t) in enumerate(texts.items())]
+    frame = spark.createDataFrame(rows, "node string, text string, registers binary, bands array<long>")
+    got = {r.node: r.label for r in bagminhash.linked(members, frame, 0.8).collect()}
+    assert links and {n: got.get(n, n) for n in texts} == label
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(3)
     values = rng.integers(1, 2**63, 300).astype(np.uint64)
@@ -230,7 +264,7 @@ def test_signatures_are_unbiased():
 
 
 def check_packing(rows, texts: dict):
-    path = packing.tokenizer(queries.public_tokenizers.path("word_bpe_49k.json"))
+    path = Tokenizer.from_file(queries.public_tokenizers.path("word_bpe_49k.json"))  # unaltered
     ids = {i: [*path.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts.items()}
     bins, seen = {}, Counter()
     for r in rows:
@@ -256,6 +290,28 @@ def test_packing(spark, docs, nothing):
     assert max(Counter(r.sequence_id for r in tight).values()) <= 2 and all(len(r.ids) == r.length for r in tight)
 
 
+def test_ids_of_special_strings(spark, monkeypatch):
+    """Special tokens' strings inside texts, and a cache that starts anew, against the unaltered tokenizer."""
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 12)
+    rng = np.random.default_rng(8)
+    parts = ["<|startoftext|>", "<|endoftext|>", "word", "é", "x<|endoftext|>y", "\x01", " ", "\n", "<|", "The", "end.", *(f"w{i}" for i in range(30))]
+    texts = ["".join(rng.choice(parts, 12)) + " " + " ".join(rng.choice(parts, 9)) for _ in range(60)]
+    path = queries.public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.tokenise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"], path, with_ids=True).collect()
+    plain = Tokenizer.from_file(path)
+    assert {r.doc_id: r.ids for r in rows} == {i: [*plain.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
+    for _ in range(2):  # the second time the words are known
+        for r in range(len(texts)):
+            ids, _ = packing.encode_block(path, np.frombuffer(data[r], np.uint8), offsets[r : r + 2] - offsets[r])
+            assert ids.tolist() == [*plain.encode(texts[r], add_special_tokens=False).ids, 1]
+
+
+def test_numbers_of_any_length():
+    assert pii.base_spans("0" * 5000 + ".1.1.1 and " + "9" * 6000 + ".1.1.1") == [(1, 0, 5006)]
+
+
 def test_rules(spark, docs, nothing):
     rows = {r.doc_id: r for r in rules.judge(docs, ["doc_id"]).collect()}
     assert rows[4].n_words == rows[5].n_words == rows[8].n_words == 0 and rows[4].base_failed
