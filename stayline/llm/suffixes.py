@@ -82,6 +82,7 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 ASKED = "slice long, marks array<long>, grams array<long>, known array<long>, told_marks array<long>, told array<long>"
+ANSWERED = "bucket long, marks array<long>, grams array<long>"
 REPEATED = "mark long, grams array<long>"
 
 
@@ -122,8 +123,8 @@ def _flat(table: pa.Table, name: str) -> np.ndarray:
     return np.asarray(values).view(np.uint64)
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """The grams of one slice that are found under two marks, by mark, and what other blocks told already."""
+def _answer(table: pa.Table, buckets: int) -> pa.Table:
+    """The grams of one slice that are found under two marks, and what other blocks told already, by bucket of the mark."""
     marks, grams, known = _flat(table, "marks"), _flat(table, "grams"), _flat(table, "known")
     order = np.argsort(grams, kind="stable")
     marks, grams = marks[order], grams[order]
@@ -137,10 +138,24 @@ def _answer(table: pa.Table) -> pa.Table:
     kept = several[group]
     marks = np.concatenate([marks[kept], _flat(table, "told_marks")])
     grams = np.concatenate([grams[kept], _flat(table, "told")])
+    bucket = mix(marks.copy()) % np.uint64(buckets)
+    order = np.lexsort((marks, bucket))
+    heads, bounds = _runs(bucket[order])
+    return pa.table({"bucket": _signed(bucket[order][heads]), "marks": _lists(marks[order], bounds), "grams": _lists(grams[order], bounds)})
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of runs of equal values, and the same with the end."""
+    heads = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return heads, np.append(heads, len(values))
+
+
+def _by_mark(table: pa.Table) -> pa.Table:
+    """One row per mark of a bucket with its repeated grams."""
+    marks, grams = _flat(table, "marks"), _flat(table, "grams")
     order = np.argsort(marks, kind="stable")
-    marks, grams = marks[order], grams[order]
-    heads = np.flatnonzero(np.append(True, marks[1:] != marks[:-1])[: len(marks)])
-    return pa.table({"mark": _signed(marks[heads]), "grams": _lists(grams, np.append(heads, len(grams)))})
+    heads, bounds = _runs(marks[order])
+    return pa.table({"mark": _signed(marks[order][heads]), "grams": _lists(grams[order], bounds)})
 
 
 CONTEXTS = "id long, mark long, gram long, place long, context binary, start long, end long"
@@ -410,8 +425,8 @@ def repeated_spans(named: DataFrame, texts: DataFrame, n_bytes: int, window: int
     (id, mark) of one row per different text."""
     slices = max(1, -(-n_bytes // SLICE))
     asked = named.select("mark", "text").mapInArrow(lambda batches: _ask(batches, window, gram, slices), ASKED)
-    answered = asked.groupBy("slice").applyInArrow(_answer, REPEATED)
-    wanted = answered.groupBy("mark").agg(F.flatten(F.collect_list("grams")).alias("grams")).join(texts, "mark")
+    answered = asked.groupBy("slice").applyInArrow(lambda table: _answer(table, slices), ANSWERED)
+    wanted = answered.groupBy("bucket").applyInArrow(_by_mark, REPEATED).join(texts, "mark")
     held = named.join(wanted, ["id", "mark"]).select("id", "mark", "text", "grams")
     contexts = store(held.mapInArrow(lambda batches: _contexts(batches, window, gram), CONTEXTS))
     open_ = contexts.filter("gram IS NOT NULL")
