@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.expr import count_if
-from stayline.sources.tables import fingerprint
+from stayline.session import settle
+from stayline.sources.tables import canonical, fingerprint
 
 TYPE_CLASSES = ("exact_numeric", "tolerant_numeric", "date", "timestamp", "boolean", "exact_text")
 
@@ -129,6 +130,74 @@ def compare_tables(
     return joined.agg(F.array(*entries).alias("_e")).select(F.explode("_e").alias("_e")).select("_e.*")
 
 
+def unequal_buckets(first: DataFrame, second: DataFrame, key: Sequence[str], columns: Sequence[str], decimals: dict[str, int], buckets: int, fan: int) -> DataFrame:
+    """Buckets of keys whose rows differ, found by a tree of digests.
+
+    A bucket's digest is the exclusive or of two hashes of its rows, which differ since keys are unique, so a level
+    follows from the one below it. Levels are compared from the
+    root; only children of unequal nodes are looked at, so equal tables cost the pass that makes the digests.
+    """
+    text = F.concat_ws("\x1f", *[canonical(first, c, decimals.get(c)) for c in [*key, *columns]])
+
+    def leaves(df: DataFrame) -> DataFrame:
+        hashed = df.select(F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("node"), F.xxhash64(text, F.lit(1)).alias("h"), F.xxhash64(text, F.lit(2)).alias("i"))
+        return settle(hashed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("h"), F.bit_xor("i").alias("i")))
+
+    sides = [leaves(first), leaves(second)]
+    names = ["n", "h", "i"]
+    depth = 0
+    while fan ** (depth + 1) < buckets:
+        depth += 1
+    unequal = None
+    for level in range(depth, -1, -1):
+        width = fan**level
+        summed = []
+        for side in sides:
+            up = side.withColumn("node", F.floor(F.col("node") / width))
+            if unequal is not None:  # children of unequal nodes only
+                up = up.join(unequal.withColumnRenamed("node", "parent"), F.floor(F.col("node") / fan) == F.col("parent"), "left_semi")
+            summed.append(up.groupBy("node").agg(F.sum("n").alias("n"), F.bit_xor("h").alias("h"), F.bit_xor("i").alias("i")))
+        both = summed[0].unionByName(summed[1]).groupBy("node").agg(
+            F.count(F.lit(1)).alias("sides"), *[F.min(c).alias(f"a{c}") for c in names], *[F.max(c).alias(f"b{c}") for c in names]
+        )
+        differs = F.col("sides") < 2
+        for c in names:
+            differs = differs | (F.col(f"a{c}") != F.col(f"b{c}"))
+        unequal = settle(both.where(differs).select("node"))
+        if not unequal.limit(1).count():
+            break
+    return unequal
+
+
+def located_differences(
+    first: DataFrame, second: DataFrame, key: Sequence[str], classes: dict[str, str],
+    decimals: int = 8, rows_per_bucket: int = 10_000, fan: int = 64,
+) -> DataFrame:
+    """(key, feature, first_value, second_value) of every cell that differs; a missing row differs in every column.
+
+    Only rows in buckets of keys whose digests differ are joined. Numbers compared with a tolerance are equal if they
+    agree to ``decimals`` places, in the digest and in the values alike. Keys are unique on each side.
+    """
+    columns = [c for c in first.columns if c not in key]
+    places = {c: decimals for c, k in classes.items() if k == "tolerant_numeric"}
+    a, b = normalise(first, classes), normalise(second, classes).select(*first.columns)
+    buckets = max(1, -(-first.count() // rows_per_bucket))
+    nodes = unequal_buckets(a, b, key, columns, places, buckets, fan)
+
+    def opened(df: DataFrame, side: str) -> DataFrame:
+        chosen = df.join(nodes, F.pmod(F.xxhash64(*key), F.lit(buckets)) == F.col("node"), "left_semi")
+        shown = [F.when(F.col(c).isNotNull(), canonical(df, c, places.get(c))).alias(f"{side}{c}") for c in columns]
+        return chosen.select(*key, F.lit(True).alias(f"{side}side"), *shown)
+
+    joined = opened(a, "_a").join(opened(b, "_b"), list(key), "full")
+    lone = F.col("_aside").isNull() | F.col("_bside").isNull()
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("feature"), F.col(f"_a{c}").alias("first_value"), F.col(f"_b{c}").alias("second_value")) for c in columns]
+    )
+    long = joined.select(*key, lone.alias("_lone"), F.explode(cells).alias("_c")).select(*key, "_lone", "_c.*")
+    return long.where(F.col("_lone") | ~F.col("first_value").eqNullSafe(F.col("second_value"))).drop("_lone")
+
+
 def key_differences(first: DataFrame, second: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys, with multiplicity, that one side has more often."""
     signed = first.select(*key, F.lit(1).alias("_d")).unionByName(second.select(*key, F.lit(-1).alias("_d")))

@@ -65,6 +65,32 @@ def grouped_folds(df: DataFrame, entity: str, target: str, folds: int, seed: int
     return numbered.select(entity, ((F.col("_r") - 1) % folds + 1).cast("int").alias("fold"))
 
 
+def balanced_folds(df: DataFrame, entity: str, target: str, folds: int, seed: int) -> DataFrame:
+    """(entity, fold): all rows of an entity in one fold, with rows and positives balanced over the folds.
+
+    Entities with equal numbers of rows and positives are one profile. Its members are dealt out evenly; the few that
+    are left go one by one to the fold with the least load, the sum of its shares of all rows and of all positives, the
+    largest profiles first. Only profiles come to the driver, and members take their fold by their rank in a hash order.
+    """
+    sizes = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_rows"), F.coalesce(F.sum(target), F.lit(0)).cast("bigint").alias("_pos"))
+    sizes = settle(sizes)
+    profiles = sizes.groupBy("_rows", "_pos").agg(F.count(F.lit(1)).alias("m")).collect()
+    rows, positives = sum(r["_rows"] * r["m"] for r in profiles), sum(r["_pos"] * r["m"] for r in profiles)
+    load, dealt = [0] * folds, []
+    for r in sorted(profiles, key=lambda r: (-r["_rows"], -r["_pos"])):
+        even = r["m"] // folds * folds
+        for place in range(even + 1, r["m"] + 1):
+            fold = load.index(min(load))
+            # shares as integers: no rounding decides between folds
+            load[fold] += r["_rows"] * max(positives, 1) + r["_pos"] * rows
+            dealt.append((r["_rows"], r["_pos"], place, fold + 1))
+    left = df.sparkSession.createDataFrame(dealt, "_rows long, _pos long, _r long, _fold int")
+    hashed = sizes.withColumn("_h", draw(str(seed), F.col(entity)))
+    numbered = ranked(hashed, [Key("_h"), Key(entity)], ["_rows", "_pos"], out="_r")
+    joined = numbered.join(left, ["_rows", "_pos", "_r"], "left")
+    return joined.select(entity, F.coalesce("_fold", ((F.col("_r") - 1) % folds + 1).cast("int")).alias("fold"))
+
+
 def row_folds(df: DataFrame, row_id: str, target: str, folds: int, seed: int, repeats: int = 1) -> DataFrame:
     """(row, repeat, fold) stratified by class; each repeat is dealt out anew."""
     rows = spread(df.select(row_id, target), row_id) if repeats > 1 else df.select(row_id, target)

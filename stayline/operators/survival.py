@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.expr import count_if, normal_z, safe_div
 from stayline.operators.fairness import by_attribute
+from stayline.operators.gram import summed_by_fit
 from stayline.operators.rank import Key, RangePlan, attach, average_ranks, exact_quantiles, plan_ranges, ranked, running_totals
 from stayline.operators.resample import row_folds
 from stayline.session import settle
@@ -228,57 +230,90 @@ def chi_square_tail(statistic: float, freedom: int) -> float:
     return h * scale
 
 
-def log_rank_sums(df: DataFrame, group: str, duration: str, event: str, labels: Sequence[str]) -> DataFrame:
-    """Observed and expected exits and the covariance row of each group.
+def _vectors(rows: DataFrame, size: int, make) -> np.ndarray:
+    """Sum over all rows of ``make(time, group, leaving)``, a vector of ``size``: one buffer per partition."""
 
-    The risk set of every group at every event time comes from running counts over
-    distinct durations, one column per group.
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            total += make(*(np.asarray(c) for c in batch.columns))
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["_g", "_sums"])
+
+    return summed_by_fit(rows.mapInArrow(partial, "_g int, _sums binary")).get(0, np.zeros(size))
+
+
+def log_rank_statistic(df: DataFrame, group: Column, duration: str, event: str, tolerance: float = 1e-13, maximum: int = 500) -> tuple[int, float]:
+    """(groups, statistic) of the log-rank test between any number of groups.
+
+    Rows are collapsed to one per time and group. With H and W the running sums of d/n and of the variance weights over
+    event times, a row of a group at time t adds H(t) to its expectation and W(t) to the diagonal of the covariance. The
+    rest of the covariance is a sum over times of outer products of the numbers at risk, which is never formed: its
+    product with a vector is a suffix sum and a prefix sum over times. Conjugate gradients, scaled by the diagonal, need
+    few products, since the outer products are small beside the diagonal when groups are many. The driver holds one
+    number per distinct event time and per group.
     """
+    held = settle(
+        df.select(F.coalesce(group.cast("string"), F.lit("Missing")).alias("g"), F.col(duration).alias("t"), F.col(event).alias("e"))
+        .where(F.col("t").isNotNull()).groupBy("t", "g").agg(F.count(F.lit(1)).alias("l"), count_if(F.col("e") == 1).alias("d"))
+    )
+    labels = held.groupBy("g").agg(F.sum("d").alias("d")).orderBy("g").collect()
     k = len(labels)
-    member = [F.coalesce(F.col(group).cast("string"), F.lit("Missing")) == label for label in labels]
-    per_time = df.groupBy(duration).agg(
-        *[count_if(m).alias(f"l_{i}") for i, m in enumerate(member)],
-        *[count_if(m & (F.col(event) == 1)).alias(f"d_{i}") for i, m in enumerate(member)],
-    )
-    risk = running_totals(per_time, [Key(duration, True)], {f"n_{i}": f"l_{i}" for i in range(k)})
-    n = sum((F.col(f"n_{i}") for i in range(1, k)), F.col("n_0"))
-    d = sum((F.col(f"d_{i}") for i in range(1, k)), F.col("d_0"))
-    rows = risk.select(
-        n.cast("double").alias("n"),
-        d.cast("double").alias("d"),
-        F.array(*[F.col(f"n_{i}").cast("double") for i in range(k)]).alias("ng"),
-        F.array(*[F.col(f"d_{i}").cast("double") for i in range(k)]).alias("dg"),
-    ).where((F.col("d") > 0) & (F.col("n") > 1))
-    # one row per time and group; the other groups of the covariance row are columns
-    spread = F.col("d") * (F.col("n") - F.col("d")) / (F.col("n") - 1.0)
-    per_group = rows.select("n", "d", "ng", "dg", spread.alias("w"), F.posexplode("ng").alias("g", "mine"))
-    share = F.col("mine") / F.col("n")
-    covariance = [
-        F.sum(F.col("w") * share * (F.when(F.col("g") == h, 1.0).otherwise(0.0) - F.element_at("ng", h + 1) / F.col("n"))).alias(f"v_{h}")
-        for h in range(k)
-    ]
-    return per_group.groupBy("g").agg(
-        F.sum(F.element_at("dg", F.col("g") + 1)).alias("observed"), F.sum(F.col("d") * share).alias("expected"), *covariance
-    )
+    if k < 2:
+        return k, 0.0
+    per_time = held.groupBy("t").agg(F.sum("l").alias("l"), F.sum("d").alias("d"))
+    risk = running_totals(per_time, [Key("t", True)], {"n": "l"}).where((F.col("d") > 0) & (F.col("n") > 1))
+    steps = sorted(risk.select("t", F.col("n").cast("double"), F.col("d").cast("double")).collect(), key=lambda r: r["t"])
+    n, d = (np.array([r[c] for r in steps], float) for c in ("n", "d"))
+    weight = d * (n - d) / (n - 1.0)
+    spark = df.sparkSession
+    names = spark.createDataFrame([(r["g"], i) for i, r in enumerate(labels)], "g string, j int")
+    moments = np.array([float(r["t"]) for r in steps])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # a row is at risk in all event times up to its own
+            last = np.searchsorted(moments, np.asarray(batch.column(0)), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(last), *batch.columns[1:]], names=["i", "j", "l"])
+
+    named = held.join(names, "g").select(F.col("t").cast("double"), "j", F.col("l").cast("double"))
+    rows = named.mapInArrow(number, "i int, j int, l double").groupBy("i", "j").agg(F.sum("l").alias("l"))
+    rows = settle(rows)
+    hazard, spread = (np.concatenate([[0.0], np.cumsum(x)]) for x in (d / n, weight / n))
+    expected = _vectors(rows, k, lambda i, j, l: np.bincount(j, l * hazard[i], k))
+    diagonal = _vectors(rows, k, lambda i, j, l: np.bincount(j, l * spread[i], k))
+    gap = np.array([float(r["d"]) for r in labels]) - expected
+    known = diagonal > 0
+    scale = np.where(known, diagonal, 1.0)
+
+    def product(x: np.ndarray) -> np.ndarray:
+        at_time = _vectors(rows, len(n) + 1, lambda i, j, l: np.bincount(i, l * x[j], len(n) + 1))
+        reached = np.cumsum(at_time[::-1])[::-1][1:]
+        total = np.concatenate([[0.0], np.cumsum(weight / n**2 * reached)])
+        return diagonal * x - _vectors(rows, k, lambda i, j, l: np.bincount(j, l * total[i], k))
+
+    x = np.zeros(k)
+    residual = np.where(known, gap, 0.0)
+    first = float(residual @ (residual / scale))
+    z = residual / scale
+    direction, size = z, float(residual @ z)
+    for _ in range(min(maximum, k)):
+        if size <= tolerance * first or size == 0.0:
+            break
+        moved = product(direction)
+        step = size / float(direction @ moved)
+        x, residual = x + step * direction, residual - step * moved
+        z = residual / scale
+        before, size = size, float(residual @ z)
+        direction = z + size / before * direction
+    return k, float(gap @ x)
 
 
-def log_rank_test(df: DataFrame, features: Sequence[str], duration: str, event: str, maximum_groups: int = 200) -> DataFrame:
-    """k-sample log-rank statistic and p-value per feature; the k×k solve is on the driver."""
+def log_rank_test(df: DataFrame, features: Sequence[str], duration: str, event: str) -> DataFrame:
+    """k-sample log-rank statistic and p-value per feature, for any number of groups."""
     rows = []
     for feature in features:
-        name = F.coalesce(F.col(feature).cast("string"), F.lit("Missing"))
-        labels = [r[0] for r in df.select(name.alias("g")).distinct().orderBy("g").limit(maximum_groups + 1).collect()]
-        if len(labels) > maximum_groups:
-            raise ValueError(f"{feature} has more than {maximum_groups} groups")
-        if len(labels) < 2:
-            rows.append((feature, len(labels), 0.0, 1.0, False))
-            continue
-        sums = sorted(log_rank_sums(df, feature, duration, event, labels).collect(), key=lambda r: r["g"])
-        gap = np.array([r["observed"] - r["expected"] for r in sums])
-        covariance = np.array([[r[f"v_{h}"] for h in range(len(labels))] for r in sums])
-        statistic = float(gap[:-1] @ np.linalg.pinv(covariance[:-1, :-1]) @ gap[:-1])
-        p = chi_square_tail(statistic, len(labels) - 1)
-        rows.append((feature, len(labels), statistic, p, p < 0.05))
+        k, statistic = log_rank_statistic(df, F.col(feature), duration, event)
+        p = chi_square_tail(statistic, k - 1) if k > 1 else 1.0
+        rows.append((feature, k, statistic, p, p < 0.05))
     return df.sparkSession.createDataFrame(
         rows, "group_feature string, groups int, test_statistic double, p_value double, descriptive_difference_detected boolean"
     )

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from stayline.operators import association, isotonic, metrics, model, multinomial
+from stayline.operators import association, diff, isotonic, metrics, model, multinomial, resample
 from stayline.plans.modelling import CATEGORICAL, ID, NUMERIC, Y, encoder, split
+from stayline.plans.outcomes import CLASSES, orders_twice
+from stayline.plans.ranking import draw_sql
 from stayline.plans.registry import Tables, query, round_all
+from stayline.session import checkpoint_dir
+from stayline.sources import tables as src
+from stayline.sources.contracts import CONTRACTS
 
 ITERATIONS = 500
 
@@ -17,7 +24,7 @@ POOLS_SQL = """WITH pt AS (SELECT region, FLOOR(attrition_probability::DOUBLE *
       FROM cm a JOIN cm b ON a.region IS NOT DISTINCT FROM b.region AND a.low <= b.low),
     mn AS (SELECT region, a, b AS i, MIN(m) OVER (PARTITION BY region, a ORDER BY b DESC) AS m FROM pr),
     vl AS (SELECT region, i AS low, MAX(m) AS value FROM mn GROUP BY ALL),
-    pools AS (SELECT vl.region, MIN(low) AS low, MAX(low) AS high, SUM(w)::DOUBLE AS weight, value
+    pools AS (SELECT vl.region, MIN(vl.low) AS low, MAX(vl.low) AS high, SUM(w)::DOUBLE AS weight, value
       FROM vl JOIN pt ON vl.region IS NOT DISTINCT FROM pt.region AND vl.low = pt.low GROUP BY vl.region, value)"""
 
 
@@ -103,7 +110,7 @@ def _(t: Tables):
 @query(
     "d6_encoded_summary",
     "scored",
-    """SELECT 'Development rows' AS metric, COUNT(*)::DOUBLE AS value FROM scored WHERE period = 'train' AND base_salary IS NOT NULL AND birth_year IS NOT NULL
+    """SELECT 'Development rows' AS metric, COUNT(*)::DOUBLE AS value FROM scored WHERE period = 'train'
     UNION ALL SELECT 'Encoded features', """
     + str(float(len(NUMERIC) + sum(len(v) - 1 for v in CATEGORICAL.values())))
     + """::DOUBLE""",
@@ -112,3 +119,87 @@ def _(t: Tables):
     enc = encoder(t)
     summary = association.matrix_diagnostics(enc.transform(split(t, "train"), []), enc.columns)[1]
     return summary.where(F.col("metric").isin("Development rows", "Encoded features"))
+
+
+# ---- folds, comparison and load ---------------------------------------------------------------------------
+
+FOLDS = 5
+# The profiles' remainders, one step at a time: each goes to the fold with the least load so far.
+BALANCED_SQL = f"""WITH RECURSIVE e AS (SELECT user_id, COUNT(*) AS n, CAST(SUM(actual_attrition) AS BIGINT) AS p FROM scored GROUP BY user_id),
+    tt AS (SELECT CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(p) AS BIGINT) AS p FROM e),
+    pf AS (SELECT n, p, COUNT(*) AS m FROM e GROUP BY ALL),
+    lf AS (SELECT pf.n, pf.p, m // {FOLDS} * {FOLDS} + k AS r, pf.n * GREATEST(tt.p, 1) + pf.p * tt.n AS w,
+      ROW_NUMBER() OVER (ORDER BY pf.n DESC, pf.p DESC, k) AS step FROM pf, tt, range(1, {FOLDS}) x(k) WHERE k <= m % {FOLDS}),
+    st AS (SELECT 0::BIGINT AS step, [0::HUGEINT, 0, 0, 0, 0] AS ld, 0 AS fold
+      UNION ALL SELECT lf.step, list_transform(st.ld, lambda x, i: CASE WHEN i = list_position(st.ld, list_min(st.ld)) THEN x + lf.w ELSE x END),
+        list_position(st.ld, list_min(st.ld)) FROM st JOIN lf ON lf.step = st.step + 1),
+    rk AS (SELECT user_id, n, p, ROW_NUMBER() OVER (PARTITION BY n, p ORDER BY {draw_sql("'42'", 'user_id')}, user_id) AS r FROM e),
+    fo AS (SELECT user_id, CAST(COALESCE(st.fold, (rk.r - 1) % {FOLDS} + 1) AS INT) AS fold
+      FROM rk LEFT JOIN lf USING (n, p, r) LEFT JOIN st ON st.step = lf.step)"""
+
+
+@query("r3_balanced_folds", "scored", f"{BALANCED_SQL} SELECT user_id, fold FROM fo")
+def _(t: Tables):
+    return resample.balanced_folds(t["scored"], "user_id", Y, FOLDS, 42)
+
+
+@query(
+    "r3_balanced_summary",
+    "scored",
+    f"""{BALANCED_SQL} SELECT fold, COUNT(*) AS rows, COUNT(DISTINCT user_id) AS entities, CAST(SUM(actual_attrition) AS BIGINT) AS positives,
+    ROUND(AVG(actual_attrition), 6) AS positive_rate, 0::BIGINT AS entities_in_several_folds FROM scored JOIN fo USING (user_id) GROUP BY fold""",
+)
+def _(t: Tables):
+    return round_all(resample.fold_summary(t["scored"], resample.balanced_folds(t["scored"], "user_id", Y, FOLDS, 42), "user_id", Y))
+
+
+MISSING = "o_orderkey % 1000 = 3"
+CELLS_SQL = " UNION ALL ".join(
+    f"SELECT o_orderkey, '{c}' AS feature, {a} AS first_value, CASE WHEN {MISSING} THEN NULL ELSE {b} END AS second_value FROM o WHERE {MISSING} OR o_orderkey % {step} = 0"
+    for c, step, a, b in [
+        ("o_custkey", 50, "o_custkey::VARCHAR", "NULL"), ("o_orderstatus", 70, "o_orderstatus", "'X'"),
+        ("o_totalprice", 90, "printf('%.4f', o_totalprice)", "printf('%.4f', o_totalprice + 0.5)"),
+        ("o_orderdate", 110, "strftime(d, '%Y-%m-%d')", "strftime(d + 1, '%Y-%m-%d')"),
+        ("large", 130, "CASE WHEN big THEN 'True' ELSE 'False' END", "CASE WHEN big THEN 'False' ELSE 'True' END"),
+    ]
+)
+
+
+@query(
+    "x1_located_differences",
+    oracle="WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice::DOUBLE AS o_totalprice, CAST(o_orderdate AS DATE) AS d, "
+    f"o_totalprice > 250000 AS big FROM orders) SELECT * FROM ({CELLS_SQL}) WHERE first_value IS DISTINCT FROM second_value",
+)
+def _(t: Tables):
+    first, second = orders_twice(t)
+    return diff.located_differences(first, second, ["o_orderkey"], CLASSES, 4, 500, 8)
+
+
+@query(
+    "x1_located_in_equal_tables",
+    oracle="SELECT COUNT(*) AS rows_compared, 0::BIGINT AS unequal_buckets FROM orders",
+)
+def _(t: Tables):
+    """Tables with the same rows in another order: no bucket is opened."""
+    first = t.raw("orders")
+    second = first.repartition(7, "o_custkey")
+    columns = [c for c in first.columns if c != "o_orderkey"]
+    nodes = diff.unequal_buckets(first, second, ["o_orderkey"], columns, {}, 64, 8)
+    return first.agg(F.count(F.lit(1)).alias("rows_compared")).crossJoin(nodes.agg(F.count(F.lit(1)).alias("unequal_buckets")))  # one row each
+
+
+LOADED = ["departments", "locations", "job_roles"]
+
+
+@query(
+    "s3_bulk_load",
+    " ".join(LOADED),
+    " UNION ALL ".join(f"SELECT '{n}' AS table_name, COUNT(*) AS row_count FROM {n}" for n in LOADED),
+)
+def _(t: Tables):
+    """CSV files of the tables, loaded with checked headers; the counts are those observed while loading."""
+    folder = f"{checkpoint_dir(t.spark)}/load-{uuid.uuid4().hex}"
+    chosen = [CONTRACTS[n] for n in LOADED]
+    for contract in chosen:
+        src.conform(t[contract.name], contract).write.option("header", True).csv(f"{folder}/source/{contract.name}.csv")
+    return src.bulk_load(t.spark, f"{folder}/source", f"{folder}/target", chosen).select("table_name", "row_count")

@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -83,7 +83,8 @@ def create_views(tables: dict[str, DataFrame], hidden: dict[str, Sequence[str]],
 def bulk_load(spark: SparkSession, source_dir: str, target_dir: str, contracts: Iterable[Contract] | None = None) -> DataFrame:
     """Full reload of CSV files into parquet. All headers are checked before the first write.
 
-    Returns one row per table with the number of rows loaded.
+    Returns one row per table with the number of rows loaded and their digest, as ``fingerprint`` gives it. Both are
+    observed while the rows are written, so a table is read once. Rows of a retried task count once.
     """
     chosen = list(contracts or CONTRACTS.values())
     frames = {}
@@ -94,10 +95,14 @@ def bulk_load(spark: SparkSession, source_dir: str, target_dir: str, contracts:
         if header != contract.columns:
             raise ValueError(f"{contract.name}: header {header} differs from {contract.columns}")
         frames[contract.name] = frame
+    loaded = []
     for name, frame in frames.items():
-        frame.write.mode("overwrite").parquet(os.path.join(target_dir, name))
-    loaded = {n: spark.read.parquet(os.path.join(target_dir, n)) for n in frames}
-    return row_counts(loaded)
+        seen = Observation(f"load_{name}")
+        hashed = _row_hash(frame, frame.columns, {})
+        watched = frame.observe(seen, F.count(F.lit(1)).alias("row_count"), *_digest_sums(hashed))
+        watched.write.mode("overwrite").parquet(os.path.join(target_dir, name))
+        loaded.append((name, *[int(seen.get[c]) for c in ("row_count", *DIGESTS)]))
+    return spark.createDataFrame(loaded, "table_name string, row_count long, " + ", ".join(f"{d} long" for d in DIGESTS))
 
 
 def write_partitioned(df: DataFrame, path: str, *partition_by: str, mode: str = "overwrite") -> None:
@@ -159,14 +164,21 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, decimals: d
     Each row is hashed; the digest is the sum of four 32-bit slices of that hash,
     so rows may be read and combined in any order and duplicates still count.
     """
-    chosen = list(columns or df.columns)
-    text = F.concat_ws("\x1f", *[canonical(df, c, (decimals or {}).get(c)) for c in chosen])
-    hashed = df.select(F.md5(text).alias("h"))
-    sums = [
-        F.coalesce(F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("bigint")), F.lit(0)).alias(f"digest_{i + 1}")
-        for i in range(4)
+    hashed = df.select(_row_hash(df, list(columns or df.columns), decimals or {}).alias("h"))
+    return hashed.agg(F.count(F.lit(1)).alias("row_count"), *_digest_sums(F.col("h")))
+
+
+DIGESTS = tuple(f"digest_{i}" for i in range(1, 5))
+
+
+def _row_hash(df: DataFrame, columns: Sequence[str], decimals: dict[str, int]) -> Column:
+    return F.md5(F.concat_ws("\x1f", *[canonical(df, c, decimals.get(c)) for c in columns]))
+
+
+def _digest_sums(hashed: Column) -> list[Column]:
+    return [
+        F.coalesce(F.sum(F.conv(F.substring(hashed, 1 + 8 * i, 8), 16, 10).cast("bigint")), F.lit(0)).alias(d) for i, d in enumerate(DIGESTS)
     ]
-    return hashed.agg(F.count(F.lit(1)).alias("row_count"), *sums)
 
 
 def provenance(tables: dict[str, tuple[str, str, DataFrame]]) -> DataFrame:

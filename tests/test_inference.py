@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stayline.operators import association, gram, isotonic, metrics, model, multinomial
+from stayline.operators import association, diff, gram, isotonic, metrics, model, multinomial, resample, survival
+from stayline.sources import tables
+from stayline.sources.contracts import Contract
 
 
 def naive_isotonic(x, y, w):
@@ -149,3 +151,63 @@ def test_held_out_rows_do_not_encode(spark):
     fold = base[8][0]
     same = [i for i in base if base[i][0] == fold and i not in (8, 9)]
     assert same and all(base[i][1] == pytest.approx(other[i][1], abs=1e-9) for i in same)
+
+
+def test_balanced_folds(spark):
+    """Rows and positives of the folds differ by no more than the largest entity, however unequal entities are."""
+    rng = np.random.default_rng(12)
+    for sizes in ([1] * 200, [100, 60, 50, 40, 40, 30, 30] + [3] * 40 + [1] * 90, [1, 2]):
+        rows, key = [], 0
+        for entity, n in enumerate(sizes):
+            for _ in range(n):
+                rows.append((entity, int(rng.random() < 0.3)))
+                key += 1
+        frame = spark.createDataFrame(rows, "e long, y int")
+        folds = {r.e: r.fold for r in resample.balanced_folds(frame, "e", "y", 5, 3).collect()}
+        assert len(folds) == len(sizes) and set(folds.values()) <= {1, 2, 3, 4, 5}
+        n = [sum(folds[e] == f for e, _ in rows) for f in range(1, 6)]
+        p = [sum(y for e, y in rows if folds[e] == f) for f in range(1, 6)]
+        most = max(sum(y for e, y in rows if e == k) for k in range(len(sizes)))
+        assert max(n) - min(n) <= max(sizes) and max(p) - min(p) <= most + 1
+
+
+def test_log_rank_of_many_groups(spark):
+    rng = np.random.default_rng(9)
+    k = 300
+    rows = [(f"g{int(rng.integers(0, k))}", int(rng.exponential(40)) + 1, int(rng.random() < 0.6)) for _ in range(3000)] + [(None, 3, 1), (None, 9, 0)]
+    frame = spark.createDataFrame(rows, "g string, t int, e int").repartition(5)
+    names = sorted({g or "Missing" for g, _, _ in rows})
+    group = np.array([names.index(g or "Missing") for g, _, _ in rows])
+    t, e = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    gap, covariance = np.zeros(len(names)), np.zeros((len(names), len(names)))
+    for moment in np.unique(t[e == 1]):
+        at = np.bincount(group[t >= moment], minlength=len(names)).astype(float)
+        here = np.bincount(group[(t == moment) & (e == 1)], minlength=len(names)).astype(float)
+        n, d = at.sum(), here.sum()
+        if n > 1:
+            gap += here - d * at / n
+            covariance += d * (n - d) / (n - 1) * (np.diag(at / n) - np.outer(at, at) / n**2)
+    want = gap @ np.linalg.pinv(covariance) @ gap
+    got = survival.log_rank_test(frame, ["g"], "t", "e").first()
+    assert got.groups == len(names) and got.test_statistic == pytest.approx(want, rel=1e-6)
+    assert survival.log_rank_test(frame.where("g = 'g1'"), ["g"], "t", "e").first().p_value == 1.0
+
+
+def test_located_differences(spark):
+    rows = [(i, f"t{i % 5}", i / 7, None if i % 11 == 0 else i % 2 == 0) for i in range(500)]
+    first = spark.createDataFrame(rows, "k long, s string, v double, b boolean")
+    changed = [(k, "new" if k == 17 else s, v + (1e-12 if k % 2 else 0) + (k == 300), None if k == 40 else b) for k, s, v, b in rows if k != 99] + [(900, "x", 1.0, None)]
+    second = spark.createDataFrame(changed, first.schema).repartition(4)
+    classes = {"s": "exact_text", "v": "tolerant_numeric", "b": "boolean"}
+    for per, fan in ((10, 2), (10, 64), (1000, 64)):
+        found = {(r.k, r.feature) for r in diff.located_differences(first, second, ["k"], classes, 8, per, fan).collect()}
+        assert found == {(17, "s"), (300, "v"), (40, "b")} | {(k, c) for k in (99, 900) for c in "svb"}
+    assert diff.located_differences(first, first.repartition(9), ["k"], classes, 8, 10, 4).count() == 0
+
+
+def test_counts_while_loading(spark, tmp_path):
+    contract = Contract("things", ("k",), "k int, name string, day date")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "things.csv").write_text("k,name,day\n" + "".join(f"{i},n{i},2020-01-0{1 + i % 9}\n" for i in range(50)))
+    loaded = tables.bulk_load(spark, str(tmp_path / "in"), str(tmp_path / "out"), [contract]).first().asDict()
+    assert loaded.pop("table_name") == "things" and loaded == tables.fingerprint(spark.read.parquet(str(tmp_path / "out/things"))).first().asDict()
