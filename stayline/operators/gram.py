@@ -19,7 +19,7 @@ def _matrix(batch: pa.RecordBatch, first: int) -> np.ndarray:
     return np.column_stack([np.asarray(c.cast(pa.float64())) for c in batch.columns[first:]])
 
 
-def _buffers(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+def buffers(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["_g", "_sums"]
     )
@@ -63,7 +63,7 @@ def logistic_sums(frame: DataFrame, features: Sequence[str], betas: dict[int, np
                 curve = (w[a:b] * p * (1.0 - p))[:, None] * x[a:b]
                 parts = [[float(w[a:b] @ loss)], (w[a:b] * (y[a:b] - p)) @ x[a:b], (curve.T @ x[a:b]).ravel()]
                 sums[g] = sums.get(g, 0.0) + np.concatenate(parts)
-        yield _buffers(sums)
+        yield buffers(sums)
 
     columns = frame.select("_g", "_w", "_y", *features)
     totals = summed_by_fit(columns.mapInArrow(partial, "_g int, _sums binary"))

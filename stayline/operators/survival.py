@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.expr import count_if, normal_z, safe_div
 from stayline.operators.fairness import by_attribute
-from stayline.operators.gram import summed_by_fit
+from stayline.operators.gram import buffers, summed_by_fit
 from stayline.operators.rank import Key, RangePlan, attach, average_ranks, exact_quantiles, plan_ranges, ranked, running_totals
 from stayline.operators.resample import row_folds
 from stayline.session import settle
@@ -429,62 +429,165 @@ def _tied_sums(risk: DataFrame, duration: str) -> DataFrame:
     return parts.groupBy(duration).agg(*[F.sum(c).alias(c) for c in ("a1", "a2", "b1", "b2", "b3", "lg")])
 
 
-def fit_cox(
-    df: DataFrame, features: Sequence[str], duration: str, event: str, penalizer: float = 0.05, tolerance: float = 1e-7, maximum: int = 25
-) -> CoxFit:
-    """Ridge-penalised Cox model with Efron ties, by Newton steps.
+DIRECT_TIES = 100_000
+
 
-    Maximises the mean log partial likelihood minus ½·penalizer·Σ(σ·β)², where σ is the
-    feature's sample deviation: the penalty does not depend on a feature's unit. A step
-    that lowers the objective is halved. Each step is one distributed aggregate over the
-    rows; the driver sees one row of d + d² sums. A fit that runs out of steps warns and
-    says so in ``converged``.
+def _polygamma(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digamma and trigamma of large arguments, by their asymptotic series."""
+    i = 1.0 / z
+    return np.log(z) - i / 2 - i**2 / 12 + i**4 / 120 - i**6 / 252, i + i**2 / 2 + i**3 / 6 - i**5 / 30 + i**7 / 42
+
+
+def efron_sums(d: np.ndarray, s0: np.ndarray, d0: np.ndarray) -> np.ndarray:
+    """Sums of 1/φ, f/φ, 1/φ², f/φ², f²/φ² and log φ over the tied exits l = 0..d-1, f = l/d and φ = s0 − f·d0.
+
+    Very many ties at one time are summed in closed form, so the work does not grow with the exits.
     """
-    features = list(features)
+    out = np.zeros((6, len(d)))
+    for i, (n, s, x) in enumerate(zip(d.astype(int).tolist(), s0.tolist(), d0.tolist())):
+        if n <= DIRECT_TIES:
+            f = np.arange(n) / n
+            phi = s - f * x
+            out[:, i] = [(1 / phi).sum(), (f / phi).sum(), (1 / phi**2).sum(), (f / phi**2).sum(), (f**2 / phi**2).sum(), np.log(phi).sum()]
+            continue
+        # φ = (x/n)·(z − l) with z = s·n/x; the last few terms directly, since the series needs large arguments
+        tail = min(n, 1000)
+        l = np.arange(n - tail, n)
+        phi = s - l / n * x
+        z = s * n / x
+        (psi_a, tri_a), (psi_b, tri_b) = (_polygamma(np.array(v)) for v in (z + 1.0, z - (n - tail) + 1.0))
+        one = n / x * (psi_a - psi_b) + (1 / phi).sum()
+        two = (n / x) ** 2 * (tri_b - tri_a) + (1 / phi**2).sum()
+        a, b = z + 1.0, z - (n - tail) + 1.0
+        gamma = [(v - 0.5) * math.log(v) - v + 0.5 * math.log(2 * math.pi) + 1 / (12 * v) - 1 / (360 * v**3) for v in (a, b)]
+        logs = (n - tail) * math.log(x / n) + gamma[0] - gamma[1] + np.log(phi).sum()
+        out[:, i] = [one, (s * one - n) / x, two, (s * two - one) / x, (s * s * two - 2 * s * one + n) / x**2, logs]
+    return out
+
+
+def fit_cox_without(
+    df: DataFrame, features: Sequence[str], duration: str, event: str, left_out: Sequence[int] = (0,), fold: str | None = None,
+    penalizer: float = 0.05, tolerance: float = 1e-7, maximum: int = 25,
+) -> dict[int, CoxFit]:
+    """Ridge-penalised Cox models with Efron ties for all ``left_out`` folds together, each without the rows of its fold.
+
+    Maximises the mean log partial likelihood minus ½·penalizer·Σ(σ·β)², where σ is the feature's sample deviation over
+    the fit's rows: the penalty does not depend on a feature's unit. A step that lowers the objective is halved. Fits that
+    run out of steps warn and say so in ``converged``.
+
+    A step reads the rows twice, for all fits. First sums of risk and risk-weighted features per event time; suffix sums
+    over times give the risk sets. The curvature's sum over risk sets of outer products turns into one over rows: a row
+    counts with the sum of its risk sets' weights up to its own time, so the second pass is one blocked product. Rows are
+    not copied for the fits. A partition yields a buffer per fit, added up in a tree; the driver holds d numbers per
+    distinct event time and fit.
+    """
+    features, fits = list(features), list(left_out)
     d = len(features)
-    pairs = _upper(d)
-    df = settle(df.select(duration, event, *features))
-    scale = df.agg(F.count(F.lit(1)).alias("n"), *[F.stddev_samp(f).alias(f"s_{i}") for i, f in enumerate(features)]).first()
-    n = scale["n"]
-    ridge = penalizer * np.array([(scale[f"s_{i}"] or 1.0) ** 2 for i in range(d)])
-    plan = plan_ranges(df.select(duration).distinct(), [Key(duration, True)])
-    beta, move, best, done, converged = np.zeros(d), np.zeros(d), -math.inf, 0, False
+    held = F.col(fold).cast("int") if fold else F.lit(-1)
+    rows = settle(df.select(F.col(duration).cast("double").alias("t"), (F.col(event) == 1).cast("double").alias("e"), held.alias("f"), *features))
+    times = np.array(sorted(r["t"] for r in rows.where("e = 1").select("t").distinct().collect()), float)
+    size = len(times)
+    kind = "_g int, _sums binary"
+
+    def over(make) -> dict[int, np.ndarray]:
+        """The sums of ``make(last event time, exit, features, fit)`` over the rows that each fit holds."""
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                at = np.searchsorted(times, np.asarray(batch.column(0)), "right")
+                order = np.argsort(at, kind="stable")
+                e, f = (np.asarray(batch.column(k))[order] for k in (1, 2))
+                x = np.column_stack([np.asarray(c.cast(pa.float64())) for c in batch.columns[3:]])[order] if d else np.zeros((batch.num_rows, 0))
+                for g in fits:
+                    mine = f != g
+                    if mine.any():
+                        sums[g] = sums.get(g, 0.0) + make(at[order][mine], e[mine], x[mine], g)
+            yield buffers(sums)
+
+        return summed_by_fit(rows.mapInArrow(partial, kind))
+
+    def moments(at, e, x, g):
+        return np.concatenate([[len(at), e.sum()], x.sum(axis=0), (x * x).sum(axis=0), e @ x])
+
+    first = over(moments)
+    fits = [g for g in fits if g in first and first[g][1] > 0]
+    n = {g: first[g][0] for g in fits}
+    ridge = {}
+    for g in fits:
+        mean, square = first[g][2 : 2 + d] / n[g], first[g][2 + d : 2 + 2 * d] / n[g]
+        spread = np.maximum(square - mean**2, 0.0) * n[g] / max(n[g] - 1, 1)
+        ridge[g] = penalizer * np.where(spread > 0, spread, 1.0)
+    exits = {g: first[g][2 + 2 * d :] for g in fits}
+    beta, move = {g: np.zeros(d) for g in fits}, {g: np.zeros(d) for g in fits}
+    best, fitted, open_ = dict.fromkeys(fits, -math.inf), {}, list(fits)
     for done in range(1, maximum + 1):
-        risk = _risk_sets(df, features, duration, event, beta, plan).where(F.col("d") > 0)
-        risk = risk.join(_tied_sums(risk, duration), duration)
-
-        def curvature(i: int, j: int) -> Column:
-            s = [F.col(f"s1_{i}"), F.col(f"s1_{j}")]
-            t = [F.col(f"d1_{i}"), F.col(f"d1_{j}")]
-            cross = s[0] * t[1] + s[1] * t[0]
-            return (
-                F.col("a1") * F.col(f"s2_{i}_{j}") - F.col("a2") * F.col(f"d2_{i}_{j}")
-                - (F.col("b1") * s[0] * s[1] - F.col("b2") * cross + F.col("b3") * t[0] * t[1])
-            )
-
-        row = risk.agg(
-            F.sum(F.col("lin") - F.col("lg")).alias("ll"),
-            *[F.sum(F.col(f"x_{i}") - (F.col("a1") * F.col(f"s1_{i}") - F.col("a2") * F.col(f"d1_{i}"))).alias(f"g_{i}") for i in range(d)],
-            *[F.sum(curvature(i, j)).alias(f"h_{i}_{j}") for i, j in pairs],
-        ).first()
-        gradient = np.array([row[f"g_{i}"] for i in range(d)]) / n - ridge * beta
-        information = np.zeros((d, d))
-        for i, j in pairs:
-            information[i, j] = information[j, i] = row[f"h_{i}_{j}"] / n
-        information += np.diag(ridge)
-        objective = row["ll"] / n - 0.5 * float(ridge @ beta**2)
-        if objective < best - 1e-9 * abs(best):
-            move = move / 2.0  # the step was too long: go half way back
-            beta = beta - move
-            continue
-        move = np.linalg.solve(information, gradient)
-        converged = np.max(np.abs(move) * np.sqrt(ridge / penalizer if penalizer else 1.0)) < tolerance or abs(objective - best) < tolerance * 1e-3
-        if converged:
+        fits = open_  # the passes below serve the open fits alone
+        coefficients = dict(beta)
+
+        def per_time(at, e, x, g):
+            linear = x @ coefficients[g]
+            r = np.exp(linear)
+            wide = np.column_stack([r, r[:, None] * x, r * e, (r * e)[:, None] * x, e, e * linear])
+            total = np.zeros((size + 1, wide.shape[1]))
+            heads = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else []
+            if len(at):
+                total[at[heads]] = np.add.reduceat(wide, heads, axis=0)
+            return total.ravel()
+
+        sums = {g: v.reshape(size + 1, 2 * d + 4) for g, v in over(per_time).items()}
+        state = {}
+        for g in open_:
+            own = sums[g]
+            risk = np.cumsum(own[::-1, : d + 1], axis=0)[::-1][1:]  # rows whose last event time is this one or later
+            out = own[1:, d + 1 : 2 * d + 2]
+            # exits stand at their own time, which is the last event time up to it
+            count, active = own[1:, 2 * d + 2], own[1:, 2 * d + 2] > 0
+            ties = np.zeros((6, size))
+            ties[:, active] = efron_sums(count[active], risk[active, 0], out[active, 0])
+            state[g] = (risk[:, 1:], out[:, 1:], ties, float(own[:, 2 * d + 3].sum()))
+        weights = {g: (np.concatenate([[0.0], np.cumsum(state[g][2][0])]), np.concatenate([[0.0], state[g][2][1]])) for g in open_}
+
+        def products(at, e, x, g):
+            whole, own = weights[g]
+            w = np.exp(x @ coefficients[g]) * (whole[at] - e * own[at])
+            return (x.T @ (w[:, None] * x)).ravel()
+
+        seconds = over(products)
+        still = []
+        for g in open_:
+            s1, d1, (a1, a2, b1, b2, b3, lg), linear = state[g]
+            gradient = (exits[g] - (a1 @ s1 - a2 @ d1)) / n[g] - ridge[g] * beta[g]
+            cross = s1.T @ (b2[:, None] * d1)
+            outer = s1.T @ (b1[:, None] * s1) - cross - cross.T + d1.T @ (b3[:, None] * d1)
+            information = (seconds[g].reshape(d, d) - outer) / n[g] + np.diag(ridge[g])
+            likelihood = linear - float(lg.sum())
+            objective = likelihood / n[g] - 0.5 * float(ridge[g] @ beta[g] ** 2)
+            if objective < best[g] - 1e-9 * abs(best[g]):
+                move[g] = move[g] / 2.0  # the step was too long: go half way back
+                beta[g] = beta[g] - move[g]
+                still.append(g)
+                continue
+            move[g] = np.linalg.solve(information, gradient)
+            small = np.max(np.abs(move[g]) * np.sqrt(ridge[g] / penalizer if penalizer else 1.0), initial=0.0) < tolerance
+            converged = bool(small or abs(objective - best[g]) < tolerance * 1e-3)
+            fitted[g] = CoxFit(features, beta[g], np.linalg.inv(information) / n[g], likelihood, done, converged)
+            if not converged:
+                beta[g], best[g] = beta[g] + move[g], objective
+                still.append(g)
+        open_ = still
+        if not open_:
             break
-        beta, best = beta + move, objective
-    if not converged:
-        warnings.warn(f"the proportional-hazards fit did not converge in {maximum} steps", RuntimeWarning, stacklevel=2)
-    return CoxFit(features, beta, np.linalg.inv(information) / n, float(row["ll"]), done, bool(converged))
+    if open_:
+        warnings.warn(f"{len(open_)} proportional-hazards fits did not converge in {maximum} steps", RuntimeWarning, stacklevel=2)
+    return {g: CoxFit(f.features, beta[g] if g in open_ else f.beta, f.covariance, f.log_likelihood, f.iterations, f.converged and g not in open_) for g, f in fitted.items()}
+
+
+def fit_cox(
+    df: DataFrame, features: Sequence[str], duration: str, event: str, penalizer: float = 0.05, tolerance: float = 1e-7, maximum: int = 25
+) -> CoxFit:
+    """One penalised Cox model over all rows, see ``fit_cox_without``."""
+    return fit_cox_without(df, features, duration, event, penalizer=penalizer, tolerance=tolerance, maximum=maximum)[0]
 
 
 def hazard_ratios(fit: CoxFit, df: DataFrame, confidence: float = 0.95) -> DataFrame:
@@ -564,11 +667,10 @@ def concordance(df: DataFrame, score: str, duration: str, event: str, by: Sequen
 def cross_validated_concordance(
     design: DataFrame, features: Sequence[str], row_id: str, duration: str, event: str, folds: int = 5, seed: int = 42, penalizer: float = 0.05
 ) -> DataFrame:
-    """Out-of-fold concordance: one fit per fold, one scoring and counting job for all of them."""
+    """Out-of-fold concordance: the fits of all folds share their passes, one scoring and counting job for all of them."""
     placed = settle(design.join(row_folds(design, row_id, event, folds, seed), row_id))
     score = F.lit(None).cast("double")
-    for fold in range(1, folds + 1):
-        fit = fit_cox(placed.where(F.col("fold") != fold), features, duration, event, penalizer)
+    for fold, fit in fit_cox_without(placed, features, duration, event, range(1, folds + 1), "fold", penalizer).items():
         linear = sum((F.col(f) * float(b) for f, b in zip(fit.features, fit.beta, strict=True)), F.lit(0.0))
         score = F.when(F.col("fold") == fold, linear).otherwise(score)
     scored = placed.withColumn("_score", score)

@@ -44,8 +44,11 @@ def query(name: str, needs: str = "", oracle: str | None = None):
                 ORACLES[name] = body
             elif body.upper().startswith("WITH "):
                 # join the statement's own common table expressions to the relations
-                prefix = with_relations(*needs.split(), body="")
-                ORACLES[name] = f"{prefix.rstrip()}, {body[5:]}"
+                prefix = with_relations(*needs.split(), body="").rstrip()
+                own = body[5:]
+                if own.upper().startswith("RECURSIVE "):
+                    prefix, own = prefix.replace("WITH ", "WITH RECURSIVE ", 1), own[10:]
+                ORACLES[name] = f"{prefix}, {own}"
             else:
                 ORACLES[name] = with_relations(*needs.split(), body=body)
         return fn

@@ -211,3 +211,24 @@ def test_counts_while_loading(spark, tmp_path):
     (tmp_path / "in" / "things.csv").write_text("k,name,day\n" + "".join(f"{i},n{i},2020-01-0{1 + i % 9}\n" for i in range(50)))
     loaded = tables.bulk_load(spark, str(tmp_path / "in"), str(tmp_path / "out"), [contract]).first().asDict()
     assert loaded.pop("table_name") == "things" and loaded == tables.fingerprint(spark.read.parquet(str(tmp_path / "out/things"))).first().asDict()
+
+
+def test_tied_sums_in_closed_form(monkeypatch):
+    d, s0, d0 = np.array([5000.0, 3000.0, 7.0]), np.array([9000.0, 2000.5, 30.0]), np.array([4500.0, 1999.0, 4.0])
+    direct = survival.efron_sums(d, s0, d0)
+    monkeypatch.setattr(survival, "DIRECT_TIES", 100)
+    assert survival.efron_sums(d, s0, d0) == pytest.approx(direct, rel=1e-9)
+
+
+def test_cox_of_all_folds_together(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    t = np.ceil(rng.exponential(12 * np.exp(-x[:, 0]))).astype(int)
+    rows = [(i, int(i % 3) + 1, int(t[i]), int(rng.random() < 0.7), *map(float, x[i])) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, fold int, t int, e int, a double, b double, c double").repartition(6)
+    together = survival.fit_cox_without(frame, ["a", "b", "c"], "t", "e", [1, 2, 3], "fold")
+    assert set(together) == {1, 2, 3}
+    for k, fit in together.items():
+        alone = survival.fit_cox(frame.where(F.col("fold") != k), ["a", "b", "c"], "t", "e")
+        assert fit.beta == pytest.approx(alone.beta, abs=1e-6) and fit.converged
+        assert fit.covariance == pytest.approx(alone.covariance, rel=1e-5) and fit.log_likelihood == pytest.approx(alone.log_likelihood)
