@@ -214,22 +214,17 @@ def attribute_at(
     current value.
     """
     points = population.select(entity, cutoff).distinct()
-    changes = events.where(F.col("event_type") == change_type).select(
+    changes = events.where((F.col("event_type") == change_type) & F.col(entity).isNotNull()).select(
         entity, "event_date", "event_id", "old_value", "new_value"
     )
-    reached = (F.col("event_date") <= F.col(cutoff)) if inclusive else (F.col("event_date") < F.col(cutoff))
     order = F.struct("event_date", "event_id")
-    at_cutoff = (
-        changes.join(points, entity)
-        .groupBy(entity, cutoff)
-        .agg(
-            F.max_by("new_value", F.when(reached, order)).alias("_new"),
-            F.min_by("old_value", order).alias("_old"),
-        )
-    )
-    out_df = population.join(at_cutoff, [entity, cutoff], "left")
+    # on one time line, so that an entity's changes do not meet each of its cutoffs
+    at_cutoff = asof_join(points, changes, entity, cutoff, "event_date", ["event_id"], ["new_value"], inclusive)
+    out_df = population.join(at_cutoff.withColumnRenamed("new_value", "_new"), [entity, cutoff], "left")
     options = [F.col("_new").try_cast("int")]
     if first_old_value:
+        earliest = changes.groupBy(entity).agg(F.min_by("old_value", order).alias("_old"))
+        out_df = out_df.join(earliest, entity, "left")
         options.append(F.col("_old").try_cast("int"))
     if initial_pattern:
         initial = (

@@ -359,6 +359,34 @@ def forbidden_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return constant_check(df.sparkSession, "leaky columns", len(present), "none of: " + ", ".join(names))
 
 
+def outcome_telling(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+    """Rows without a value, the label's rate among them and among the others, and whether either side has one label only.
+
+    A column that is written when the outcome happens shows it by its presence, whatever its name. One aggregate.
+    """
+    entries = []
+    for c in columns:
+        empty = F.col(c).isNull()
+        a, b = (F.avg(F.when(side, F.col(label).cast("double"))) for side in (empty, ~empty))
+        settled = (count_if(empty) > 0) & (a.isin(0.0, 1.0) | b.isin(0.0, 1.0))
+        entries.append(
+            F.struct(
+                F.lit(c).alias("feature"), count_if(empty).alias("missing"), a.alias("rate_where_missing"), b.alias("rate_where_present"),
+                F.coalesce(settled, F.lit(False)).alias("tells_the_outcome"),
+            )
+        )
+    return df.agg(F.array(*entries).alias("_e")).select(F.explode("_e").alias("_e")).select("_e.*")
+
+
+def entity_windows(panel: DataFrame, entity: str, sequence: str, snapshot: str, horizon: str) -> DataFrame:
+    """Rows, rows with a later one of their entity, and those whose label window reaches over its snapshot."""
+    following = F.lead(snapshot).over(Window.partitionBy(entity).orderBy(sequence))  # a row per snapshot
+    placed = panel.select(F.col(horizon).alias("_h"), following.alias("_n"))
+    return placed.agg(
+        F.count(F.lit(1)).alias("rows"), F.count("_n").alias("followed"), count_if(F.col("_n") < F.col("_h")).alias("overlapping")
+    )
+
+
 def no_future_dates(audit: DataFrame, snapshot: str, columns: Sequence[str]) -> DataFrame:
     """Source dates that lie after the row's snapshot."""
     return row_rules(audit, {f"{c} in the future": (F.col(c) > F.col(snapshot), "date <= snapshot") for c in columns})

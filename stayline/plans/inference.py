@@ -6,14 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from stayline.operators import association, diff, isotonic, metrics, model, multinomial, resample
+from stayline.operators import association, diff, isotonic, metrics, model, multinomial, panel, quality, resample
+from stayline.plans.features import HR, PANEL_SQL, full_panel
 from stayline.plans.modelling import CATEGORICAL, ID, NUMERIC, Y, encoder, split
 from stayline.plans.outcomes import CLASSES, orders_twice
 from stayline.plans.ranking import draw_sql
 from stayline.plans.registry import Tables, query, round_all
-from stayline.session import checkpoint_dir
+from stayline.session import checkpoint_dir, settle
 from stayline.sources import tables as src
-from stayline.sources.contracts import CONTRACTS
+from stayline.sources.contracts import Contract
 
 ITERATIONS = 500
 
@@ -199,7 +200,87 @@ LOADED = ["departments", "locations", "job_roles"]
 def _(t: Tables):
     """CSV files of the tables, loaded with checked headers; the counts are those observed while loading."""
     folder = f"{checkpoint_dir(t.spark)}/load-{uuid.uuid4().hex}"
-    chosen = [CONTRACTS[n] for n in LOADED]
-    for contract in chosen:
-        src.conform(t[contract.name], contract).write.option("header", True).csv(f"{folder}/source/{contract.name}.csv")
+    chosen = []
+    for name in LOADED:
+        declared = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t[name].schema)
+        chosen.append(Contract(name, (t[name].columns[0],), declared))
+        t[name].write.option("header", True).csv(f"{folder}/source/{name}.csv")
     return src.bulk_load(t.spark, f"{folder}/source", f"{folder}/target", chosen).select("table_name", "row_count")
+
+
+# ---- fits with the whole panel, and leakage by data -----------------------------------------------------------
+
+NEWTON_STEPS = 25
+# Newton steps of two coefficients per group, the 2 x 2 system solved by hand.
+NEWTON_SQL = f"""WITH RECURSIVE ba AS (SELECT user_id % 7 AS g, attrition_probability::DOUBLE * 10 AS x, actual_attrition::DOUBLE AS y FROM scored),
+    cw AS (SELECT g, COUNT(*)::DOUBLE AS n, SUM(y) AS p FROM ba GROUP BY g),
+    fr AS (SELECT ba.*, n / (2 * CASE WHEN y = 1 THEN p ELSE n - p END) AS w FROM ba JOIN cw USING (g)),
+    st AS (SELECT g, 0 AS step, 0::DOUBLE AS b0, 0::DOUBLE AS b1 FROM cw
+      UNION ALL SELECT g, step + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+      FROM (SELECT st.g, step, b0, b1, SUM(w * (y - 1 / (1 + exp(-b0 - b1 * x)))) AS g0, SUM(w * (y - 1 / (1 + exp(-b0 - b1 * x))) * x) - b1 AS g1,
+        SUM(w * exp(-b0 - b1 * x) / pow(1 + exp(-b0 - b1 * x), 2)) AS h00, SUM(w * exp(-b0 - b1 * x) / pow(1 + exp(-b0 - b1 * x), 2) * x) AS h01,
+        SUM(w * exp(-b0 - b1 * x) / pow(1 + exp(-b0 - b1 * x), 2) * x * x) + 1 AS h11
+        FROM st JOIN fr ON st.g = fr.g WHERE step < {NEWTON_STEPS} GROUP BY st.g, step, b0, b1))"""
+
+
+@query(
+    "l2_logistic_per_group",
+    "scored",
+    f"""{NEWTON_SQL} SELECT CAST(g AS INT) AS fit, unnest(['intercept', 'x']) AS encoded_feature, ROUND(unnest([b0, b1]), 6) AS coefficient, true AS converged
+    FROM st WHERE step = {NEWTON_STEPS}""",
+)
+def _(t: Tables):
+    """One balanced ridge fit per group, all in the same steps."""
+    frame = t["scored"].select((F.col("user_id") % 7).alias("g"), (F.col("attrition_probability").cast("double") * 10).alias("x"), Y)
+    return round_all(model.fit_logistic(frame, ["x"], Y, "g").table(t.spark))
+
+
+PANEL_CATEGORICAL = [
+    "employment_type", "education_level", "organizational_level", "department_name", "department_group", "region", "location_type", "job_family", "job_level",
+]
+PANEL_OTHER = {"employee_id", "dataset_type", "snapshot_sequence", "snapshot_date", "prediction_end_date", "city", "job_title", "attrition_next_12m"}
+PANEL_NUMERIC = [c for c in panel.PANEL_COLUMNS if c not in PANEL_OTHER and c not in PANEL_CATEGORICAL]
+
+
+@query("l2_panel_logistic", HR)
+def _(t: Tables):
+    """A fit to all features of the first labelled snapshot, scored on the second."""
+    rows = settle(full_panel(t).where("attrition_next_12m IS NOT NULL").withColumns({c: F.col(c).cast("double") for c in PANEL_NUMERIC}))
+    train, later = (rows.where(F.col("snapshot_sequence") == s) for s in (1, 2))
+    enc = model.fit_encoder(train, PANEL_NUMERIC, dict.fromkeys(PANEL_CATEGORICAL))
+    fits = model.fit_logistic(enc.transform(train, ["attrition_next_12m"]), enc.columns, "attrition_next_12m")
+    scored = model.score_by_fit(enc.transform(later, [ID, "attrition_next_12m"]).withColumn("fit", F.lit(0)), fits, "score")
+    out = metrics.rank_metrics(scored, "score", "attrition_next_12m")
+    return round_all(out.select(F.lit(len(enc.columns)).alias("encoded_features"), "roc_auc", "pr_auc"), 4)
+
+
+TOLD_BY = [c for c in panel.PANEL_COLUMNS if c not in PANEL_OTHER] + ["termination_date"]
+
+
+@query(
+    "q23_columns_that_tell_the_outcome",
+    HR,
+    f"""WITH p AS ({PANEL_SQL}), l AS (SELECT p.*, e.termination_date FROM p JOIN employees e USING (employee_id) WHERE attrition_next_12m IS NOT NULL),
+    c AS ("""
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, COUNT(*) FILTER ({c} IS NULL) AS missing, AVG(attrition_next_12m) FILTER ({c} IS NULL) AS a, AVG(attrition_next_12m) FILTER ({c} IS NOT NULL) AS b FROM l"
+        for c in TOLD_BY
+    )
+    + """) SELECT feature, missing, ROUND(a, 6) AS rate_where_missing, ROUND(b, 6) AS rate_where_present,
+    COALESCE(missing > 0 AND (a = 0 OR a = 1 OR b = 0 OR b = 1), false) AS tells_the_outcome FROM c""",
+)
+def _(t: Tables):
+    """The panel's columns, and one that it must not have, by whether their presence settles the label."""
+    leaving = t["employees"].select(ID, "termination_date")
+    rows = full_panel(t).where("attrition_next_12m IS NOT NULL").join(leaving, ID)
+    return round_all(quality.outcome_telling(rows, TOLD_BY, "attrition_next_12m"))
+
+
+@query(
+    "q26_windows_of_each_entity",
+    HR,
+    f"""WITH p AS (SELECT employee_id, snapshot_date, prediction_end_date, LEAD(snapshot_date) OVER (PARTITION BY employee_id ORDER BY snapshot_sequence) AS following FROM ({PANEL_SQL}))
+    SELECT COUNT(*) AS rows, COUNT(following) AS followed, COUNT(*) FILTER (following < prediction_end_date) AS overlapping FROM p""",
+)
+def _(t: Tables):
+    return quality.entity_windows(full_panel(t), ID, "snapshot_sequence", "snapshot_date", "prediction_end_date")
