@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 8
 #: Rounds with one centre in each bucket, then with the likeliest partner of each member, members of a lot, and how far
 #: below the similarity registers may agree.
-STARS, CHOICES, LOT, MARGIN = 2, 3, 128, 0.075
+STARS, CHOICES, LOT, MARGIN = 2, 1, 128, 0.075
 #: Texts whose bags a task keeps while it verifies pairs.
 HELD_BAGS = 4_000
 
@@ -210,69 +211,64 @@ def _likeliest(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["a", "class", "agree", "b"])
 
 
-def _open_members(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """The members of a pair of lots whose registers agree with one of another class, each once."""
+def lot_of(node: str, lots: int) -> int:
+    """The lot of a node among all nodes, from its hexadecimal name."""
+    return zlib.crc32(node.encode()) % lots
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], least: float, lots: int) -> Iterator[pa.RecordBatch]:
+    """Per outside member and lot of nodes, the nodes of other classes whose registers agree; and these nodes, once each.
+
+    A pair is an entry of one list, however many buckets share it.
+    """
     for batch in batches:
-        found: set[str] = set()
+        asked: dict[tuple[int, int, str], set[str]] = {}
         for r in range(batch.num_rows):
             left, right, one, two, apart = _sides(batch, r)
             for i, x in enumerate(left):
-                near = np.flatnonzero(((one[i] == two).mean(axis=1) >= least) & apart[i]).tolist()
-                if near:
-                    found.add(x["node"])
-                    found.update(right[j]["node"] for j in near)
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["node"])
+                for j in np.flatnonzero(((one[i] == two).mean(axis=1) >= least) & apart[i]).tolist():
+                    key = (lot_of(x["node"], lots), lot_of(right[j]["node"], lots), x["node"])
+                    asked.setdefault(key, set()).add(right[j]["node"])
+        rows = [(*key, sorted(others)) for key, others in asked.items()]
+        rows += [(*found, None) for found in {(a, b, y) for (a, b, _), others in asked.items() for y in others}]
+        columns = list(zip(*rows)) or [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["x_lot", "y_lot", "node", "others"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch], least: float, margin: float) -> Iterator[pa.RecordBatch]:
-    """Links between the outside members of one lot and the members of another, at most one for each member and class.
+def _compare(asked: pa.Table, held: pa.Table, least: float) -> pa.Table:
+    """Links between the members of two lots; classes that a link joins count as one from then on."""
 
-    A pair that shares several buckets is compared in the first of them by its whole band keys. Bags are compared here,
-    so that no pair leaves the task but a link; classes that a link joins count as one from then on.
-    """
+    def bags(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        columns = (table[c].combine_chunks() for c in ("values", "weights"))
+        values, weights = ([np.asarray(v.values) for v in c] for c in columns)
+        return {n: (v.view(np.uint64), w.astype(np.int64)) for n, v, w in zip(table["node"].to_pylist(), values, weights)}
 
-    def held(x: dict) -> tuple[np.ndarray, np.ndarray]:
-        return np.array(x["values"], np.int64).view(np.uint64), np.array(x["weights"], np.int64)
+    ours, theirs = bags(asked), bags(held)
+    label = dict(zip(held["node"].to_pylist(), held["label"].to_pylist())) | dict(zip(asked["node"].to_pylist(), asked["label"].to_pylist()))
+    joined: dict[str, str] = {}
 
-    for batch in batches:
-        links: list[tuple[str, str]] = []
-        for r in range(batch.num_rows):
-            left, right, one, two, apart = _sides(batch, r)
-            bucket = batch.column(2)[r].as_py()
-            keys = [np.array([x["bands"] for x in lot], np.int64) for lot in (left, right)]
-            bags: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-            joined: dict[str, str] = {}
-
-            def root(label: str) -> str:
-                while label in joined:
-                    label = joined[label]
-                return label
+    def root(name: str) -> str:
+        while name in joined:
+            name = joined[name]
+        return name
 
-            for i, x in enumerate(left):
-                shared = keys[0][i] == keys[1]
-                near = ((one[i] == two).mean(axis=1) >= least - margin) & apart[i]
-                first = shared.argmax(axis=1)
-                near &= shared.any(axis=1) & (keys[1][np.arange(len(right)), first] == bucket)
-                for j in np.flatnonzero(near).tolist():
-                    y = right[j]
-                    ours, theirs = root(x["label"]), root(y["label"])
-                    if ours == theirs:
-                        continue
-                    for z in (x, y):
-                        if z["node"] not in bags:
-                            bags[z["node"]] = held(z)
-                    if similarity(bags[x["node"]], bags[y["node"]]) >= least:
-                        links.append((min(x["node"], y["node"]), max(x["node"], y["node"])))
-                        joined[ours] = theirs
-        columns = list(zip(*links)) or [[], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["a", "b"])
+    links = []
+    for x, others in zip(asked["node"].to_pylist(), asked["others"].to_pylist()):
+        for y in others:
+            a, b = root(label[x]), root(label[y])
+            if a != b and similarity(ours[x], theirs[y]) >= least:
+                links.append((min(x, y), max(x, y)))
+                joined[a] = b
+    columns = list(zip(*links)) or [[], []]
+    return pa.table({n: pa.array(c, pa.string()) for n, c in zip(("a", "b"), columns)})
 
 
 def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = [bag(t) for t in batch.column(1).to_pylist()]
         values = pa.array([v.view(np.int64) for v, _ in bags], pa.list_(pa.int64()))
-        weights = pa.array([w for _, w in bags], pa.list_(pa.int64()))
+        weights = pa.array([w.astype(np.int32) for _, w in bags], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column(0), values, weights], names=["node", "values", "weights"])
 
 
@@ -301,28 +297,31 @@ def classified(members: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFr
 
 
 def lots(named: DataFrame, state: DataFrame, extra: DataFrame, fields: list[str]) -> DataFrame:
-    """(centres, members, bucket): each lot of a bucket's members outside its largest class beside each of its lots."""
-    sizes = state.select("bucket", F.col("main.label").alias("main"), F.ceil(F.col("size") / LOT).alias("lots"))
+    """(centres, members): lots of a bucket's members outside its largest class beside each of its lots of all members."""
+    outside = F.col("size") - F.col("main.n")
+    sizes = state.select("bucket", F.col("main.label").alias("main"), F.ceil(F.col("size") / LOT).alias("lots"), F.ceil(outside / LOT).alias("out_lots"))
     placed = named.join(sizes, "bucket").join(extra, "node").select(
-        "bucket", F.pmod("draw", "lots").alias("lot"), (F.col("label") != F.col("main")).alias("out"), F.struct("node", "label", *fields).alias("item")
-    )
+        "bucket", F.pmod("draw", "lots").alias("lot"), F.when(F.col("label") != F.col("main"), F.pmod("draw", "out_lots")).alias("out_lot"),
+        F.struct("node", "label", *fields).alias("item"),
+    )
     placed = store(placed)
     every = placed.groupBy("bucket", "lot").agg(F.collect_list("item").alias("members")).drop("lot")
-    outside = placed.filter("out").groupBy("bucket", "lot").agg(F.collect_list("item").alias("centres")).drop("lot")
-    return store(every).join(store(outside), "bucket").select("centres", "members", "bucket")
+    outer = placed.filter("out_lot IS NOT NULL").groupBy("bucket", "out_lot").agg(F.collect_list("item").alias("centres")).drop("out_lot")
+    return every.join(outer, "bucket").select("centres", "members")
 
 
 def linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(node, label) for the nodes that link to another: classes of the graph of all similar pairs that share a bucket.
 
-    ``members`` has (bucket, node), ``texts`` (node, text, registers, bands). Each round adds some verified links and
+    ``members`` has (bucket, node), ``texts`` (node, text, registers). Each round adds some verified links and
     contracts the classes that they join to stars, so edges never outnumber nodes. In STARS rounds each bucket has one
     centre, which is compared with its members of other classes. In CHOICES rounds each member outside its bucket's
     largest class is compared with the one member of each other class whose registers agree most, among those that it
-    was not compared with. Rows of both are linear in the members. What is left then is compared whole, lot by lot and
-    inside the task: bags go to their buckets' lots, and only links come out. Members without an open candidate, one of
-    another class whose registers agree to within MARGIN of ``least``, take no part. So no link in a bucket is missed,
-    but for registers off by over three standard deviations, as rare as a pair without a common band.
+    was not compared with. Rows of both are linear in the members. What is left then is compared whole: each member lists
+    its open candidates, those of another class whose registers agree to within MARGIN of ``least``, a pair once however
+    many buckets share it. Bags go to pairs of lots of these nodes, are compared inside the task, and only links come
+    out. So no link in a bucket is missed, but for registers off by over three standard deviations, as rare as a pair
+    without a common band.
     """
     spark = members.sparkSession
     labels = spark.createDataFrame([], "node string, label string")
@@ -342,7 +341,7 @@ def linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             pairs = store(pairs.select(F.greatest("node", "a").alias("b"), F.least("node", "a").alias("a")).distinct())
         else:
             known = texts.select("node", "registers").join(tried, "node", "left")
-            met = lots(named, state, known, ["registers", "tried"]).select("centres", "members")
+            met = lots(named, state, known, ["registers", "tried"])
             best = met.mapInArrow(lambda batches: _likeliest(batches, least - MARGIN), "a string, class string, agree double, b string")
             chosen = store(best.groupBy("a", "class").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
             if not chosen.limit(1).count():
@@ -352,15 +351,23 @@ def linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             pairs = store(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         labels = contracted(verified(pairs, texts, least))
     named, state = classified(members, labels, STARS + CHOICES)
-    met = lots(named, state, texts.select("node", "registers"), ["registers"]).select("centres", "members")
-    open_ = store(met.mapInArrow(lambda batches: _open_members(batches, least - MARGIN), "node string").distinct())
-    if not open_.limit(1).count():
+    size = named.join(state.select("bucket"), "bucket", "left_semi").select("node").distinct().count()
+    count = max(1, -(-size // LOT))
+    met = lots(named, state, texts.select("node", "registers"), ["registers"])
+    shape = "x_lot long, y_lot long, node string, others array<string>"
+    found = store(met.mapInArrow(lambda batches: _candidates(batches, least - MARGIN, count), shape))
+    if not found.limit(1).count():
         return labels
-    asked = texts.join(open_, "node", "left_semi").select("node", "text")
-    bags = asked.mapInArrow(_bagged, "node string, values array<long>, weights array<long>")
-    whole = store(texts.select("node", "registers", "bands").join(bags, "node"))
-    met = lots(named, state, whole, ["registers", "bands", "values", "weights"])
-    return contracted(store(met.mapInArrow(lambda batches: _compare(batches, least, MARGIN), "a string, b string").distinct()))
+    asked = texts.join(found.select("node").distinct(), "node", "left_semi").select("node", "text")
+    bags = asked.mapInArrow(_bagged, "node string, values array<long>, weights array<int>").join(labels, "node", "left")
+    bags = store(bags.select("node", F.coalesce("label", "node").alias("label"), "values", "weights"))
+    lists = found.filter("others IS NOT NULL").groupBy("x_lot", "y_lot", "node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    held = found.filter("others IS NULL").drop("others").distinct()
+    # new names of columns on each side: both come from the same stored tables
+    sides = [d.join(bags, "node").select(*[F.col(c).alias(c) for c in (*d.columns, "label", "values", "weights")]) for d in (lists, held)]
+    grouped = [side.groupBy("x_lot", "y_lot") for side in sides]
+    links = grouped[0].cogroup(grouped[1]).applyInArrow(lambda x, y: _compare(x, y, least), "a string, b string")
+    return contracted(store(links))
 
 
 def near_duplicates(
@@ -389,8 +396,8 @@ def near_duplicates(
     shared = buckets.groupBy("bucket").agg(F.min("short").alias("one"), F.max("short").alias("other")).filter("one <> other")
     found = buckets.join(store(shared.select("bucket")), "bucket", "left_semi")
     members = store(found.join(nodes.select(F.xxhash64("node").alias("short"), "node"), "short").drop("short"))
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first.id", "first.mark", "first.registers", "first.bands")
-    texts = store(named.dropDuplicates(["id", "mark"]).join(wanted, ["id", "mark"]).select("node", "text", "registers", "bands"))
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first.id", "first.mark", "first.registers")
+    texts = store(named.dropDuplicates(["id", "mark"]).join(wanted, ["id", "mark"]).select("node", "text", "registers"))
     labels = linked(members, texts, least)
     placed = nodes.select("node", "rows", F.struct("first.id", "first.mark").alias("first")).join(labels, "node", "left")
     placed = store(placed.select("node", "rows", "first", F.coalesce("label", "node").alias("label")))
