@@ -218,8 +218,7 @@ def test_links_whose_registers_agree_by_chance(spark):
     rng = np.random.default_rng(1)
     registers = {n: bytes(320) if n in alike else rng.integers(1, 256, 320).astype(np.uint8).tobytes() for n in texts}
     members = spark.createDataFrame([(3, 77, n) for n in texts], "band int, bucket long, node string")
-    rows = [(n, t, registers[n], [i, 77]) for i, (n, t) in enumerate(texts.items())]
-    frame = spark.createDataFrame(rows, "node string, text string, registers binary, bands array<long>")
+    frame = spark.createDataFrame([(n, t, registers[n]) for n, t in texts.items()], "node string, text string, registers binary")
     assert {r.node: r.label for r in bagminhash.linked(members, frame, 0.8).collect()} == {"a": "a", "b": "a"}
 
 
@@ -248,9 +247,8 @@ def test_one_bucket_of_texts_around_the_threshold(spark, monkeypatch, stars, cho
     for _ in texts:
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
-    members = spark.createDataFrame([(77, n) for n in texts], "bucket long, node string")
-    rows = [(n, t, bytes(320), [i, 77]) for i, (n, t) in enumerate(texts.items())]
-    frame = spark.createDataFrame(rows, "node string, text string, registers binary, bands array<long>")
+    members = spark.createDataFrame([(b, n) for n in texts for b in (77, 78)], "bucket long, node string")
+    frame = spark.createDataFrame([(n, t, bytes(320)) for n, t in texts.items()], "node string, text string, registers binary")
     got = {r.node: r.label for r in bagminhash.linked(members, frame, 0.8).collect()}
     assert links and {n: got.get(n, n) for n in texts} == label
 
