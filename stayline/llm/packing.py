@@ -23,9 +23,9 @@ END_ID = 1
 GROUP_TOKENS = 8_000_000
 #: Weights of the three capacities in the residual norm.
 WEIGHTS = (1.0, 0.01, 0.01)
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 #: Words whose ids a worker keeps, and a character that parts words where many are encoded at once.
-KNOWN_WORDS = 1_200_000
+KNOWN_WORDS = 500_000
 MARK = "\x01"
 #: Words given to the tokenizer at once; what it returns for a word takes far more memory than the ids.
 ENCODED_WORDS = 20_000
