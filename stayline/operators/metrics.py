@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +25,7 @@ from stayline.operators.rank import (
     top_count,
     value_counts_running,
 )
+from stayline.session import store
 
 # The fractions of the ranking grid.
 GRID_FRACTIONS = (0.01, 0.025, 0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50, 0.75, 1.00)
@@ -353,6 +356,112 @@ def bootstrap_metrics(
     return out.join(brier, list(by)).join(top, list(by))
 
 
+#: Ordered rows that one group of resampled metrics holds.
+RESAMPLED_ROWS = 4096
+
+
+def resampled_metrics(
+    counted: DataFrame, score: str, label: str, row_id: str, by: Sequence[str] = (), fraction: float = 0.10, rows: int = RESAMPLED_ROWS
+) -> DataFrame:
+    """``bootstrap_metrics`` of all resamples from rows with their ``counts``, as one ordering of the rows.
+
+    Rows are ordered by falling score once per group of ``by``. A block of neighbours holds its counts as a matrix, finds
+    what precedes it in each resample from the totals of the blocks before, and sums all scores that lie inside it. The
+    first and the last score of a block may go on in its neighbours: these are put together by score.
+    """
+    by = list(by)
+    chosen = counted.select(
+        *by, F.col(score).cast("double").alias("_s"), F.col(row_id).alias("_id"), (F.col(label) == 1).cast("int").alias("_y"),
+        F.pow(F.col(score) - F.col(label).cast("double"), F.lit(2.0)).alias("_e"), "counts",
+    )
+    chosen = store(chosen)
+    numbered = ranked(chosen, [Key("_s", True), Key("_id")], by, out="_r").drop("_id")
+    blocks = store(numbered.withColumn("_block", F.floor((F.col("_r") - 1) / rows)))
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    head = "".join(f"`{c}` {kinds[c]}, " for c in by)
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        return np.concatenate([np.asarray(c.flatten()) for c in table["counts"].chunks]).reshape(table.num_rows, -1)
+
+    def parts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts, and which rows are positive, and have a score."""
+        return matrix(table).astype(np.int64), table["_y"].fill_null(0).to_numpy() == 1, ~np.asarray(table["_s"].is_null())
+
+    def named(table: pa.Table, columns: dict[str, np.ndarray | pa.Array]) -> pa.Table:
+        n = len(next(iter(columns.values())))
+        return pa.table({c: pa.repeat(table[c][0], n) for c in by} | columns)
+
+    def total(table: pa.Table) -> pa.Table:
+        counts, y, known = parts(table)
+        sums = {"pos": counts[known & y].sum(axis=0), "neg": counts[known & ~y].sum(axis=0), "all": counts.sum(axis=0)}
+        turns = pa.array(np.arange(1, counts.shape[1] + 1), pa.int32())
+        return named(table, {"_block": pa.repeat(table["_block"][0], len(turns)), "iteration": turns} | sums)
+
+    totals = blocks.groupBy(*by, "_block").applyInArrow(total, f"{head}_block long, iteration int, pos long, neg long, all long")
+    whole = Window.partitionBy(*by, "iteration")  # a row per block
+    earlier = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    entry = F.struct(
+        "iteration", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("pos", "neg", "all")],
+        top_count(F.sum("all").over(whole), fraction).alias("cut"),
+    )
+    before = totals.select(*by, "_block", entry.alias("_e")).groupBy(*by, "_block").agg(F.array_sort(F.collect_list("_e")).alias("_before"))
+    before = before.select(*by, "_block", *[F.col(f"_before.{c}").alias(c) for c in ("pos", "neg", "all", "cut")])
+
+    def answer(table: pa.Table, sofar: pa.Table) -> pa.Table:
+        table = table.sort_by("_r")
+        counts, y, known = parts(table)
+        pos, neg, all_, cut = (np.asarray(sofar[c].combine_chunks().flatten()) for c in ("pos", "neg", "all", "cut"))
+        turns = np.arange(1, counts.shape[1] + 1)
+        reached = np.cumsum(counts, axis=0) + all_ - counts
+        hit = np.clip(cut - reached, 0, counts)[y].sum(axis=0)
+        error = table["_e"].fill_null(0.0).to_numpy() @ counts
+        out = [{"edge": None, "hit": hit, "error": error, "drawn": counts.sum(axis=0), "drawn_pos": counts[y].sum(axis=0)}]
+        if known.any():
+            s, known_y = table["_s"].to_numpy()[known], y[known][:, None]
+            changed = (s[1:] != s[:-1]) & ~(np.isnan(s[1:]) & np.isnan(s[:-1]))
+            starts = np.concatenate([[0], np.flatnonzero(changed) + 1])
+            p = np.add.reduceat(counts[known] * known_y, starts, axis=0)
+            n = np.add.reduceat(counts[known] * ~known_y, starts, axis=0)
+            cp, cn = np.cumsum(p, axis=0) + pos, np.cumsum(n, axis=0) + neg
+            inside = slice(1, len(starts) - 1)
+            above = (n * (cp - p / 2.0))[inside].sum(axis=0)
+            precise = (p * (cp / np.maximum(cp + cn, 1)))[inside].sum(axis=0)
+            out[0] |= {"above": above, "precise": precise, "pos": p[inside].sum(axis=0), "neg": n[inside].sum(axis=0)}
+            for k in sorted({0, len(starts) - 1}):
+                out.append({"edge": float(s[starts[k]]), "pos": p[k], "neg": n[k], "cum_pos": cp[k], "cum_neg": cn[k]})
+        columns = {"iteration": pa.array(np.tile(turns, len(out)), pa.int32()), "edge": pa.array([o["edge"] for o in out for _ in turns], pa.float64())}
+        for name, kind in fields.items():
+            column = np.concatenate([o.get(name, np.zeros(len(turns))) for o in out])
+            columns[name] = pa.array(column.astype(np.int64 if kind == "long" else np.float64))
+        return named(table, columns)
+
+    fields = {c: "long" for c in ("hit", "drawn", "drawn_pos", "pos", "neg", "cum_pos", "cum_neg")} | {c: "double" for c in ("error", "above", "precise")}
+    shape = f"{head}iteration int, edge double, " + ", ".join(f"{c} {k}" for c, k in fields.items())
+    found = blocks.groupBy(*by, "_block").cogroup(before.groupBy(*by, "_block")).applyInArrow(answer, shape)
+    cumulated = ("cum_pos", "cum_neg")
+    steps = found.groupBy(*by, "iteration", "edge").agg(*[(F.max if c in cumulated else F.sum)(c).alias(c) for c in fields])
+    edge, p, n = F.col("edge").isNotNull(), F.col("pos"), F.col("neg")
+    reach = F.col("cum_pos") + F.col("cum_neg")
+    summed = steps.groupBy("iteration", *by).agg(
+        *[F.sum(c).alias(f"_{c}") for c in ("hit", "drawn", "drawn_pos", "pos", "neg", "error")],
+        F.sum(F.when(edge, n * (F.col("cum_pos") - p / 2.0)).otherwise(F.col("above"))).alias("_above"),
+        F.sum(F.when(edge & (reach > 0), p * (F.col("cum_pos") / F.nullif(reach, F.lit(0)))).otherwise(F.col("precise"))).alias("_ap"),
+    )
+    cut = top_count(F.col("_drawn"), fraction)
+    precision = zero_div(F.col("_hit"), cut)
+    drawn = summed.where(F.col("_pos") + F.col("_neg") > 0)  # a resample without any score has no metrics
+    return drawn.select(
+        "iteration",
+        *by,
+        safe_div(F.col("_above"), F.col("_pos").cast("double") * F.col("_neg")).alias("roc_auc"),
+        F.when(F.col("_neg") > 0, safe_div(F.col("_ap"), F.col("_pos"))).alias("pr_auc"),
+        (F.col("_error") / F.col("_drawn")).alias("brier_score"),
+        precision.alias("top_precision"),
+        zero_div(F.col("_hit"), F.col("_drawn_pos")).alias("top_capture"),
+        zero_div(precision, safe_div(F.col("_drawn_pos"), F.col("_drawn"))).alias("top_lift"),
+    )
+
+
 def ranking_summary(df: DataFrame, score: str, label: str, row_id: str, fraction: float = 0.10) -> DataFrame:
     """Prevalence, average precision and its lift, AUC, and the reporting fraction's confusion counts."""
     people = _population(df, label, [])

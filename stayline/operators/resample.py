@@ -5,15 +5,19 @@ All draws come from md5, so they do not depend on partitioning or on a retry.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.expr import count_if, draw, safe_div
 from stayline.operators.rank import Key, attach, group_size, ranked, top_count
 from stayline.session import settle
 
+#: Rows whose draws one group counts (below 65536), draws that are packed at a time, and draws of a task.
+BLOCK, PACK, TASK_DRAWS = 8192, 2_000_000, 40_000_000
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores before rows are multiplied; a small input may sit in one partition."""
@@ -155,26 +159,142 @@ def average_out_of_fold(scored: DataFrame, row_id: str, score: str, repeats: int
     )
 
 
-def bootstrap_weights(
+def _placed(df: DataFrame, row_id: str, strata: str | None, values: Sequence[str]) -> DataFrame:
+    """Rows with their slot in the stratum, its size, and the number ``_at`` (from 0) that no other row of any stratum has.
+
+    A row without a stratum is neither drawn nor a slot.
+    """
+    by = [strata] if strata else []
+    base = df.select(*dict.fromkeys([row_id, *by, *values]))
+    for c in by:
+        base = base.where(F.col(c).isNotNull())
+    base = settle(base)
+    # a row per stratum
+    before = F.sum("_n").over(Window.orderBy(*by or ["_n"]).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = group_size(base, by, "_n").withColumn("_first", F.coalesce(before, F.lit(0)))
+    numbered = attach(ranked(base, [Key(row_id)], by, out="_slot"), sizes, by)
+    return settle(numbered.withColumn("_at", F.col("_first") + F.col("_slot") - 1))
+
+
+def _packed_draws(placed: DataFrame, iterations: int, seed: int, by: Sequence[str]) -> DataFrame:
+    """(block, lengths, places): the draws of a lot of slots by block of drawn rows, in the order of the iterations.
+
+    ``lengths`` says how many draws each iteration has there, ``places`` which rows of the block they are.
+    """
+    tasks = max(placed.sparkSession.sparkContext.defaultParallelism, placed.count() * iterations // TASK_DRAWS)
+    heads = F.array(*[F.lit(f"{seed}|{i}|") for i in range(1, iterations + 1)])
+    slots = placed.select(F.concat_ws("|", *[F.col(c).cast("string") for c in [*by, "_slot"]]).alias("_text"), "_n", "_first")
+    turns = slots.repartition(tasks).select("_text", "_n", "_first", F.posexplode(heads).alias("_i", "_head"))
+    # the first 8 bytes of the md5 of the text that ``draw`` makes, which keeps 60 of their bits
+    hashed = turns.select(F.unhex(F.substring(F.md5(F.concat("_head", "_text").cast("binary")), 1, 16)).alias("_h"), "_i", "_n", "_first")
+
+    def pack(lot: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(lot)
+        number = np.concatenate([np.frombuffer(c.cast(pa.binary(8)).buffers()[1], ">u8") for c in table["_h"].chunks])
+        turn, size, first = (table[c].to_numpy() for c in ("_i", "_n", "_first"))
+        at = first + (number >> 4).astype(np.int64) % size
+        low = int(at.min()) // BLOCK
+        which, place = at // BLOCK - low, (at % BLOCK).astype(np.uint16)
+        cells = np.bincount(which * iterations + turn)
+        lengths = np.pad(cells, (0, -len(cells) % iterations)).reshape(-1, iterations)
+        names = np.flatnonzero(lengths.any(axis=1))
+        order = np.lexsort((turn.astype(np.uint16 if iterations < 65536 else np.int64), which.astype(np.uint16 if len(lengths) < 65536 else np.int64)))
+        sizes = lengths[names].sum(axis=1)
+        places = [place[order[e - n : e]].tobytes() for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist())]
+        heads = [row.astype(np.uint32).tobytes() for row in lengths[names]]
+        return pa.RecordBatch.from_arrays([pa.array(names + low, pa.int64()), pa.array(heads, pa.binary()), pa.array(places, pa.binary())], ["_block", "_lengths", "_places"])
+
+    def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                lot.append(batch)
+                rows += batch.num_rows
+            if rows >= PACK:
+                yield pack(lot)
+                lot, rows = [], 0
+        if lot:
+            yield pack(lot)
+
+    return hashed.mapInArrow(lots, "_block long, _lengths binary, _places binary")
+
+
+def _count_draws(
+    df: DataFrame, row_id: str, iterations: int, seed: int, strata: str | None, values: Sequence[str],
+    answer: Callable[[pa.Table, np.ndarray], pa.Table], kinds: Callable[[DataFrame], str],
+) -> DataFrame:
+    """``answer(rows, counts)`` of every block of rows; ``counts`` has a row per row and a column per resample.
+
+    Resamples are with replacement inside each stratum, to its own size. Every row is also a slot: slot ``i`` of an
+    iteration draws one row of its stratum by hash. Draws travel as two bytes each to the block of rows that they hit.
+    """
+    placed = _placed(df, row_id, strata, values)
+    draws = _packed_draws(placed, iterations, seed, [strata] if strata else [])
+    kept = placed.drop("_slot", "_n", "_first", "_at")
+    columns = kept.columns
+
+    def count(rows: pa.Table, cells: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_at")
+        n = rows.num_rows
+        lengths = np.frombuffer(b"".join(cells["_lengths"].to_pylist()), np.uint32)
+        places = np.frombuffer(b"".join(cells["_places"].to_pylist()), np.uint16)
+        turn = np.repeat(np.tile(np.arange(iterations), len(lengths) // iterations), lengths)
+        counts = np.bincount(places * np.int64(iterations) + turn, minlength=n * iterations).reshape(n, iterations)
+        return answer(rows.select(columns), counts)
+
+    blocks = placed.withColumn("_block", F.floor(F.col("_at") / BLOCK)).drop("_slot", "_n", "_first")
+    return blocks.groupBy("_block").cogroup(draws.groupBy("_block")).applyInArrow(count, kinds(kept))
+
+
+def bootstrap_counts(
     df: DataFrame, row_id: str, iterations: int, seed: int, strata: str | None = None, values: Sequence[str] = ()
 ) -> DataFrame:
-    """(iteration, row, weight) of resamples with replacement inside each stratum.
+    """(stratum, row, values, counts): how often each of the resamples holds the row.
 
-    Every row is also a slot: slot ``i`` of an iteration draws one row of its
-    stratum by hash. Draws are counted before the join, and the join is on a unique
-    row number, so neither side has hot keys. All scores of a row share its draws,
-    which makes comparisons between them paired.
+    All scores of a row share its draws, which makes comparisons between them paired.
     """
+
+    def answer(rows: pa.Table, counts: np.ndarray) -> pa.Table:
+        bounds = np.arange(rows.num_rows + 1, dtype=np.int32) * np.int32(iterations)
+        return rows.append_column("counts", pa.ListArray.from_arrays(pa.array(bounds), pa.array(counts.ravel().astype(np.int32))))
+
+    def kinds(kept: DataFrame) -> str:
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", counts array<int>"
+
+    return _count_draws(df, row_id, iterations, seed, strata, values, answer, kinds)
+
+
+def bootstrap_sums(
+    df: DataFrame, row_id: str, iterations: int, seed: int, sums: dict[str, Column], strata: str | None = None
+) -> DataFrame:
+    """(iteration, sums): the sums of numbers over each resample, a row counting as often as it was drawn; nulls add nothing."""
+    names = list(sums)
     by = [strata] if strata else []
-    order = [Key(row_id)]
-    base = df.select(*dict.fromkeys([row_id, *by, *values]))
-    indexed = ranked(base, order, by, out="_slot")
-    sized = attach(indexed.select(*by, "_slot"), group_size(base, by, "_n"), by)
-    slots = spread(sized, "_slot").withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    parts: list[Column | str] = [str(seed), F.col("iteration"), *[F.col(c) for c in by], F.col("_slot")]
-    drawn = slots.select("iteration", *by, (draw(*parts) % F.col("_n") + 1).alias("_slot"))
-    counted = drawn.groupBy("iteration", *by, "_slot").agg(F.count(F.lit(1)).alias("weight"))
-    return counted.join(indexed, [*by, "_slot"]).drop("_slot")
+    numbers = df.select(F.col(row_id).alias("_id"), *[F.col(c).alias("_stratum") for c in by], *[c.cast("double").alias(f"_v{i}") for i, c in enumerate(sums.values())])
+
+    def answer(rows: pa.Table, counts: np.ndarray) -> pa.Table:
+        v = np.column_stack([rows[f"_v{i}"].fill_null(0.0).to_numpy() for i in range(len(names))])
+        wild = ~np.isfinite(v).all(axis=0)
+        total = counts.T.astype(float) @ np.where(wild, 0.0, v)
+        for i in np.flatnonzero(wild):  # a row that is not drawn adds nothing
+            total[:, i] = [v[c > 0, i] @ c[c > 0] for c in counts.T]
+        return pa.table({"iteration": pa.array(np.arange(1, iterations + 1), pa.int32())} | {f"_v{i}": total[:, i] for i in range(len(names))})
+
+    shape = "iteration int, " + ", ".join(f"_v{i} double" for i in range(len(names)))
+    values = [f"_v{i}" for i in range(len(names))]
+    parts = _count_draws(numbers, "_id", iterations, seed, "_stratum" if by else None, values, answer, lambda _: shape)
+    return parts.groupBy("iteration").agg(*[F.sum(f"_v{i}").alias(n) for i, n in enumerate(names)])
+
+
+def bootstrap_weights(
+    df: DataFrame, row_id: str, iterations: int, seed: int, strata: str | None = None, values: Sequence[str] = ()
+) -> DataFrame:
+    """(iteration, row, weight) of resamples with replacement inside each stratum; rows that were not drawn are left out."""
+    counted = bootstrap_counts(df, row_id, iterations, seed, strata, values)
+    by = [strata] if strata else []
+    rest = [c for c in counted.columns if c not in (*by, "counts")]
+    long = counted.select("*", F.posexplode("counts").alias("_i", "_w")).where(F.col("_w") > 0)
+    return long.select(*by, (F.col("_i") + 1).alias("iteration"), F.col("_w").cast("bigint").alias("weight"), *rest)
 
 
 def percentile_intervals(

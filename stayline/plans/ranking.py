@@ -349,15 +349,14 @@ def _(t: Tables):
     )
 
 
-def model_weights(t: Tables):
+def model_counts(t: Tables):
     """Draws of the labelled documents, long by score so that both scores share them."""
     pairs = F.array(
         F.struct(F.lit("quality").alias("model"), F.col("quality_score").alias("score")),
         F.struct(F.lit("toxicity").alias("model"), F.col("toxic_score").alias("score")),
     )
-    return label_weights(t).select("iteration", "doc_id", "toxic", "weight", F.explode(pairs).alias("_m")).select(
-        "iteration", "doc_id", "toxic", "weight", "_m.*"
-    )
+    counted = resample.bootstrap_counts(t["labeled"], "doc_id", ITERATIONS, 42, "toxic", ["toxic_score", "quality_score"])
+    return counted.select("doc_id", "toxic", "counts", F.explode(pairs).alias("_m")).select("doc_id", "toxic", "counts", "_m.*")
 
 
 BOOT_SQL = f"""{WEIGHTS_SQL}, ml AS (SELECT iteration, doc_id, toxic, weight, 'toxicity' AS model, toxic_score AS score FROM wt
@@ -377,7 +376,7 @@ BOOT_COLUMNS = ["roc_auc", "pr_auc", "brier_score", "top_precision", "top_captur
 
 
 def boot(t: Tables):
-    return metrics.bootstrap_metrics(settle(model_weights(t)), "score", "toxic", "doc_id", ["iteration", "model"])
+    return metrics.resampled_metrics(model_counts(t), "score", "toxic", "doc_id", ["model"])
 
 
 @query(
