@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from stayline.functions.expr import count_if, safe_div, zero_div
 from stayline.operators.rank import Key, attach, best_prefix, exact_quantiles, group_size, ranked, top_count
+from stayline.operators.resample import bootstrap_sums
 
 # The three families of cost assumptions.
 REPLACEMENT = {
@@ -300,23 +301,25 @@ def policy_sensitivity(
 
 
 def policy_bootstrap(
-    weights: DataFrame, flag: str, probability: str, salary: str, label: str, economics: dict[str, float] = ECONOMICS
-) -> DataFrame:
-    """Figures of one frozen selection in each resample."""
-    w, on = F.col("weight"), F.col(flag)
-    y = F.col(label).cast("double")
-    sums = weights.groupBy("iteration").agg(
-        F.coalesce(F.sum(F.when(on, w)), F.lit(0)).alias("selected_count"),
-        F.sum(F.when(on, w * y).otherwise(0.0)).alias("hits"),
-        F.sum(w * y).alias("positives"),
-        F.sum(F.when(on, w * F.col(probability) * F.col(salary)).otherwise(0.0)).alias("ps"),
-        F.sum(F.when(on, w * y * F.col(salary)).otherwise(0.0)).alias("ys"),
-    )
+    df: DataFrame, row_id: str, iterations: int, seed: int, flag: str, probability: str, salary: str, label: str,
+    economics: dict[str, float] = ECONOMICS,
+) -> DataFrame:
+    """Figures of one frozen selection in each resample, drawn within the classes of ``label``."""
+    on, y = F.col(flag), F.col(label).cast("double")
+    sums = {
+        "selected": F.when(on, 1.0),
+        "hits": F.when(on, y),
+        "positives": y,
+        "ps": F.when(on, F.col(probability) * F.col(salary)),
+        "ys": F.when(on, y * F.col(salary)),
+    }
+    drawn = bootstrap_sums(df, row_id, iterations, seed, sums, label)
+    selected = F.col("selected").cast("bigint")
     unit = economics["success"] * economics["multiplier"]
-    spend = F.col("selected_count") * economics["cost"]
-    return sums.select(
+    spend = selected * economics["cost"]
+    return drawn.select(
         "iteration",
-        "selected_count",
+        selected.alias("selected_count"),
         F.col("hits").cast("bigint").alias("selected_positive_cases"),
         zero_div(F.col("hits"), F.col("positives")).alias("capture_rate"),
         (F.col("ps") * unit - spend).alias("expected_net_value_usd"),

@@ -183,8 +183,7 @@ TEST_BOOT = 500
 )
 def _(t: Tables):
     test = settle(flagged(t).where(F.col("period") == "test").select(ID, Y, P, S, "budget_expected_value"))
-    weights = resample.bootstrap_weights(test, ID, TEST_BOOT, 42, Y, [P, S, "budget_expected_value"])
-    out = policy.policy_bootstrap(weights, "budget_expected_value", P, S, Y)
+    out = policy.policy_bootstrap(test, ID, TEST_BOOT, 42, "budget_expected_value", P, S, Y)
     return out.withColumn("capture_rate", F.round("capture_rate", 4)).withColumn(
         "expected_net_value_usd", F.round("expected_net_value_usd", 2)
     ).withColumn("outcome_aligned_net_value_usd", F.round("outcome_aligned_net_value_usd", 2))
