@@ -70,6 +70,70 @@ def logistic_sums(frame: DataFrame, features: Sequence[str], betas: dict[int, np
     return {g: (float(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d)) for g, v in totals.items()}
 
 
+#: Rows whose weights in all resamples are one matrix.
+LOT = 2048
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Lots of rows with their counts as a matrix; ``counts`` is the first column."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, LOT):
+            lot = batch.slice(start, LOT)
+            yield np.asarray(lot.column(0).flatten()).reshape(lot.num_rows, -1).astype(np.float64), lot
+
+
+def resampled_sizes(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and positives of every resample; ``frame`` has ``counts`` and the label ``_y``."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for counts, lot in _counted(batches):
+            positive = lot.column(1).fill_null(0.0).to_numpy() == 1.0
+            total = total + np.concatenate([counts.sum(axis=0), counts[positive].sum(axis=0)])
+        yield buffers({0: total} if np.ndim(total) else {})
+
+    found = summed_by_fit(frame.select("counts", "_y").mapInArrow(partial, "_g int, _sums binary"))
+    return tuple(np.split(found[0], 2)) if found else (np.zeros(0), np.zeros(0))
+
+
+def resampled_logistic_sums(
+    frame: DataFrame, features: Sequence[str], betas: dict[int, np.ndarray], weight: dict[int, np.ndarray]
+) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """``logistic_sums`` of resamples numbered from 1: a row's weight is its count times the ``weight`` of its class there.
+
+    ``frame`` has ``counts``, the label ``_y`` and the features, a row once for all resamples.
+    """
+    d = len(features) + 1
+    fits = sorted(betas)
+    if not fits:
+        return {}
+    columns = np.array(fits) - 1
+    coefficients = np.column_stack([betas[g] for g in fits])
+    of_class = {k: v[columns] for k, v in weight.items()}
+    rows, others = np.triu_indices(d)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for counts, lot in _counted(batches):
+            y = lot.column(1).to_numpy()[:, None]
+            x = np.column_stack([np.ones(lot.num_rows), _matrix(lot, 2)]) if d > 1 else np.ones((lot.num_rows, 1))
+            w = counts[:, columns] * np.where(y == 1.0, of_class[1], of_class[0])
+            z = x @ coefficients
+            p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
+            loss = (w * (np.maximum(z, 0.0) + np.log1p(np.exp(-np.abs(z))) - y * z)).sum(axis=0)
+            curve = (w * p * (1.0 - p)).T @ (x[:, rows] * x[:, others])
+            total = total + np.column_stack([loss, (w * (y - p)).T @ x, curve])
+        yield buffers({0: total.ravel()} if np.ndim(total) else {})
+
+    found = summed_by_fit(frame.select("counts", "_y", *features).mapInArrow(partial, "_g int, _sums binary"))
+    out = {}
+    for g, v in zip(fits, found[0].reshape(len(fits), -1)):
+        curve = np.zeros((d, d))
+        curve[rows, others] = curve[others, rows] = v[d + 1 :]
+        out[g] = (float(v[0]), v[1 : d + 1], curve)
+    return out
+
+
 def triangular_factor(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     """R of the QR decomposition of the rows of ``columns``: each partition keeps d x d numbers, which are stacked in a tree.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,12 +23,12 @@ from pyspark.sql.window import Window
 
 from stayline.functions.expr import count_if, draw, logit, safe_div
 from stayline.operators.fairness import by_attribute
-from stayline.operators.gram import logistic_sums
+from stayline.operators.gram import logistic_sums, resampled_logistic_sums, resampled_sizes
 from stayline.operators.isotonic import apply_isotonic, isotonic_pools
 from stayline.operators.metrics import calibration_metrics
 from stayline.operators.rank import Key, exact_quantiles, quantile_groups, ranked, spearman
-from stayline.operators.resample import average_out_of_fold, bootstrap_weights, grouped_folds, row_folds
-from stayline.session import settle
+from stayline.operators.resample import average_out_of_fold, bootstrap_counts, bootstrap_sums, grouped_folds, row_folds
+from stayline.session import settle, store
 
 MAX_CATEGORIES = 1000
 
@@ -195,13 +195,40 @@ def fit_logistic(
         frame = class_weights(frame, label, ["_g"], "_w", "_cw").withColumn("_w", F.col("_w") * F.col("_cw"))
     frame = settle(frame.select("_g", "_w", F.col(label).cast("double").alias("_y"), *features).dropna())
     betas = {r["_g"]: np.zeros(d) for r in frame.select("_g").distinct().collect()}
+    return _newton(lambda current: logistic_sums(frame, features, current), features, betas, c, tolerance, maximum)
+
+
+def fit_resampled_logistic(
+    counted: DataFrame, features: Sequence[str], label: str, c: float = 1.0, tolerance: float = 1e-8, maximum: int = 30
+) -> LogisticFits:
+    """``fit_logistic`` of every resample, numbered from 1, with balanced classes; a row has ``counts`` of all resamples.
+
+    Rows are not copied: a step finds the sums of all fits from one pass, as products of matrices.
+    """
+    features = list(features)
+    frame = store(counted.select("counts", F.col(label).cast("double").alias("_y"), *features))
+    drawn, positive = resampled_sizes(frame)
+    frame = frame.dropna()
+    kept, _ = resampled_sizes(frame)
+    size = {1: positive, 0: drawn - positive}
+    weight = {k: np.divide(drawn, 2.0 * n, out=np.zeros(len(n)), where=n > 0) for k, n in size.items()}
+    betas = {g + 1: np.zeros(len(features) + 1) for g in np.flatnonzero(kept).tolist()}
+    return _newton(lambda current: resampled_logistic_sums(frame, features, current, weight), features, betas, c, tolerance, maximum)
+
+
+def _newton(
+    sums_at: Callable[[dict[int, np.ndarray]], dict[int, tuple[float, np.ndarray, np.ndarray]]], features: list[str],
+    betas: dict[int, np.ndarray], c: float, tolerance: float, maximum: int,
+) -> LogisticFits:
+    """Newton steps of all fits together; ``sums_at`` gives loss, gradient and curvature of the fits that still move."""
+    d = len(features) + 1
     ridge = np.full(d, 1.0 / c)
     ridge[0] = 0.0
     best = {g: math.inf for g in betas}
     moves: dict[int, np.ndarray] = {}
     active, step = set(betas), 0
     for step in range(1, maximum + 1):
-        sums = logistic_sums(frame, features, {g: betas[g] for g in active})
+        sums = sums_at({g: betas[g] for g in active})
         settled = set()
         for g, (loss, slope, information) in sums.items():
             value = loss + 0.5 * float(ridge @ betas[g] ** 2)
@@ -219,7 +246,7 @@ def fit_logistic(
         if not active:
             break
     if active:
-        warnings.warn(f"{len(active)} of {len(betas)} logistic fits did not converge in {maximum} steps", RuntimeWarning, stacklevel=2)
+        warnings.warn(f"{len(active)} of {len(betas)} logistic fits did not converge in {maximum} steps", RuntimeWarning, stacklevel=3)
     return LogisticFits(features, betas, step, frozenset(active))
 
 
@@ -267,6 +294,16 @@ def prior_score(train: DataFrame, df: DataFrame, label: str, out: str = "score")
     return df.withColumn(out, F.lit(float(prior)))
 
 
+#: Rows below which a further task does not help a fit.
+TASK_ROWS = 10_000
+
+
+def _wide(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as there are cores: a fit that reads them hundreds of times keeps their partitions."""
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, df.count() // TASK_ROWS)
+    return df.repartition(cores) if cores > df.rdd.getNumPartitions() else df
+
+
 def compare_candidates(
     train: DataFrame,
     validation: DataFrame,
@@ -277,7 +314,7 @@ def compare_candidates(
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Fit each candidate on the earlier split, score the later one: (long scores, metric table)."""
-    fitted = settle(encoder.transform(train, [label]))
+    fitted = settle(_wide(settle(encoder.transform(train, [label]))))
     scoring = settle(encoder.transform(validation, [row_id, label]))
     frames = []
     for name in candidates:
@@ -488,6 +525,28 @@ def calibrated_long(df: DataFrame, score: str, keep: Sequence[str]) -> DataFrame
     return df.select(*keep, F.explode(pairs).alias("_m")).select(*keep, "_m.*")
 
 
+def calibration_bootstrap(df: DataFrame, score: str, row_id: str, label: str, iterations: int, seed: int) -> DataFrame:
+    """(iteration, model, brier_score) of the raw score and its calibrated forms on the same draws, within classes.
+
+    A resample's Brier score is a ratio of two sums over its rows, so all resamples come from the counts of their draws.
+    """
+    forms = dict(zip(METHODS, (score, "sigmoid", "isotonic"), strict=True))
+    # an id that stands for several rows has the scores of all of them
+    scores = df.groupBy(row_id).agg(F.collect_list(F.struct(*forms.values())).alias("_scores"))
+    rows = df.select(row_id, label).join(scores, row_id, "left")
+    y = F.col(label).cast("double")
+
+    def error(c: str) -> Column:
+        squares = F.transform(F.col("_scores"), lambda s: F.pow(s[c] - y, F.lit(2.0)))
+        return F.aggregate(squares, F.lit(0.0), lambda total, e: total + F.coalesce(e, F.lit(0.0)))
+
+    known = F.col(row_id).isNotNull()
+    sums = {f"_e{i}": F.when(known, error(c)) for i, c in enumerate(forms.values())} | {"_w": F.when(known, F.size("_scores"))}
+    drawn = bootstrap_sums(rows, row_id, iterations, seed, sums, label)
+    each = F.array(*[F.struct(F.lit(m).alias("model"), safe_div(F.col(f"_e{i}"), F.col("_w")).alias("brier_score")) for i, m in enumerate(forms)])
+    return drawn.select("iteration", F.explode(each).alias("_m")).select("iteration", "_m.*")
+
+
 def choose_calibration(
     metrics: DataFrame, differences: DataFrame, tolerance: float = 0.0005, minimum_gain: float = 0.001
 ) -> DataFrame:
@@ -588,9 +647,8 @@ def cluster_bootstrap_coefficients(
 ) -> DataFrame:
     """Coefficient intervals from resampled entities; the fits of all resamples share their jobs."""
     entities = encoded.select(entity).distinct()
-    drawn = bootstrap_weights(entities, entity, iterations, seed)
-    joined = encoded.join(drawn, entity)
-    fits = fit_logistic(joined, features, label, "iteration", "weight", c)
+    drawn = bootstrap_counts(entities, entity, iterations, seed)
+    fits = fit_resampled_logistic(encoded.join(drawn, entity), features, label, c)
     table = coefficient_stability(fits.table(encoded.sparkSession))
     reportable = F.col("interval_excludes_zero") & (F.col("sign_stability") >= minimum_stability)
     return table.withColumn("reportable_direction", reportable)

@@ -95,8 +95,8 @@ def candidates(t: Tables):
 def _(t: Tables):
     scores, table = candidates(t)
     rows = scores.select(ID, Y).distinct()
-    weights = resample.bootstrap_weights(rows, ID, 500, 42, Y).join(scores.drop(Y), ID)
-    drawn = settle(metrics.rank_metrics(settle(weights), "score", Y, ["iteration", "model"], "weight"))
+    counted = resample.bootstrap_counts(rows, ID, 500, 42, Y).join(scores.drop(Y), ID)
+    drawn = settle(metrics.resampled_metrics(counted, "score", Y, ID, ["model"]).select("iteration", "model", "pr_auc"))
     pairs = resample.paired_differences(drawn, table, "model", "pr_auc")
     return round_all(model.choose_model(table, pairs, SIMPLEST_FIRST), 4)
 
@@ -124,10 +124,7 @@ def _(t: Tables):
     _, _, scored = calibrated(t)
     long = settle(model.calibrated_long(scored, "raw_score", [ID, Y]))
     table = settle(metrics.calibration_metrics(long, "probability", Y, ID, ["method"]))
-    weights = resample.bootstrap_weights(scored.select(ID, Y), ID, 500, 42, Y).join(long.drop(Y), ID)
-    drawn = metrics.probability_metrics(weights, "probability", Y, ["iteration", "method"], weight="weight").select(
-        "iteration", F.col("method").alias("model"), "brier_score"
-    )
+    drawn = model.calibration_bootstrap(scored, "raw_score", ID, Y, 500, 42)
     observed = table.select(F.col("method").alias("model"), "brier_score")
     pairs = resample.paired_differences(settle(drawn), observed, "model", "brier_score")
     return round_all(model.choose_calibration(table, pairs), 4)

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from stayline.operators import metrics, resample
+from stayline.operators import metrics, model, resample
 
 
 def replay(ids, iterations, seed, stratum=None):
@@ -71,3 +71,24 @@ def test_metrics_of_counts(spark, size):
     assert found.keys() == want.keys() and len(want) == 16
     for k, r in found.items():
         assert [r[c] for c in got.columns[2:]] == pytest.approx([want[k][c] for c in got.columns[2:]])
+
+
+def test_fits_of_counts(spark):
+    """One pass over rows with counts gives the fits of a copy of the row per draw."""
+    frame = spark.createDataFrame([(i, i % 30, int((i * 7 % 11) + i % 5 > 7), i % 13 / 6.0 - 1, (i * i) % 17 / 8.0) for i in range(300)], "id int, who int, y int, a double, b double")
+    people = frame.select("who").distinct()
+    got = model.fit_resampled_logistic(frame.join(resample.bootstrap_counts(people, "who", 5, 8), "who"), ["a", "b"], "y")
+    want = model.fit_logistic(frame.join(resample.bootstrap_weights(people, "who", 5, 8), "who"), ["a", "b"], "y", "iteration", "weight")
+    assert got.groups.keys() == want.groups.keys() == set(range(1, 6)) and not got.unfinished
+    for g, beta in want.groups.items():
+        assert got.groups[g] == pytest.approx(beta, abs=1e-7)
+
+
+def test_calibration_of_resamples(spark):
+    """An id with two rows has the scores of both, as in a join by id."""
+    frame = spark.createDataFrame([(i % 38, i % 2, i / 50.0, i * i % 40 / 40.0, 0.5) for i in range(40)], "id long, y int, raw double, sigmoid double, isotonic double")
+    got = {(r.iteration, r.model): r.brier_score for r in model.calibration_bootstrap(frame, "raw", "id", "y", 4, 3).collect()}
+    long = model.calibrated_long(frame, "raw", ["id", "y"])
+    weights = resample.bootstrap_weights(frame.select("id", "y"), "id", 4, 3, "y").join(long.drop("y"), "id")
+    want = metrics.probability_metrics(weights, "probability", "y", ["iteration", "method"], weight="weight").collect()
+    assert got == pytest.approx({(r.iteration, r.method): r.brier_score for r in want}) and len(got) == 12
