@@ -92,18 +92,19 @@ def apply_isotonic(df: DataFrame, pools: DataFrame, score: str, by: Sequence[str
     numbered = settle(ranked(line, [Key("_x"), Key("_side")], by, out="_r").withColumn("_block", F.floor((F.col("_r") - 1) / block)))
     place = F.when(F.col("_side") == 0, F.col("_r"))
     edges = numbered.groupBy(*by, "_block").agg(F.max_by("_end", place).alias("_last"), F.min_by("_end", place).alias("_first"))
-    along = Window.partitionBy(*by).orderBy("_block")  # a row per block
+    # a row per block; a frame that ends at the last row is recomputed from each row on, so what follows is read backwards
+    before, group = Window.unboundedPreceding, Window.partitionBy(*by)
     carried = edges.select(
         *by, "_block",
-        F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.last("_last", True).over(group.orderBy("_block").rowsBetween(before, -1)).alias("_before"),
+        F.last("_first", True).over(group.orderBy(F.col("_block").desc()).rowsBetween(before, -1)).alias("_after"),
     )
     joined = numbered.alias("n").join(
         carried.alias("c"), [F.col(f"n.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*by, "_block"]]
     ).select("n.*", "c._before", "c._after")
-    inside = Window.partitionBy(*by, "_block").orderBy("_r")
-    low = F.coalesce(F.last("_end", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"))
-    high = F.coalesce(F.first("_end", True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("_after"))
+    inside = Window.partitionBy(*by, "_block")
+    low = F.coalesce(F.last("_end", True).over(inside.orderBy("_r").rowsBetween(before, 0)), F.col("_before"))
+    high = F.coalesce(F.last("_end", True).over(inside.orderBy(F.col("_r").desc()).rowsBetween(before, 0)), F.col("_after"))
     placed = joined.withColumn("_low", low).withColumn("_high", high).where(F.col("_side") == 1)
     share = (F.col("_x") - F.col("_low.x")) / (F.col("_high.x") - F.col("_low.x"))
     between = F.col("_low.v") + share * (F.col("_high.v") - F.col("_low.v"))
