@@ -82,6 +82,25 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa
             yield np.asarray(lot.column(0).flatten()).reshape(lot.num_rows, -1).astype(np.float64), lot
 
 
+def fit_counts(rows: DataFrame, number: int) -> DataFrame:
+    """``counts`` in place of the list ``_train`` of fits: how often it names each of the fits 1 to ``number``."""
+    rest = [c for c in rows.columns if c != "_train"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, LOT):
+                lot = batch.slice(start, LOT)
+                n = lot.num_rows
+                lists = lot.column(0)
+                at = np.repeat(np.arange(n) * number, lists.value_lengths().to_numpy())
+                counts = np.bincount(at + lists.flatten().to_numpy() - 1, minlength=n * number).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(number)), pa.array(counts))
+                yield pa.RecordBatch.from_arrays([listed, *lot.columns[1:]], names=["counts", *rest])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*rest).schema)
+    return rows.select("_train", *rest).mapInArrow(count, f"counts array<int>, {kinds}")
+
+
 def resampled_sizes(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Rows and positives of every resample; ``frame`` has ``counts`` and the label ``_y``."""
 

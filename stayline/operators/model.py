@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from stayline.functions.expr import count_if, draw, logit, safe_div
 from stayline.operators.fairness import by_attribute
-from stayline.operators.gram import logistic_sums, resampled_logistic_sums, resampled_sizes
+from stayline.operators.gram import fit_counts, logistic_sums, resampled_logistic_sums, resampled_sizes
 from stayline.operators.isotonic import apply_isotonic, isotonic_pools
 from stayline.operators.metrics import calibration_metrics
 from stayline.operators.rank import Key, exact_quantiles, quantile_groups, ranked, spearman
@@ -199,11 +199,14 @@ def fit_logistic(
 
 
 def fit_resampled_logistic(
-    counted: DataFrame, features: Sequence[str], label: str, c: float = 1.0, tolerance: float = 1e-8, maximum: int = 30
-) -> LogisticFits:
+    counted: DataFrame, features: Sequence[str], label: str, c: float = 1.0, tolerance: float = 1e-8, maximum: int = 30,
+    maps: tuple[Sequence[str], dict[int, np.ndarray]] | None = None,
+) -> LogisticFits:
     """``fit_logistic`` of every resample, numbered from 1, with balanced classes; a row has ``counts`` of all resamples.
 
-    Rows are not copied: a step finds the sums of all fits from one pass, as products of matrices.
+    Rows are not copied: a step finds the sums of all fits from one pass, as products of matrices. Where the fits' own
+    features are linear in the given ones, ``maps`` names them and has a matrix per fit (intercept first on both
+    sides); a fit without a matrix is left out.
     """
     features = list(features)
     frame = store(counted.select("counts", F.col(label).cast("double").alias("_y"), *features))
@@ -212,8 +215,16 @@ def fit_resampled_logistic(
     kept, _ = resampled_sizes(frame)
     size = {1: positive, 0: drawn - positive}
     weight = {k: np.divide(drawn, 2.0 * n, out=np.zeros(len(n)), where=n > 0) for k, n in size.items()}
-    betas = {g + 1: np.zeros(len(features) + 1) for g in np.flatnonzero(kept).tolist()}
-    return _newton(lambda current: resampled_logistic_sums(frame, features, current, weight), features, betas, c, tolerance, maximum)
+    names, turn = (list(maps[0]), maps[1]) if maps else (features, None)
+    betas = {g + 1: np.zeros(len(names) + 1) for g in np.flatnonzero(kept).tolist() if turn is None or g + 1 in turn}
+
+    def sums_at(current: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+        if turn is None:
+            return resampled_logistic_sums(frame, features, current, weight)
+        found = resampled_logistic_sums(frame, features, {g: turn[g] @ b for g, b in current.items()}, weight)
+        return {g: (loss, turn[g].T @ slope, turn[g].T @ curve @ turn[g]) for g, (loss, slope, curve) in found.items()}
+
+    return _newton(sums_at, names, betas, c, tolerance, maximum)
 
 
 def _newton(
@@ -405,14 +416,8 @@ def out_of_fold_scores(
     return scored.select(row_id, entity, label, F.col("fit").alias("fold"), "raw_score")
 
 
-def encode_per_fit(
-    train: DataFrame, df: DataFrame, numeric: Sequence[str], categorical: dict[str, Sequence[str]], keep: Sequence[str],
-    fit: str = "fit", held_keep: Sequence[str] | None = None,
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """``train`` and ``df`` encoded by what the training rows of each row's own fit say, and the encoded names.
-
-    The same values as one ``fit_encoder`` per fit with given categories; all fits share their jobs.
-    """
+def encoders_per_fit(train: DataFrame, numeric: Sequence[str], categorical: dict[str, Sequence[str]], fit: str = "fit") -> DataFrame:
+    """A row per fit: median ``_m_``, mean ``_a_`` and deviation ``_s_`` of each numeric, mode ``_o_`` of each categorical."""
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(numeric)])
     long = train.select(fit, F.explode(pairs).alias("_p")).select(fit, "_p.*")
     medians = exact_quantiles(long, "v", {"m": 0.5}, [fit, "i"]).groupBy(fit).pivot("i", list(range(len(numeric)))).agg(F.first("m"))
@@ -427,20 +432,43 @@ def encode_per_fit(
     )
     modes = counts.groupBy(fit).pivot("attribute", list(categorical)).agg(F.min_by("group", F.struct(-F.col("n"), "group")))
     modes = modes.select(fit, *[F.col(f"`{c}`").alias(f"_o_{j}") for j, c in enumerate(categorical)])
-    fitted = settle(medians.join(moments, fit).join(modes, fit))
-    shape = Encoder({c: (0.0, 0.0, 1.0) for c in numeric}, {c: (list(v), v[0]) for c, v in categorical.items()})
-
-    def encode(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-        deviation = [F.when(F.col(f"_s_{i}") > 0, F.col(f"_s_{i}")).otherwise(1.0) for i in range(len(numeric))]
-        out = [((v - F.col(f"_a_{i}")) / deviation[i]) for i, v in enumerate(values)]
-        for j, (c, levels) in enumerate(categorical.items()):
-            value = F.coalesce(F.col(c).cast("string"), F.col(f"_o_{j}"), F.lit(levels[0]))
-            out += [(value == v).cast("double") for v in levels[1:]]
-        joined = rows.join(F.broadcast(fitted), fit)  # one row per fit
-        return joined.select(*keep, fit, *[o.alias(n) for o, n in zip(out, shape.columns, strict=True)])
+    return settle(medians.join(moments, fit).join(modes, fit))
+
+
+def encode_per_fit(
+    train: DataFrame, df: DataFrame, numeric: Sequence[str], categorical: dict[str, Sequence[str]], keep: Sequence[str],
+    fit: str = "fit", held_keep: Sequence[str] | None = None,
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``train`` and ``df`` encoded by what the training rows of each row's own fit say, and the encoded names.
 
+    The same values as one ``fit_encoder`` per fit with given categories; all fits share their jobs.
+    """
+    fitted = encoders_per_fit(train, numeric, categorical, fit)
     mine = [c for c in keep if c in train.columns]
-    return encode(train, mine), encode(df, keep if held_keep is None else held_keep), shape.columns
+    kept = keep if held_keep is None else held_keep
+    return (
+        encode_with(train, fitted, numeric, categorical, mine, fit), encode_with(df, fitted, numeric, categorical, kept, fit),
+        _shape(numeric, categorical).columns,
+    )
+
+
+def _shape(numeric: Sequence[str], categorical: dict[str, Sequence[str]]) -> Encoder:
+    return Encoder({c: (0.0, 0.0, 1.0) for c in numeric}, {c: (list(v), v[0]) for c, v in categorical.items()})
+
+
+def encode_with(
+    rows: DataFrame, fitted: DataFrame, numeric: Sequence[str], categorical: dict[str, Sequence[str]], keep: Sequence[str], fit: str = "fit"
+) -> DataFrame:
+    """Rows encoded by the encoder of the fit that each of them names."""
+    out = []
+    for i, c in enumerate(numeric):
+        value = F.coalesce(F.col(c).cast("double"), F.col(f"_m_{i}"))
+        out.append((value - F.col(f"_a_{i}")) / F.when(F.col(f"_s_{i}") > 0, F.col(f"_s_{i}")).otherwise(1.0))
+    for j, (c, levels) in enumerate(categorical.items()):
+        value = F.coalesce(F.col(c).cast("string"), F.col(f"_o_{j}"), F.lit(levels[0]))
+        out += [(value == v).cast("double") for v in levels[1:]]
+    joined = rows.join(F.broadcast(fitted), fit)  # one row per fit
+    return joined.select(*keep, fit, *[o.alias(n) for o, n in zip(out, _shape(numeric, categorical).columns, strict=True)])
 
 
 def repeated_out_of_fold_models(
@@ -452,14 +480,63 @@ def repeated_out_of_fold_models(
     Every repeat and fold has a logistic model and an encoder of its own, fitted without the fold's rows; the Newton
     steps of all folds times repeats are shared.
     """
-    chosen = df.select(row_id, label, *numeric, *categorical)
-    placed = settle(chosen.join(row_folds(df, row_id, label, folds, seed, repeats), row_id))
-    number = (F.col("repeat") - 1) * folds
-    copies = fit_copies(placed, folds, out="_k").withColumn("fit", number + F.col("_k")).drop("_k")
-    held = placed.withColumn("fit", number + F.col("fold"))
-    train, held, names = encode_per_fit(copies, held, numeric, categorical, [row_id, "repeat", label])
-    fits = fit_logistic(train, names, label, "fit", c=c)
-    return average_out_of_fold(score_by_fit(held, fits, "score"), row_id, "score", repeats)
+    number = ((F.col("repeat") - 1) * folds + F.col("fold")).cast("int")
+    dealt = row_folds(df, row_id, label, folds, seed, repeats).groupBy(row_id).agg(F.collect_list(number).alias("_held"))
+    rows = store(df.select(row_id, label, *numeric, *categorical).join(dealt, row_id))
+    # rows are not copied: a fit takes part in a row with the number of other folds of its repeat that the row is in
+    heads = F.transform("_held", lambda k: k - F.pmod(k - 1, F.lit(folds)))
+    others = F.transform(F.arrays_zip(heads.alias("h"), F.col("_held").alias("k")), lambda e: F.filter(F.sequence(e["h"], e["h"] + folds - 1), lambda j: j != e["k"]))
+    trained = rows.withColumn("_train", F.flatten(others))
+    fits, fitted = fit_fold_logistic(trained, numeric, categorical, label, folds * repeats, c)
+    held = rows.select(row_id, *numeric, *categorical, F.explode("_held").alias("fit")).withColumn("repeat", F.floor((F.col("fit") - 1) / folds) + 1)
+    encoded = encode_with(held, fitted, numeric, categorical, [row_id, "repeat"])
+    return average_out_of_fold(score_by_fit(encoded, fits, "score"), row_id, "score", repeats)
+
+
+def fit_fold_logistic(
+    rows: DataFrame, numeric: Sequence[str], categorical: dict[str, Sequence[str]], label: str, number: int, c: float = 1.0
+) -> tuple[LogisticFits, DataFrame]:
+    """Fits 1 to ``number`` with encoders of their own, and these; ``_train`` lists the fits that a row is trained in.
+
+    What a fit's encoder makes of a row is linear in the row's values and its missing ones, so all fits share one
+    table of these and a step is one pass over it.
+    """
+    fitted = encoders_per_fit(rows.withColumn("fit", F.explode("_train")), numeric, categorical)
+    found = {r["fit"]: r for r in fitted.collect()}  # one row per fit
+    shape = _shape(numeric, categorical)
+    scale = {g: [(r[f"_m_{i}"], r[f"_a_{i}"], r[f"_s_{i}"]) for i in range(len(numeric))] for g, r in found.items()}
+    scale = {g: v for g, v in sorted(scale.items()) if all(x is not None and math.isfinite(x) for e in v for x in e)}
+    if not scale:
+        return LogisticFits(shape.columns, {}, 0), fitted
+    first = [(a, s if s > 0 else 1.0) for _, a, s in next(iter(scale.values()))]
+    names, columns = [], []
+    for i, ((a, s), name) in enumerate(zip(first, numeric)):
+        v = (F.col(name).cast("double") - a) / s
+        names += [f"_u_{i}", f"_z_{i}"]
+        columns += [F.when(v.isNull(), 0.0).when(F.abs(v) < float("inf"), v).otherwise(float("nan")), F.col(name).isNull().cast("double")]
+    for j, (name, levels) in enumerate(categorical.items()):
+        v = F.col(name).cast("string")
+        names += [*[f"_c_{j}_{k}" for k in range(1, len(levels))], f"_y_{j}"]
+        columns += [*[F.coalesce((v == level).cast("double"), F.lit(0.0)) for level in levels[1:]], v.isNull().cast("double")]
+    turns = {}
+    for g, scales in scale.items():
+        turn = np.zeros((len(names) + 1, len(shape.columns) + 1))
+        turn[0, 0] = 1.0
+        at, to = 1, 1
+        for (a, s), (median, mean, deviation) in zip(first, scales):
+            unit = deviation if deviation > 0 else 1.0
+            turn[[0, at, at + 1], to] = (a - mean) / unit, s / unit, (median - a) / unit
+            at, to = at + 2, to + 1
+        for j, levels in enumerate(categorical.values()):
+            mode = found[g][f"_o_{j}"]
+            mode = levels[0] if mode is None else mode
+            for k, level in enumerate(levels[1:]):
+                turn[at + k, to + k] = 1.0
+                turn[at + len(levels) - 1, to + k] = float(mode == level)
+            at, to = at + len(levels), to + len(levels) - 1
+        turns[int(g)] = turn
+    frame = fit_counts(rows.select("_train", F.col(label).cast("double").alias("_y"), *[v.alias(n) for v, n in zip(columns, names)]), number)
+    return fit_resampled_logistic(frame, names, "_y", c, maps=(shape.columns, turns)), fitted
 
 
 def repeated_calibrated_models(
