@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from stayline.functions.expr import calendar_months, clip, count_if, safe_div, transform_feature
 from stayline.operators.rank import Key, exact_quantiles, top_per_group
+from stayline.session import store
 
 ENTITY = "employee_id"
 
@@ -157,11 +158,14 @@ def robust_peer_z(df: DataFrame, value: str, peers: Sequence[str], out: str) ->
 
     A row with no value gets 0.
     """
+    peers = list(peers)
     medians = exact_quantiles(df, value, {"_median": 0.5}, peers).drop("_n")
-    centred = df.join(medians, list(peers), "left").withColumn("_dev", F.abs(F.col(value) - F.col("_median")))
-    mad = exact_quantiles(centred, "_dev", {"_mad": 0.5}, peers).drop("_n")
     spread = df.groupBy(*peers).agg(F.stddev_samp(value).alias("_std"))
-    joined = centred.join(mad, list(peers), "left").join(spread, list(peers), "left")
+    # a row per group, in files whose size the planner knows: no job makes it again, and rows are not exchanged for it
+    centres = store(spread.join(medians, peers, "left"))
+    centred = df.join(centres, peers, "left").withColumn("_dev", F.abs(F.col(value) - F.col("_median")))
+    mad = store(exact_quantiles(centred, "_dev", {"_mad": 0.5}, peers).drop("_n"))
+    joined = centred.join(mad, peers, "left")
     scaled = F.lit(1.4826) * F.col("_mad")
     denominator = F.when(scaled > 0, scaled).when(F.col("_std") > 0, F.col("_std")).otherwise(1.0)
     return joined.withColumn(

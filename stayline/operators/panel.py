@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stayline.functions.expr import active_on, calendar_months, count_if, safe_div
 from stayline.operators.asof import Calendar, assemble, collapse_between, expand_snapshots, facts_at_snapshots
 from stayline.operators.rank import exact_quantiles
+from stayline.session import store
 
 KEY = ["employee_id", "snapshot_date"]
 CHANGE_TYPES = ("Promotion", "Transfer", "Manager Change", "Leave")
@@ -269,7 +270,9 @@ def row_audit(audited: DataFrame) -> DataFrame:
 
 def peer_position(df: DataFrame, value: str, peers: Sequence[str], out: str) -> DataFrame:
     """Percent distance of a value from the median of its peer group; a null peer key has no median."""
-    medians = exact_quantiles(df, value, {"_median": 0.5}, peers).drop("_n")
+    # the rows are made once for the medians, narrow, and not exchanged for the join with a row per group
+    narrow = store(df.where(F.col(value).isNotNull()).select(*peers, value))
+    medians = store(exact_quantiles(narrow, value, {"_median": 0.5}, peers).drop("_n"))
     known = df.join(medians, list(peers), "left")
     return known.withColumn(out, growth_percent(F.col(value), F.col("_median"))).drop("_median")
 

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stayline.session import settle, store
+
 ROWS_PER_BUCKET = 100_000
 MAX_BUCKETS = 10_000
 TOP = 1.7e308  # stands for null, and for NaN as the largest number
@@ -201,19 +203,22 @@ def ranked(
     out: str = "rank",
     plan: RangePlan | None = None,
     rows_per_bucket: int | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Row number over ``order`` in each group of ``by`` (the whole table when empty).
 
-    ``order`` must end in a unique key for the result to be deterministic.
+    ``order`` must end in a unique key for the result to be deterministic. ``base`` has the keys and groups of the same
+    rows and is cheap to read: ranges and what precedes them come from it, so that steps before this one run once.
     """
-    plan = plan or plan_ranges(df, order, rows_per_bucket, by)
+    plan = plan or plan_ranges(df if base is None else base, order, rows_per_bucket, by)
     window_order = [k.order() for k in order]
     if plan.single:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*window_order)).cast("bigint"))
     bucketed = plan.assign(df)
     window = Window.partitionBy(*by, "_b1", "_b2").orderBy(*window_order)
     inside = bucketed.withColumn(out, F.row_number().over(window).cast("bigint"))
-    before = _preceding(bucketed, by, {out: F.count(F.lit(1))})
+    totals = {out: F.count(F.lit(1))}
+    before = _preceding(bucketed, by, totals) if base is None else store(_preceding(plan.assign(base), by, totals))
     return _join_preceding(inside, before, by, [out]).drop("_b1", "_b2")
 
 
@@ -262,6 +267,35 @@ def value_counts_running(
     )
 
 
+DENSE = 5_000  # rows of an average group from which its values are counted by cell first
+CELLS = 256  # cells between a number and its double
+
+
+def _cell(value: Column) -> Column:
+    """A whole number that never falls as the value rises; a cell's width is in proportion to its values."""
+    size = F.floor(F.log2(F.least(F.abs(value), F.lit(TOP))) * CELLS) + 2000 * CELLS  # positive for the smallest number too
+    return F.when(value == 0, F.lit(0).cast("bigint")).when(value > 0, size).otherwise(-size)  # NaN is above all numbers
+
+
+def _places(p: float) -> list[Column]:
+    position = (F.col("_n") - 1) * F.lit(float(p))
+    return [F.floor(position), F.ceil(position)]
+
+
+def _near_quantiles(source: DataFrame, value: str, counts: Column, probabilities: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """(by, _cell, value, n, _n, _before): the values of the cells that hold a quantile, and what lies in earlier cells."""
+    celled = source.withColumn("_cell", _cell(F.col(value)))
+    cells = celled.groupBy(*by, "_cell").agg(counts.alias("_in"))
+    before = F.sum("_in").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select("*", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_in").over(Window.partitionBy(*by)).alias("_n"))
+    wanted = [(F.col("_before") <= place) & (F.col("_before") + F.col("_in") > place) for p in probabilities for place in _places(p)]
+    asked = store(cells.where(reduce(lambda a, b: a | b, wanted)).select(*by, "_cell", "_before", "_n"))
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_cell"]])
+    near = celled.alias("l").join(asked.alias("r"), same, "left_semi")
+    found = settle(near.groupBy(*by, "_cell", value).agg(counts.alias("n")))
+    return _attach(found, asked, [*by, "_cell"])
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -272,14 +306,21 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, one row per group with ``_n`` rows counted.
 
-    Same result as ``percentile``, but no task holds the values of a whole group.
+    Same result as ``percentile``, but no task holds the values of a whole group. Values of large groups are first
+    counted by cell, so that only those near the quantiles are exchanged.
     """
-    source = df.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
-    counted = value_counts_running(
-        source, Key(value), {"n": F.count(F.lit(1)) if weight is None else F.sum(weight)}, by, rows_per_bucket
-    )
-    totals = source.groupBy(*by).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
-    joined = _attach(counted, totals, by)
+    by = list(by)
+    source = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value), *([] if weight is None else [weight.alias("_w")]))
+    counts = F.count(F.lit(1)) if weight is None else F.sum("_w")
+    # Groups of few rows: their values are one range anyway.
+    sizes = group_size(source, by).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups")).first()
+    if (sizes["rows"] or 0) > max(1, sizes["groups"]) * min(DENSE, rows_per_bucket or DENSE):
+        joined, inside = _near_quantiles(source, value, counts, list(probabilities.values()), by), [*by, "_cell"]
+    else:
+        totals = source.groupBy(*by).agg(counts.alias("_n"))
+        joined, inside = _attach(source.groupBy(*by, value).agg(counts.alias("n")), totals, by).withColumn("_before", F.lit(0)), by
+    joined = running_totals(joined, [Key(value)], {"cum_n": "n"}, inside, rows_per_bucket=rows_per_bucket)
+    joined = joined.withColumn("cum_n", F.col("cum_n") + F.col("_before"))
     aggregates = []
     for name, p in probabilities.items():
         position = (F.col("_n") - 1) * F.lit(float(p))
@@ -334,11 +375,11 @@ def flag_top_fraction(
 
 
 def quantile_groups(
-    df: DataFrame, order: Sequence[Key], count: int, by: Sequence[str] = (), out: str = "quantile"
+    df: DataFrame, order: Sequence[Key], count: int, by: Sequence[str] = (), out: str = "quantile", base: DataFrame | None = None
 ) -> DataFrame:
-    """Equal-count groups 1..count: ranks without ties, cut at their own linear quantiles."""
-    numbered = ranked(df, order, by, out="_r")
-    sized = _attach(numbered, group_size(df, by, "_n"), by)
+    """Equal-count groups 1..count: ranks without ties, cut at their own linear quantiles. ``base`` is that of ``ranked``."""
+    numbered = ranked(df, order, by, out="_r", base=base)
+    sized = _attach(numbered, group_size(df, by, "_n") if base is None else store(group_size(base, by, "_n")), by)
     spread = F.ceil((F.col("_r") - 1) * F.lit(count) / F.nullif(F.col("_n") - 1, F.lit(0)))
     return sized.withColumn(
         out, F.greatest(F.lit(1), F.coalesce(spread, F.lit(1))).cast("int")

@@ -11,7 +11,7 @@ from stayline.operators import asof, hazard, panel
 from stayline.plans.binding import AS_OF, SNAPSHOTS, snapshot_values
 from stayline.plans.foundations import HIRED_SQL
 from stayline.plans.registry import Tables, query, round_all
-from stayline.session import settle
+from stayline.session import store
 
 TIE = ("review_id", "review_line")
 HR = "employees departments locations job_roles compensation_history performance_reviews training_records employee_events"
@@ -433,7 +433,7 @@ POSITION_SQL = """rolled AS (SELECT l.*, r.job_family, r.job_level FROM lagged l
 def positioned(t: Tables):
     roles = t["job_roles"].select("job_role_id", "job_family", "job_level")
     return hazard.robust_peer_z(
-        settle(lagged(t)).join(roles, "job_role_id"), "current_salary", ["month_start", "job_family", "job_level"], "salary_position"
+        store(lagged(t)).join(roles, "job_role_id"), "current_salary", ["month_start", "job_family", "job_level"], "salary_position"
     )
 
 

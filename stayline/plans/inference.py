@@ -12,7 +12,7 @@ from stayline.plans.modelling import CATEGORICAL, ID, NUMERIC, Y, encoder, split
 from stayline.plans.outcomes import CLASSES, orders_twice
 from stayline.plans.ranking import draw_sql
 from stayline.plans.registry import Tables, query, round_all
-from stayline.session import checkpoint_dir, settle
+from stayline.session import checkpoint_dir, store
 from stayline.sources import tables as src
 from stayline.sources.contracts import Contract
 
@@ -245,7 +245,7 @@ PANEL_NUMERIC = [c for c in panel.PANEL_COLUMNS if c not in PANEL_OTHER and c no
 @query("l2_panel_logistic", HR)
 def _(t: Tables):
     """A fit to all features of the first labelled snapshot, scored on the second."""
-    rows = settle(full_panel(t).where("attrition_next_12m IS NOT NULL").withColumns({c: F.col(c).cast("double") for c in PANEL_NUMERIC}))
+    rows = store(full_panel(t).where("attrition_next_12m IS NOT NULL").withColumns({c: F.col(c).cast("double") for c in PANEL_NUMERIC}))
     train, later = (rows.where(F.col("snapshot_sequence") == s) for s in (1, 2))
     enc = model.fit_encoder(train, PANEL_NUMERIC, dict.fromkeys(PANEL_CATEGORICAL))
     fits = model.fit_logistic(enc.transform(train, ["attrition_next_12m"]), enc.columns, "attrition_next_12m")
