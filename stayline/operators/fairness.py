@@ -214,12 +214,18 @@ def variant_comparison(metrics: DataFrame, variant: str, baseline: str, names: S
     )
 
 
-def salary_groups(df: DataFrame, salary: str, score: str, row_id: str, level: str, by: Sequence[str] = ()) -> DataFrame:
-    """Absolute bands, pay and risk quintiles of the population, and pay quintiles within the level."""
+def salary_groups(
+    df: DataFrame, salary: str, score: str, row_id: str, level: str, by: Sequence[str] = (), base: DataFrame | None = None
+) -> DataFrame:
+    """Absolute bands, pay and risk quintiles of the population, and pay quintiles within the level.
+
+    ``base`` is that of ``ranked``: the same rows before steps that are dear to repeat.
+    """
+    base = df if base is None else base
     out = df.withColumn("absolute_salary_band", cut(salary, *SALARY_BANDS, include_lowest=True))
-    out = quantile_groups(out, [Key(salary), Key(row_id)], 5, by, "salary_quintile")
-    out = quantile_groups(out, [Key(score), Key(row_id)], 5, by, "risk_quintile")
-    return quantile_groups(out, [Key(salary), Key(row_id)], 5, [*by, level], "within_level_salary_quintile")
+    out = quantile_groups(out, [Key(salary), Key(row_id)], 5, by, "salary_quintile", base)
+    out = quantile_groups(out, [Key(score), Key(row_id)], 5, by, "risk_quintile", base)
+    return quantile_groups(out, [Key(salary), Key(row_id)], 5, [*by, level], "within_level_salary_quintile", base)
 
 
 def band_selection(

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from stayline.functions.expr import count_if, safe_div, zero_div
 from stayline.operators.rank import Key, attach, best_prefix, exact_quantiles, group_size, ranked, top_count
 from stayline.operators.resample import bootstrap_sums
+from stayline.session import store
 
 # The three families of cost assumptions.
 REPLACEMENT = {
@@ -170,10 +171,11 @@ def select_within(
     budget: float = LIMITS["budget"],
     unit_cost: float = ECONOMICS["cost"],
     require_positive: bool = True,
+    base: DataFrame | None = None,
 ) -> DataFrame:
-    """Flag the best rows that fit capacity and budget, in each group."""
+    """Flag the best rows that fit capacity and budget, in each group. ``base`` is that of ``ranked``."""
     k = affordable(maximum, budget, unit_cost)
-    numbered = ranked(df, [Key(score, True), Key(row_id)], by, out="_r")
+    numbered = ranked(df, [Key(score, True), Key(row_id)], by, out="_r", base=base)
     chosen = F.col("_r") <= k
     if require_positive:
         chosen = chosen & (F.col(score) > 0)
@@ -347,7 +349,7 @@ def alternative_selections(
     df: DataFrame, thresholds: DataFrame, probability: str, salary: str, row_id: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Score and selection flag of each alternative ranking, under the same capacity and budget."""
-    joined = attach(df, thresholds, [])
+    joined = attach(df, store(thresholds), [])  # one row
     p, s = F.col(probability), F.col(salary)
     scores = {
         "frozen_expected_value": expected_net(p, s),
@@ -355,10 +357,10 @@ def alternative_selections(
         "salary_capped_expected_value": expected_net(p, F.least(s, F.col("salary_cap_usd"))),
         "constant_cost": expected_net(p, F.col("constant_cost_usd")),
     }
-    out = joined.select("*", *[c.alias(f"score_{n}") for n, c in scores.items()]).drop(*thresholds.columns)
+    base = out = joined.select("*", *[c.alias(f"score_{n}") for n, c in scores.items()]).drop(*thresholds.columns)
     for name in ALTERNATIVES:
         out = select_within(
-            out, f"score_{name}", row_id, f"selected_{name}", by, require_positive=name != "probability_only"
+            out, f"score_{name}", row_id, f"selected_{name}", by, require_positive=name != "probability_only", base=base
         )
     return out
 

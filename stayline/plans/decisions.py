@@ -9,7 +9,7 @@ from stayline.operators import fairness, metrics, policy, resample
 from stayline.operators.rank import Key, flag_top_fraction
 from stayline.plans.ranking import draw_sql
 from stayline.plans.registry import Tables, query, round_all
-from stayline.session import settle
+from stayline.session import settle, store
 
 P, Y, ID, S = "attrition_probability", "actual_attrition", "employee_id", "base_salary"
 NET = "(attrition_probability * 0.25 * base_salary - 2500)"
@@ -505,7 +505,7 @@ FLAGS = [f"selected_{n}" for n in policy.ALTERNATIVES]
 
 
 def allocated(t: Tables):
-    return settle(fairness.salary_groups(alternatives(t), S, P, ID, "job_level", ["period"]))
+    return fairness.salary_groups(alternatives(t), S, P, ID, "job_level", ["period"], t["scored"])
 
 
 @query(
@@ -563,7 +563,8 @@ RATE = "AVG(f0::INT) FILTER (WHERE salary_quintile = {q} {r})"
     tr <> '' AS review_flag, CASE WHEN tr = '' THEN 'None' ELSE tr END AS review_triggers FROM w""",
 )
 def _(t: Tables):
-    out = fairness.allocation_headline(allocated(t), FLAGS[0], FLAGS[1], S, "period")
+    rows = store(allocated(t).select("period", S, *FLAGS[:2], "salary_quintile", "risk_quintile"))
+    out = fairness.allocation_headline(rows, FLAGS[0], FLAGS[1], S, "period")
     return _finite_rounding(out)
 
 
