@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stayline.operators.asof import attribute_at
 from stayline.operators.rank import Key, ranked
+from stayline.session import store
 
 
 def apply_outcomes(employees: DataFrame, outcomes: DataFrame, columns: Sequence[str], key: str = "employee_id") -> DataFrame:
@@ -152,15 +153,17 @@ def reassign_reports(
         .where(F.col("_load") < F.col("_size"))
     )
     # a slot is one more report on top of the present load
-    slots = offers.withColumn("_fill", F.explode(F.sequence(F.col("_load") + 1, F.col("_size").cast("bigint"))))
+    fill = F.explode(F.sequence(F.col("_load") + 1, F.col("_size").cast("bigint"))).alias("_fill")
+    # each round reads files: a plan that grows by a round would run all rounds before it again for every ranking
+    slots = store(offers.select("_id", "department_id", "_level", fill))
     asked = F.array(*[F.struct(F.lit(lv).alias("level"), F.array(*[F.lit(m) for m in ms]).alias("ms")) for lv, ms in valid_levels.items()])
     levels = orphans.select("*", F.filter(asked, lambda e: e.level == F.col("organizational_level"))[0].ms.alias("_ms"))
     # the slots of a department serve the reports of all its levels: number both sides per department and manager level
-    first = levels.withColumn("_level", F.element_at("_ms", 1))
+    first = store(levels.withColumn("_level", F.element_at("_ms", 1)))
     # ids order the sides; "_fill" spreads the reports over managers with equal load
     reports = ranked(first, [Key(key)], ["department_id", "_level"], out="_n")
-    numbered = ranked(slots, [Key("_fill"), Key("_id")], ["department_id", "_level"], out="_n")
-    matched = reports.join(numbered.select("department_id", "_level", "_n", F.col("_id").alias("new_manager_id")), ["department_id", "_level", "_n"], "left")
+    numbered = store(ranked(slots, [Key("_fill"), Key("_id")], ["department_id", "_level"], out="_n"))
+    matched = store(reports.join(numbered.select("department_id", "_level", "_n", F.col("_id").alias("new_manager_id")), ["department_id", "_level", "_n"], "left"))
     out = matched.where(F.col("new_manager_id").isNotNull())
     waiting = matched.where(F.col("new_manager_id").isNull())
     rounds = max(len(m) for m in valid_levels.values())
@@ -171,9 +174,11 @@ def reassign_reports(
         has = F.size("_ms") >= step
         pending = waiting.where(has).drop("_n", "_level", "new_manager_id").withColumn("_level", F.element_at("_ms", step))
         pending = ranked(pending, [Key(key)], ["department_id", "_level"], out="_n")
-        open_slots = ranked(free.drop("_n"), [Key("_fill"), Key("_id")], ["department_id", "_level"], out="_n")
-        again = pending.join(
-            open_slots.select("department_id", "_level", "_n", F.col("_id").alias("new_manager_id")), ["department_id", "_level", "_n"], "left"
+        open_slots = store(ranked(store(free.drop("_n")), [Key("_fill"), Key("_id")], ["department_id", "_level"], out="_n"))
+        again = store(
+            pending.join(
+                open_slots.select("department_id", "_level", "_n", F.col("_id").alias("new_manager_id")), ["department_id", "_level", "_n"], "left"
+            )
         )
         taken = again.where(F.col("new_manager_id").isNotNull())
         result = result.unionByName(taken.select(*columns)).unionByName(
