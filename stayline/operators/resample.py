@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.expr import count_if, draw, safe_div
 from stayline.operators.rank import Key, attach, group_size, ranked, top_count
-from stayline.session import settle
+from stayline.session import settle, store
 
 #: Rows whose draws one group counts (below 65536), draws that are packed at a time, and draws of a task.
 BLOCK, PACK, TASK_DRAWS = 8192, 2_000_000, 40_000_000
@@ -146,7 +146,8 @@ def repeated_out_of_fold(
         "fold",
         F.coalesce(safe_div(F.col("tp") - F.col("p"), F.col("tn") - F.col("n")), F.col("_base")).alias("score"),
     )
-    scored = placed.join(rates, ["repeat", category, "fold"])
+    # in files whose size the planner knows: the copies of all rows are not sorted by a few hundred keys
+    scored = placed.join(store(rates), ["repeat", category, "fold"])
     return average_out_of_fold(scored, row_id, "score", repeats)
 
 
