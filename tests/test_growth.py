@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stayline.operators import isotonic, model, rank
+from stayline.operators import hazard, history, isotonic, model, panel, rank, resample
 
 
 def plan(df):
@@ -72,3 +72,38 @@ def test_few_values_are_exchanged_for_a_median(spark):
     rows = spark.range(20000).select((F.col("id") % 2).alias("g"), (F.col("id") * 3.5 + 1).alias("v"))
     near = rank._near_quantiles(rows, "v", F.count(F.lit(1)), [0.5], ["g"])
     assert near.count() < 200
+
+
+def test_ranks_with_a_base_do_not_repeat_the_steps_before(spark):
+    base = spark.range(500).select("id", (F.col("id") % 3).alias("g"), (F.col("id") * 7 % 50).alias("a"), (F.col("id") * 11 % 60).alias("b"))
+    out = expected = base
+    for name in ("a", "b"):
+        order = [rank.Key(name), rank.Key("id")]
+        out = rank.ranked(out, order, ["g"], f"r_{name}", rows_per_bucket=40, base=base)
+        expected = rank.ranked(expected, order, ["g"], f"r_{name}")
+    assert sorted(map(tuple, out.select("id", "r_a", "r_b").collect())) == sorted(map(tuple, expected.select("id", "r_a", "r_b").collect()))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 500") == 1
+
+
+def test_reassigned_reports_come_from_stored_rounds(spark):
+    people = [(1, None, 1, "Manager", "Terminated", "2020-01-01")] + [(i, 1, 1, "Individual Contributor", "Active", None) for i in range(2, 9)]
+    people += [(i, None, 1, "Manager" if i < 12 else "Senior Manager", "Active", None) for i in range(10, 14)]
+    frame = spark.createDataFrame(people, "employee_id long, manager_id long, department_id long, organizational_level string, employment_status string, termination_date string")
+    frame = frame.withColumn("termination_date", F.to_date("termination_date"))
+    levels = {"Individual Contributor": ["Manager", "Senior Manager"]}
+    out = history.reassign_reports(frame, "2021-01-01", levels, {"Manager": 2, "Senior Manager": 1})
+    assert sorted(r["new_manager_id"] or 0 for r in out.collect()) == [0, 10, 10, 11, 11, 12, 13]
+    assert "Window" not in plan(out)
+
+
+def test_peers_meet_their_centres_without_an_exchange_of_rows(spark):
+    rows = spark.range(300).select("id", (F.col("id") % 4).alias("g"), (F.col("id") * 1.5).alias("v"))
+    for out in (hazard.robust_peer_z(rows, "v", ["g"], "z"), panel.peer_position(rows, "v", ["g"], "z")):
+        assert "SortMergeJoin" not in plan(out)
+        assert out.count() == 300
+
+
+def test_rates_meet_the_folds_without_an_exchange_of_rows(spark):
+    out = resample.repeated_out_of_fold(fold_rows(spark), "id", "y", 3, 4, 9, "kind")
+    assert "SortMergeJoin" not in plan(out)
+    assert {r["scores"] for r in out.collect()} == {4}
