@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.blocks import BASES, hash_words, mix, split_words, text_blocks, window_hashes
+from stayline.llm.blocks import BASES, hash_words, mix, released, split_words, text_blocks, window_hashes
 from stayline.llm.substrings import LAST, keyed
 from stayline.session import store
 
@@ -23,8 +23,12 @@ BANDS, ROWS = 40, 8
 #: Rounds with one centre in each bucket, then with the likeliest partner of each member, members of a lot, and how far
 #: below the similarity registers may agree.
 STARS, CHOICES, LOT, MARGIN = 2, 1, 128, 0.075
+#: Lots of bags that are compared: so many lots' members, and bytes of text, at most on average.
+COMPARED, COMPARED_BYTES = 4, 2_000_000
 #: Texts whose bags a task keeps while it verifies pairs.
 HELD_BAGS = 4_000
+#: Bits of a sieve per key, and the most that are sent (one million words of 64): more keys only let more rows through.
+SIEVE_BITS, MOST_BITS = 16, 2**26
 
 
 def shingles(words: np.ndarray, first: np.ndarray, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,21 +220,38 @@ def lot_of(node: str, lots: int) -> int:
     return zlib.crc32(node.encode()) % lots
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], least: float, lots: int) -> Iterator[pa.RecordBatch]:
-    """Per outside member and lot of nodes, the nodes of other classes whose registers agree; and these nodes, once each.
+def _candidates(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Per outside member the nodes of other classes whose registers agree: a row a task, so no more rows than members.
 
-    A pair is an entry of one list, however many buckets share it.
+    A pair is an entry of one list of a task, however many of its buckets share it. Two outside members of a bucket
+    ask for each other, so only the smaller one's list has the pair.
     """
     for batch in batches:
-        asked: dict[tuple[int, int, str], set[str]] = {}
+        asked: dict[str, set[str]] = {}
         for r in range(batch.num_rows):
             left, right, one, two, apart = _sides(batch, r)
+            names, outside = np.array([y["node"] for y in right]), np.array([y["outside"] for y in right])
             for i, x in enumerate(left):
-                for j in np.flatnonzero(((one[i] == two).mean(axis=1) >= least) & apart[i]).tolist():
-                    key = (lot_of(x["node"], lots), lot_of(right[j]["node"], lots), x["node"])
-                    asked.setdefault(key, set()).add(right[j]["node"])
-        rows = [(*key, sorted(others)) for key, others in asked.items()]
-        rows += [(*found, None) for found in {(a, b, y) for (a, b, _), others in asked.items() for y in others}]
+                open_pairs = ((one[i] == two).mean(axis=1) >= least) & apart[i] & (~outside | (names > x["node"]))
+                if open_pairs.any():
+                    asked.setdefault(x["node"], set()).update(names[open_pairs].tolist())
+        others = pa.array([sorted(o) for o in asked.values()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(asked), pa.string()), others], names=["node", "others"])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], lots: int) -> Iterator[pa.RecordBatch]:
+    """Each list cut by the lots of its entries; and the entries, once for each lot of nodes that asks for them."""
+    held: set[tuple[int, str]] = set()
+    for batch in batches:
+        rows = []
+        for x_lot, x, others in zip(*(c.to_pylist() for c in batch.columns)):
+            parts: dict[int, list[str]] = {}
+            for y in others:
+                parts.setdefault(lot_of(y, lots), []).append(y)
+            rows += [(x_lot, y_lot, x, part) for y_lot, part in parts.items()]
+            new = [(x_lot, y_lot, y, None) for y_lot, part in parts.items() for y in part if (x_lot, y) not in held]
+            held.update((row[0], row[2]) for row in new)
+            rows += new
         columns = list(zip(*rows)) or [[]] * 4
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["x_lot", "y_lot", "node", "others"])
@@ -272,6 +293,19 @@ def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), values, weights], names=["node", "values", "weights"])
 
 
+def sifted(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows whose keys are in ``wanted``, and few of the others: the join that follows shuffles no more than these.
+
+    Each key sets one bit by its hash, and the bits go out as words of 64. ``wanted`` is read twice.
+    """
+    bits = min(MOST_BITS, max(64, SIEVE_BITS * wanted.count()))
+    bit = F.pmod(F.xxhash64(*keys, F.lit("sieve")), F.lit(bits))
+    word, mask = F.shiftright(bit, 6).alias("_word"), F.expr("shiftleft(1L, CAST(_bit & 63 AS INT))")
+    words = wanted.select(word, bit.alias("_bit")).groupBy("_word").agg(F.bit_or(mask).alias("_mask"))
+    found = rows.select("*", word, bit.alias("_bit")).join(F.broadcast(words), "_word")
+    return found.filter(F.col("_mask").bitwiseAND(mask) != 0).select(*rows.columns)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The (a, b) pairs whose texts are similar enough."""
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -302,7 +336,7 @@ def lots(named: DataFrame, state: DataFrame, extra: DataFrame, fields: list[str]
     sizes = state.select("bucket", F.col("main.label").alias("main"), F.ceil(F.col("size") / LOT).alias("lots"), F.ceil(outside / LOT).alias("out_lots"))
     placed = named.join(sizes, "bucket").join(extra, "node").select(
         "bucket", F.pmod("draw", "lots").alias("lot"), F.when(F.col("label") != F.col("main"), F.pmod("draw", "out_lots")).alias("out_lot"),
-        F.struct("node", "label", *fields).alias("item"),
+        F.struct("node", "label", (F.col("label") != F.col("main")).alias("outside"), *fields).alias("item"),
     )
     placed = store(placed)
     every = placed.groupBy("bucket", "lot").agg(F.collect_list("item").alias("members")).drop("lot")
@@ -351,18 +385,25 @@ def linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             pairs = store(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         labels = contracted(verified(pairs, texts, least))
     named, state = classified(members, labels, STARS + CHOICES)
-    size = named.join(state.select("bucket"), "bucket", "left_semi").select("node").distinct().count()
-    count = max(1, -(-size // LOT))
+    placed = named.join(state.select("bucket", F.col("main.label").alias("main")), "bucket")
+    open_nodes = placed.groupBy("node").agg(F.max(F.col("label") != F.col("main")).alias("out"))
+    sizes = open_nodes.join(texts.select("node", F.octet_length("text").cast("long").alias("size")), "node")
+    total = sizes.agg(F.count_if("out"), F.sum(F.when(F.col("out"), F.col("size"))), F.count(F.lit(1)), F.sum("size")).first()
+    out_count, count = (max(1, -(-n // (COMPARED * LOT)), -(-(size or 0) // COMPARED_BYTES)) for n, size in (total[:2], total[2:]))
     met = lots(named, state, texts.select("node", "registers"), ["registers"])
-    shape = "x_lot long, y_lot long, node string, others array<string>"
-    found = store(met.mapInArrow(lambda batches: _candidates(batches, least - MARGIN, count), shape))
+    found = store(met.mapInArrow(lambda batches: _candidates(batches, least - MARGIN), "node string, others array<string>"))
     if not found.limit(1).count():
         return labels
-    asked = texts.join(found.select("node").distinct(), "node", "left_semi").select("node", "text")
+    # a lot's lists meet in one task, which then knows the nodes that its lot has asked for
+    placed = found.withColumn("x_lot", F.pmod(F.xxhash64("node"), F.lit(out_count))).repartition("x_lot")
+    merged = placed.groupBy("x_lot", "node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    shape = "x_lot long, y_lot long, node string, others array<string>"
+    dealt = store(merged.mapInArrow(lambda batches: _dealt(batches, count), shape))
+    asked = texts.join(dealt.select("node").distinct(), "node", "left_semi").select("node", "text")
     bags = asked.mapInArrow(_bagged, "node string, values array<long>, weights array<int>").join(labels, "node", "left")
     bags = store(bags.select("node", F.coalesce("label", "node").alias("label"), "values", "weights"))
-    lists = found.filter("others IS NOT NULL").groupBy("x_lot", "y_lot", "node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
-    held = found.filter("others IS NULL").drop("others").distinct()
+    lists = dealt.filter("others IS NOT NULL")
+    held = dealt.filter("others IS NULL").drop("others")
     # new names of columns on each side: both come from the same stored tables
     sides = [d.join(bags, "node").select(*[F.col(c).alias(c) for c in (*d.columns, "label", "values", "weights")]) for d in (lists, held)]
     grouped = [side.groupBy("x_lot", "y_lot") for side in sides]
@@ -385,7 +426,7 @@ def near_duplicates(
     named = keyed(documents, doc_id, text)
     signed = store(
         named.mapInArrow(
-            lambda batches: _sign(batches, bands, per_band),
+            lambda batches: released(_sign(batches, bands, per_band)),
             "id long, mark long, n_words long, node string, bands array<long>, registers binary",
         )
     )
@@ -394,10 +435,13 @@ def near_duplicates(
     # a short name in the two wide shuffles; two texts of one short name would only be compared in vain
     buckets = nodes.select(F.xxhash64("node").alias("short"), F.explode("first.bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("short").alias("one"), F.max("short").alias("other")).filter("one <> other")
-    found = buckets.join(store(shared.select("bucket")), "bucket", "left_semi")
+    shared = store(shared.select("bucket"))
+    found = sifted(buckets, shared, ["bucket"]).join(shared, "bucket", "left_semi")
     members = store(found.join(nodes.select(F.xxhash64("node").alias("short"), "node"), "short").drop("short"))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first.id", "first.mark", "first.registers")
-    texts = store(named.dropDuplicates(["id", "mark"]).join(wanted, ["id", "mark"]).select("node", "text", "registers"))
+    wanted = store(wanted)
+    asked = sifted(named, wanted, ["id", "mark"]).dropDuplicates(["id", "mark"])
+    texts = store(asked.join(wanted, ["id", "mark"]).select("node", "text", "registers"))
     labels = linked(members, texts, least)
     placed = nodes.select("node", "rows", F.struct("first.id", "first.mark").alias("first")).join(labels, "node", "left")
     placed = store(placed.select("node", "rows", "first", F.coalesce("label", "node").alias("label")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stayline.llm.blocks import text_blocks
+from stayline.llm.blocks import released, text_blocks
 from stayline.session import store
 
 MAX_TOKENS = 4096
@@ -165,7 +165,7 @@ def tokenise(
          T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
         + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
     )
-    out = chosen.mapInArrow(lambda batches: _pieces(batches, path, limit, with_ids), schema)
+    out = chosen.mapInArrow(lambda batches: released(_pieces(batches, path, limit, with_ids)), schema)
     return out.withColumnsRenamed({f"key_{i}": k for i, k in enumerate(keys)})
 
 
@@ -242,4 +242,4 @@ def pack(
         [*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     )
     capacities = (float(max_tokens), float(max_documents), float(max_cost))
-    return pieces.repartition(groups).mapInArrow(lambda batches: _pack(batches, capacities, weights), schema)
+    return pieces.repartition(groups).mapInArrow(lambda batches: released(_pack(batches, capacities, weights)), schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from stayline.llm import bagminhash, chat, decontaminate, html, lm, packing, pii, queries, rules, substrings, toxicity
+from stayline.llm import bagminhash, blocks, chat, decontaminate, html, lm, packing, pii, queries, rules, substrings, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -253,6 +253,56 @@ def test_one_bucket_of_texts_around_the_threshold(spark, monkeypatch, stars, cho
     assert links and {n: got.get(n, n) for n in texts} == label
 
 
+def test_rows_of_open_candidates_do_not_grow_with_lots(spark, monkeypatch):
+    """Texts of one hot bucket that agree but do not link: no step gives a row for each text and lot of texts."""
+    monkeypatch.setattr(bagminhash, "LOT", 4)
+    made, keep = [], bagminhash.store
+
+    def counted(frame):
+        out = keep(frame)
+        if "others" in frame.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(bagminhash, "store", counted)
+    texts = {f"{i:03}": " ".join(f"own{i}x{k}" for k in range(30)) for i in range(96)} | {"100": WORDS, "101": WORDS + " more"}
+    members = spark.createDataFrame([(b, n) for n in texts for b in range(70, 75)], "bucket long, node string")
+    frame = spark.createDataFrame([(n, t, bytes(320)) for n, t in texts.items()], "node string, text string, registers binary")
+    got = {r.node: r.label for r in bagminhash.linked(members, frame, 0.8).collect()}
+    assert got["100"] == got["101"] == "100"
+    assert made and max(made) <= 2 * len(texts) * -(-len(texts) // (bagminhash.COMPARED * bagminhash.LOT))
+
+
+def test_sieve_keeps_all_wanted_rows(spark, monkeypatch):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id").cast("string")).alias("name"))
+    wanted = rows.filter("id % 40 = 3").union(rows.filter("id % 40 = 3"))
+    kept = {r.id for r in bagminhash.sifted(rows, wanted, ["id", "name"]).collect()}
+    assert {i for i in range(20_000) if i % 40 == 3} <= kept and len(kept) < 3_000
+    assert bagminhash.sifted(rows, wanted.limit(0), ["id", "name"]).count() == 0
+    monkeypatch.setattr(bagminhash, "MOST_BITS", 64)  # too few bits let rows through and lose none
+    assert {i for i in range(20_000) if i % 40 == 3} <= {r.id for r in bagminhash.sifted(rows, wanted, ["id", "name"]).collect()}
+
+
+def test_workers_give_memory_back():
+    """What a task has freed between blocks that it keeps does not stay with the worker."""
+    import os
+    import pathlib
+
+    def held() -> float:
+        return int(pathlib.Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    kept = []
+
+    def work():
+        blocks = [bytearray(60_000) for _ in range(4_000)]
+        kept.append(blocks[-1])
+        yield None
+
+    before = held()
+    assert list(blocks.released(work())) == [None]
+    assert held() - before < 60
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(3)
     values = rng.integers(1, 2**63, 300).astype(np.uint64)
