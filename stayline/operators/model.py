@@ -839,22 +839,34 @@ def explanation_stability(
     placed = settle(history.join(grouped_folds(history, entity, label, folds, seed), entity))
     quarters = settle(quantile_groups(current, [Key(score), Key(row_id)], 4, out="_q"))
     everywhere = quarters.withColumn("fit", F.explode(F.sequence(F.lit(1), F.lit(folds))))
-    train, rows, names = encode_per_fit(fit_copies(placed, folds), everywhere, list(encoder.numeric), encoder.levels, [label, row_id, "_q"], held_keep=[row_id, "_q"])
-    train = settle(train)
-    fits = fit_logistic(train, names, label, "fit")
-    means = train.groupBy("fit").agg(F.array(*[F.avg(c) for c in names]).alias("_m"))
+    numeric, levels = list(encoder.numeric), encoder.levels
+    # rows are not copied for the fits, nor for the features
+    others = F.filter(F.sequence(F.lit(1), F.lit(folds)), lambda k: k != F.col("fold"))
+    fits, fitted = fit_fold_logistic(placed.withColumn("_train", others), numeric, levels, label, folds)
+    rows = encode_with(everywhere, fitted, numeric, levels, ["_q"])
+    names = _shape(numeric, levels).columns
+    means = encode_with(fit_copies(placed, folds), fitted, numeric, levels, []).groupBy("fit").agg(F.array(*[F.avg(c) for c in names]).alias("_m"))
     betas = history.sparkSession.createDataFrame([(int(g), [float(v) for v in b]) for g, b in fits.groups.items()], "fit int, _b array<double>")
     shifted = rows.join(F.broadcast(means.join(betas, "fit")), "fit")  # one row per fit
     terms: dict[str, Column] = {}
     for i, (name, raw) in enumerate(encoder.encoded):
         term = (F.col(name) - F.col("_m")[i]) * F.col("_b")[i + 1]
         terms[raw] = terms[raw] + term if raw in terms else term
-    pairs = F.array(*[F.struct(F.lit(r).alias("raw_feature"), c.alias("phi")) for r, c in terms.items()])
-    long = shifted.select(F.col("fit").alias("fold"), "_q", F.explode(pairs).alias("_p")).select("fold", "_q", "_p.*")
-    grouped = long.groupBy("fold", "raw_feature").agg(
-        F.avg(F.abs("phi")).alias("mean_absolute_shap_log_odds"),
-        F.avg(F.when(F.col("_q") == 4, F.col("phi"))).alias("mean_signed_shap_highest_quartile"),
+    phis = shifted.select(F.col("fit").alias("fold"), "_q", *[c.alias(f"_p_{k}") for k, c in enumerate(terms.values())])
+    sums = phis.groupBy("fold").agg(
+        *[F.avg(F.abs(f"_p_{k}")).alias(f"_a_{k}") for k in range(len(terms))],
+        *[F.avg(F.when(F.col("_q") == 4, F.col(f"_p_{k}"))).alias(f"_s_{k}") for k in range(len(terms))],
     )
+    pairs = F.array(
+        *[
+            F.struct(
+                F.lit(raw).alias("raw_feature"), F.col(f"_a_{k}").alias("mean_absolute_shap_log_odds"),
+                F.col(f"_s_{k}").alias("mean_signed_shap_highest_quartile"),
+            )
+            for k, raw in enumerate(terms)
+        ]
+    )
+    grouped = sums.select("fold", F.explode(pairs).alias("_p")).select("fold", "_p.*")
     order = Window.partitionBy("fold").orderBy(F.col("mean_absolute_shap_log_odds").desc(), "raw_feature")
     features = settle(
         grouped.select(
