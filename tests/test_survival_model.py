@@ -264,3 +264,23 @@ def test_auc_and_average_precision_with_ties(spark):
     assert abs(r.roc_auc - wins / 9) < 1e-12
     assert abs(r.pr_auc - (1 / 3 * 1 + 1 / 3 * 2 / 3 + 1 / 3 * 3 / 6)) < 1e-12
     assert metrics.rank_metrics(df.where("y = 0"), "s", "y").first().roc_auc is None
+
+
+def test_explanations_of_folds_store_no_copies_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, i // 2, float(a), "xyz"[i % 3], int(a + rng.normal() > 0), float(rng.random())) for i, a in enumerate(rng.normal(size=300))]
+    frame = spark.createDataFrame(rows, "id long, who long, a double, kind string, y int, score double")
+    encoder = model.fit_encoder(frame, ["a"], {"kind": ["x", "y", "z"]})
+    stored, keep = [], model.settle
+
+    def counted(df):
+        out = keep(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(model, "settle", counted)
+    features, agreement, _ = model.explanation_stability(frame, frame, encoder, "who", "id", "y", "score", top_k=1)
+    found = {(r.fold, r.raw_feature): r for r in features.collect()}
+    assert len(found) == 10 and agreement.count() == 10
+    assert all(found[k, "a"].importance_rank == 1 and found[k, "a"].mean_absolute_shap_log_odds > 0.5 for k in range(1, 6))
+    assert stored and max(stored) <= len(rows)
