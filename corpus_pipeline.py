@@ -32,9 +32,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = bagminhash.near_duplicates(docs)
     first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("class_mark"))
     others = store(found.filter(~first).select(F.col("doc_id").alias("other_id"), F.col("mark").alias("other_mark")).distinct())
-    named = _marked(docs)
     same = F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("_mark") == F.col("other_mark"))
-    kept = named.join(others, same, "left_anti")
+    named = _marked(docs).withColumn("_id", F.col("doc_id").cast("long"))
+    # only texts that may be such another one are shuffled
+    keys = others.select(F.col("other_id").alias("_id"), F.col("other_mark").alias("_mark"))
+    named = bagminhash.sieve(named, keys, ["_id", "_mark"], "_may")
+    kept = named.filter("NOT _may").unionByName(named.filter("_may").join(others, same, "left_anti"))
     repeated = found.filter(first & (F.col("n_words") > 0)).groupBy("doc_id", "mark").count().filter("count > 1").limit(1)
     if repeated.count():  # rows repeated with their id
         kept = kept.dropDuplicates(["doc_id", "_mark"])

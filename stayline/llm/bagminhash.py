@@ -293,17 +293,23 @@ def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), values, weights], names=["node", "values", "weights"])
 
 
-def sifted(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows whose keys are in ``wanted``, and few of the others: the join that follows shuffles no more than these.
+def sieve(rows: DataFrame, wanted: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """``rows`` with a boolean: true for all rows whose keys are in ``wanted``, and for few of the others.
 
-    Each key sets one bit by its hash, and the bits go out as words of 64. ``wanted`` is read twice.
+    Each key sets one bit by its hash, and the bits go out as words of 64. ``wanted`` is read twice; its keys have the
+    types of those of ``rows``.
     """
     bits = min(MOST_BITS, max(64, SIEVE_BITS * wanted.count()))
     bit = F.pmod(F.xxhash64(*keys, F.lit("sieve")), F.lit(bits))
     word, mask = F.shiftright(bit, 6).alias("_word"), F.expr("shiftleft(1L, CAST(_bit & 63 AS INT))")
     words = wanted.select(word, bit.alias("_bit")).groupBy("_word").agg(F.bit_or(mask).alias("_mask"))
-    found = rows.select("*", word, bit.alias("_bit")).join(F.broadcast(words), "_word")
-    return found.filter(F.col("_mask").bitwiseAND(mask) != 0).select(*rows.columns)
+    found = rows.select("*", word, bit.alias("_bit")).join(F.broadcast(words), "_word", "left")
+    return found.withColumn(out, F.coalesce(F.col("_mask").bitwiseAND(mask) != 0, F.lit(False))).drop("_word", "_bit", "_mask")
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows whose keys are in ``wanted``, and few of the others: the join that follows shuffles no more than these."""
+    return sieve(rows, wanted, keys, "_may").filter("_may").select(*rows.columns)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
