@@ -1,15 +1,18 @@
 """The operators on small tables: brute force, round trips, and nulls, empty tables, repeats and extra columns."""
 
 import hashlib
+import itertools
 import math
+import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
 from oracle_compare import differences, duck
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 import corpus_pipeline
 from stayline.llm import bagminhash, blocks, chat, decontaminate, html, lm, packing, pii, queries, rules, substrings, toxicity
@@ -356,6 +359,67 @@ def test_ids_of_special_strings(spark, monkeypatch):
             assert ids.tolist() == [*plain.encode(texts[r], add_special_tokens=False).ids, 1]
 
 
+@pytest.fixture
+def given(monkeypatch):
+    """Lengths of all that is given to the tokenizer at once, and a worker without known words."""
+    path = queries.public_tokenizers.path("word_bpe_49k.json")
+    lots, plain = [], Tokenizer.from_file(path)
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            lots.append(sum(len(re.sub("\x01", "", x).split()) for x in texts))
+            return plain.encode_batch_fast(texts, **options)
+
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+    monkeypatch.setattr(packing, "tokenizer", lambda path: Counting())
+    monkeypatch.setattr(packing, "word_ids", lru_cache(packing.WordIds))
+    return path, plain, lots
+
+
+def encoded(path, texts):
+    data = [t.encode() for t in texts]
+    ids, starts = packing.encode_block(path, np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    return [ids[a:b].tolist() for a, b in itertools.pairwise(starts)]
+
+
+def test_word_is_encoded_once_in_all_its_spellings(given):
+    path, plain, lots = given
+    words = ["some", "straße", "naïve", "x"]
+    texts = [f"{x}{tail} {x}" for w in words for x in (w, w.title(), w.replace("s", "S")) for tail in ("", ",", ".", "...", ");")]
+    for _ in range(2):
+        assert encoded(path, texts) == [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert sum(lots) == len(words) + 4
+
+
+def test_ids_of_parted_words(given):
+    """Words of every kind with tails of every kind, against the unaltered tokenizer."""
+    path, plain, lots = given
+    rng = np.random.default_rng(9)
+    heads = ["Word", "É", "été", "e\u0301", "E\u0301", "ÀÇ×", "÷", "Straße", "ΟΔΟΣ", "İI", "\u212b", "Привет", "日本", "3", "3.14", "x²", "don't", "I'LL",
+             "'s", "''t", "<|ENDOFTEXT|>", "<|endoftext|>", "<|EndOfText|", "…", "\x1c", "\x01", "\x7f", "a\x00b", "\u00a0", "\u2028a", "</w>", "_", "ﬁ"]
+    tails = ["", "", ",", ".", "...", "'", "'s", "!?", "</w>", "|>", "<|endoftext|>", "\u0338", "<\u0338", "\u0301", "_", "\x1f", "é", "É.", "9,", "«"]
+    texts = ["", " ", *(" ".join("".join(rng.choice([*heads, *tails], rng.integers(1, 4))) for _ in range(30)) for _ in range(150))]
+    texts += [f"{h}{t}" for h in heads for t in tails]
+    assert encoded(path, texts) == [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [encoded(path, [t])[0] for t in texts] == encoded(path, texts)
+
+
+def test_vocabulary_that_keeps_capitals_or_tails(given, monkeypatch):
+    """Without lowering, or with words that keep their symbols, words are encoded whole."""
+    path, plain, lots = given
+    assert packing.WordIds(path).splits
+    texts = ["Word word word, WORD. don't 7,"]
+    for part, other in (("normalizer", normalizers.NFC()), ("pre_tokenizer", pre_tokenizers.WhitespaceSplit())):
+        kept = getattr(plain, part)
+        setattr(plain, part, other)
+        assert not packing.WordIds(path).splits
+        packing.word_ids.cache_clear()
+        assert encoded(path, texts) == [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        setattr(plain, part, kept)
+
+
 def test_numbers_of_any_length():
     assert pii.base_spans("0" * 5000 + ".1.1.1 and " + "9" * 6000 + ".1.1.1") == [(1, 0, 5006)]
 
