@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stayline.functions.expr import count_if, draw, logit, safe_div
+from stayline.operators import forest
 from stayline.operators.fairness import by_attribute
 from stayline.operators.gram import fit_counts, logistic_sums, resampled_logistic_sums, resampled_sizes
 from stayline.operators.isotonic import apply_isotonic, isotonic_pools
@@ -279,21 +280,28 @@ def fit_candidate(
 ):
     """Balanced logistic regression, random forest (depth 10) or gradient boosting (depth 2, rate 0.05)."""
     weighted = _assembled(class_weights(encoded, label), features)
-    common = {"featuresCol": "features", "labelCol": label, "weightCol": "class_weight"}
     if name == "Logistic Regression":
         total = weighted.agg(F.sum("class_weight").alias("w")).first()["w"]
         estimator = LogisticRegression(
-            **common, regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9
+            **_columns(label), regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9
         )
-    elif name == "Random Forest":
-        estimator = RandomForestClassifier(**common, numTrees=trees, maxDepth=10, seed=seed)
-    elif name == "Gradient Boosting":
-        estimator = GBTClassifier(**common, maxIter=rounds, maxDepth=2, stepSize=0.05, seed=seed)
     else:
-        raise ValueError(f"unknown candidate: {name}")
+        estimator = _estimator(name, label, trees, rounds, seed)
     return estimator.fit(weighted)
 
 
+def _columns(label: str) -> dict[str, str]:
+    return {"featuresCol": "features", "labelCol": label, "weightCol": "class_weight"}
+
+
+def _estimator(name: str, label: str, trees: int, rounds: int, seed: int):
+    if name == "Random Forest":
+        return RandomForestClassifier(**_columns(label), numTrees=trees, maxDepth=10, seed=seed)
+    if name == "Gradient Boosting":
+        return GBTClassifier(**_columns(label), maxIter=rounds, maxDepth=2, stepSize=0.05, seed=seed)
+    raise ValueError(f"unknown candidate: {name}")
+
+
 def score_candidate(model, encoded: DataFrame, features: Sequence[str], keep: Sequence[str], out: str = "score") -> DataFrame:
     scored = model.transform(_assembled(encoded, features))
     return scored.select(*keep, vector_to_array("probability")[1].alias(out))
@@ -315,6 +323,41 @@ def _wide(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if cores > df.rdd.getNumPartitions() else df
 
 
+#: Training rows above which trees are fitted to counted cells; MLlib's passes over the rows themselves end soon below.
+CELL_ROWS = 100_000
+TREES = ("Random Forest", "Gradient Boosting")
+
+
+class CellModels:
+    """Random forest and gradient boosting of large tables, fitted to the counted cells of equal bins (``forest``).
+
+    Boosting is MLlib's on a row per cell and class, weighted by its rows. MLlib's forest draws its samples row by row, so
+    the forest is grown here, from draws per cell. Distinct cells are scored and meet their rows by cell.
+    """
+
+    def __init__(self, encoded: DataFrame, features: Sequence[str], label: str) -> None:
+        self.features, self.label = list(features), label
+        self.edges = forest.bin_edges(encoded, self.features)
+        counted = forest.counted_cells(encoded, self.features, self.edges, label)
+        self.cells = settle(class_weights(counted, label, weight="_rows"))
+
+    def score(self, name: str, scoring: DataFrame, keep: Sequence[str], out: str, trees: int = 300, rounds: int = 150, seed: int = 42) -> DataFrame:
+        asked = settle(forest.binned(scoring, self.features, self.edges, keep))
+        distinct = settle(asked.select("_cell").distinct())
+        if name == "Random Forest":
+            weight = {r[self.label]: r["class_weight"] for r in self.cells.select(self.label, "class_weight").distinct().collect()}
+            grown = forest.grow_forest(
+                self.cells, [len(e) + 1 for e in self.edges], self.label, [weight.get(k, 0.0) for k in (0, 1)], trees, 10, seed
+            )
+            scored = forest.forest_scores(_wide(distinct), grown, len(self.features), out)
+        else:
+            weighted = self.cells.withColumn("class_weight", F.col("class_weight") * F.col("_rows"))
+            rows = settle(_wide(forest.bins_as_columns(weighted, self.features, [self.label, "class_weight"])))
+            model = _estimator(name, self.label, trees, rounds, seed).fit(_assembled(rows, self.features))
+            scored = score_candidate(model, forest.bins_as_columns(distinct, self.features, ["_cell"]), self.features, ["_cell"], out)
+        return asked.join(settle(scored), "_cell").drop("_cell")
+
+
 def compare_candidates(
     train: DataFrame,
     validation: DataFrame,
@@ -327,10 +370,15 @@ def compare_candidates(
     """Fit each candidate on the earlier split, score the later one: (long scores, metric table)."""
     fitted = settle(_wide(settle(encoder.transform(train, [label]))))
     scoring = settle(encoder.transform(validation, [row_id, label]))
+    large = fitted.count() > CELL_ROWS and set(candidates) & set(TREES)
+    cells = CellModels(fitted, encoder.columns, label) if large else None
     frames = []
     for name in candidates:
-        model = fit_candidate(name, fitted, encoder.columns, label, **options)
-        frames.append(score_candidate(model, scoring, encoder.columns, [row_id, label]).withColumn("model", F.lit(name)))
+        if cells and name in TREES:
+            scored = cells.score(name, scoring, [row_id, label], "score", **{k: v for k, v in options.items() if k != "c"})
+        else:
+            scored = score_candidate(fit_candidate(name, fitted, encoder.columns, label, **options), scoring, encoder.columns, [row_id, label])
+        frames.append(scored.withColumn("model", F.lit(name)))
     frames.append(prior_score(train, scoring.select(row_id, label), label).withColumn("model", F.lit("Prior")))
     scores = frames[0]
     for frame in frames[1:]:
