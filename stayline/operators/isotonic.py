@@ -46,7 +46,12 @@ def isotonic_pools(
     points = known.groupBy(*by, F.col(score).cast("double").alias("low")).agg(
         F.sum(w).alias("weight"), F.sum(w * F.col(label).cast("double")).alias("total")
     )
-    pools = settle(points.where("weight > 0").select(*by, "low", F.col("low").alias("high"), "weight", "total"))
+    return pool_points(points.where("weight > 0").select(*by, "low", F.col("low").alias("high"), "weight", "total"), by, block)
+
+
+def pool_points(points: DataFrame, by: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """``isotonic_pools`` of (by, low, high, weight, total): points or runs of points that no other lies between."""
+    pools = settle(points)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pools.schema)
 
     def merge(table: pa.Table) -> pa.Table:

@@ -21,17 +21,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stayline.functions.expr import count_if, draw, logit, safe_div
+from stayline.functions.expr import count_if, logit, safe_div
 from stayline.operators import forest
+from stayline.operators.calibrated import FoldScorer, deal_parts, encoders_of_counts, feature_columns, held_scores, known_scores, mean_calibrated, pools_of_known
 from stayline.operators.fairness import by_attribute
 from stayline.operators.gram import fit_counts, logistic_sums, resampled_logistic_sums, resampled_sizes
-from stayline.operators.isotonic import apply_isotonic, isotonic_pools
+from stayline.operators.isotonic import apply_isotonic
 from stayline.operators.metrics import calibration_metrics
-from stayline.operators.rank import Key, exact_quantiles, quantile_groups, ranked, spearman
+from stayline.operators.rank import Key, exact_quantiles, quantile_groups, spearman
 from stayline.operators.resample import average_out_of_fold, bootstrap_counts, bootstrap_sums, grouped_folds, row_folds
 from stayline.session import settle, store
 
 MAX_CATEGORIES = 1000
+#: Pools of all calibrations that every task may hold; more are joined to the rows.
+MAX_POOLS = 1_000_000
 
 
 def _safe(text: str) -> str:
@@ -551,11 +554,22 @@ def fit_fold_logistic(
     """
     fitted = encoders_per_fit(rows.withColumn("fit", F.explode("_train")), numeric, categorical)
     found = {r["fit"]: r for r in fitted.collect()}  # one row per fit
+    columns, maps = _shared_columns(found, numeric, categorical)
+    if not maps[1]:
+        return LogisticFits(maps[0], {}, 0), fitted
+    frame = fit_counts(rows.select("_train", F.col(label).cast("double").alias("_y"), *columns), number)
+    return fit_resampled_logistic(frame, frame.columns[2:], "_y", c, maps=maps), fitted
+
+
+def _shared_columns(
+    found: dict, numeric: Sequence[str], categorical: dict[str, Sequence[str]]
+) -> tuple[list[Column], tuple[list[str], dict[int, np.ndarray]]]:
+    """Columns in which what every fit's encoder makes of a row is linear, and the encoded names with a matrix per fit."""
     shape = _shape(numeric, categorical)
     scale = {g: [(r[f"_m_{i}"], r[f"_a_{i}"], r[f"_s_{i}"]) for i in range(len(numeric))] for g, r in found.items()}
     scale = {g: v for g, v in sorted(scale.items()) if all(x is not None and math.isfinite(x) for e in v for x in e)}
     if not scale:
-        return LogisticFits(shape.columns, {}, 0), fitted
+        return [], (shape.columns, {})
     first = [(a, s if s > 0 else 1.0) for _, a, s in next(iter(scale.values()))]
     names, columns = [], []
     for i, ((a, s), name) in enumerate(zip(first, numeric)):
@@ -583,8 +597,7 @@ def fit_fold_logistic(
                 turn[at + len(levels) - 1, to + k] = float(mode == level)
             at, to = at + len(levels), to + len(levels) - 1
         turns[int(g)] = turn
-    frame = fit_counts(rows.select("_train", F.col(label).cast("double").alias("_y"), *[v.alias(n) for v, n in zip(columns, names)]), number)
-    return fit_resampled_logistic(frame, names, "_y", c, maps=(shape.columns, turns)), fitted
+    return [v.alias(n) for v, n in zip(columns, names)], (shape.columns, turns)
 
 
 def repeated_calibrated_models(
@@ -595,27 +608,27 @@ def repeated_calibrated_models(
 
     The training rows of a fold are dealt to ``inner`` stratified parts. For each part a model is fitted to the others
     and its scores of the part are calibrated; the held-out rows' score is the mean over the parts. Models, encoders
-    and calibrations of all folds, repeats and parts are groups of the same jobs.
+    and calibrations of all folds, repeats and parts share their passes over one table with a row per row.
     """
-    chosen = df.select(row_id, label, *numeric, *categorical)
-    placed = settle(chosen.join(row_folds(df, row_id, label, folds, seed, repeats), row_id))
-    number = (F.col("repeat") - 1) * folds
-    outer = fit_copies(placed, folds, out="_k").withColumn("outer", number + F.col("_k")).drop("_k")
-    hashed = outer.withColumn("_h", draw(str(seed), F.lit("inner"), F.col("outer"), F.col(row_id)))
-    dealt = settle(ranked(hashed, [Key("_h"), Key(row_id)], ["outer", label], out="_r").withColumn("part", (F.col("_r") - 1) % inner + 1))
-    fit = ((F.col("outer") - 1) * inner + F.col("part")).cast("int")
-    train = fit_copies(dealt, inner, "part", "_j").withColumn("fit", ((F.col("outer") - 1) * inner + F.col("_j")).cast("int"))
-    parts = F.explode(F.sequence(F.lit(1), F.lit(inner)))
-    held = placed.withColumn("outer", number + F.col("fold")).withColumn("part", parts)
-    both = dealt.withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True)), allowMissingColumns=True).withColumn("fit", fit)
-    keep = [row_id, "repeat", label, "held"]
-    train, both, names = encode_per_fit(train, both, numeric, categorical, [*keep[:3]], held_keep=keep)
-    fits = fit_logistic(train, names, label, "fit", c=c)
-    scored = settle(score_by_fit(both, fits, "raw").select(*keep, "fit", "raw"))
-    known, asked = scored.where(~F.col("held")), scored.where("held")
+    number = ((F.col("repeat") - 1) * folds + F.col("fold")).cast("int")
+    dealt = row_folds(df, row_id, label, folds, seed, repeats).groupBy(row_id).agg(F.collect_list(number).alias("_held"))
+    rows = df.select(row_id, label, *numeric, *categorical).join(dealt, row_id)
+    rows = deal_parts(rows, row_id, label, folds, repeats, inner, seed)
+    found = encoders_of_counts(rows, numeric, list(categorical), folds * repeats * inner)
+    columns, maps = _shared_columns(found, numeric, categorical)
+    groups: dict[int, np.ndarray] = {}
+    if maps[1]:
+        frame = rows.select("counts", F.col(label).cast("double").alias("_y"), *columns)
+        groups = fit_resampled_logistic(frame, frame.columns[2:], "_y", c, maps=maps).groups
+    scorer, features = FoldScorer.of(groups, found, numeric, categorical), feature_columns(numeric, list(categorical))
     if method == "isotonic":
-        calibrated = apply_isotonic(asked, isotonic_pools(known, "raw", label, ["fit"]), "raw", ["fit"], "score")
+        pools = pools_of_known(rows, row_id, label, scorer, features, inner).select("fit", "low", "high", "value")
+        few = pools.limit(MAX_POOLS + 1).collect()
+        if len(few) <= MAX_POOLS:
+            return average_out_of_fold(mean_calibrated(rows, row_id, scorer, features, few, folds, repeats, inner), row_id, "score", repeats)
+        calibrated = apply_isotonic(held_scores(rows, row_id, scorer, features, folds, inner), pools, "raw", ["fit"], "score")
     else:
+        known, asked = known_scores(rows, label, scorer, features, inner), held_scores(rows, row_id, scorer, features, folds, inner)
         lines = fit_logistic(known.withColumn("_z", logit("raw", epsilon)), ["_z"], label, "fit", c=1e12, balanced=False)
         calibrated = score_by_fit(asked.withColumn("_z", logit("raw", epsilon)), lines, "score")
     mean = calibrated.groupBy(row_id, "repeat").agg(F.avg("score").alias("score"))
