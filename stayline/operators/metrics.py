@@ -7,7 +7,7 @@ function takes ``by`` columns and then works per group in the same jobs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -356,6 +356,16 @@ def bootstrap_metrics(
     return out.join(brier, list(by)).join(top, list(by))
 
 
+def _packed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of counts, the last column, as bytes: ``b`` and a byte per count, or ``i`` and four where one is above 255."""
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        counts = np.asarray(lists.flatten()).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0), np.int32)
+        head, kind = (b"b", np.uint8) if counts.max(initial=0) < 256 else (b"i", np.int32)
+        packed = pa.array([head + r.tobytes() for r in counts.astype(kind)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=batch.schema.names)
+
+
 #: Ordered rows that one group of resampled metrics holds.
 RESAMPLED_ROWS = 4096
 
@@ -374,14 +384,18 @@ def resampled_metrics(
         *by, F.col(score).cast("double").alias("_s"), F.col(row_id).alias("_id"), (F.col(label) == 1).cast("int").alias("_y"),
         F.pow(F.col(score) - F.col(label).cast("double"), F.lit(2.0)).alias("_e"), "counts",
     )
-    chosen = store(chosen)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.drop("counts").schema)
+    chosen = store(chosen.mapInArrow(_packed_counts, f"{kept}, counts binary"))
     numbered = ranked(chosen, [Key("_s", True), Key("_id")], by, out="_r").drop("_id")
     blocks = store(numbered.withColumn("_block", F.floor((F.col("_r") - 1) / rows)))
     kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
     head = "".join(f"`{c}` {kinds[c]}, " for c in by)
 
     def matrix(table: pa.Table) -> np.ndarray:
-        return np.concatenate([np.asarray(c.flatten()) for c in table["counts"].chunks]).reshape(table.num_rows, -1)
+        rows = table["counts"].to_pylist()
+        if len({len(r) for r in rows}) == 1 and rows[0][:1] == b"b":
+            return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)[:, 1:]
+        return np.array([np.frombuffer(r, np.uint8 if r[:1] == b"b" else np.int32, offset=1) for r in rows])
 
     def parts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts, and which rows are positive, and have a score."""

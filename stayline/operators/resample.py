@@ -5,6 +5,7 @@ All draws come from md5, so they do not depend on partitioning or on a retry.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -185,16 +186,16 @@ def _packed_draws(placed: DataFrame, iterations: int, seed: int, by: Sequence[st
     ``lengths`` says how many draws each iteration has there, ``places`` which rows of the block they are.
     """
     tasks = max(placed.sparkSession.sparkContext.defaultParallelism, placed.count() * iterations // TASK_DRAWS)
-    heads = F.array(*[F.lit(f"{seed}|{i}|") for i in range(1, iterations + 1)])
+    prefixes = [f"{seed}|{i}|".encode() for i in range(1, iterations + 1)]
     slots = placed.select(F.concat_ws("|", *[F.col(c).cast("string") for c in [*by, "_slot"]]).alias("_text"), "_n", "_first")
-    turns = slots.repartition(tasks).select("_text", "_n", "_first", F.posexplode(heads).alias("_i", "_head"))
-    # the first 8 bytes of the md5 of the text that ``draw`` makes, which keeps 60 of their bits
-    hashed = turns.select(F.unhex(F.substring(F.md5(F.concat("_head", "_text").cast("binary")), 1, 16)).alias("_h"), "_i", "_n", "_first")
-
-    def pack(lot: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(lot)
-        number = np.concatenate([np.frombuffer(c.cast(pa.binary(8)).buffers()[1], ">u8") for c in table["_h"].chunks])
-        turn, size, first = (table[c].to_numpy() for c in ("_i", "_n", "_first"))
+    step = max(1, PACK // iterations)
+
+    def pack(lot: pa.RecordBatch) -> pa.RecordBatch:
+        # the first 8 bytes of the md5 of the text that ``draw`` makes, which keeps 60 of their bits
+        texts = [t.encode() for t in lot.column(0).to_pylist()]
+        number = np.frombuffer(b"".join([hashlib.md5(prefix + t).digest() for t in texts for prefix in prefixes]), ">u8")[::2]
+        turn = np.tile(np.arange(iterations), lot.num_rows)
+        size, first = (np.repeat(lot.column(c).to_numpy(), iterations) for c in (1, 2))
         at = first + (number >> 4).astype(np.int64) % size
         low = int(at.min()) // BLOCK
         which, place = at // BLOCK - low, (at % BLOCK).astype(np.uint16)
@@ -208,18 +209,11 @@ def _packed_draws(placed: DataFrame, iterations: int, seed: int, by: Sequence[st
         return pa.RecordBatch.from_arrays([pa.array(names + low, pa.int64()), pa.array(heads, pa.binary()), pa.array(places, pa.binary())], ["_block", "_lengths", "_places"])
 
     def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lot, rows = [], 0
         for batch in batches:
-            if batch.num_rows:
-                lot.append(batch)
-                rows += batch.num_rows
-            if rows >= PACK:
-                yield pack(lot)
-                lot, rows = [], 0
-        if lot:
-            yield pack(lot)
-
-    return hashed.mapInArrow(lots, "_block long, _lengths binary, _places binary")
+            for start in range(0, batch.num_rows, step):
+                yield pack(batch.slice(start, step))
+
+    return slots.repartition(tasks).mapInArrow(lots, "_block long, _lengths binary, _places binary")
 
 
 def _count_draws(

@@ -3,6 +3,8 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,22 @@ def test_calibration_of_resamples(spark):
     weights = resample.bootstrap_weights(frame.select("id", "y"), "id", 4, 3, "y").join(long.drop("y"), "id")
     want = metrics.probability_metrics(weights, "probability", "y", ["iteration", "method"], weight="weight").collect()
     assert got == pytest.approx({(r.iteration, r.method): r.brier_score for r in want}) and len(got) == 12
+
+
+def test_counts_travel_as_bytes_unless_one_is_large():
+    for rows, head, kind in (([[0, 3], [255, 1]], b"b", np.uint8), ([[0, 3], [256, 1]], b"i", np.int32)):
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(rows, pa.list_(pa.int32()))], names=["k", "counts"])
+        (packed,) = metrics._packed_counts(iter([batch]))
+        assert [np.frombuffer(r, kind, offset=1).tolist() for r in packed["counts"].to_pylist()] == rows
+        assert all(r[:1] == head for r in packed["counts"].to_pylist())
+
+
+def test_resampled_metrics_of_many_and_few_draws(spark):
+    """Blocks with counts above 255 and blocks without give the same as rows that are repeated."""
+    rows = [(i, (i * 37 % 50) / 50.0, int(i % 3 == 0), [300 if i == 4 else i % 3, 1]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id long, s double, y int, counts array<int>").repartition(6, "id")
+    got = {r.iteration: r for r in metrics.resampled_metrics(frame, "s", "y", "id", rows=7).collect()}
+    long = frame.select("id", "s", "y", F.posexplode("counts").alias("i", "weight")).withColumn("iteration", F.col("i") + 1).where("weight > 0")
+    expected = {r.iteration: r for r in metrics.bootstrap_metrics(long, "s", "y", "id", ["iteration"]).collect()}
+    assert got.keys() == expected.keys() == {1, 2}
+    assert all(got[i][c] == pytest.approx(expected[i][c]) for i in got for c in ("roc_auc", "pr_auc", "brier_score", "top_precision"))
